@@ -6,17 +6,17 @@ Every function takes and returns SQL text; ``F.expr`` turns the result into a co
 from __future__ import annotations
 
 # The characters that count as white space when a text is trimmed.
-_SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
 def strip(text: str) -> str:
     """Trim every kind of white space, not only blanks."""
-    return rf"regexp_replace({text}, r'\A{_SPACE}+|{_SPACE}+\z', '')"
+    return rf"regexp_replace({text}, r'\A{SPACE}+|{SPACE}+\z', '')"
 
 
 def collapse_space(text: str) -> str:
     """Runs of white space become one blank, none at the ends."""
-    return strip(f"regexp_replace({text}, r'{_SPACE}+', ' ')")
+    return strip(f"regexp_replace({text}, r'{SPACE}+', ' ')")
 
 
 def percent_decode(text: str) -> str:

@@ -88,7 +88,7 @@ def identified(evidence: DataFrame, as_of: Column) -> DataFrame:
     """Give evidence rows a repeatable id and the time of the run, ready to store."""
     content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EVIDENCE_COLUMNS]
     return evidence.select(
-        F.sha2(F.concat_ws("\u001f", *content), 256).alias("evidence_id"),
+        F.sha2(F.concat_ws("\x1f", *content), 256).alias("evidence_id"),
         *EVIDENCE_COLUMNS,
         as_of.cast("timestamp").alias("ts"),
     )
