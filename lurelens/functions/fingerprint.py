@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 # The constants of the public 32-bit MurmurHash3.
 _C1, _C2, _MIX1, _MIX2, _ADD, _MASK = 0xCC9E2D51, 0x1B873593, 0x85EBCA6B, 0xC2B2AE35, 0xE6546B64, 0xFFFFFFFF
@@ -29,7 +30,7 @@ def murmur3_signed(data: bytes, seed: int = 0) -> int:
     return h - (1 << 32) if h >> 31 else h
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def _murmur3(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else murmur3_signed(t.encode("ascii")), na_action="ignore").astype("Int32")
 

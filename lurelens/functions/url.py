@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lurelens.functions.text import form_decode
 
@@ -28,6 +29,17 @@ def named_columns(steps: list[Named]) -> list[Column]:
     return [(F.expr(e) if isinstance(e, str) else e).alias(name) for name, e in steps]
 
 
+def staged(df: DataFrame, steps: list[Named], keep: list[str]) -> DataFrame:
+    """Run ``steps`` as one projection and keep only the columns ``keep`` of them.
+
+    The kept columns pass through a one-row ``inline``: a later filter on them is then evaluated on the result
+    and not rewritten into a copy of every step, which would grow with each stage.
+    """
+    base = [c for c in df.columns if c not in keep]
+    worked = df.select("*", *named_columns(steps))
+    return worked.select(*base, F.inline_outer(F.array(F.struct(*keep))))
+
+
 def after(text: str, mark: str) -> str:
     """What follows the first ``mark``, empty when there is none."""
     return f"if(instr({text}, '{mark}') > 0, substring({text}, instr({text}, '{mark}') + 1), left({text}, 0))"
@@ -61,9 +73,7 @@ def url_steps(url: str, p: str) -> list[Named]:
 
 def with_url_parts(df: DataFrame, column: str, prefix: str = "url_") -> DataFrame:
     """Add the eight parts of a URL column."""
-    steps = url_steps(column, prefix)
-    keep = {prefix + part for part in URL_PARTS}
-    return df.select("*", *named_columns(steps)).drop(*(name for name, _ in steps if name not in keep))
+    return staged(df, url_steps(column, prefix), [prefix + part for part in URL_PARTS])
 
 
 def query_params(query: str, keep_blank: bool) -> str:
@@ -111,7 +121,7 @@ def resolve(base: str, ref: str) -> str:
         else concat({origin}, {_without_dot_segments(joined)}, {ref_tail}) end"""
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _decode_idn(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def decode(host: str) -> str:
         try:

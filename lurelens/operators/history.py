@@ -94,11 +94,12 @@ def latest_per_url(targets: DataFrame) -> DataFrame:
 
     Runs of the same moment are told apart by the smaller id.
     """
-    rest = [c for c in targets.columns if c not in ("url_hash", "created_at", "target_id")]
-    newest = targets.groupBy("url_hash").agg(F.max("created_at").alias("created_at"))
-    ties = targets.filter(F.col("url_hash").isNotNull()).join(newest, ["url_hash", "created_at"], "left_semi")
-    first = ties.groupBy("url_hash", "created_at").agg(F.min(F.struct("target_id", *rest)).alias("t"))
-    return first.select("url_hash", "created_at", "t.*").select(*targets.columns)
+    age = (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("_age")
+    rest = [c for c in targets.columns if c not in ("url_hash", "target_id")]
+    newest = targets.filter(F.col("url_hash").isNotNull()).groupBy("url_hash").agg(
+        F.min(F.struct(age, "target_id", *rest)).alias("t")
+    )
+    return newest.select("url_hash", "t.*").select(*targets.columns)
 
 
 def cached_verdicts(targets: DataFrame, verdicts: DataFrame, as_of: Column, hours: int = CACHE_HOURS) -> DataFrame:

@@ -15,7 +15,7 @@ from lurelens.functions.text import (
     form_encode, percent_decode, percent_decode_stable, strip,
 )
 from lurelens.functions.url import (
-    Named, decode_host, first_param, is_web_url, named_columns, query_params, url_steps,
+    Named, decode_host, first_param, is_web_url, query_params, staged, url_steps,
 )
 from lurelens.schemas import emit
 
@@ -107,35 +107,27 @@ def _hop_steps(source: str, p: str) -> list[Named]:
     ]
 
 
-def unwrap_plan(column: str, max_hops: int = MAX_UNWRAP_HOPS) -> list[list[Named]]:
-    """Stages ending in ``unwrap_chain`` and ``landing_url``; a hop without a wrapper makes the rest NULL."""
-    stages, source, chain, targets = [], column, [], []
+def with_unwrapped(df: DataFrame, column: str, max_hops: int = MAX_UNWRAP_HOPS) -> DataFrame:
+    """Add ``unwrap_chain`` (array of steps) and ``landing_url`` (innermost decodable target).
+
+    One stage per hop; a hop without a wrapper leaves NULL, on which the later hops do no work.
+    """
+    source, chain, targets, working = column, [], [], []
     for hop in range(1, max_hops + 1):
         p = f"_h{hop}_"
-        stages.append(_hop_steps(source, p))
+        df = staged(df, _hop_steps(source, p), [f"{p}target", f"{p}wrapper"])
         chain.append(
             f"if({p}wrapper is null, null, named_struct('wrapper', {p}wrapper, 'input_url', {source}, "
             f"'output_url', {p}target, 'opaque', {p}wrapper = 'mimecast'))"
         )
         source = f"{p}target"
         targets.insert(0, source)
-    stages.append([
+        working += [f"{p}target", f"{p}wrapper"]
+    steps = [
         ("unwrap_chain", f"filter(array({', '.join(chain)}), s -> s is not null)"),
         ("landing_url", f"coalesce({', '.join([*targets, column])})"),
-    ])
-    return stages
-
-
-def _apply(df: DataFrame, stages: list[list[Named]], keep: set[str]) -> DataFrame:
-    """Run each stage as one projection, then drop the working columns."""
-    for steps in stages:
-        df = df.select("*", *named_columns(steps))
-    return df.drop(*(name for steps in stages for name, _ in steps if name not in keep))
-
-
-def with_unwrapped(df: DataFrame, column: str, max_hops: int = MAX_UNWRAP_HOPS) -> DataFrame:
-    """Add ``unwrap_chain`` (array of steps) and ``landing_url`` (innermost decodable target)."""
-    return _apply(df, unwrap_plan(column, max_hops), {"unwrap_chain", "landing_url"})
+    ]
+    return staged(df, steps, ["unwrap_chain", "landing_url"]).drop(*working)
 
 
 def _decoded_base64(raw: str) -> str:
@@ -144,7 +136,7 @@ def _decoded_base64(raw: str) -> str:
     return f"if({padded} rlike r'{BASE64_SHAPE}', {text}, null)"
 
 
-def payload_plan(query: str, fragment: str) -> list[Named]:
+def payload_steps(query: str, fragment: str) -> list[Named]:
     """Steps ending in ``nested_payloads``: base64 URLs and e-mail addresses in a URL's query and fragment."""
     keyed = "named_struct('g', array_position(transform(_p_params, q -> q.k), p.k), 'i', p.i, 'v', p.v)"
     kind = f"case when {is_web_url('d.decoded')} then 'url' when d.decoded rlike r'{EMAIL_SHAPE}' then 'email' end"
@@ -158,7 +150,7 @@ def payload_plan(query: str, fragment: str) -> list[Named]:
     ]
 
 
-def canonical_plan(column: str, out: str = "") -> list[Named]:
+def canonical_steps(column: str, out: str = "") -> list[Named]:
     """Steps ending in ``{out}url_error``, ``{out}canonical_url`` and ``{out}url_hash``."""
     c = "_c_"
     pair = f"concat({form_encode('p.k')}, '=', {form_encode('p.v')})"
@@ -193,19 +185,16 @@ def with_canonical(df: DataFrame, column: str, out: str = "") -> DataFrame:
     User info and path parameters are dropped, default ports removed, nested escapes decoded, the query
     sorted by key. Unreadable URLs get NULL and a reason instead of failing the job.
     """
-    return _apply(df, [canonical_plan(column, out)], {f"{out}canonical_url", f"{out}url_hash", f"{out}url_error"})
+    return staged(df, canonical_steps(column, out), [f"{out}canonical_url", f"{out}url_hash", f"{out}url_error"])
 
 
 def with_intake(df: DataFrame, url_column: str = "input_url", max_hops: int = MAX_UNWRAP_HOPS) -> DataFrame:
     """Annotate submissions with every intake result; one row in, one row out."""
-    stages = [
-        [("refanged_url", refang(url_column))],
-        *unwrap_plan("refanged_url", max_hops),
-        canonical_plan("landing_url"),
-        payload_plan("_c_query", "_c_fragment"),
-    ]
-    keep = {"refanged_url", "unwrap_chain", "landing_url", "nested_payloads", "canonical_url", "url_hash", "url_error"}
-    return _apply(df, stages, keep)
+    df = staged(df, [("refanged_url", refang(url_column))], ["refanged_url"])
+    df = with_unwrapped(df, "refanged_url", max_hops)
+    results = ["canonical_url", "url_hash", "url_error", "_c_query", "_c_fragment"]
+    df = staged(df, canonical_steps("landing_url"), results)
+    return staged(df, payload_steps("_c_query", "_c_fragment"), ["nested_payloads"]).drop("_c_query", "_c_fragment")
 
 
 def unwrap_steps(annotated: DataFrame, id_column: str = "target_id") -> DataFrame:
@@ -265,8 +254,8 @@ def extract_submitted_url(log: DataFrame, query_column: str = "raw_query", max_c
     """URLs from raw request queries: everything after the first ``url=``, decoded; adds ``url_error``."""
     at = f"instr({query_column}, 'url=')"
     found = percent_decode_stable(strip(f"substring({query_column}, {at} + 4)"))
-    return _apply(log, [[
+    return staged(log, [
         ("submitted_url", f"if({at} > 0, {found}, null)"),
         ("url_error", f"""case when submitted_url is null then 'missing url parameter'
             when submitted_url = '' then 'empty url' when length(submitted_url) > {max_chars} then 'url too long' end"""),
-    ]], {"submitted_url", "url_error"})
+    ], ["submitted_url", "url_error"])

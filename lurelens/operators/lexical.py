@@ -170,5 +170,5 @@ def lexical_signals(urls: DataFrame, brands: DataFrame, rules: DataFrame) -> Dat
 
 def lexical_evidence(signals: DataFrame) -> DataFrame:
     """Evidence rows of annotated URLs: one per signal that fired, none for absence."""
-    rows = signals.select("target_id", F.explode("lexical_signals").alias("s"))
+    rows = signals.select("target_id", F.explode_outer("lexical_signals").alias("s")).filter("s is not null")
     return emit(rows, "L1", F.col("s.key"), F.col("s.value"), F.col("s.weight"), "lexical")

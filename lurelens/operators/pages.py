@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StringType
 
 from lurelens.functions.html import canonical_markup, form_fields
 from lurelens.functions.text import SPACE, collapse_space
@@ -63,7 +64,7 @@ def with_page_text(pages: DataFrame, html: str = "html", max_chars: int | None =
     return pages.withColumns({"title": title(F.col(html)), "visible_text": visible_text(F.col(html), max_chars)})
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _canonical_markup(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for pages in batches:
         yield pages.map(canonical_markup, na_action="ignore")
