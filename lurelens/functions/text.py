@@ -7,11 +7,16 @@ from __future__ import annotations
 
 # The characters that count as white space when a text is trimmed.
 SPACE = r"[\s\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_SPACE_POINTS = (
+    *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
+    0x205F, 0x3000,
+)
+_SPACE_CHARS = "".join(f"\\u{point:04X}" for point in _SPACE_POINTS)
 
 
 def strip(text: str) -> str:
     """Trim every kind of white space, not only blanks."""
-    return rf"regexp_replace({text}, r'\A{SPACE}+|{SPACE}+\z', '')"
+    return f"btrim({text}, '{_SPACE_CHARS}')"
 
 
 def collapse_space(text: str) -> str:

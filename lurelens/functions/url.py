@@ -22,6 +22,8 @@ _PARAM_SCHEMES = (
 )
 URL_PARTS = ("scheme", "netloc", "host", "port", "path", "query", "fragment", "error")
 
+_LEADING = "".join(f"\\u{point:04X}" for point in range(0x21))
+
 Named = tuple[str, str | Column]
 
 
@@ -45,6 +47,14 @@ def after(text: str, mark: str) -> str:
     return f"if(instr({text}, '{mark}') > 0, substring({text}, instr({text}, '{mark}') + 1), left({text}, 0))"
 
 
+def unpadded(url: str) -> str:
+    """Without leading control characters and blanks, and without tabs and line breaks anywhere."""
+    trimmed = f"ltrim('{_LEADING}', {url})"
+    for mark in ("\\t", "\\r", "\\n"):
+        trimmed = f"replace({trimmed}, '{mark}', '')"
+    return trimmed
+
+
 def url_steps(url: str, p: str) -> list[Named]:
     """Steps ending in ``{p}scheme/netloc/host/port/path/query/fragment/error``, all NULL for a NULL URL.
 
@@ -52,7 +62,7 @@ def url_steps(url: str, p: str) -> list[Named]:
     """
     schemes = ", ".join(f"'{s}'" for s in _PARAM_SCHEMES)
     return [
-        (f"{p}clean", rf"regexp_replace({url}, r'\A[\x00-\x20]+|[\t\r\n]', '')"),
+        (f"{p}clean", unpadded(url)),
         (f"{p}head", f"substring_index({p}clean, '#', 1)"),
         (f"{p}fragment", after(f"{p}clean", "#")),
         (f"{p}hier", f"substring_index({p}head, '?', 1)"),
@@ -61,7 +71,7 @@ def url_steps(url: str, p: str) -> list[Named]:
         (f"{p}rest", f"if({p}scheme != '', substring({p}hier, length({p}scheme) + 2), {p}hier)"),
         (f"{p}netloc", f"if(startswith({p}rest, '//'), substring_index(substring({p}rest, 3), '/', 1), left({p}rest, 0))"),
         (f"{p}local", f"if(startswith({p}rest, '//'), substring({p}rest, length({p}netloc) + 3), {p}rest)"),
-        (f"{p}path", rf"if({p}scheme in ({schemes}), regexp_replace({p}local, r';[^/]*\z', ''), {p}local)"),
+        (f"{p}path", rf"if(contains({p}local, ';') and {p}scheme in ({schemes}), regexp_replace({p}local, r';[^/]*\z', ''), {p}local)"),
         (f"{p}site", f"substring_index({p}netloc, '@', -1)"),
         (f"{p}host", rf"lower(if(contains({p}site, '['), regexp_extract({p}site, r'\[([^\]]*)', 1), substring_index({p}site, ':', 1)))"),
         (f"{p}digits", rf"if(contains({p}site, '['), regexp_extract({p}site, r'\][^:]*:(.*)\z', 1), {after(f'{p}site', ':')})"),
@@ -90,7 +100,7 @@ def first_param(params: str, name: str) -> str:
 
 def is_web_url(text: str) -> str:
     """True for an http(s) URL with a host part."""
-    return rf"regexp_replace({text}, r'\A[\x00-\x20]+|[\t\r\n]', '') rlike r'(?i)\Ahttps?://[^/?#]'"
+    return rf"{unpadded(text)} rlike r'(?i)\Ahttps?://[^/?#]'"
 
 
 def _without_dot_segments(path: str) -> str:

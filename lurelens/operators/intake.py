@@ -19,24 +19,26 @@ from lurelens.functions.url import (
 )
 from lurelens.schemas import emit
 
-# Defanging patterns and what they stand for, in order of application.
+# Defanging patterns and what they stand for, in order of application. Each group names what a
+# text must contain for any of its patterns to match.
 REFANG_RULES = (
-    (r"hxxps(?=://)", "https"),
-    (r"hxxp(?=://)", "http"),
-    (r"\bhxxps\b", "https"),
-    (r"\bhxxp\b", "http"),
-    (r"\[:\]", ":"),
-    (r"\[\.\]", "."),
-    (r"\(\s*\.\s*\)", "."),
-    (r"\{\s*\.\s*\}", "."),
-    (r"\[://\]", "://"),
-    (r"\[at\]", "@"),
-    (r"\[@\]", "@"),
-    (r"\bwxw\.", "www."),
-    (r"h\s+t\s+t\s+p\s*:\s*/\s*/\s*", "http://"),
-    (r"h\s+t\s+t\s+p\s+s\s*:\s*/\s*/\s*", "https://"),
-    (r"\s+dot\s+", "."),
-    (r"\s+slash\s+", "/"),
+    ("contains(lower({0}), 'hxxp')", (
+        (r"hxxps(?=://)", "https"),
+        (r"hxxp(?=://)", "http"),
+        (r"\bhxxps\b", "https"),
+        (r"\bhxxp\b", "http"),
+    )),
+    ("contains({0}, '[')", ((r"\[:\]", ":"), (r"\[\.\]", "."))),
+    ("contains({0}, '(')", ((r"\(\s*\.\s*\)", "."),)),
+    ("contains({0}, '{{')", ((r"\{\s*\.\s*\}", "."),)),
+    ("contains({0}, '[')", ((r"\[://\]", "://"), (r"\[at\]", "@"), (r"\[@\]", "@"))),
+    ("contains(lower({0}), 'wxw.')", ((r"\bwxw\.", "www."),)),
+    (r"{0} rlike r'\s'", (
+        (r"h\s+t\s+t\s+p\s*:\s*/\s*/\s*", "http://"),
+        (r"h\s+t\s+t\s+p\s+s\s*:\s*/\s*/\s*", "https://"),
+        (r"\s+dot\s+", "."),
+        (r"\s+slash\s+", "/"),
+    )),
 )
 
 # Hosts and parameters of the link wrappers, in order of application.
@@ -55,7 +57,8 @@ OPEN_REDIRECT_PARAMS = (
 MAX_UNWRAP_HOPS = 5
 
 # Shapes of a nested payload.
-BASE64_RUN = r"([A-Za-z0-9+/=]{20,})"
+MIN_PAYLOAD_CHARS = 20
+BASE64_RUN = rf"([A-Za-z0-9+/=]{{{MIN_PAYLOAD_CHARS},}})"
 BASE64_SHAPE = r"\A[A-Za-z0-9+/]+={0,2}\z"
 EMAIL_SHAPE = r"\A[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\n?\z"
 
@@ -68,12 +71,21 @@ class Intake(NamedTuple):
     rejects: DataFrame
 
 
-def refang(text: str) -> str:
-    """Undo common defanging (SQL text in and out); a clean URL comes back unchanged."""
-    clean = strip(text)
-    for pattern, plain in REFANG_RULES:
-        clean = f"regexp_replace({clean}, r'(?i){pattern}', '{plain}')"
-    return clean
+def refang_steps(text: str, out: str) -> list[Named]:
+    """Steps ending in ``out``: common defanging undone; a clean URL comes back unchanged."""
+    steps, current = [(f"{out}_0", strip(text))], f"{out}_0"
+    for i, (needed, rules) in enumerate(REFANG_RULES, start=1):
+        plain = current
+        for pattern, meant in rules:
+            plain = f"regexp_replace({plain}, r'(?i){pattern}', '{meant}')"
+        name = out if i == len(REFANG_RULES) else f"{out}_{i}"
+        steps.append((name, f"if({needed.format(current)}, {plain}, {current})"))
+        current = name
+    return steps
+
+
+def with_refanged(df: DataFrame, column: str, out: str = "refanged_url") -> DataFrame:
+    return staged(df, refang_steps(column, out), [out])
 
 
 def _at_domain(host: str, domains: tuple[str, ...]) -> str:
@@ -141,12 +153,14 @@ def payload_steps(query: str, fragment: str) -> list[Named]:
     keyed = "named_struct('g', array_position(transform(_p_params, q -> q.k), p.k), 'i', p.i, 'v', p.v)"
     kind = f"case when {is_web_url('d.decoded')} then 'url' when d.decoded rlike r'{EMAIL_SHAPE}' then 'email' end"
     return [
-        ("_p_params", query_params(query, keep_blank=True)),
+        ("_p_any", f"length({query}) >= {MIN_PAYLOAD_CHARS} or length({fragment}) >= {MIN_PAYLOAD_CHARS}"),
+        ("_p_params", f"if(_p_any, {query_params(query, keep_blank=True)}, null)"),
         ("_p_texts", f"concat(transform(array_sort(transform(_p_params, p -> {keyed})), p -> p.v), array({fragment}, {query}))"),
         ("_p_runs", f"array_distinct(flatten(transform(_p_texts, t -> regexp_extract_all(t, '{BASE64_RUN}', 1))))"),
         ("_p_decoded", f"transform(_p_runs, r -> named_struct('raw', r, 'decoded', {_decoded_base64('r')}))"),
-        ("nested_payloads", f"""filter(transform(_p_decoded, d ->
+        ("_p_found", f"""filter(transform(_p_decoded, d ->
             named_struct('raw', d.raw, 'decoded', d.decoded, 'kind', {kind})), d -> d.kind is not null)"""),
+        ("nested_payloads", "coalesce(_p_found, array())"),
     ]
 
 
@@ -190,7 +204,7 @@ def with_canonical(df: DataFrame, column: str, out: str = "") -> DataFrame:
 
 def with_intake(df: DataFrame, url_column: str = "input_url", max_hops: int = MAX_UNWRAP_HOPS) -> DataFrame:
     """Annotate submissions with every intake result; one row in, one row out."""
-    df = staged(df, [("refanged_url", refang(url_column))], ["refanged_url"])
+    df = with_refanged(df, url_column)
     df = with_unwrapped(df, "refanged_url", max_hops)
     results = ["canonical_url", "url_hash", "url_error", "_c_query", "_c_fragment"]
     df = staged(df, canonical_steps("landing_url"), results)

@@ -51,7 +51,7 @@ _PAYLOADS = """
 @query("""
     select target_id, case target_id % 9 when 1 then plain_url else input_url end as refanged_url from submissions""")
 def refang_urls(t: Inputs):
-    return t.submissions.select("target_id", F.expr(jobs.refang("input_url")).alias("refanged_url"))
+    return jobs.with_refanged(t.submissions, "input_url").select("target_id", "refanged_url")
 
 
 @query(f"with {_WRAPPERS} select target_id, hop, wrapper, input_url, output_url, opaque from steps_found")
