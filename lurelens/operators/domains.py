@@ -15,19 +15,16 @@ def with_registrable_domain(
 ) -> DataFrame:
     """Add the public suffix plus one label; hosts without a known suffix come back whole.
 
-    One equi join per suffix length. The rule table is small, so Spark's own size check turns each into a
+    ``rules``: one row per suffix, ``suffix, labels, exact, wildcard, exception``. One equi join per suffix length. The rule table is small, so Spark's own size check turns each into a
     map-side hash join and no URL is shuffled; a rule table above the threshold still joins correctly.
     """
-    flags = rules.groupBy("suffix", "labels").agg(
-        *(F.bool_or(F.col("kind") == kind).alias(kind) for kind in ("exact", "wildcard", "exception"))
-    )
     df = df.withColumn("_host", F.lower(F.regexp_replace(F.col(host), r"\A\.+|\.+\z", "")))
     df = df.withColumn("_labels", F.split("_host", r"\."))
     size = F.size("_labels")
     lengths, exceptions = [], []
     for n in range(1, max_labels + 1):
         key = f"_suffix{n}"
-        side = flags.filter(F.col("labels") == n).select(
+        side = rules.filter(F.col("labels") == n).select(
             F.col("suffix").alias(key), F.struct("exact", "wildcard", "exception").alias(f"_rule{n}")
         )
         tail = F.when(size >= n, F.array_join(F.slice("_labels", -n, n), "."))
@@ -87,6 +84,40 @@ def alignment_distance(a: Column, b: Column) -> Column:
     )
 
 
+def _is_one_swap(a: Column, b: Column) -> Column:
+    """Whether exchanging two neighbouring characters of ``a`` gives ``b``."""
+    swapped = lambda i: F.concat(
+        F.substring(a, F.lit(1), i - 1), F.substring(a, i + 1, F.lit(1)), F.substring(a, i, F.lit(1)),
+        F.substring(a, i + 2, F.length(a)),
+    )
+    places = F.sequence(F.lit(1), F.greatest(F.length(a) - 1, F.lit(1)))
+    return (F.length(a) == F.length(b)) & F.exists(places, lambda i: swapped(i) == b)
+
+
+def sorted_letters(text: Column) -> Column:
+    return F.array_join(F.array_sort(F.split(text, "")), "")
+
+
+def maybe_near(a: Column, b: Column, a_letters: Column, b_letters: Column) -> Column:
+    """Cheap test that no pair within distance 2 fails.
+
+    Levenshtein is at most twice the distance, and above 2 only if a swap took part; then at most one letter differs.
+    """
+    return (F.levenshtein(a, b, 2 * MAX_DISTANCE) >= 0) & (
+        (F.levenshtein(a, b, MAX_DISTANCE) >= 0) | (F.levenshtein(a_letters, b_letters, MAX_DISTANCE) >= 0)
+    )
+
+
+def near_distance(a: Column, b: Column) -> Column:
+    """``alignment_distance`` of a pair that is likely near: the full recurrence runs only if a swap is mixed with edits."""
+    edits = F.levenshtein(a, b, MAX_DISTANCE)
+    return (
+        F.when(edits == 1, 1)
+        .when(edits == 2, F.when(_is_one_swap(a, b), 1).otherwise(2))
+        .otherwise(alignment_distance(a, b))
+    )
+
+
 def _deletion_keys(text: Column) -> Column:
     """Every string left after deleting at most two characters."""
     def shorter(word: Column) -> Column:
@@ -109,6 +140,11 @@ def _candidates(domains: DataFrame, brands: DataFrame, by_deletion: bool) -> Dat
     return left.join(brands.withColumn("_key", F.length("matched_domain")), "_key").drop("_key")
 
 
+def is_short(brands: DataFrame) -> bool:
+    """Whether a brand list is small enough to travel to every task."""
+    return brands.limit(BUCKET_MATCH_LIMIT + 1).count() <= BUCKET_MATCH_LIMIT
+
+
 def typosquat(
     domains: DataFrame, brands: DataFrame, exclude_known: bool = False, by_deletion: bool | None = None
 ) -> DataFrame:
@@ -120,14 +156,41 @@ def typosquat(
     """
     known = brands.select("brand", F.col("domain").alias("matched_domain"), "ord")
     if by_deletion is None:
-        by_deletion = known.limit(BUCKET_MATCH_LIMIT + 1).count() > BUCKET_MATCH_LIMIT
+        by_deletion = not is_short(brands)
     unique = domains.select("domain").filter(F.length("domain") > 0).distinct()
     if exclude_known:
         unique = unique.join(known.select(F.col("matched_domain").alias("domain")), "domain", "left_anti")
     domain, matched = F.col("domain"), F.col("matched_domain")
     near = _candidates(unique, known, by_deletion).filter(
-        (domain != matched) & (F.levenshtein(domain, matched, 2 * MAX_DISTANCE) >= 0)
+        (domain != matched) & maybe_near(domain, matched, sorted_letters(domain), sorted_letters(matched))
     )
-    scored = near.withColumn("distance", alignment_distance(domain, matched)).filter(F.col("distance") <= MAX_DISTANCE)
+    scored = near.withColumn("distance", near_distance(domain, matched)).filter(F.col("distance") <= MAX_DISTANCE)
     best = scored.groupBy("domain").agg(F.min(F.struct("distance", "ord", "brand", "matched_domain")).alias("m"))
     return best.select("domain", "m.brand", "m.matched_domain", "m.distance")
+
+
+def with_lookalike(df: DataFrame, brands: DataFrame, domain: str = "registrable_domain", out: str = "typosquat") -> DataFrame:
+    """Add the closest brand domain as ``struct<brand, matched_domain, distance>``, NULL when none is near.
+
+    A short brand list becomes a scalar subquery that every task holds, so URLs are neither shuffled nor read
+    a second time. A longer one is matched per distinct domain and joined back.
+    """
+    if not is_short(brands):
+        matches = typosquat(df.select(F.col(domain).alias("domain")), brands, by_deletion=True)
+        found = F.struct("brand", "matched_domain", "distance").alias(out)
+        return df.join(matches.select(F.col("domain").alias(domain), found), domain, "left")
+    entry = F.struct("ord", "brand", F.col("domain").alias("matched_domain"), sorted_letters(F.col("domain")).alias("letters"))
+    df = df.withColumn("_brands", brands.agg(F.collect_list(entry)).scalar())
+    df, name = df.withColumn("_letters", sorted_letters(F.col(domain))), F.col(domain)
+    near = F.filter("_brands", lambda b: (
+        (F.abs(F.length(name) - F.length(b["matched_domain"])) <= MAX_DISTANCE) & (name != b["matched_domain"])
+        & maybe_near(name, b["matched_domain"], F.col("_letters"), b["letters"])
+    ))
+    scored = F.transform(F.when(name != "", near), lambda b: F.struct(
+        near_distance(name, b["matched_domain"]).alias("distance"), b["ord"], b["brand"], b["matched_domain"]
+    ))
+    best = F.array_min(F.filter(scored, lambda m: m["distance"] <= MAX_DISTANCE))
+    df = df.withColumn("_near", best)
+    near = F.col("_near")
+    found = F.struct(*(near[c].alias(c) for c in ("brand", "matched_domain", "distance")))
+    return df.withColumn(out, F.when(near.isNotNull(), found)).drop("_near", "_brands", "_letters")

@@ -135,7 +135,7 @@ def bundles(
         F.count(F.lit(1)).alias("num_states"), F.max("depth").alias("max_depth_reached"), F.bool_or(shown).alias("has_text")
     )
     layer = F.col("layer")
-    score = lambda name: F.round(F.least(F.lit(1.0), F.sum(F.when(layer == name, F.col("weight")))), 4)
+    score = lambda name: F.round(F.least(F.lit(1.0), F.sum(F.when(layer == name, F.col("weight")).otherwise(0.0))), 4)
     per_key = _by_key(evidence)
     flags = [F.bool_or(F.col("key") == wanted).alias(flag) for flag, wanted in FLAG_KEYS.items()]
     e = per_key.groupBy("target_id").agg(

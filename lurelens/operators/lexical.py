@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lurelens.functions.url import URL_PARTS, with_url_parts
-from lurelens.operators.domains import typosquat, with_registrable_domain
+from lurelens.operators.domains import with_lookalike, with_registrable_domain
 from lurelens.schemas import as_json, emit
 
 # Weights and thresholds of the lexical signals.
@@ -65,25 +65,29 @@ def dga_score(host: Column) -> Column:
     labels = F.when(F.size(labels) > 1, F.slice(labels, 1, F.size(labels) - 1)).otherwise(labels)
     labels = F.filter(labels, lambda x: F.length(x) >= 3)
 
-    def measures(label: Column) -> Column:
+    def add(total: Column, label: Column) -> Column:
         vowels, consonants = _count_of(label, "aeiou"), _count_of(label, "bcdfghjklmnpqrstvwxyz")
         ratio, digits = consonants / vowels, _count_of(label, "0123456789") / F.length(label)
         odd = F.when(vowels > 0, (ratio < CONSONANT_RANGE[0]) | (ratio > CONSONANT_RANGE[1])).otherwise(consonants > 0)
         return F.struct(
-            entropy(label).alias("entropy"),
-            F.when(odd, 1.0).otherwise(0.0).alias("odd"),
-            F.when(digits > DIGIT_SHARE, digits).otherwise(0.0).alias("digits"),
+            (total["entropy"] + entropy(label)).alias("entropy"),
+            (total["odd"] + F.when(odd, 1.0).otherwise(0.0)).alias("odd"),
+            (total["digits"] + F.when(digits > DIGIT_SHARE, digits).otherwise(0.0)).alias("digits"),
+            (total["n"] + 1).alias("n"),
         )
 
-    rows = F.transform(labels, measures)
-    mean = lambda field: F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + r[field]) / F.size(rows)
-    excess = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean("entropy") - ENTROPY_FLOOR) / 2.0))
-    score = (
-        DGA_MIX["entropy"] * excess
-        + DGA_MIX["consonants"] * F.least(F.lit(1.0), mean("odd"))
-        + DGA_MIX["digits"] * F.least(F.lit(1.0), mean("digits"))
-    )
-    return F.when(F.size(labels) == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), score), 4))
+    def score(total: Column) -> Column:
+        mean = lambda field: total[field] / total["n"]
+        excess = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean("entropy") - ENTROPY_FLOOR) / 2.0))
+        mix = (
+            DGA_MIX["entropy"] * excess
+            + DGA_MIX["consonants"] * F.least(F.lit(1.0), mean("odd"))
+            + DGA_MIX["digits"] * F.least(F.lit(1.0), mean("digits"))
+        )
+        return F.when(total["n"] == 0, 0.0).otherwise(F.round(F.least(F.lit(1.0), mix), 4))
+
+    start = F.struct(F.lit(0.0).alias("entropy"), F.lit(0.0).alias("odd"), F.lit(0.0).alias("digits"), F.lit(0).alias("n"))
+    return F.aggregate(labels, start, add, score)
 
 
 def infra_category(host: Column) -> Column:
@@ -124,17 +128,13 @@ def with_host_signals(df: DataFrame, host: str = "host") -> DataFrame:
 def lexical_signals(urls: DataFrame, brands: DataFrame, rules: DataFrame) -> DataFrame:
     """Add ``lexical_signals`` (array of key, value, weight) and ``lexical_risk_score`` to canonical URLs.
 
-    Expects ``canonical_url`` and, when the URL went through intake, ``nested_payloads``. Only the look-alike
-    match leaves the row: it runs once per distinct domain and is joined back.
+    Expects ``canonical_url`` and, when the URL went through intake, ``nested_payloads``. With a
+    brand list and suffix rules of ordinary size all of it is one pass without a shuffle.
     """
     df = with_url_parts(urls, "canonical_url", "_x_").withColumn("host", F.col("_x_host"))
     df = df.drop(*(f"_x_{part}" for part in URL_PARTS))
     df = with_host_signals(with_registrable_domain(df, rules))
-    matches = typosquat(df.select(F.col("registrable_domain").alias("domain")), brands)
-    matches = matches.select(
-        F.col("domain").alias("registrable_domain"), F.struct("brand", "matched_domain", "distance").alias("typosquat")
-    )
-    df = df.join(matches, "registrable_domain", "left")
+    df = with_lookalike(df, brands)
     match, dga, host = F.col("typosquat"), F.col("dga_score"), F.col("host")
     if "nested_payloads" in df.columns:
         emails = F.transform(F.filter("nested_payloads", lambda p: p["kind"] == "email"), lambda p: p["decoded"])

@@ -19,17 +19,32 @@ trycloudflare.com ngrok.io ngrok-free.app loca.lt blob.core.windows.net azureweb
 """.split()
 
 
+_SCHEMA = "suffix string, labels int, exact boolean, wildcard boolean, exception boolean"
+
+
 def suffix_rules(spark: SparkSession, rules: list[str] | None = None) -> DataFrame:
-    """``(suffix, kind, labels)`` with kind ``exact``, ``wildcard`` or ``exception`` from list notation."""
-    raw = spark.createDataFrame([(r,) for r in (rules or SUFFIX_RULES)], "rule string")
-    return parse_rules(raw)
+    """The rule table ``(suffix, labels, exact, wildcard, exception)``, one row per suffix, from list notation."""
+    kinds: dict[str, set[str]] = {}
+    for rule in rules or SUFFIX_RULES:
+        kind = "wildcard" if rule.startswith("*.") else "exception" if rule.startswith("!") else "exact"
+        kinds.setdefault(rule.removeprefix("*.").removeprefix("!").lower(), set()).add(kind)
+    rows = [
+        (suffix, suffix.count(".") + 1, "exact" in found, "wildcard" in found, "exception" in found)
+        for suffix, found in kinds.items()
+    ]
+    return spark.createDataFrame(rows, _SCHEMA)
 
 
 def parse_rules(raw: DataFrame) -> DataFrame:
+    """The same table from a DataFrame of list lines (column ``rule``); comments and blank lines are skipped."""
     rule = F.lower(F.trim("rule"))
     suffix = F.regexp_replace(rule, r"\A(\*\.|!)", "")
-    return raw.filter((rule != "") & ~rule.startswith("//")).select(
-        suffix.alias("suffix"),
-        F.when(rule.startswith("*."), "wildcard").when(rule.startswith("!"), "exception").otherwise("exact").alias("kind"),
-        F.size(F.split(suffix, r"\.")).alias("labels"),
+    exception, wildcard = rule.startswith("!"), rule.startswith("*.")
+    lines = raw.filter((rule != "") & ~rule.startswith("//")).select(
+        suffix.alias("suffix"), wildcard.alias("wildcard"), exception.alias("exception")
+    )
+    return lines.groupBy("suffix").agg(
+        F.first(F.size(F.split("suffix", r"\."))).alias("labels"),
+        F.bool_or(~F.col("wildcard") & ~F.col("exception")).alias("exact"),
+        F.bool_or("wildcard").alias("wildcard"), F.bool_or("exception").alias("exception"),
     )

@@ -48,8 +48,7 @@ def read_page_files(spark: SparkSession, folder: str) -> DataFrame:
 def list_artifacts(spark: SparkSession, folder: str) -> DataFrame:
     """``(target_id, path, name, size)`` of every stored file; file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    root = F.lit(folder.split("://")[-1].rstrip("/") + "/")
-    path = F.substring_index(F.col("path"), root, -1)
+    path = F.substring_index("path", folder.split("://")[-1].rstrip("/") + "/", -1)
     return files.select(
         F.substring_index(path, "/", 1).alias("target_id"),
         path.alias("path"),

@@ -186,15 +186,6 @@ INPUTS = {
           case when event_id % 2 = 0 then concat('note ', cast(event_id as varchar(20))) end as note,
           event_type = 'error' as removed
         from events""",
-    "answers": """
-        select page_id as target_id,
-          case page_id % 6
-            when 0 then concat('{"classification":"phishing","confidence":', cast(page_id % 150 as varchar(20)), 'e-2,"brand":"Acme","rationale":"r', cast(page_id as varchar(20)), '"}')
-            when 1 then '{"classification":"harmless","confidence":0.7,"brand":""}'
-            when 2 then '{"classification":"benign"}'
-            when 3 then 'no json here'
-            when 4 then concat('{"classification":"suspicious","confidence":"0.', cast(page_id % 10 as varchar(20)), '"}') end as raw_json
-        from pages""",
     "elements": """
         select doc_id % 1000 as page_id, doc_id as ord, concat('#e', cast(doc_id as varchar(20))) as selector,
           case doc_id % 6 when 0 then 'Sign   In' when 1 then 'Home' when 2 then 'Readers corner' when 3 then 'VIEW document now' when 4 then text else '' end as text,
@@ -216,4 +207,54 @@ INPUTS = {
             when 2 then 'other=1'
             else 'url=  ' end as raw_query
         from events e join pages p on e.user_id = p.page_id""",
+    # a case per order: what was found (order lines), the states seen (one per return flag), fields, model answers
+    "case_evidence": """
+        select cast(l_orderkey as varchar(20)) as target_id, 'target' as scope, cast(l_orderkey as varchar(20)) as scope_id,
+          case l_partkey % 14 when 0 then 'L3' when 1 then 'L1' when 2 then 'L1' when 3 then 'L2' when 10 then 'L1' when 11 then 'API' when 12 then 'L1' else 'L4' end as layer,
+          case l_partkey % 14 when 0 then 'cloaking_detected' when 1 then 'abuse_prone_infra' when 2 then 'typosquat' when 3 then 'reputation_hit'
+            when 4 then 'unhandled_node_error' when 5 then 'navigation_error' when 6 then 'blocked_by_gate' when 7 then 'active_probe_error'
+            when 8 then 'replay_fallback_used' when 9 then 'gate_solved' when 10 then 'aitm_email_payload' when 11 then 'pipeline_error'
+            else 'dga_borderline' end as key,
+          case l_partkey % 14
+            when 2 then concat('{"brand":"B', cast(l_suppkey % 5 as varchar(20)), '","matched_domain":"b.com","distance":', cast(1 + l_suppkey % 2 as varchar(20)), '}')
+            when 3 then case l_suppkey % 3
+              when 0 then concat('{"match_count":2,"matched_types":["', case when l_suppkey % 2 = 0 then 'url' else 'ip-dst' end,
+                '"],"tags":["phishing-name: Acme","phishing-name:Zeta","theme:bank","tlp:red"],"event_count":1,"to_ids_match":true,"context_only":false}')
+              when 1 then concat('{"match_count":1,"matched_types":["', case when l_suppkey % 2 = 0 then 'Hostname' else 'Domain-Name' end,
+                '"],"active_indicator_count":1,"total_indicator_count":3,"labels":["x"],"markings":[],"created_by":[],"score_avg":70.0,"active_ioc_match":true,"context_only":false}')
+              else '{"query_status":"ok"}' end
+            when 5 then case when l_suppkey % 2 = 0 then 'net::ERR_CERT_DATE_INVALID' else 'net::ERR_FAILED' end
+            when 7 then case when l_suppkey % 2 = 0 then '{"probe":"redirect_chain","error":"certificate_verify_failed"}' else '{"error":"timeout"}' end
+            else concat('v', cast(l_linenumber as varchar(20))) end as value,
+          case l_partkey % 14 when 0 then 0.25e0 when 1 then 0.2e0 when 2 then case when l_suppkey % 2 = 0 then 0.3e0 else 0.15e0 end
+            when 3 then case when l_suppkey % 3 < 2 then 0.55e0 else 0.5e0 end when 10 then 0.4e0 when 12 then 0e0 else 1e0 end as weight,
+          'test' as produced_by
+        from lineitem""",
+    "case_states": """
+        select distinct cast(l_orderkey as varchar(20)) as target_id, concat(cast(l_orderkey as varchar(20)), l_returnflag) as state_id,
+          concat('https://s.example.com/', l_returnflag) as url, case when l_returnflag = 'R' then 'A' else l_returnflag end as dom_hash,
+          case l_returnflag when 'A' then 0 when 'N' then 1 else 2 end as depth, l_returnflag as flag
+        from lineitem""",
+    "case_transitions": """
+        select a.target_id, concat(a.state_id, b.flag) as transition_id, a.state_id as from_state, b.state_id as to_state,
+          case when a.flag = 'A' then 'click' else 'js_location' end as kind
+        from case_states a join (values ('A', 'N'), ('N', 'R')) as v(f, g) on a.flag = v.f
+          join case_states b on a.target_id = b.target_id and b.flag = v.g""",
+    "case_pages": """
+        select target_id, state_id, case flag when 'N' then '<html><title></title><p> </p></html>'
+          else concat('<title>T ', target_id, '</title><p>Hello', chr(10), target_id, '</p>') end as html from case_states""",
+    "case_fields": """
+        select cast(l_orderkey as varchar(20)) as target_id, concat(cast(l_orderkey as varchar(20)), l_returnflag) as state_id,
+          l_linenumber as ord, 'input' as tag, 'email' as type, concat('f', cast(l_linenumber as varchar(20))) as name_or_id,
+          case when l_partkey % 2 = 0 then 'Mail' else '' end as nearby_label_text
+        from lineitem where l_quantity > 40""",
+    "case_answers": """
+        select cast(o_orderkey as varchar(20)) as target_id,
+          case o_orderkey % 6
+            when 0 then concat('{"classification":"phishing","confidence":', cast(o_orderkey % 150 as varchar(20)), 'e-2,"brand":"Acme","kit_family":"aitm-x"}')
+            when 1 then '{"classification":"harmless","confidence":0.7,"brand":""}'
+            when 2 then '{"classification":"benign"}'
+            when 3 then 'no json here'
+            when 4 then concat('{"classification":"suspicious","confidence":"0.', cast(o_orderkey % 10 as varchar(20)), '"}') end as raw_json
+        from orders""",
 }

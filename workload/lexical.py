@@ -48,9 +48,9 @@ def host_entropy(t: Inputs):
     return t.hosts.select("target_id", "host", F.round(jobs.entropy(F.col("host")), 3).alias("entropy"))
 
 
-@query(f"with {_DGA} select target_id, host, round(score, 3) as score from dga")
+@query(f"with {_DGA} select target_id, host, round(score, 4) as score from dga")
 def dga_scores(t: Inputs):
-    return t.hosts.select("target_id", "host", F.round(jobs.dga_score(F.col("host")), 3).alias("score"))
+    return t.hosts.select("target_id", "host", jobs.dga_score(F.col("host")).alias("score"))
 
 
 @query("""
