@@ -2,21 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lurelens.operators.history import CACHE_HOURS
+from lurelens.operators.history import CACHE_HOURS, latest_per_url
 from lurelens.operators.intake import with_intake
 from lurelens.operators.overrides import apply_overrides
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
 def read_submissions(spark: SparkSession, folder: str, schema: str, pattern: str = "*.parquet") -> DataFrame:
     """Submissions arriving as Parquet files."""
     return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder)
@@ -44,45 +37,20 @@ def match_overrides(urls: DataFrame, override_urls: DataFrame, override_domains:
     return apply_overrides(urls, override_urls, override_domains)
 
 
-class _VerdictCache(StatefulProcessor):
-    """Keeps the newest finished run of one URL hash and answers requests from it while it is fresh."""
-
-    def __init__(self, hours: int) -> None:
-        self.seconds = hours * 3600
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.run = handle.getValueState("run", "done boolean, verdict string, at double", self.seconds * 1000)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(rows, ignore_index=True).sort_values(["at", "is_request", "event_id"])
-        held = self.run.get() if self.run.exists() else None
-        answers = []
-        for row in batch.itertuples():
-            if not row.is_request:
-                if held is None or row.at >= held[2]:
-                    held = (bool(row.done), row.verdict if isinstance(row.verdict, str) else None, float(row.at))
-            else:
-                hit = held is not None and held[0] and held[1] is not None and row.at - held[2] < self.seconds
-                answers.append((row.event_id, key[0], held[1] if hit else None))
-        if held is not None:
-            self.run.update(held)
-        yield pd.DataFrame(answers, columns=["event_id", "url_hash", "verdict"])
-
-    def close(self) -> None:
-        pass
-
-
-def answer_from_cache(events: DataFrame, hours: int = CACHE_HOURS) -> DataFrame:
-    """Answer requests from finished runs in arrival order: ``(event_id, url_hash, verdict or NULL)``.
+def answer_from_history(requests: DataFrame, targets: DataFrame, verdicts: DataFrame, hours: int = CACHE_HOURS) -> DataFrame:
+    """Add ``cached_target`` and ``classification`` to a stream of requests from the stored runs.
 
-    ``events``: ``event_id, url_hash, at (seconds), is_request, done, verdict``. Needs the RocksDB state store.
-    State holds one run per URL hash and expires after ``hours``.
+    ``requests``: ``url_hash, requested_at``. The newest run of the URL answers if it is done, has a verdict and
+    was younger than ``hours`` when the request came. The stored side is read again for every batch, so a
+    verdict is used as soon as it is stored and nothing is kept in stream state.
     """
-    return events.groupBy("url_hash").transformWithStateInPandas(
-        statefulProcessor=_VerdictCache(hours),
-        outputStructType="event_id long, url_hash string, verdict string",
-        outputMode="append",
-        timeMode="processingTime",
+    newest = latest_per_url(targets).filter("status = 'done'").select("url_hash", "target_id", "created_at")
+    runs = newest.join(verdicts.select("target_id", "classification"), "target_id")
+    seconds = (F.unix_micros("requested_at") - F.unix_micros(F.col("created_at").cast("timestamp"))) / F.lit(1e6)
+    fresh = F.col("created_at").isNotNull() & (seconds < hours * 3600)
+    return requests.join(runs, "url_hash", "left").select(
+        *requests.columns, F.when(fresh, F.col("target_id")).alias("cached_target"),
+        F.when(fresh, F.col("classification")).alias("classification"),
     )
 
 
