@@ -32,7 +32,7 @@ INPUTS = {
             when 1 then concat('  ', replace(replace(p.url, 'http', 'hXXp'), '.', '[.]'), ' ')
             when 2 then concat('https://emea01.safelinks.protection.outlook.com/?url=', {_encode}, '&data=05')
             when 3 then concat('https://trusted.example.com/r?x=1&next=', {_encode})
-            when 4 then concat('https://urldefense.proofpoint.com/v2/url?u=', replace(replace({_encode}, '_', '%5F'), '%', '-'), '&d=x')
+            when 4 then concat('https://urldefense.proofpoint.com/v2/url?u=', replace(replace(replace({_encode}, '-', '%2D'), '_', '%5F'), '%', '-'), '&d=x')
             when 5 then concat('https://urldefense.com/v3/__https://evil.example.org/', cast(p.page_id as varchar(20)), '__;!!x')
             when 6 then concat('https://linkprotect.cudasvc.com/url?a=', {_encode})
             when 7 then concat('https://protect.mimecast.com/s/x?url=https%3A%2F%2Ftrusted.example.com%2F%3Fgoto%3Dhttp%253A%252F%252Finner.example.net%252F', cast(p.page_id as varchar(20)))
