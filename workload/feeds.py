@@ -10,10 +10,13 @@ from lurelens.sources import feeds as sources
 from workload.inputs import AS_OF
 from workload.registry import Inputs, query
 
-_NOW = F.lit("2000-01-01T00:00:00Z").cast("timestamp")
 _NOW_SQL = "timestamp '2000-01-01 00:00:00'"
 
 
+def _now():
+    return F.lit("2000-01-01T00:00:00Z").cast("timestamp")
+
+
 def _split(column: str):
     return F.filter(F.split(column, r"\|"), lambda x: x != "")
 
@@ -65,7 +68,7 @@ _SIBLINGS = """
 
 @query(f"with {_HISTORY} select host, newest_cert_days, coalesce(oldest_cert_days, -99999) as oldest_cert_days, coalesce(total_certs, -1) as total_certs from history")
 def certificate_history(t: Inputs):
-    df = jobs.certificate_history(_certs(t), _NOW)
+    df = jobs.certificate_history(_certs(t), _now())
     known = {"newest_cert_days": 0, "oldest_cert_days": -99999, "total_certs": -1}
     return df.withColumns({c: F.coalesce(c, F.lit(unknown)).cast("long") for c, unknown in known.items()})
 
@@ -86,7 +89,7 @@ def certificate_evidence(t: Inputs):
     targets = t.customer.select(F.col("c_custkey").alias("target_id"), F.concat(F.lit("h"), F.col("c_custkey"), F.lit(".com")).alias("host"))
     # lines numbered 1 carry only the host's own name, so hosts without other names keep their history
     certs = _certs(t)
-    rows = jobs.certificate_evidence(targets, jobs.certificate_history(certs, _NOW), jobs.sibling_domains(certs, t.cert_names))
+    rows = jobs.certificate_evidence(targets, jobs.certificate_history(certs, _now()), jobs.sibling_domains(certs, t.cert_names))
     number = lambda path, name: F.coalesce(F.get_json_object("value", path).cast("long"), F.lit(0)).alias(name)
     return rows.select("target_id", "key", "weight", number("$.newest_cert_days", "newest"), number("$.total_siblings", "total"))
 
