@@ -1,7 +1,7 @@
 """Feed enrichment: registration, certificates, DNS and threat-intelligence answers as evidence.
 
-Feed sides are summarised once per distinct combination of matched values before they meet the targets, so
-neither a popular host nor a value with many feed records multiplies rows.
+Feed sides are summarised per value before they meet the targets, so neither a popular host nor a value with
+many feed records multiplies rows.
 """
 
 from __future__ import annotations
@@ -183,40 +183,64 @@ def search_values(urls: DataFrame, dns: DataFrame | None = None) -> DataFrame:
     return df.select("target_id", F.posexplode(clean).alias("ord", "value"))
 
 
-def _matched_sets(values: DataFrame, feed_values: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Targets with the key of their matched values, and each distinct key with its values.
+def _united(column: str) -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_list(column))))
 
-    A target has a handful of search values, so its matched set is small; popular sets exist once.
+
+def _vocabulary(rows: DataFrame, column: Column, out: str) -> DataFrame:
+    """``(value, out)``: the distinct words a feed uses for each value. Words are distinct before they meet."""
+    words = rows.select("value", column.alias("word")).filter("word is not null and word <> ''").distinct()
+    return words.groupBy("value").agg(F.array_sort(F.collect_set("word")).alias(out))
+
+
+def _distinct_events(matched: DataFrame, events: DataFrame) -> DataFrame:
+    """``(target_id, event_count)``: distinct events over all matched values of a target, exactly.
+
+    A target's values are ordered by size, largest first, and counted as growing prefixes: each prefix adds the
+    events of its last value that no earlier value has. A prefix is worked out once, however many targets share
+    it, and its work is the size of its smallest value, so a value with very many records costs its size once.
     """
-    present = feed_values.select("value").distinct()
-    matched = values.select("target_id", "value").join(present, "value", "left_semi")
-    sets = matched.groupBy("target_id").agg(F.array_sort(F.collect_set("value")).alias("_values"))
-    sets = sets.withColumn("match_key", F.sha2(F.concat_ws("\x1f", "_values"), 256))
-    keys = sets.groupBy("match_key").agg(F.first("_values").alias("_values"))
-    return sets.select("target_id", "match_key"), keys.select("match_key", F.explode("_values").alias("value"))
+    sizes = events.groupBy("value").agg(F.count(F.lit(1)).alias("_n"))
+    sized = matched.join(sizes, "value")
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "value"))), lambda x: x["value"])
+    lists = sized.groupBy("target_id").agg(ordered.alias("_values"))
+    prefixes = lists.select(
+        "target_id", F.explode(F.transform(F.sequence(F.lit(1), F.size("_values")), lambda k: F.slice("_values", F.lit(1), k))).alias("_prefix")
+    ).withColumn("prefix_key", F.sha2(F.concat_ws("\x1f", "_prefix"), 256))
+    unique = prefixes.groupBy("prefix_key").agg(F.first("_prefix").alias("_prefix"))
+    last = unique.select(
+        "prefix_key", F.element_at("_prefix", -1).alias("value"), F.slice("_prefix", F.lit(1), F.size("_prefix") - 1).alias("_earlier")
+    ).join(events, "value")
+    pairs = last.select("prefix_key", "event_id", F.explode("_earlier").alias("value"))
+    known = pairs.join(events, ["value", "event_id"], "left_semi").select("prefix_key", "event_id").distinct()
+    fresh = last.select("prefix_key", "event_id").join(known, ["prefix_key", "event_id"], "left_anti")
+    added = fresh.groupBy("prefix_key").agg(F.count(F.lit(1)).alias("_added"))
+    counted = prefixes.select("target_id", "prefix_key").join(added, "prefix_key")
+    return counted.groupBy("target_id").agg(F.sum("_added").alias("event_count"))
 
 
 def misp_summary(values: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Per target with a match: counts, types, tags, events and whether any record is marked for detection."""
+    """Per target with a match: counts, types, tags, events and whether any record is marked for detection.
+
+    The feed is summarised per value first; a target then meets one row for each of its few values.
+    """
     wanted = attributes.filter(F.col("type").isin(*MISP_TYPES))
-    targets, keys = _matched_sets(values, wanted)
-    rows = keys.join(wanted, "value")
-    counts = rows.groupBy("match_key").agg(
-        F.count(F.lit(1)).alias("match_count"),
-        F.array_sort(F.collect_set("type")).alias("matched_types"),
+    per_value = wanted.groupBy("value").agg(
+        F.count(F.lit(1)).alias("match_count"), F.array_sort(F.collect_set("type")).alias("matched_types"),
         F.bool_or("to_ids").alias("to_ids_match"),
+    ).join(_vocabulary(wanted.select("value", F.explode("tags").alias("tag")), F.col("tag"), "tags"), "value", "left")
+    none = F.array().cast("array<string>")
+    matched = values.select("target_id", "value").distinct().join(per_value, "value")
+    summary = matched.withColumn("tags", F.coalesce("tags", none)).groupBy("target_id").agg(
+        F.sum("match_count").alias("match_count"), _united("matched_types").alias("matched_types"), _united("tags").alias("tags"),
+        F.bool_or("to_ids_match").alias("to_ids_match"),
     )
-    events = rows.select("match_key", "event_id").filter(F.col("event_id").isNotNull()).distinct()
-    events = events.groupBy("match_key").agg(F.count(F.lit(1)).alias("event_count"))
-    tags = rows.select("match_key", F.explode("tags").alias("tag")).distinct()
-    tags = tags.groupBy("match_key").agg(F.array_sort(F.collect_set("tag")).alias("tags"))
-    summary = counts.join(events, "match_key", "left").join(tags, "match_key", "left").select(
-        "match_key", "match_count", "matched_types",
-        F.coalesce("tags", F.array().cast("array<string>")).alias("tags"),
-        F.coalesce("event_count", F.lit(0)).alias("event_count"),
+    events = wanted.select("value", "event_id").filter(F.col("event_id").isNotNull()).distinct()
+    counts = _distinct_events(matched.select("target_id", "value"), events)
+    return summary.join(counts, "target_id", "left").select(
+        "target_id", "match_count", "matched_types", "tags", F.coalesce("event_count", F.lit(0)).alias("event_count"),
         "to_ids_match", (~F.col("to_ids_match")).alias("context_only"),
     )
-    return targets.join(summary, "match_key").drop("match_key")
 
 
 def is_active_indicator(revoked: Column, valid_until: Column, as_of: Column) -> Column:
@@ -230,40 +254,40 @@ def is_active_indicator(revoked: Column, valid_until: Column, as_of: Column) ->
 def opencti_summary(values: DataFrame, observables: DataFrame, indicators: DataFrame, as_of: Column) -> DataFrame:
     """Per target with a match: observables, active and total indicators, context sets and active scores.
 
-    Observables and indicators are counted at their own grain and then joined, one row per matched set.
+    Every observable has one value and every indicator one observable, so counts per value simply add up. They
+    are made per value, each at its own grain, and a target meets one row for each of its few values.
     """
     wanted = observables.filter(F.col("type").isin(*OPENCTI_TYPES))
-    targets, keys = _matched_sets(values, wanted)
-    rows = keys.join(wanted, "value")
     active = is_active_indicator(F.col("revoked"), F.col("valid_until"), as_of)
-    detail = rows.select("match_key", "observable_id").join(indicators, "observable_id").withColumn("_active", active)
+    detail = wanted.select("observable_id", "value").join(indicators, "observable_id").withColumn("_active", active)
     score = F.when(F.col("_active"), F.col("score"))
-    found = rows.groupBy("match_key").agg(
+    per_value = wanted.groupBy("value").agg(
         F.count(F.lit(1)).alias("match_count"), F.array_sort(F.collect_set("type")).alias("matched_types")
-    )
-    counted = detail.groupBy("match_key").agg(
-        F.count_if("_active").alias("active_indicator_count"), F.count(F.lit(1)).alias("total_indicator_count"),
-        F.min(score).alias("score_min"), F.max(score).alias("score_max"), F.round(F.avg(score), 1).alias("score_avg"),
-    )
-    context = ["labels", "markings", "creator"]
-    notes = rows.select("match_key", *context).unionByName(detail.select("match_key", *context))
-    as_set = lambda df, column, name: df.distinct().groupBy("match_key").agg(F.array_sort(F.collect_set(column)).alias(name))
-    labels = as_set(notes.select("match_key", F.explode("labels").alias("x")), "x", "labels")
-    markings = as_set(notes.select("match_key", F.explode("markings").alias("x")), "x", "markings")
-    creators = as_set(notes.select("match_key", F.col("creator").alias("x")).filter("x is not null"), "x", "created_by")
-    df = found
-    for side in (counted, labels, markings, creators):
-        df = df.join(side, "match_key", "left")
-    none = F.array().cast("array<string>")
-    summary = df.select(
-        "match_key", "match_count", "matched_types",
-        *(F.coalesce(c, F.lit(0)).alias(c) for c in ("active_indicator_count", "total_indicator_count")),
-        *(F.coalesce(c, none).alias(c) for c in ("labels", "markings", "created_by")),
-        "score_min", "score_max", "score_avg",
+    ).join(detail.groupBy("value").agg(
+        F.count_if("_active").alias("_active_n"), F.count(F.lit(1)).alias("_n"), F.min(score).alias("_min"),
+        F.max(score).alias("_max"), F.sum(score).alias("_sum"), F.count(score).alias("_scored"),
+    ), "value", "left")
+    context = ["value", "labels", "markings", "creator"]
+    notes = wanted.select(*context).unionByName(detail.select(*context))
+    words = {
+        "labels": _vocabulary(notes.select("value", F.explode("labels").alias("x")), F.col("x"), "labels"),
+        "markings": _vocabulary(notes.select("value", F.explode("markings").alias("x")), F.col("x"), "markings"),
+        "created_by": _vocabulary(notes, F.col("creator"), "created_by"),
+    }
+    for side in words.values():
+        per_value = per_value.join(side, "value", "left")
+    none, zero = F.array().cast("array<string>"), F.lit(0)
+    per_value = per_value.withColumns({name: F.coalesce(name, none) for name in words})
+    matched = values.select("target_id", "value").distinct().join(per_value, "value")
+    summary = matched.groupBy("target_id").agg(
+        F.sum("match_count").alias("match_count"), _united("matched_types").alias("matched_types"),
+        F.sum(F.coalesce("_active_n", zero)).alias("active_indicator_count"), F.sum(F.coalesce("_n", zero)).alias("total_indicator_count"),
+        *(_united(name).alias(name) for name in words),
+        F.min("_min").alias("score_min"), F.max("_max").alias("score_max"), F.round(F.try_divide(F.sum("_sum"), F.sum("_scored")), 1).alias("score_avg"),
     )
     ioc = F.col("active_indicator_count") > 0
-    summary = summary.withColumns({"active_ioc_match": ioc, "context_only": ~ioc})
-    return targets.join(summary, "match_key").drop("match_key")
+    summary = summary.withColumn("score_avg", F.when(ioc, F.col("score_avg")))
+    return summary.withColumns({"active_ioc_match": ioc, "context_only": ~ioc})
 
 
 def urlhaus_matches(urls: DataFrame, answers: DataFrame) -> DataFrame:

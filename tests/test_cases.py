@@ -192,3 +192,15 @@ def test_active_indicators(spark):
     df = spark.createDataFrame(data, "revoked boolean, until string, expected boolean")
     active = feeds.is_active_indicator(F.col("revoked"), F.col("until"), F.lit("2024-01-01T00:00:00Z"))
     assert all(r.expected == r.active for r in df.withColumn("active", active).collect())
+
+
+def test_distinct_events_with_a_hot_value_and_overlaps(spark):
+    rnd = random.Random(11)
+    attributes = [("hot", f"e{i}") for i in range(300)] + [(f"v{rnd.randint(0, 15)}", f"e{rnd.randint(0, 400)}") for _ in range(200)]
+    targets = [(t, v) for t in range(40) for v in {"hot"} | {f"v{rnd.randint(0, 20)}" for _ in range(3)}]
+    feed = spark.createDataFrame([(v, "url", e, False, ["a"]) for v, e in attributes], "value string, type string, event_id string, to_ids boolean, tags array<string>")
+    values = spark.createDataFrame(targets, "target_id int, value string")
+    got = {r.target_id: (r.event_count, r.match_count) for r in feeds.misp_summary(values, feed).collect()}
+    for t in range(40):
+        mine = [(v, e) for v, e in attributes if (t, v) in set(targets)]
+        assert got[t] == (len({e for _, e in mine}), len(mine))
