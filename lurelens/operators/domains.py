@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lurelens.functions.joins import is_short
+
 # Brand lists up to this many domains are matched by length bucket, larger ones by deletion keys.
 BUCKET_MATCH_LIMIT = 5_000
+# Suffix rule tables up to this many rows are held by every task (the full public list has about 10,000).
+RULE_BROADCAST_LIMIT = 50_000
 MAX_DISTANCE = 2
 
 
@@ -15,9 +19,10 @@ def with_registrable_domain(
 ) -> DataFrame:
     """Add the public suffix plus one label; hosts without a known suffix come back whole.
 
-    ``rules``: one row per suffix, ``suffix, labels, exact, wildcard, exception``. One equi join per suffix length. The rule table is small, so Spark's own size check turns each into a
-    map-side hash join and no URL is shuffled; a rule table above the threshold still joins correctly.
+    ``rules``: one row per suffix, ``suffix, labels, exact, wildcard, exception``. One equi join per suffix length. The rule table is counted once: a short one is broadcast, so that no URL is
+    shuffled by a suffix half the table shares; a longer one joins as Spark decides.
     """
+    short = is_short(rules, RULE_BROADCAST_LIMIT)
     df = df.withColumn("_host", F.lower(F.regexp_replace(F.col(host), r"\A\.+|\.+\z", "")))
     df = df.withColumn("_labels", F.split("_host", r"\."))
     size = F.size("_labels")
@@ -28,7 +33,7 @@ def with_registrable_domain(
             F.col("suffix").alias(key), F.struct("exact", "wildcard", "exception").alias(f"_rule{n}")
         )
         tail = F.when(size >= n, F.array_join(F.slice("_labels", -n, n), "."))
-        df = df.withColumn(key, tail).join(side, key, "left")
+        df = df.withColumn(key, tail).join(F.broadcast(side) if short else side, key, "left")
         rule = F.col(f"_rule{n}")
         lengths.append(F.when(rule["wildcard"] & (size > n), n + 1).when(rule["exact"], n))
         exceptions.append(F.when(rule["exception"], n - 1))
@@ -130,19 +135,15 @@ def _deletion_keys(text: Column) -> Column:
     return F.array_distinct(F.concat(F.array(text), once, F.flatten(F.transform(once, shorter))))
 
 
-def _candidates(domains: DataFrame, brands: DataFrame, by_deletion: bool) -> DataFrame:
+def _candidates(domains: DataFrame, brands: DataFrame, by_deletion: bool, short: bool) -> DataFrame:
     if by_deletion:
         left = domains.select("domain", F.explode(_deletion_keys(F.col("domain"))).alias("_key"))
         right = brands.select("*", F.explode(_deletion_keys(F.col("matched_domain"))).alias("_key"))
         return left.join(right, "_key").drop("_key").dropDuplicates(["domain", "matched_domain", "ord"])
     lengths = F.sequence(F.length("domain") - MAX_DISTANCE, F.length("domain") + MAX_DISTANCE)
     left = domains.select("domain", F.explode(lengths).alias("_key"))
-    return left.join(brands.withColumn("_key", F.length("matched_domain")), "_key").drop("_key")
-
-
-def is_short(brands: DataFrame) -> bool:
-    """Whether a brand list is small enough to travel to every task."""
-    return brands.limit(BUCKET_MATCH_LIMIT + 1).count() <= BUCKET_MATCH_LIMIT
+    right = brands.withColumn("_key", F.length("matched_domain"))
+    return left.join(F.broadcast(right) if short else right, "_key").drop("_key")
 
 
 def typosquat(
@@ -155,13 +156,14 @@ def typosquat(
     Levenshtein (at most twice the alignment distance) discards most pairs before the exact distance.
     """
     known = brands.select("brand", F.col("domain").alias("matched_domain"), "ord")
+    short = is_short(brands, BUCKET_MATCH_LIMIT)
     if by_deletion is None:
-        by_deletion = not is_short(brands)
+        by_deletion = not short
     unique = domains.select("domain").filter(F.length("domain") > 0).distinct()
     if exclude_known:
         unique = unique.join(known.select(F.col("matched_domain").alias("domain")), "domain", "left_anti")
     domain, matched = F.col("domain"), F.col("matched_domain")
-    near = _candidates(unique, known, by_deletion).filter(
+    near = _candidates(unique, known, by_deletion, short).filter(
         (domain != matched) & maybe_near(domain, matched, sorted_letters(domain), sorted_letters(matched))
     )
     scored = near.withColumn("distance", near_distance(domain, matched)).filter(F.col("distance") <= MAX_DISTANCE)
@@ -175,7 +177,7 @@ def with_lookalike(df: DataFrame, brands: DataFrame, domain: str = "registrable_
     A short brand list becomes a scalar subquery that every task holds, so URLs are neither shuffled nor read
     a second time. A longer one is matched per distinct domain and joined back.
     """
-    if not is_short(brands):
+    if not is_short(brands, BUCKET_MATCH_LIMIT):
         matches = typosquat(df.select(F.col(domain).alias("domain")), brands, by_deletion=True)
         found = F.struct("brand", "matched_domain", "distance").alias(out)
         return df.join(matches.select(F.col("domain").alias(domain), found), domain, "left")
