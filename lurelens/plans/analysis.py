@@ -68,9 +68,11 @@ def analyse(
 ) -> Analysis:
     """The whole analysis of ``submissions`` (``target_id, input_url``).
 
-    URLs an override list decides leave before any costly stage. Unreadable URLs become error evidence.
+    URLs an override list decides leave before any costly stage. Unreadable URLs become error evidence. The
+    annotated URLs and the evidence are each written once, because several later steps read them.
     """
-    annotated = with_intake(submissions)
+    ensure_checkpoint_dir(submissions.sparkSession)
+    annotated = with_intake(submissions).checkpoint()
     readable = annotated.filter(F.col("url_error").isNull())
     rejects = annotated.filter(F.col("url_error").isNotNull()).select("target_id", F.col("url_error").alias("reason"))
     forced = None
@@ -82,7 +84,7 @@ def analyse(
         readable = readable.join(forced.select("target_id"), "target_id", "left_anti")
     rows = evidence.union_evidence(
         collect_evidence(readable, brands, rules, data, as_of), evidence.rejected_rows(rejects, "intake")
-    )
+    ).checkpoint()
     targets = annotated.select(
         "target_id", "input_url", "canonical_url", "url_hash", F.col("canonical_url").alias("final_url"),
         F.when(F.col("url_error").isNull(), "done").otherwise("error").alias("status"),
