@@ -86,12 +86,19 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 
 
+_POWERS: dict[int, np.ndarray] = {}
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
-    """``base ** 0 .. base ** (n - 1)`` modulo 2 ** 64."""
-    out = np.full(n, base, np.uint64)
-    if n:
-        out[0] = 1
-    return np.multiply.accumulate(out)
+    """``base ** 0 .. base ** (n - 1)`` modulo 2 ** 64; the powers of the longest block so far are kept."""
+    known = _POWERS.get(int(base))
+    if known is None or len(known) < n:
+        known = np.full(max(n, BLOCK_BYTES), base, np.uint64)
+        known[0] = 1
+        known = np.multiply.accumulate(known)
+        if n <= 4 * BLOCK_BYTES:
+            _POWERS[int(base)] = known
+    return known[:n]
 
 
 class Rolling:

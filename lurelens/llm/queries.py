@@ -7,19 +7,69 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lurelens.llm import archive, decontamination, quality, sharding
+from lurelens.llm import archive, decontamination, language, mixing, near_duplicates, quality, repeated_bytes, repeated_lines, sharding, token_counts
 from lurelens.llm.common import table
 from lurelens.session import fresh_folder
 
+#: Public vocabulary files.
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Shares of the tokens that documents like those labelled good, poor and toxic are to have.
+TARGET_WEIGHTS = {"quality1_toxic0": 0.94, "quality0_toxic0": 0.05, "quality1_toxic1": 0.01}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: In DuckDB, with whole windows instead of fingerprints.
+ORACLES["op3_line_dedup"] = """
+with lines as (
+  select doc_id, text, string_split(text, chr(10)) as lines from documents),
+written as (
+  select doc_id, text, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_replace(lines[i], '[\x20\x09-\x0D]+', '', 'g') <> '') as w
+  from lines),
+places as (
+  select doc_id, i as start, concat_ws(chr(10), lines[w[i]], lines[w[i + 1]], lines[w[i + 2]]) as own
+  from (select doc_id, lines, w, unnest(range(1, len(w) - 1)) as i from written)),
+ranked as (select doc_id, start, row_number() over (partition by own order by doc_id, start) as place from places),
+gone as (
+  select doc_id, list_distinct(flatten(list([start, start + 1, start + 2]))) as gone from ranked where place > 1 group by doc_id)
+select d.doc_id, coalesce(len(d.w), 0) as n_lines, coalesce(len(g.gone), 0) as n_removed,
+  case when g.gone is null then d.text else array_to_string(
+    [d.lines[i] for i in range(1, len(d.lines) + 1) if not list_contains([d.w[k] for k in g.gone], i)], chr(10)) end as text
+from written d left join gone g using (doc_id)"""
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
 
 
+@query
+def op1_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Rates of all documents that bring the domains of the labels to their target shares of the tokens."""
+    return mixing.mixture_rates(table(spark, folder, "documents"), table(spark, folder, "labels"), TARGET_WEIGHTS)
+
+
+@query
+def op2_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Class of every document under chains of near duplicates, and its verified links."""
+    return near_duplicates.near_duplicate_classes(table(spark, folder, "documents"))
+
+
+@query
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the runs of lines that earlier ones have."""
+    return repeated_lines.without_repeated_lines(table(spark, folder, "documents"))
+
+
+@query
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Words and word pieces of every document."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.with_token_counts(docs, token_counts.read_vocabulary(BYTE_VOCABULARY)).drop("text")
+
+
 @query
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts, divergences and verdict of every document."""
@@ -27,12 +77,32 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.with_quality(docs).drop("lang", "text")
 
 
+@query
+def op6_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from four fifths of them."""
+    docs = table(spark, folder, "documents").select(
+        "doc_id", "text", "lang", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"))
+    pieces = language.read_pieces(PIECE_MODEL)
+    model = language.fit(docs.where(~F.col("held_out")), pieces)
+    return language.with_language(docs.select("doc_id", "text", "held_out"), model, pieces).drop("text")
+
+
 @query
 def op7_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Hit words and items of every document."""
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op8_repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without the bytes that earlier ones have."""
+    cut = repeated_bytes.without_repeated_bytes(table(spark, folder, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, span: total + span["end"] - span["start"])
+    return cut.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     """Shard and slot of every document, counts at most one apart."""
