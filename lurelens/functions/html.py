@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from html import escape
 from html.parser import HTMLParser
 
 # Attribute names and value shapes that change on every request.
@@ -27,6 +28,8 @@ LABEL_CHARS = 60
 _EPHEMERAL = re.compile("|".join(EPHEMERAL_VALUES))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FIELDS = ("input", "select", "textarea")
+_HEAD_TEXT = frozenset("title style script noscript template".split())
+_HEAD = _HEAD_TEXT | frozenset("base link meta".split())
 
 
 def _is_ephemeral(value: str) -> bool:
@@ -35,26 +38,27 @@ def _is_ephemeral(value: str) -> bool:
 
 def stable_attributes(attrs: list[tuple[str, str | None]]) -> list[tuple[str, str]]:
     """Attributes that stay the same between two requests, sorted."""
-    pairs = [(name.lower(), value or "") for name, value in attrs]
-    carries_token = any(_is_ephemeral(value) for _, value in pairs)
-
-    def stays(name: str, value: str) -> bool:
-        if name in STRIPPED_NAMES or any(part in name for part in STRIPPED_PARTS):
-            return False
-        if _is_ephemeral(value):
-            return name in KEPT_NAMES
-        return not (carries_token and name == "value")
-
-    return sorted(pair for pair in pairs if stays(*pair))
+    pairs = sorted((name.lower(), value or "") for name, value in attrs)
+    changing = [pair for pair in pairs if _is_ephemeral(pair[1])]
+    by_request = {name for name, _ in pairs if name in STRIPPED_NAMES or any(part in name for part in STRIPPED_PARTS)}
+    if changing:
+        by_request.add("value")  # of an element that carries a token, the token is the value
+    dropped = [pair for pair in changing if pair[0] not in KEPT_NAMES]
+    return [pair for pair in pairs if pair[0] not in by_request and pair not in dropped]
 
 
 class _Canonical(HTMLParser):
-    """Re-serialises a page with stable attributes only; the head of a full document is left out."""
+    """Re-serialises a page with stable attributes only; the head of a full document is left out.
+
+    A head ends where it is closed, or before the first element or text that cannot stand in one. Text is escaped, so
+    it never looks like an element.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
         self.in_head = False
+        self.in_head_text = False
 
     def _put(self, text: str) -> None:
         if not self.in_head:
@@ -63,19 +67,26 @@ class _Canonical(HTMLParser):
     def handle_starttag(self, tag, attrs):
         if tag == "head":
             self.in_head = True
-        elif tag == "body":
+            return
+        if self.in_head and tag not in _HEAD:
             self.in_head = False
-        elif tag != "html":
+        self.in_head_text = self.in_head and tag in _HEAD_TEXT
+        if tag not in ("html", "body"):
             self._put(f"<{tag}" + "".join(f" {n}={v!r}" for n, v in stable_attributes(attrs)) + ">")
 
     def handle_endtag(self, tag):
+        self.in_head_text = False
         if tag == "head":
             self.in_head = False
         elif tag not in ("html", "body") and tag not in _VOID:
             self._put(f"</{tag}>")
 
     def handle_data(self, data):
-        self._put(data)
+        if data.strip():
+            self.in_head = self.in_head and self.in_head_text
+        elif not self.out:
+            return  # white space before any content
+        self._put(escape(data, quote=False))
 
     def handle_comment(self, data):
         self._put(f"<!--{data}-->")

@@ -15,19 +15,22 @@ MAX_DISTANCE = 2
 
 
 def with_registrable_domain(
-    df: DataFrame, rules: DataFrame, host: str = "host", out: str = "registrable_domain", max_labels: int = 4
+    df: DataFrame, rules: DataFrame, host: str = "host", out: str = "registrable_domain",
 ) -> DataFrame:
     """Add the public suffix plus one label; hosts without a known suffix come back whole.
 
-    ``rules``: one row per suffix, ``suffix, labels, exact, wildcard, exception``. One equi join per suffix length. The rule table is counted once: a short one is broadcast, so that no URL is
-    shuffled by a suffix half the table shares; a longer one joins as Spark decides.
+    ``rules``: one row per suffix, ``suffix, labels, exact, wildcard, exception``. One equi join per number of labels
+    that the table has. The rules are counted once: a short table is broadcast, so that no URL is shuffled by a suffix
+    half the table shares; a longer one joins as Spark decides.
     """
-    short = is_short(rules, RULE_BROADCAST_LIMIT)
+    # a host name has 127 labels at most, so this is a short list
+    sizes = {row["labels"]: row["n"] for row in rules.groupBy("labels").agg(F.count(F.lit(1)).alias("n")).collect()}
+    short = sum(sizes.values()) <= RULE_BROADCAST_LIMIT
     df = df.withColumn("_host", F.lower(F.regexp_replace(F.col(host), r"\A\.+|\.+\z", "")))
     df = df.withColumn("_labels", F.split("_host", r"\."))
     size = F.size("_labels")
     lengths, exceptions = [], []
-    for n in range(1, max_labels + 1):
+    for n in sorted(sizes):
         key = f"_suffix{n}"
         side = rules.filter(F.col("labels") == n).select(
             F.col("suffix").alias(key), F.struct("exact", "wildcard", "exception").alias(f"_rule{n}")
@@ -37,7 +40,7 @@ def with_registrable_domain(
         rule = F.col(f"_rule{n}")
         lengths.append(F.when(rule["wildcard"] & (size > n), n + 1).when(rule["exact"], n))
         exceptions.append(F.when(rule["exception"], n - 1))
-    df = df.withColumn("_len", F.coalesce(*exceptions, *reversed(_longest(lengths))))
+    df = df.withColumn("_len", F.coalesce(*exceptions, *_longest(lengths), F.lit(None).cast("int")))
     length = F.col("_len")
     domain = (
         F.when(length.isNull(), F.col("_host"))
@@ -45,7 +48,7 @@ def with_registrable_domain(
         .otherwise(F.array_join(F.slice(F.col("_labels"), -(length + 1), length + 1), "."))
     )
     temporary = ["_host", "_labels", "_len"]
-    temporary += [f"_{part}{n}" for n in range(1, max_labels + 1) for part in ("suffix", "rule")]
+    temporary += [f"_{part}{n}" for n in sizes for part in ("suffix", "rule")]
     return df.withColumn(out, domain).drop(*temporary)
 
 

@@ -197,14 +197,29 @@ def _text_lines(text: Column, limit: int) -> Column:
     """Non-empty lines, each at most 200 characters, until ``limit`` characters are used."""
     lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
     size = lambda x: F.least(F.length(x), F.lit(DIGEST_LINE_CHARS))
-    used = F.transform(lines, lambda x, i: F.aggregate(F.slice(lines, F.lit(1), i), F.lit(0), lambda acc, y: acc + size(y)))
-    rows = F.arrays_zip(lines.alias("x"), used.alias("u"))
-    shown = F.filter(rows, lambda r: r["u"] < limit)
+    start = F.struct(F.lit(0).alias("u"), F.array().cast("array<struct<x:string,u:int>>").alias("rows"))
+    # lines before the limit only, so the list that grows stays short however long the text is
+    shown = F.aggregate(lines, start, lambda acc, x: F.struct(
+        (acc["u"] + size(x)).alias("u"),
+        F.when(acc["u"] < limit, F.concat(acc["rows"], F.array(F.struct(x.alias("x"), acc["u"].alias("u"))))).otherwise(acc["rows"]).alias("rows"),
+    ))["rows"]
     cut = F.transform(shown, lambda r: F.concat(F.lit("    "), F.substring(r["x"], F.lit(1), F.least(F.lit(DIGEST_LINE_CHARS), F.lit(limit) - r["u"]))))
     more = F.array(F.format_string("    …[%d more characters]", F.length(text) - limit))
     return F.when(F.length(text) > limit, F.concat(cut, more)).otherwise(cut)
 
 
+def first_fields(fields: DataFrame) -> DataFrame:
+    """``_fields``: report lines of the first fields of each state, in the order of their numbers."""
+    keys, text = ["target_id", "state_id"], lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    label = shortened(F.col("nearby_label_text"), DIGEST_LABEL_CHARS)
+    line = text("    ", F.col("tag"), "[type=", F.col("type"), "]  name_or_id=", F.col("name_or_id"))
+    line = F.concat(line, F.when(label != "", text('  → "', label, '"')).otherwise(""))
+    lines = fields.select(*keys, "ord", line.alias("l"))
+    rank = F.row_number().over(W.partitionBy(*keys).orderBy("ord", "l"))
+    first = lines.withColumn("_rank", rank).filter(F.col("_rank") <= DIGEST_FIELDS)
+    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "l"))), lambda x: x["l"]).alias("_fields"))
+
+
 def case_digest(bundle: DataFrame, states: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """A text report per target as numbered lines: ``(target_id, section, position, line_no, line)``.
 
@@ -238,15 +253,9 @@ def case_digest(bundle: DataFrame, states: DataFrame, fields: DataFrame | None =
     if fields is None:
         df = df.withColumns({"_fields": none, "_n_fields": F.lit(0).cast("long")})
     else:
-        label = shortened(F.col("nearby_label_text"), DIGEST_LABEL_CHARS)
-        line = text("    ", F.col("tag"), "[type=", F.col("type"), "]  name_or_id=", F.col("name_or_id"))
-        line = F.concat(line, F.when(label != "", text('  → "', label, '"')).otherwise(""))
         keys = ["target_id", "state_id"]
-        shown = fields.filter(F.col("ord") < DIGEST_FIELDS).groupBy(*keys).agg(
-            F.transform(F.array_sort(F.collect_list(F.struct("ord", line.alias("l")))), lambda x: x["l"]).alias("_fields")
-        )
         counts = fields.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_fields"))
-        df = df.join(counts.join(shown, keys), keys, "left").withColumns({
+        df = df.join(counts.join(first_fields(fields), keys, "left"), keys, "left").withColumns({
             "_fields": F.coalesce("_fields", none), "_n_fields": F.coalesce("_n_fields", F.lit(0)),
         })
     end = F.when(F.col("is_leaf"), "leaf, no further action").otherwise("continued")

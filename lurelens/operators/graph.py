@@ -58,25 +58,32 @@ def first_incoming(transitions: DataFrame) -> DataFrame:
     return first.select("target_id", "to_state", "e.from_state", "e.transition_id")
 
 
-def root_paths(states: DataFrame, transitions: DataFrame, max_depth: int = 64) -> DataFrame:
+def root_paths(states: DataFrame, transitions: DataFrame) -> DataFrame:
     """``(target_id, state_id, path)``: transitions from the root to each state, following first incoming edges.
 
-    Walks down from the roots, each state is handled once at its own level. States on a cycle without a root
-    have no path and are not returned.
+    Every state holds an ancestor and the path from it. In each round states whose ancestor has its whole path are
+    done, the others jump to their ancestor's ancestor, so rounds grow with the logarithm of the longest path, which is
+    not limited. States on a cycle without a root have no path and are not returned.
     """
-    parents = _checkpoint(first_incoming(transitions))
-    incoming = parents.select("target_id", F.col("to_state").alias("state_id"))
-    frontier = states.select("target_id", "state_id").distinct().join(incoming, ["target_id", "state_id"], "left_anti")
-    frontier = _checkpoint(frontier.withColumn("path", F.array().cast("array<string>")))
-    found = frontier
-    for _ in range(max_depth):
-        reached = frontier.withColumnRenamed("state_id", "from_state").join(parents, ["target_id", "from_state"])
-        path = F.concat("path", F.array(F.col("transition_id").cast("string")))
-        frontier = _checkpoint(reached.select("target_id", F.col("to_state").alias("state_id"), path.alias("path")))
-        if frontier.isEmpty():
-            break
-        found = found.unionByName(frontier)
-    return found
+    keys = ["target_id", "state_id"]
+    steps = first_incoming(transitions).select(
+        "target_id", F.col("to_state").alias("state_id"), F.col("from_state").alias("ancestor"),
+        F.array(F.col("transition_id").cast("string")).alias("path"),
+    )
+    waiting = _checkpoint(steps)
+    roots = states.select(*keys).distinct().join(waiting, keys, "left_anti")
+    found = _checkpoint(roots.withColumn("path", F.array().cast("array<string>")))
+    while True:
+        above = found.select("target_id", F.col("state_id").alias("ancestor"), F.col("path").alias("_above"))
+        done = _checkpoint(waiting.join(above, ["target_id", "ancestor"]).select(*keys, F.concat("_above", "path").alias("path")))
+        if done.isEmpty():
+            return found
+        found = found.unionByName(done)
+        higher = waiting.select(
+            "target_id", F.col("state_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("path").alias("_above"))
+        waiting = _checkpoint(
+            waiting.join(done, keys, "left_anti").join(higher, ["target_id", "ancestor"])
+            .select(*keys, F.col("_next").alias("ancestor"), F.concat("_above", "path").alias("path")))
 
 
 class Exploration(NamedTuple):

@@ -58,16 +58,27 @@ def list_targets(
     targets: DataFrame, verdicts: DataFrame, states: DataFrame, transitions: DataFrame,
     limit: int = PAGE_SIZE, offset: int = 0, **filters: str | None,
 ) -> DataFrame:
-    """One page of analyses, newest first. The page is cut (top-k) before children are counted."""
-    rows = with_verdict(targets, verdicts).filter(target_filter(**filters))
-    page = rows.orderBy(*newest_first()).offset(offset).limit(limit)
-    counted = with_counts(page, states=states, transitions=transitions)
+    """One page of analyses, newest first. The page is cut (top-k) before verdicts are joined and children counted."""
+    page = _selected(targets, verdicts, filters).orderBy(*newest_first()).offset(offset).limit(limit)
+    ids = page.select("target_id")
+    counted = with_counts(with_verdict(page, verdicts.join(ids, "target_id", "left_semi")), states=states, transitions=transitions)
     return counted.select(*(c for c in SUMMARY if c in counted.columns)).orderBy(*newest_first())
 
 
 def count_targets(targets: DataFrame, verdicts: DataFrame, **filters: str | None) -> DataFrame:
     """The number of analyses the same filters select."""
-    return with_verdict(targets, verdicts).filter(target_filter(**filters)).agg(F.count(F.lit(1)).alias("total"))
+    return _selected(targets, verdicts, filters).agg(F.count(F.lit(1)).alias("total"))
+
+
+def _selected(targets: DataFrame, verdicts: DataFrame, filters: dict[str, str | None]) -> DataFrame:
+    """Targets that the filters select; verdicts are read only for a filter on the classification."""
+    filters = dict(filters)
+    classification = filters.pop("classification", None)
+    rows = targets.filter(target_filter(**filters))
+    if classification is None:
+        return rows
+    wanted = verdicts.filter(F.col("classification") == classification).select("target_id")
+    return rows.join(wanted, "target_id", "left_semi")
 
 
 def status_counts(targets: DataFrame) -> DataFrame:
@@ -105,11 +116,19 @@ def latest_per_url(targets: DataFrame) -> DataFrame:
 def cached_verdicts(targets: DataFrame, verdicts: DataFrame, as_of: Column, hours: int = CACHE_HOURS) -> DataFrame:
     """URL hashes whose newest run is done, has a verdict and is younger than ``hours``.
 
-    The newest run is chosen first, so a newer failed run hides an older good one.
+    The newest run is chosen before its status is looked at, so a newer failed run hides an older good one. Runs that are
+    too old leave first: a URL whose newest run is among them has no younger one, and the scan skips their files.
     """
-    age = F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("created_at").cast("timestamp"))
-    fresh = latest_per_url(targets).filter((F.col("status") == "done") & (age < hours * 3_600_000_000))
-    return fresh.join(verdicts, "target_id")
+    recent = targets.filter(_since(targets, as_of.cast("timestamp") - F.make_dt_interval(hours=F.lit(hours))))
+    return latest_per_url(recent).filter(F.col("status") == "done").join(verdicts, "target_id")
+
+
+def _since(targets: DataFrame, moment: Column) -> Column:
+    """``created_at`` after a moment, as a comparison of the stored column that a scan can use."""
+    kind = dict(targets.dtypes)["created_at"]
+    if kind.startswith("timestamp"):
+        return F.col("created_at") > moment.cast(kind)
+    return F.col("created_at").cast("timestamp") > moment.cast("timestamp")
 
 
 def analysis_summary(targets: DataFrame, verdicts: DataFrame, states: DataFrame, transitions: DataFrame, evidence: DataFrame) -> DataFrame:

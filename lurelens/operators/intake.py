@@ -224,8 +224,12 @@ def payload_rows(annotated: DataFrame, id_column: str = "target_id") -> DataFram
 
 
 def intake(df: DataFrame, id_column: str = "target_id", url_column: str = "input_url") -> Intake:
-    """The whole intake job. ``urls`` keeps the input verbatim; unreadable rows go to ``rejects``."""
-    annotated = with_intake(df, url_column)
+    """The whole intake job. ``urls`` keeps the input verbatim; unreadable rows go to ``rejects``.
+
+    Each distinct text is worked out once, however often it was submitted, and joined back by itself.
+    """
+    known = with_intake(df.select(url_column).distinct(), url_column)
+    annotated = df.join(known.withColumnRenamed(url_column, "_text"), F.col(url_column).eqNullSafe(F.col("_text"))).drop("_text")
     good = annotated.filter(F.col("url_error").isNull())
     urls = good.drop("refanged_url", "unwrap_chain", "nested_payloads", "landing_url", "url_error")
     rejects = annotated.filter(F.col("url_error").isNotNull()).select(

@@ -71,7 +71,7 @@ def _ioc_verdicts(landing: Column) -> tuple[Column, Column]:
 
     tags = F.coalesce(misp["tags"], F.array().cast("array<string>"))
     names = F.transform(
-        F.filter(tags, lambda t: t.startswith(BRAND_TAG)), lambda t: F.trim(F.substring(t, len(BRAND_TAG) + 1, 10_000))
+        F.filter(tags, lambda t: t.startswith(BRAND_TAG)), lambda t: F.trim(F.substr(t, F.lit(len(BRAND_TAG) + 1)))
     )
     brand = F.nullif(_join_words(F.array_distinct(names)), F.lit(""))
 

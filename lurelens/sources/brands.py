@@ -29,7 +29,7 @@ def brand_table(lists: DataFrame) -> DataFrame:
     """``(brand, domain, ord)`` from rows of ``(brand_ord, brand, domains)``; ``ord`` follows the list order."""
     return lists.select(
         "brand", F.col("brand_ord").alias("_b"), F.posexplode("domains").alias("_d", "domain")
-    ).select("brand", F.lower("domain").alias("domain"), (F.col("_b") * 1000 + F.col("_d")).cast("long").alias("ord"))
+    ).select("brand", F.lower("domain").alias("domain"), (F.col("_b") * (1 << 32) + F.col("_d")).cast("long").alias("ord"))
 
 
 def brands(spark: SparkSession) -> DataFrame:

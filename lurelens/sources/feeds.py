@@ -23,6 +23,15 @@ _OPENCTI = f"""struct<data: struct<stixCyberObservables: struct<edges: array<str
         x_opencti_score: string, objectMarking: array<struct<definition: string>>, {_LABELS}>>>>>>>>>>"""
 
 
+def _one_each(rows: DataFrame, *ids: str) -> DataFrame:
+    """One row per record, however many answers repeat it; records without an id are told apart by their content."""
+    known = F.lit(True)
+    for name in ids:
+        known = known & F.col(name).isNotNull()
+    record = F.when(known, F.concat_ws("\x1f", *ids)).otherwise(F.concat(F.lit("\x1e"), F.to_json(F.struct("*"))))
+    return rows.withColumn("_record", record).dropDuplicates(["_record"]).drop("_record")
+
+
 def parse_rdap(df: DataFrame, raw: str = "raw", key: str = "domain") -> DataFrame:
     """``(domain, registered_at, registrar, nameservers, error)`` from registration records.
 
@@ -61,23 +70,24 @@ def parse_ct_details(df: DataFrame, raw: str = "raw", key: str = "cert_id") -> D
 
 
 def parse_misp(df: DataFrame, raw: str = "raw") -> DataFrame:
-    """``(value, type, event_id, to_ids, tags)`` rows; the attribute list may also be a single object.
+    """``(attribute_id, value, type, event_id, to_ids, tags)`` rows; the attribute list may also be a single object.
 
-    ``tags`` joins the names on the attribute and on its event.
+    ``tags`` joins the names on the attribute and on its event. An attribute that several answers hold is one row.
     """
     text = F.from_json(raw, "struct<response: struct<Attribute: string>>")["response"]["Attribute"]
     rows = df.select(F.explode(F.from_json(text, _MISP_ATTRIBUTE)).alias("a"))
     names = lambda tags: F.transform(F.coalesce(tags, F.array().cast("array<struct<name:string>>")), lambda t: t["name"])
     tags = F.array_union(names(F.col("a.Tag")), names(F.col("a.Event.Tag")))
-    return rows.select(
-        "a.value", "a.type", "a.event_id",
+    return _one_each(rows.select(
+        F.col("a.id").alias("attribute_id"), "a.value", "a.type", "a.event_id",
         F.coalesce(F.col("a.to_ids").isin("true", "1"), F.lit(False)).alias("to_ids"),
         F.filter(tags, lambda t: t.isNotNull() & (t != "")).alias("tags"),
-    )
+    ), "attribute_id")
 
 
 def parse_opencti(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """Observables and their indicators as two tables, so that neither multiplies the other's counts.
+    """Observables and their indicators as two tables, so that neither multiplies the other's counts. Records that
+    several answers hold are one row.
 
     Observables: ``(observable_id, value, type, labels, markings, creator)``; indicators: ``(observable_id,
     indicator_id, revoked, valid_until, score, labels, markings, creator)``.
@@ -105,7 +115,7 @@ def parse_opencti(df: DataFrame, raw: str = "raw") -> tuple[DataFrame, DataFrame
         F.col("i.valid_until").alias("valid_until"), F.col("i.x_opencti_score").try_cast("double").alias("score"),
         *context("i"),
     )
-    return observables, indicators
+    return _one_each(observables, "observable_id"), _one_each(indicators, "observable_id", "indicator_id")
 
 
 def parse_urlhaus(df: DataFrame, raw: str = "raw", key: str = "value") -> DataFrame:

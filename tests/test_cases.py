@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from lurelens.functions.fingerprint import murmur3_signed
 from lurelens.functions.html import canonical_markup, form_fields
 from lurelens.functions.ranking import with_position
+from lurelens.functions.times import utc_timestamp
 from lurelens.operators import decisions, evidence, feeds, graph, history, probes, verdicts
+from lurelens.sources import feeds as sources
 
 
 def test_state_hash_classes():
@@ -204,3 +206,46 @@ def test_distinct_events_with_a_hot_value_and_overlaps(spark):
     for t in range(40):
         mine = [(v, e) for v, e in attributes if (t, v) in set(targets)]
         assert got[t] == (len({e for _, e in mine}), len(mine))
+
+
+def test_paths_of_any_length(spark):
+    edges = [(1, i, i + 1, i, i) for i in range(200)] + [(2, 5, 6, 1, 1), (2, 6, 5, 2, 2), (2, 6, 7, 3, 3)]
+    transitions = spark.createDataFrame(edges, "target_id int, from_state int, to_state int, ts int, transition_id int")
+    states = spark.createDataFrame([(1, i) for i in range(201)] + [(2, 5), (2, 6), (2, 7), (3, 1)], "target_id int, state_id int")
+    got = {(r.target_id, r.state_id): r.path for r in graph.root_paths(states, transitions).collect()}
+    assert got == {(1, i): [str(k) for k in range(i)] for i in range(201)} | {(3, 1): []}
+
+
+def test_digest_shows_the_first_fields_whatever_their_numbers(spark):
+    fields = spark.createDataFrame(
+        [("t", "s", i, "input", "email", f"f{i}", "") for i in range(30, 60)],
+        "target_id string, state_id string, ord int, tag string, type string, name_or_id string, nearby_label_text string")
+    ranked = evidence.first_fields(fields).first()
+    assert [line.split("name_or_id=")[1] for line in ranked["_fields"]] == [f"f{i}" for i in range(30, 55)]
+
+
+def test_records_that_answers_repeat_count_once(spark):
+    record = '{"response":{"Attribute":[{"id":"7","event_id":"1","type":"url","value":"v","to_ids":true}]}}'
+    attributes = sources.parse_misp(spark.createDataFrame([(record,)] * 3 + [(record.replace('"id":"7",', ""),)], "raw string"))
+    values = spark.createDataFrame([("t", "v")], "target_id string, value string")
+    assert feeds.misp_summary(values, attributes).first()["match_count"] == 2
+    node = '{"id":"o","entity_type":"Url","observable_value":"v","indicators":{"edges":[{"node":{"id":"i"}},{"node":{"id":"j"}}]}}'
+    answer = '{"data":{"stixCyberObservables":{"edges":[{"node":%s}]}}}' % node
+    summary = feeds.opencti_summary(values, *sources.parse_opencti(spark.createDataFrame([(answer,)] * 3, "raw string")), F.lit("2024-01-01"))
+    row = summary.first()
+    assert (row["match_count"], row["active_indicator_count"], row["total_indicator_count"]) == (1, 2, 2)
+
+
+def test_heads_without_an_end(spark):
+    pages = ["<html><head><title>A</title><h1>x</h1>", "<html><head><title>B</title></head><body><h1>x</h1>", "<html><head><title>A</title><form>",
+             "<p>&lt;b&gt;</p>", "<p><b></p>", "<html><head><title>A</title>text"]
+    got = [canonical_markup(page) for page in pages]
+    assert got[0] == got[1] == "<h1>x</h1>" and len(set(got)) == 5
+
+
+def test_times_of_feeds_and_of_registrations(spark):
+    texts = ["2099-01-01T00:00", "2099-01-01T00:00Z", "2099-01-01T02:00+02:00", "2099-01-01 00:00:00", "2099-01-01T00:00:00"]
+    row = spark.createDataFrame([texts], [f"t{i}" for i in range(5)]).select(
+        *[utc_timestamp(F.col(f"t{i}")).alias(f"a{i}") for i in range(5)], *[utc_timestamp(F.col(f"t{i}"), offsets=False).alias(f"b{i}") for i in range(5)]).first()
+    assert len({row[f"a{i}"] for i in range(5)}) == 1 and row["a0"] is not None
+    assert [row[f"b{i}"] is not None for i in range(5)] == [False, False, False, False, True]

@@ -124,6 +124,15 @@ def test_registrable_domains(spark):
         assert [r.registrable_domain for r in out] == list(cases.values())
 
 
+def test_rules_of_many_labels(spark):
+    cases = {"a.b.s3.dualstack.x-1.amazonaws.com.cn": "b.s3.dualstack.x-1.amazonaws.com.cn", "a.x-1.eb.amazonaws.com.cn": "a.x-1.eb.amazonaws.com.cn", "a.amazonaws.com.cn": "amazonaws.com.cn"}
+    rules = parse_rules(spark.createDataFrame([("com.cn",), ("x-1.eb.amazonaws.com.cn",), ("s3.dualstack.x-1.amazonaws.com.cn",)], "rule string"))
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(cases)], "i int, host string")
+    assert [r.registrable_domain for r in domains.with_registrable_domain(df, rules).orderBy("i").collect()] == list(cases.values())
+    none = domains.with_registrable_domain(df, rules.limit(0)).orderBy("i").collect()
+    assert [r.registrable_domain for r in none] == list(cases)
+
+
 def test_lexical_signals_score_is_clamped_sum(spark):
     urls = ["https://paypla.com/", "https://x9k2q7z5v8b3n1.workers.dev/", "http://192.168.0.1/", "https://pаypal.com/", "https://example.com/"]
     df = spark.createDataFrame(list(enumerate(urls)), "target_id long, canonical_url string")
