@@ -166,8 +166,27 @@ def search_values(t: Inputs):
     return jobs.search_values(t.feed_values)
 
 
+_ANSWERS = 3
+
+
+def _repeated(answers):
+    """Every answer as it comes back for several targets."""
+    return answers.select(F.explode(F.array_repeat("raw", _ANSWERS)).alias("raw"))
+
+
+def _misp_answers(t: Inputs):
+    """Answers with a list of attributes and answers with a single one."""
+    attribute = F.to_json(F.struct(
+        F.col("attribute_id").alias("id"), "value", "type", "event_id", F.when(F.col("to_ids"), F.lit("1")).otherwise("0").alias("to_ids"),
+        F.array(F.struct(F.col("tag_a").alias("name"))).alias("Tag"),
+        F.struct(F.array(F.struct(F.col("tag_b").alias("name"))).alias("Tag")).alias("Event"),
+    ))
+    listed = F.when(F.length("value") % 2 == 0, F.concat(F.lit("["), attribute, F.lit("]"))).otherwise(attribute)
+    return t.misp_attributes.select(F.concat(F.lit('{"response":{"Attribute":'), listed, F.lit("}}")).alias("raw"))
+
+
 def _attributes(t: Inputs):
-    return t.misp_attributes.select("value", "type", "event_id", "to_ids", F.array("tag_a", "tag_b").alias("tags"))
+    return sources.parse_misp(_repeated(_misp_answers(t)))
 
 
 _MISP = f"""{_VALUES},
@@ -183,14 +202,23 @@ def misp_summary(t: Inputs):
     return df.withColumns({c: F.array_join(c, "|") for c in ("matched_types", "tags")})
 
 
+def _opencti_answers(t: Inputs):
+    per = t.indicators.groupBy("observable_id").agg(F.collect_list(F.struct(F.struct(
+        F.col("indicator_id").alias("id"), "revoked", "valid_until", F.col("score").alias("x_opencti_score"),
+        F.array(F.struct(F.col("label").alias("value"))).alias("objectLabel"),
+    ).alias("node"))).alias("edges"))
+    nodes = t.observables.join(per, "observable_id", "left").select(F.struct(
+        F.col("observable_id").alias("id"), F.col("type").alias("entity_type"), F.col("value").alias("observable_value"),
+        F.array(F.struct(F.col("marking").alias("definition"))).alias("objectMarking"),
+        F.array(F.struct(F.col("label").alias("value"))).alias("objectLabel"),
+        F.struct(F.col("creator").alias("name")).alias("createdBy"), F.struct("edges").alias("indicators"),
+    ).alias("node"))
+    edges = F.struct(F.array(F.struct("node")).alias("edges")).alias("stixCyberObservables")
+    return nodes.select(F.to_json(F.struct(F.struct(edges).alias("data"))).alias("raw"))
+
+
 def _opencti(t: Inputs):
-    observables = t.observables.select("observable_id", "value", "type", F.array("label").alias("labels"), F.array("marking").alias("markings"), "creator")
-    none = F.array().cast("array<string>")
-    indicators = t.indicators.select(
-        "observable_id", "indicator_id", "revoked", "valid_until", "score", F.array("label").alias("labels"), none.alias("markings"),
-        F.lit(None).cast("string").alias("creator"),
-    )
-    return observables, indicators
+    return sources.parse_opencti(_repeated(_opencti_answers(t)))
 
 
 _OPENCTI = f"""{_VALUES},
@@ -258,17 +286,10 @@ def passive_risk_scores(t: Inputs):
 
 
 @query("""
-    select a.value, a.type, a.event_id, a.to_ids, concat(a.tag_a, '|', a.tag_b) as tags from misp_attributes a""")
+    select a.attribute_id, a.value, a.type, a.event_id, a.to_ids, concat(a.tag_a, '|', a.tag_b) as tags from misp_attributes a""")
 def misp_records(t: Inputs):
-    """Answers with a list of attributes and answers with a single one, read by the same parser."""
-    attribute = F.to_json(F.struct(
-        "value", "type", "event_id", F.when(F.col("to_ids"), F.lit("1")).otherwise("0").alias("to_ids"),
-        F.array(F.struct(F.col("tag_a").alias("name"))).alias("Tag"),
-        F.struct(F.array(F.struct(F.col("tag_b").alias("name"))).alias("Tag")).alias("Event"),
-    ))
-    listed = F.when(F.length("value") % 2 == 0, F.concat(F.lit("["), attribute, F.lit("]"))).otherwise(attribute)
-    raw = t.misp_attributes.select(F.concat(F.lit('{"response":{"Attribute":'), listed, F.lit("}}")).alias("raw"))
-    return sources.parse_misp(raw).withColumn("tags", F.array_join("tags", "|"))
+    """Repeated answers, each attribute once."""
+    return _attributes(t).withColumn("tags", F.array_join("tags", "|"))
 
 
 @query("""
@@ -277,18 +298,7 @@ def misp_records(t: Inputs):
     select observable_id, 'indicator', indicator_id, concat(revoked, '|', coalesce(valid_until, ''), '|', cast(score as bigint)), label, '', null from indicators join observables using (observable_id)""".replace(
     ", label, '', null from indicators join", ", indicators.label, '', null from indicators join"))
 def opencti_records(t: Inputs):
-    per = t.indicators.groupBy("observable_id").agg(F.collect_list(F.struct(F.struct(
-        F.col("indicator_id").alias("id"), "revoked", "valid_until", F.col("score").alias("x_opencti_score"),
-        F.array(F.struct(F.col("label").alias("value"))).alias("objectLabel"),
-    ).alias("node"))).alias("edges"))
-    nodes = t.observables.join(per, "observable_id", "left").select(F.struct(
-        F.col("observable_id").alias("id"), F.col("type").alias("entity_type"), F.col("value").alias("observable_value"),
-        F.array(F.struct(F.col("marking").alias("definition"))).alias("objectMarking"),
-        F.array(F.struct(F.col("label").alias("value"))).alias("objectLabel"),
-        F.struct(F.col("creator").alias("name")).alias("createdBy"), F.struct("edges").alias("indicators"),
-    ).alias("node"))
-    edges = F.struct(F.array(F.struct("node")).alias("edges")).alias("stixCyberObservables")
-    observables, indicators = sources.parse_opencti(nodes.select(F.to_json(F.struct(F.struct(edges).alias("data"))).alias("raw")))
+    observables, indicators = _opencti(t)
     first = lambda c: F.array_join(c, "|")
     found = observables.select(
         "observable_id", F.lit("observable").alias("kind"), F.lit(None).cast("string").alias("indicator_id"),

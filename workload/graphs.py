@@ -68,6 +68,17 @@ def root_paths(t: Inputs):
     return df.select("target_id", "state_id", path.alias("path"), F.size("path").cast("int").alias("hops"))
 
 
+@query("select user_id as target_id, event_id as state_id, rn - 1 as hops from steps")
+def long_root_paths(t: Inputs):
+    """The events of a user as one chain of states."""
+    chain = t.sql("""
+        select c.event_id as transition_id, c.user_id as target_id, p.event_id as from_state, c.event_id as to_state, c.ts
+        from steps c join steps p on c.user_id = p.user_id and p.rn = c.rn - 1""")
+    paths = jobs.root_paths(t.nodes, chain)
+    whole = F.element_at("path", -1) == F.col("state_id").cast("string")
+    return paths.select("target_id", "state_id", F.when((F.size("path") == 0) | whole, F.size("path")).cast("long").alias("hops"))
+
+
 @query("""
     select target_id, state_id, cast(floor(log2(rn)) as int) as depth, rn as rank from nodes where rn <= 40 and rn < 128""")
 def bounded_exploration(t: Inputs):

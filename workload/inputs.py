@@ -24,7 +24,7 @@ _profiles = ", ".join(
 )
 
 INPUTS = {
-    # one submission per event: the URL of the page with the user's number, plain, defanged or wrapped
+    # one submission per event: the URLs of all pages in turn, plain, defanged or wrapped
     "submissions": f"""
         select e.event_id as target_id, e.ts as submitted_at, p.url as plain_url, p.page_id,
           case e.event_id % 9
@@ -38,7 +38,7 @@ INPUTS = {
             when 7 then concat('https://protect.mimecast.com/s/x?url=https%3A%2F%2Ftrusted.example.com%2F%3Fgoto%3Dhttp%253A%252F%252Finner.example.net%252F', cast(p.page_id as varchar(20)))
             else concat('https://x.workers.dev/login?e=', base64(cast(concat('user', cast(p.page_id as varchar(20)), '@mail.example.com') as binary)))
           end as input_url
-        from events e join pages p on e.user_id = p.page_id""",
+        from events e join pages p on e.event_id % (select count(*) from pages) = p.page_id""",
     # page URLs written untidily: case, user info, default port, nested escapes, unsorted query
     "messy_urls": """
         select page_id as target_id,
@@ -72,6 +72,7 @@ INPUTS = {
           case o_orderstatus when 'F' then 'done' when 'O' then 'running' else 'error' end as status,
           o_orderdate as created_at
         from orders join customer on o_custkey = c_custkey""",
+    # a run has a verdict unless it is still running
     "verdicts": """
         select cast(o_orderkey as varchar(20)) as target_id,
           case substr(o_orderpriority, 1, 1) when '1' then 'phishing' when '2' then 'suspicious' when '3' then 'suspicious' else 'benign' end as classification,
@@ -79,7 +80,7 @@ INPUTS = {
           case when o_orderkey % 7 = 0 then 'PayPal' end as brand,
           case o_orderkey % 5 when 0 then 'Evilginx2' when 1 then 'plain' end as kit_family,
           case when o_orderkey % 6 = 0 then concat('case ', cast(o_orderkey as varchar(20))) end as rationale
-        from orders where o_orderstatus <> 'P' or o_totalprice > 100000""",
+        from orders where o_orderstatus <> 'O'""",
     # graph of a run: order lines are states, consecutive lines are edges
     "states": """
         select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar(20)), '-', cast(l_partkey as varchar(20))) as state_id,
@@ -136,7 +137,8 @@ INPUTS = {
           concat('s', cast(c_nationkey as varchar(20)), '.com') as registrable_domain
         from customer""",
     "misp_attributes": """
-        select case when o_orderkey % 3 = 0 then concat('s', cast(o_custkey % 40 as varchar(20)), '.com')
+        select cast(o_orderkey as varchar(20)) as attribute_id,
+          case when o_orderkey % 3 = 0 then concat('s', cast(o_custkey % 40 as varchar(20)), '.com')
             else concat('h', cast(o_custkey as varchar(20)), '.s', cast(o_custkey % 25 as varchar(20)), '.com') end as value,
           case o_orderkey % 4 when 0 then 'domain' when 1 then 'hostname' when 2 then 'url' else 'sha1' end as type,
           cast(o_custkey % 97 as varchar(20)) as event_id, o_orderkey % 211 = 0 as to_ids,
@@ -187,7 +189,7 @@ INPUTS = {
           event_type = 'error' as removed
         from events""",
     "elements": """
-        select doc_id % 1000 as page_id, doc_id as ord, concat('#e', cast(doc_id as varchar(20))) as selector,
+        select cast(floor(doc_id / 20) as bigint) as page_id, doc_id as ord, concat('#e', cast(doc_id as varchar(20))) as selector,
           case doc_id % 6 when 0 then 'Sign   In' when 1 then 'Home' when 2 then 'Readers corner' when 3 then 'VIEW document now' when 4 then text else '' end as text,
           case when doc_id % 4 = 0 then 'Continue' end as aria_label,
           cast(doc_id % 13 * 100 as double) as x, cast(doc_id % 11 * 90 - 50 as double) as y,
@@ -206,7 +208,7 @@ INPUTS = {
             when 1 then concat('url=', replace(replace(p.url, ':', '%3A'), '/', '%252F'))
             when 2 then 'other=1'
             else 'url=  ' end as raw_query
-        from events e join pages p on e.user_id = p.page_id""",
+        from events e join pages p on e.event_id % (select count(*) from pages) = p.page_id""",
     # a case per order: what was found (order lines), the states seen (one per return flag), fields, model answers
     "case_evidence": """
         select cast(l_orderkey as varchar(20)) as target_id, 'target' as scope, cast(l_orderkey as varchar(20)) as scope_id,
@@ -247,7 +249,7 @@ INPUTS = {
         select cast(l_orderkey as varchar(20)) as target_id, concat(cast(l_orderkey as varchar(20)), l_returnflag) as state_id,
           l_linenumber as ord, 'input' as tag, 'email' as type, concat('f', cast(l_linenumber as varchar(20))) as name_or_id,
           case when l_partkey % 2 = 0 then 'Mail' else '' end as nearby_label_text
-        from lineitem where l_quantity > 40""",
+        from lineitem""",
     "case_answers": """
         select cast(o_orderkey as varchar(20)) as target_id,
           case o_orderkey % 6

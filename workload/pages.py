@@ -39,20 +39,23 @@ def page_text(t: Inputs):
 
 
 @query("""
-    select count(distinct html) as states, count(*) as captures, count(distinct html) as changed_states from pages""")
+    with captures as (
+      select page_id, capture, html, capture = 'other' as changed from pages, (values ('first'), ('second'), ('open'), ('other')) as c(capture)),
+    states as (select html, changed, min(page_id) as state, count(*) as captures from captures group by html, changed)
+    select page_id, capture, state, captures from captures join states using (html, changed)""")
 def page_state_hashes(t: Inputs):
-    """Two captures of every page that differ in nonce, timestamp and token only, and one with another text."""
+    """Captures of every page: two that differ in nonce, timestamp and token only, one without the tags that part head
+    and body, one with another text. Equal states are named after their first page and counted."""
     noise = lambda kind: f"""concat(html, '<div data-ts="17{kind}0000', cast(10000 + page_id as varchar(20)), '" nonce="{kind}">x</div>',
         '<input name="csrf-token" value="{kind}', cast(page_id as varchar(20)), '"><b title="z" class="c">k</b>')"""
-    first = t.sql(f"select page_id, {noise('4')} as html from pages")
-    second = t.sql(f"select page_id, replace({noise('5')}, 'title=\"z\" class=\"c\"', 'class=\"c\" title=\"z\"') as html from pages")
-    other = t.sql(f"select page_id, concat({noise('4')}, '<p>changed</p>') as html from pages")
-    hashed = lambda df, name: jobs.with_dom_hash(df).select("page_id", F.col("dom_hash").alias(name))
-    both = hashed(first, "a").join(hashed(second, "b"), "page_id").join(hashed(other, "c"), "page_id")
-    return both.agg(
-        F.count_distinct("a").alias("states"), F.count_if(F.col("a") == F.col("b")).alias("captures"),
-        F.count_distinct(F.when(F.col("c") != F.col("a"), F.col("c"))).alias("changed_states"),
-    )
+    captures = {
+        "first": noise("4"), "second": f"""replace({noise("5")}, 'title="z" class="c"', 'class="c" title="z"')""",
+        "open": f"regexp_replace({noise('6')}, '(?i)</head>|</?body[^>]*>', '')", "other": f"concat({noise('4')}, '<p>changed</p>')",
+    }
+    rows = t.sql(" union all ".join(f"select page_id, '{name}' as capture, {html} as html from pages" for name, html in captures.items()))
+    hashed = jobs.with_dom_hash(rows).select("page_id", "capture", "dom_hash")
+    states = hashed.groupBy("dom_hash").agg(F.min("page_id").alias("state"), F.count("*").alias("captures"))
+    return hashed.join(states, "dom_hash").drop("dom_hash")
 
 
 @query("""
