@@ -38,7 +38,7 @@ INPUTS = {
             when 7 then concat('https://protect.mimecast.com/s/x?url=https%3A%2F%2Ftrusted.example.com%2F%3Fgoto%3Dhttp%253A%252F%252Finner.example.net%252F', cast(p.page_id as varchar(20)))
             else concat('https://x.workers.dev/login?e=', base64(cast(concat('user', cast(p.page_id as varchar(20)), '@mail.example.com') as binary)))
           end as input_url
-        from events e join pages p on e.event_id % (select count(*) from pages) = p.page_id""",
+        from events e cross join (select count(*) as n from pages) c join pages p on e.event_id % c.n = p.page_id""",
     # page URLs written untidily: case, user info, default port, nested escapes, unsorted query
     "messy_urls": """
         select page_id as target_id,
@@ -208,7 +208,7 @@ INPUTS = {
             when 1 then concat('url=', replace(replace(p.url, ':', '%3A'), '/', '%252F'))
             when 2 then 'other=1'
             else 'url=  ' end as raw_query
-        from events e join pages p on e.event_id % (select count(*) from pages) = p.page_id""",
+        from events e cross join (select count(*) as n from pages) c join pages p on e.event_id % c.n = p.page_id""",
     # a case per order: what was found (order lines), the states seen (one per return flag), fields, model answers
     "case_evidence": """
         select cast(l_orderkey as varchar(20)) as target_id, 'target' as scope, cast(l_orderkey as varchar(20)) as scope_id,

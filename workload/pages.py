@@ -41,8 +41,8 @@ def page_text(t: Inputs):
 @query("""
     with captures as (
       select page_id, capture, html, capture = 'other' as changed from pages, (values ('first'), ('second'), ('open'), ('other')) as c(capture)),
-    states as (select html, changed, min(page_id) as state, count(*) as captures from captures group by html, changed)
-    select page_id, capture, state, captures from captures join states using (html, changed)""")
+    alike as (select html, changed, min(page_id) as state, count(*) as captures from captures group by html, changed)
+    select page_id, capture, state, alike.captures from captures join alike using (html, changed)""")
 def page_state_hashes(t: Inputs):
     """Captures of every page: two that differ in nonce, timestamp and token only, one without the tags that part head
     and body, one with another text. Equal states are named after their first page and counted."""
