@@ -138,6 +138,6 @@ def override_verdicts(matched: DataFrame) -> DataFrame:
     hit = matched.filter(F.col("list_type").isNotNull())
     return hit.select(
         "target_id", F.when(F.col("list_type") == "whitelist", "benign").otherwise("phishing").alias("classification"),
-        F.lit(1.0).alias("confidence"), F.lit("override").alias("produced_by"),
+        F.lit(1.0).alias("confidence"), F.lit("prefilter").alias("produced_by"),
         F.concat(F.col("list_type"), F.lit(" match on "), F.col("matched"), F.lit(" "), F.col("match_key")).alias("rationale"),
     )

@@ -24,9 +24,25 @@ class Collected(NamedTuple):
     certificate_names: DataFrame | None = None
     registrations: DataFrame | None = None
     misp: DataFrame | None = None
+    observables: DataFrame | None = None
+    indicators: DataFrame | None = None
+    urlhaus: DataFrame | None = None
     hops: DataFrame | None = None
     fetches: DataFrame | None = None
+    favicons: DataFrame | None = None
+    tls_prints: DataFrame | None = None
+    probe_failures: DataFrame | None = None
     crawl: DataFrame | None = None
+    rejects: DataFrame | None = None
+
+    def of(self, targets: DataFrame) -> Collected:
+        """The same tables without rows of other targets; tables by host or value say nothing by themselves."""
+        ids = targets.select("target_id")
+        own = {
+            name: table.join(ids, "target_id", "left_semi") for name, table in self._asdict().items()
+            if table is not None and "target_id" in table.columns
+        }
+        return self._replace(**own)
 
 
 class Analysis(NamedTuple):
@@ -49,18 +65,36 @@ def collect_evidence(urls: DataFrame, brands: DataFrame, rules: DataFrame, data:
         parts.append(feeds.certificate_evidence(hosts, history, feeds.sibling_domains(data.certificates, data.certificate_names)))
     if data.registrations is not None:
         parts.append(feeds.registration_evidence(hosts, data.registrations, as_of))
-    if data.misp is not None:
-        found = feeds.misp_summary(feeds.search_values(hosts, data.dns), data.misp)
-        parts.append(feeds.reputation_evidence(feeds.provider_results(found, "misp")))
+    providers = _providers(data, hosts, as_of)
+    if providers:
+        parts.append(feeds.reputation_evidence(feeds.check_reputation(feeds.search_values(hosts, data.dns), providers)))
     if data.hops is not None:
         parts.append(probes.redirect_evidence(data.hops))
     if data.fetches is not None:
         parts.append(probes.cloaking_evidence(probes.compare_profiles(data.fetches)))
+    if data.favicons is not None and data.tls_prints is not None:
+        parts.append(probes.fingerprint_evidence(data.favicons, data.tls_prints))
+    if data.probe_failures is not None:
+        parts.append(probes.probe_errors(data.probe_failures))
     if data.crawl is not None:
         parts.append(data.crawl)
+    if data.rejects is not None:
+        parts.append(evidence.rejected_rows(data.rejects, "collection"))
     return evidence.union_evidence(*parts)
 
 
+def _providers(data: Collected, hosts: DataFrame, as_of: Column) -> dict[str, feeds.Provider]:
+    """The reputation feeds whose answers were collected."""
+    found: dict[str, feeds.Provider] = {}
+    if data.misp is not None:
+        found["misp"] = lambda values: feeds.misp_summary(values, data.misp)
+    if data.observables is not None and data.indicators is not None:
+        found["opencti"] = lambda values: feeds.opencti_summary(values, data.observables, data.indicators, as_of)
+    if data.urlhaus is not None:
+        found["urlhaus"] = lambda values: feeds.urlhaus_matches(hosts, data.urlhaus)
+    return found
+
+
 def analyse(
     submissions: DataFrame, states: DataFrame, transitions: DataFrame, pages: DataFrame, fields: DataFrame | None,
     brands: DataFrame, rules: DataFrame, data: Collected, as_of: Column, answers: DataFrame | None = None,
@@ -68,8 +102,10 @@ def analyse(
 ) -> Analysis:
     """The whole analysis of ``submissions`` (``target_id, input_url``).
 
-    URLs an override list decides leave before any costly stage. Unreadable URLs become error evidence. The
-    annotated URLs and the evidence are each written once, because several later steps read them.
+    URLs an override list decides leave before any costly stage, with whatever was collected for them; their verdict is
+    stored with the others. Unreadable URLs, and answers that could not be read (``Collected.rejects``: ``target_id,
+    reason``), become error evidence. The annotated URLs and the evidence are each written once, because several later
+    steps read them.
     """
     ensure_checkpoint_dir(submissions.sparkSession)
     annotated = with_intake(submissions).checkpoint()
@@ -80,8 +116,11 @@ def analyse(
         keyed = with_url_key(readable, "canonical_url")
         keyed = with_registrable_domain(keyed.withColumn("host", F.regexp_extract("url_key", "//([^/:]+)", 1)), rules)
         matched = apply_overrides(keyed, override_urls, override_domains)
-        forced = decisions.override_decision(matched)
+        forced, stored = decisions.override_decision(matched), decisions.override_verdicts(matched)
         readable = readable.join(forced.select("target_id"), "target_id", "left_anti")
+        states, transitions, pages = (x.join(forced.select("target_id"), "target_id", "left_anti") for x in (states, transitions, pages))
+        fields = fields if fields is None else fields.join(forced.select("target_id"), "target_id", "left_anti")
+        data = data.of(annotated.join(forced.select("target_id"), "target_id", "left_anti"))
     rows = evidence.union_evidence(
         collect_evidence(readable, brands, rules, data, as_of), evidence.rejected_rows(rejects, "intake")
     ).checkpoint()
@@ -97,14 +136,15 @@ def analyse(
     answer = decisions.decide(targets, final, decisions.signature_facts(rows, transitions))
     if forced is not None:
         answer = answer.unionByName(forced)
+        final = final.unionByName(stored, allowMissingColumns=True)
     return Analysis(annotated, rows, bundle, final, answer)
 
 
 def risk_listing(pages: DataFrame, brands: DataFrame, rules: DataFrame) -> DataFrame:
     """Which of these pages look risky, worst first.
 
-    Pages ``(page_id, url, html)`` are their own single-state graphs: intake, lexical score, state hash, form
-    fields, bundle, rules and decision. The scored URLs are written once and read by every later step; page
+    Pages ``(page_id, url, html)`` are their own single-state graphs: intake, lexical score, form fields, bundle, rules
+    and decision. The scored URLs are written once and read by every later step; page
     texts stay where they are, only their summaries are shuffled.
     """
     named = pages.withColumn("target_id", F.col("page_id").cast("string"))

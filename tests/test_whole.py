@@ -33,15 +33,26 @@ def test_whole_analysis(spark):
     registrations = registrations.withColumn("registered_at", F.col("registered_at").cast("timestamp"))
     urls = spark.createDataFrame([("https://trusted.example.org/x", "whitelist", "ours")], "url_key string, list_type string, note string")
     listed = spark.createDataFrame([], "domain_key string, list_type string, note string")
+    hops = spark.createDataFrame([("d", 1, "https://trusted.example.org/x", 302, "/y", None, None), ("b", 1, "https://example.com/", 200, None, None, None)],
+                                 "target_id string, hop int, url string, status_code int, location string, server string, error string")
+    observables = spark.createDataFrame([("o", "example.com", "Hostname", ["x"], [], None)],
+                                        "observable_id string, value string, type string, labels array<string>, markings array<string>, creator string")
+    indicators = spark.createDataFrame([("o", "i", False, None, 80.0, [], [], None)],
+                                       "observable_id string, indicator_id string, revoked boolean, valid_until string, score double, labels array<string>, markings array<string>, creator string")
+    failures = spark.createDataFrame([("b", "jarm", "timeout"), ("d", "jarm", "timeout")], "target_id string, probe string, error string")
+    rejects = spark.createDataFrame([("b", "rdap: unreadable answer"), ("d", "x")], "target_id string, reason string")
     done = analyse(
         submissions, states, transitions, pages, None, brands(spark), suffix_rules(spark),
-        Collected(dns=dns, misp=attributes, registrations=registrations), _at("2024-02-01 00:00:00"), override_urls=urls, override_domains=listed,
+        Collected(dns=dns, misp=attributes, registrations=registrations, hops=hops, observables=observables, indicators=indicators,
+                  probe_failures=failures, rejects=rejects), _at("2024-02-01 00:00:00"), override_urls=urls, override_domains=listed,
     )
     keys = {(r.target_id, r.key) for r in done.evidence.collect()}
     assert {("a", "typosquat"), ("a", "dns_a_records"), ("a", "domain_age_days"), ("e", "reputation_hit"), ("c", "pipeline_error")} <= keys
     assert not any(target == "d" for target, _ in keys)
+    assert {("b", "reputation_hit"), ("b", "active_probe_error"), ("b", "pipeline_error")} <= keys
     given = {r.target_id: (r.classification, r.confidence, r.brand) for r in done.verdicts.collect()}
-    assert given["e"] == ("phishing", 0.95, "Acme") and given["b"][:2] == ("suspicious", 0.05) and given["a"][0] == "suspicious"
+    assert given["e"] == ("phishing", 0.95, "Acme") and given["b"][:2] == ("phishing", 0.95) and given["a"][0] == "suspicious"
+    assert given["d"][:2] == ("benign", 1.0)
     answers = {r.target_id: (r.verdict, r.signature) for r in done.decisions.collect()}
     assert answers["e"] == ("malicious", "Phishing: Acme Impersonation")
     assert answers["c"] == ("safe", "Analysis-Failed")
