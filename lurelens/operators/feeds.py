@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lurelens.functions.times import days_between, utc_timestamp
-from lurelens.schemas import as_json, emit
+from lurelens.schemas import as_json, emit_all, finding
 
 # Weights and thresholds of the passive signals.
 WEIGHT_AGE_YOUNG = 0.35
@@ -37,15 +37,20 @@ OPENCTI_TYPES = ("Url", "Hostname", "Domain-Name", "IPv4-Addr", "IPv6-Addr")
 CT_SOURCE = "ctlogs.dev"
 
 
-def _evidence(df: DataFrame, key: str | Column, value: Column, weight: float | Column) -> DataFrame:
-    return emit(df, "L2", key, value, weight, "osint")
+def _findings(df: DataFrame, *findings: Column) -> DataFrame:
+    return emit_all(df, F.array(*findings), "L2", "osint")
 
 
-def unavailable(df: DataFrame, provider: str | Column, reason: str = "error") -> DataFrame:
-    """Evidence (weight 0) for answers that failed."""
+def _no_answer(provider: str | Column, reason: str = "error") -> Column:
+    """The finding (weight 0) for an answer that failed."""
     name = F.lit(provider) if isinstance(provider, str) else provider
     value = as_json(name.alias("provider"), F.col(reason).alias("reason"))
-    return _evidence(df.filter(F.col(reason).isNotNull()), "provider_unavailable", value, 0.0)
+    return finding(F.col(reason).isNotNull(), "provider_unavailable", value, 0.0)
+
+
+def unavailable(df: DataFrame, provider: str | Column, reason: str = "error") -> DataFrame:
+    """Evidence (weight 0) for answers that failed."""
+    return _findings(df, _no_answer(provider, reason))
 
 
 # --- DNS ---------------------------------------------------------------------------------------------------
@@ -65,12 +70,12 @@ def clean_dns(answers: DataFrame) -> DataFrame:
 def dns_evidence(targets: DataFrame, dns: DataFrame) -> DataFrame:
     """Targets ``(target_id, host)`` with cleaned answers: address lists or a failure, all weight 0."""
     df = targets.select("target_id", "host").join(dns, "host")
-    good = df.filter(F.col("error").isNull())
-    rows = [
-        _evidence(good.filter(F.size(column) > 0), f"dns_{column}", as_json(F.col(column).alias("addresses")), 0.0)
+    good = F.col("error").isNull()
+    lists = [
+        finding(good & (F.size(column) > 0), f"dns_{column}", as_json(F.col(column).alias("addresses")), 0.0)
         for column in ("a_records", "aaaa_records")
     ]
-    return rows[0].unionByName(rows[1]).unionByName(unavailable(df, "dns"))
+    return _findings(df, *lists, _no_answer("dns"))
 
 
 # --- certificates ------------------------------------------------------------------------------------------
@@ -117,13 +122,13 @@ def certificate_evidence(targets: DataFrame, history: DataFrame, siblings: DataF
     ages = [F.col(c) for c in ("newest_cert_days", "oldest_cert_days", "total_certs")]
     shared = F.size("domains") > 0
     source = F.lit(CT_SOURCE).alias("source")
-    rows = _evidence(
-        df.filter(shared), "sibling_domains",
-        as_json(F.col("domains"), F.col("truncated"), F.col("total_siblings"), *ages, source), WEIGHT_SIBLINGS,
-    ).unionByName(_evidence(
-        df.filter(F.coalesce(~shared, F.lit(True)) & F.col("newest_cert_days").isNotNull()), "certificate_history",
-        as_json(*ages, source), F.when(F.col("newest_cert_days") <= FRESH_CERT_DAYS, WEIGHT_FRESH_CERT).otherwise(0.0),
-    ))
+    rows = _findings(
+        df,
+        finding(shared, "sibling_domains", as_json(F.col("domains"), F.col("truncated"), F.col("total_siblings"), *ages, source), WEIGHT_SIBLINGS),
+        finding(
+            F.coalesce(~shared, F.lit(True)) & F.col("newest_cert_days").isNotNull(), "certificate_history", as_json(*ages, source),
+            F.when(F.col("newest_cert_days") <= FRESH_CERT_DAYS, WEIGHT_FRESH_CERT).otherwise(0.0)),
+    )
     if errors is not None:
         rows = rows.unionByName(unavailable(targets.join(errors, "host"), CT_SOURCE))
     return rows
@@ -138,10 +143,10 @@ def registration_evidence(targets: DataFrame, records: DataFrame, as_of: Column)
     df = df.withColumn("age_days", days_between(F.col("registered_at"), as_of))
     age = F.col("age_days")
     category = F.when(age < AGE_YOUNG_DAYS, "young").when(age < AGE_MODERATE_DAYS, "moderate")
-    young = df.filter(F.col("error").isNull()).withColumn("category", category).filter(F.col("category").isNotNull())
+    df = df.withColumn("category", F.when(F.col("error").isNull(), category))
     value = as_json(age, F.col("category"), F.col("registrar"), F.col("nameservers"))
     weight = F.when(F.col("category") == "young", WEIGHT_AGE_YOUNG).otherwise(WEIGHT_AGE_MODERATE)
-    return _evidence(young, "domain_age_days", value, weight).unionByName(unavailable(df, "rdap"))
+    return _findings(df, finding(F.col("category").isNotNull(), "domain_age_days", value, weight), _no_answer("rdap"))
 
 
 def registry_worklist(domains: DataFrame, servers: DataFrame, n: int = REGISTRY_SERVERS, fallback: bool = False) -> DataFrame:
@@ -315,11 +320,12 @@ def provider_results(summary: DataFrame, provider: str) -> DataFrame:
 def reputation_evidence(results: DataFrame) -> DataFrame:
     """A hit, a context-only match or a failure per target and provider; nothing for silence."""
     weight = F.when(F.col("to_ids_match"), WEIGHT_MISP).when(F.col("active_ioc_match"), WEIGHT_OPENCTI).otherwise(WEIGHT_REPUTATION)
-    answered = results.filter(F.col("error").isNull())
-    hits = _evidence(answered.filter("listed"), "reputation_hit", F.col("details"), weight)
-    context_key = F.concat(F.col("provider"), F.lit("_context_match"))
-    context = _evidence(answered.filter("not listed and context_only"), context_key, F.col("details"), 0.0)
-    return hits.unionByName(context).unionByName(unavailable(results, F.col("provider")))
+    answered, listed = F.col("error").isNull(), F.col("listed")
+    return _findings(
+        results, finding(answered & listed, "reputation_hit", F.col("details"), weight),
+        finding(answered & ~listed & F.col("context_only"), F.concat(F.col("provider"), F.lit("_context_match")), F.col("details"), 0.0),
+        _no_answer(F.col("provider")),
+    )
 
 
 Provider = Callable[[DataFrame], DataFrame]

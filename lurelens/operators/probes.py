@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lurelens.functions.fingerprint import favicon_hash
 from lurelens.functions.url import resolve
-from lurelens.schemas import as_json, emit
+from lurelens.schemas import as_json, emit, emit_all, finding
 
 # Redirect limits, server names that are common, weights of the probe signals.
 REDIRECT_STATUSES = (301, 302, 303, 307, 308)
@@ -40,11 +40,12 @@ def is_unusual_server(server: Column) -> Column:
     return (server != "") & ~F.lower(server).rlike(known)
 
 
-def redirect_summary(hops: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
+def redirect_summary(hops: DataFrame, max_hops: int = MAX_HOPS, *more: Column) -> DataFrame:
     """Per target: hops, redirects, final URL, whether the chain was cut, the error of the last hop.
 
     ``hops``: ``target_id, hop (from 1), url, status_code, location, error``. Only map-side combinable
-    aggregates; a chain longer than ``max_hops`` is read up to the limit and flagged.
+    aggregates; a chain longer than ``max_hops`` is read up to the limit and flagged. ``more`` are further aggregates
+    over the hops that are read.
     """
     redirected = F.col("status_code").isin(*REDIRECT_STATUSES) & (F.coalesce("location", F.lit("")) != "")
     redirected = redirected & F.col("error").isNull()
@@ -52,35 +53,31 @@ def redirect_summary(hops: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     df = hops.filter(F.col("hop") <= max_hops).groupBy("target_id").agg(
         F.count(F.lit(1)).alias("hop_count"),
         F.count_if(redirected).alias("redirect_count"),
-        F.max_by(last, F.col("hop")).alias("_last"),
+        F.max_by(last, F.col("hop")).alias("_last"), *more,
     )
+    extra = df.columns[4:]
     df = df.select("*", F.col("_last.url").alias("_url"), F.col("_last.location").alias("_location"))
     return df.select(
         "target_id", "hop_count", "redirect_count",
         F.when(F.col("_last.redirected"), F.expr(resolve("_url", "_location"))).otherwise(F.col("_url")).alias("final_url"),
         (F.col("_last.redirected") & (F.col("_last.hop") >= max_hops)).alias("truncated"),
-        F.col("_last.error").alias("error"),
+        F.col("_last.error").alias("error"), *extra,
     )
 
 
 def redirect_evidence(hops: DataFrame, max_hops: int = MAX_HOPS) -> DataFrame:
     """Redirect counts, excessive chains, unusual servers; a failed last hop gives an error row only."""
-    summary = redirect_summary(hops, max_hops)
-    good = summary.filter(F.col("error").isNull())
-    count = F.col("redirect_count")
+    odd = F.when(is_unusual_server(F.col("server")), F.struct("server", "url"))
+    summary = redirect_summary(hops, max_hops, F.collect_list(odd).alias("odd"))
+    good, count = F.col("error").isNull(), F.col("redirect_count")
     value = as_json(F.col("hop_count"), count, F.col("truncated"), F.col("final_url"))
-    rows = _evidence(good, "redirect_hop_count", value, F.when(count >= 3, WEIGHT_MANY_REDIRECTS).otherwise(0.0))
-    excessive = _evidence(good.filter(count >= 5), "excessive_redirects", as_json(count), WEIGHT_EXCESSIVE_REDIRECTS)
-    failed = _evidence(
-        summary.filter(F.col("error").isNotNull()), "active_probe_error",
-        as_json(F.lit("redirect_chain").alias("probe"), F.col("error")), 0.0,
-    )
-    odd = hops.filter((F.col("hop") <= max_hops) & is_unusual_server(F.col("server")))
-    odd = odd.join(good.select("target_id"), "target_id", "left_semi")
-    servers = _evidence(
-        odd, "unusual_server_header", as_json(F.col("server"), F.col("url").alias("hop_url")), WEIGHT_UNUSUAL_SERVER
-    )
-    return rows.unionByName(excessive).unionByName(servers).unionByName(failed)
+    servers = F.transform("odd", lambda hop: finding(
+        good, "unusual_server_header", as_json(hop["server"].alias("server"), hop["url"].alias("hop_url")), WEIGHT_UNUSUAL_SERVER))
+    return emit_all(summary, F.concat(F.array(
+        finding(good, "redirect_hop_count", value, F.when(count >= 3, WEIGHT_MANY_REDIRECTS).otherwise(0.0)),
+        finding(good & (count >= 5), "excessive_redirects", as_json(count), WEIGHT_EXCESSIVE_REDIRECTS),
+        finding(~good, "active_probe_error", as_json(F.lit("redirect_chain").alias("probe"), F.col("error")), 0.0),
+    ), servers), "L3", "active")
 
 
 def redirect_edges(hops: DataFrame) -> DataFrame:
@@ -150,14 +147,10 @@ def cloaking_evidence(compared: DataFrame) -> DataFrame:
     details = F.format_string(
         "%d status codes, %d final URLs, %d bodies", "distinct_statuses", "distinct_final_urls", "distinct_bodies"
     )
-    hits = _evidence(
-        compared.filter("cloaking_detected"), "cloaking_detected",
-        as_json(F.col("divergent_profiles"), details.alias("details")), WEIGHT_CLOAKING,
-    )
-    summary = _evidence(
-        compared, "differential_fetch_summary", as_json(F.col("profiles_compared"), F.col("profiles")), 0.0
-    )
-    return hits.unionByName(summary)
+    return emit_all(compared, F.array(
+        finding(F.col("cloaking_detected"), "cloaking_detected", as_json(F.col("divergent_profiles"), details.alias("details")), WEIGHT_CLOAKING),
+        finding(F.lit(True), "differential_fetch_summary", as_json(F.col("profiles_compared"), F.col("profiles")), 0.0),
+    ), "L3", "active")
 
 
 def favicon_fingerprints(icons: DataFrame, content: str = "content") -> DataFrame:

@@ -84,6 +84,19 @@ def emit(
     )
 
 
+def finding(condition: Column, key: str | Column, value: Column, weight: float | Column) -> Column:
+    """One possible evidence row of an input row, null where the condition doesn't hold."""
+    literal = lambda v: F.lit(v) if isinstance(v, (str, float, int)) else v
+    return F.when(condition, F.struct(
+        literal(key).alias("key"), value.cast("string").alias("value"), literal(weight).cast("double").alias("weight")))
+
+
+def emit_all(df: DataFrame, findings: Column, layer: str, produced_by: str) -> DataFrame:
+    """All findings of every row, from one pass over the rows."""
+    rows = df.select("target_id", F.explode(F.filter(findings, lambda e: e.isNotNull())).alias("e"))
+    return emit(rows, layer, F.col("e.key"), F.col("e.value"), F.col("e.weight"), produced_by)
+
+
 def identified(evidence: DataFrame, as_of: Column) -> DataFrame:
     """Give evidence rows a repeatable id and the time of the run, ready to store."""
     content = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in EVIDENCE_COLUMNS]
