@@ -16,7 +16,8 @@ HEADLINE = (
     "url_intake", "dedupe_submissions", "registrable_domains", "lexical_risk_scores", "page_text", "page_state_hashes",
     "form_fields", "certificate_evidence", "misp_summary", "opencti_summary", "redirect_evidence", "cloaking",
     "deduped_states", "leaf_states", "evidence_bundles", "final_verdicts", "listing_page", "latest_runs",
-    "cached_verdicts", "override_matches",
+    "cached_verdicts", "override_matches", "root_paths", "long_root_paths", "bounded_exploration", "case_digests",
+    "streamed_verdict_cache", "risk_listing",
 )
 
 

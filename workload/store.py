@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lurelens.operators import decisions, history as jobs, overrides
+from lurelens.schemas import TABLES
+from lurelens.session import fresh_folder
 from lurelens.sources import tables as store
 from workload.registry import Inputs, query
 
@@ -153,16 +156,45 @@ def deleted_graphs(t: Inputs):
 
 
 @query(f"""
-    with {_WANTED}
-    select target_id, 'targets' as part, target_id as name from targets semi join wanted using (target_id)
-    union all select target_id, 'states', state_id from case_states semi join wanted using (target_id)
-    union all select target_id, 'verdicts', classification from verdicts semi join wanted using (target_id)""")
+    with {_WANTED},
+    parts as (
+      select target_id, 'targets' as part, target_id as name, 0 as depth from targets
+      union all select target_id, 'states', state_id, depth from case_states
+      union all select target_id, 'transitions', transition_id, 0 from case_transitions
+      union all select target_id, 'evidence', key, 0 from case_evidence
+      union all select target_id, 'verdicts', classification, 0 from verdicts)
+    select target_id, part, name, row_number() over (partition by target_id, part order by depth, name) as position
+    from parts semi join wanted using (target_id)""")
 def exported_graphs(t: Inputs):
-    tables = {k: v for k, v in _tables(t).items() if k in ("targets", "states", "verdicts")}
+    """All five parts of the wanted graphs, children numbered in their order."""
+    moment, tables = F.lit("2024-01-01").cast("timestamp"), _tables(t)
+    tables["transitions"] = tables["transitions"].withColumn("ts", moment)
+    tables["evidence"] = tables["evidence"].withColumn("ts", moment).withColumn("evidence_id", F.col("key"))
     rows = store.graph_rows(tables, t.events.select(F.col("event_id").cast("string").alias("target_id")))
-    get = lambda path: F.get_json_object("body", path)
-    name = F.when(F.col("part") == "targets", get("$.target_id")).when(F.col("part") == "states", get("$.state_id")).otherwise(get("$.classification"))
-    return rows.select("target_id", "part", name.alias("name"))
+    names = {"targets": "target_id", "states": "state_id", "transitions": "transition_id", "evidence": "key", "verdicts": "classification"}
+    name = F.coalesce(*[F.when(F.col("part") == part, F.get_json_object("body", f"$.{field}")) for part, field in names.items()])
+    named = rows.select("target_id", "part", "sort_key", name.alias("name"))
+    position = F.row_number().over(W.partitionBy("target_id", "part").orderBy("sort_key", "name"))
+    return named.select("target_id", "part", "name", position.cast("long").alias("position"))
+
+
+@query("select target_id, input_url, url_hash, status, strftime(created_at, '%Y-%m-%d') as created from targets")
+def stored_targets(t: Inputs):
+    """Runs written as stored tables and read back with their fixed schemas."""
+    folder = fresh_folder(t.spark, "tables")
+    empty = lambda schema: t.spark.createDataFrame([], schema)
+    targets = t.targets.select(
+        "target_id", "input_url", F.col("input_url").alias("canonical_url"), "url_hash", "final_url", "status",
+        F.lit(None).cast("string").alias("root_state_id"), F.col("created_at").cast("timestamp").alias("created_at"))
+    store.write_tables({"targets": targets, **{name: empty(schema) for name, schema in TABLES.items() if name != "targets"}}, folder)
+    rows = store.read_tables(t.spark, folder)["targets"]
+    return rows.select("target_id", "input_url", "url_hash", "status", F.date_format("created_at", "yyyy-MM-dd").alias("created"))
+
+
+@query("select page_id, url, octet_length(encode(html)) as bytes, sha256(html) as digest from pages")
+def page_snapshots(t: Inputs):
+    pages = store.read_pages(t.spark, f"{t.folder}/pages.parquet")
+    return pages.select("page_id", "url", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("digest"))
 
 
 @query("""
@@ -179,12 +211,6 @@ def har_requests(t: Inputs):
     return rows.select("state_id", F.col("ord").cast("int").alias("ord"), "method", "url", F.col("status").cast("int").alias("status"), "time_ms")
 
 
-@query()
-def artifact_listing(t: Inputs):
-    """The stored files of the input folder with their sizes."""
-    return store.list_artifacts(t.spark, t.folder).select("path", "name", "size")
-
-
 # --- overrides: every event changes the entry of its user's page ---------------------------------------------
 
 _CURRENT = """
