@@ -40,6 +40,39 @@ select d.doc_id, coalesce(len(d.w), 0) as n_lines, coalesce(len(g.gone), 0) as n
     [d.lines[i] for i in range(1, len(d.lines) + 1) if not list_contains([d.w[k] for k in g.gone], i)], chr(10)) end as text
 from written d left join gone g using (doc_id)"""
 
+#: In DuckDB, with a join of word runs instead of an automaton.
+ORACLES["op7_benchmark_decontamination"] = """
+with texts as (
+  select true as is_doc, doc_id as id, text from documents union all select false, item_id, text from benchmark),
+words as (
+  select is_doc, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts),
+starts as (
+  select id, w, least(10, len(w)) as k, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from words where not is_doc and len(w) > 0),
+patterns as (select distinct id as item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') as run from starts),
+runs as (
+  select id, k, i, array_to_string(list_slice(w, i, i + k - 1), ' ') as run
+  from (select id, w, k, unnest(range(1, len(w) - k + 2)) as i from words, (select distinct k from patterns) where is_doc and len(w) >= k)),
+found as (select id, i, k, item_id from runs join patterns using (k, run)),
+hit as (select id, count(distinct p) as n_hit from (select id, unnest(range(i, i + k)) as p from found) group by id),
+items as (select id, list_sort(list(distinct cast(item_id as varchar))) as items from found group by id)
+select id as doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(len(items), 0) as n_items,
+  sha256(coalesce(array_to_string(items, ','), '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join hit using (id) left join items using (id) where is_doc"""
+
+_DIGIT = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (v // {}) % 32, 1)"
+#: In DuckDB, from the pages alone: what a right archive must say.
+ORACLES["op10_warc_archive"] = f"""
+with payloads as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as digest,
+    max(page_id) over (partition by coalesce(html, '')) as newest from pages),
+digits as (
+  select page_id, payload_bytes, newest, list_transform(range(8), lambda i: cast('0x' || substr(digest, 5 * i + 1, 5) as bigint)) as groups from payloads)
+select page_id, payload_bytes,
+  array_to_string(list_transform(groups, lambda v: concat({", ".join(_DIGIT.format(32 ** k) for k in (3, 2, 1, 0))})), '') as payload_digest,
+  case when page_id = newest then 'response' else 'revisit' end as record_type,
+  case when page_id <> newest then newest end as refers_to from digits"""
+
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build

@@ -5,13 +5,12 @@ import random
 import re
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lurelens.llm import language, mixing, repeated_lines, token_counts
-from lurelens.llm.queries import BYTE_VOCABULARY, ORACLES, PIECE_MODEL, QUERIES, TARGET_WEIGHTS
+from lurelens.llm.queries import BYTE_VOCABULARY, PIECE_MODEL, QUERIES, TARGET_WEIGHTS
 
 FOLDER = "/root/testdata/sf0.001"
 ODD = [None, "", " \n\t", "a", "x" * 50_000, "123 !!", "Ünï çödé ## $", "wörd " * 3000, "梦 мир"]
@@ -207,12 +206,3 @@ def test_repeated_lines(spark):
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lines int").repartition(4)
     assert Counter(map(tuple, repeated_lines.without_repeated_lines(docs).collect())) == plain_lines(rows)
     assert repeated_lines.without_repeated_lines(docs.limit(0)).count() == 0
-
-
-def test_line_query_equals_sql(spark):
-    connection = duckdb.connect()
-    connection.execute(f"create view documents as select * from '{FOLDER}/documents.parquet'")
-    got = QUERIES["op3_line_dedup"](spark, FOLDER)
-    rows = connection.execute(ORACLES["op3_line_dedup"])
-    names = [d[0] for d in rows.description]
-    assert Counter(tuple(r[n] for n in names) for r in got.collect()) == Counter(rows.fetchall())
