@@ -34,7 +34,9 @@ MAX_REPORTED = 8
 #: Candidates of one anchor that go into one bucket; at least so many, and this share of all stretches.
 MAX_BUCKETED, HOT_SHARE = 4096, 1e-6
 #: Bytes of text behind one group of stretches, bytes of candidates in one bucket, and bytes a step looks at together.
-GROUP_BYTES, BUCKET_BYTES, PIECE_BYTES = 64 << 20, 2 << 20, 1 << 20
+GROUP_BYTES, BUCKET_BYTES, PIECE_BYTES = 32 << 20, 1 << 19, 1 << 20
+#: Bytes that are one letter of the transforms' alphabet: 8, doubled a few times.
+BLOCK = 32
 _FIRST = -(1 << 63)
 _POSITION = np.uint64((1 << 21) - 1)
 _REPEATED, _CANDIDATE = 1, 2
@@ -122,6 +124,7 @@ def _later(keys: np.ndarray, docs: np.ndarray, starts: np.ndarray) -> np.ndarray
 
 
 _MEETING = "bucket int, docs binary, versions binary, counts binary, kinds binary, starts binary, sizes binary, anchors binary, hashes binary"
+_PACKED_FLAGS = "part int, docs binary, versions binary, counts binary, kinds binary, starts binary, sizes binary, anchors binary"
 _FLAGS = "doc long, version long, kinds binary, starts binary, sizes binary, anchors binary"
 
 
@@ -164,8 +167,8 @@ def _joined(column: pd.Series, kind: type) -> np.ndarray:
     return np.concatenate([np.frombuffer(x, kind) for x in column]) if len(column) else np.zeros(0, kind)
 
 
-def _meet(frame: pd.DataFrame) -> pd.DataFrame:
-    """Settle the stretches of one bucket of anchors; one row per document with anything to say."""
+def _meet(frame: pd.DataFrame, n_parts: int) -> pd.DataFrame:
+    """Settle the stretches of one bucket of anchors."""
     counts = _joined(frame["counts"], np.int32)
     docs = np.repeat(_joined(frame["docs"], np.int64), counts)
     versions = np.repeat(_joined(frame["versions"], np.int64), counts)
@@ -185,17 +188,50 @@ def _meet(frame: pd.DataFrame) -> pd.DataFrame:
     unlike = np.bincount(group[fresh], minlength=len(heads))
     kinds[rest[order[(unlike > 1)[group]]]] = _CANDIDATE
     said = np.flatnonzero(kinds)
-    if not len(said):
-        return pd.DataFrame({name: [] for name in ("doc", "version", "kinds", "starts", "sizes", "anchors")})
-    said = said[np.lexsort((starts[said], versions[said], docs[said]))]
-    fresh = np.concatenate(([True], (docs[said][1:] != docs[said][:-1]) | (versions[said][1:] != versions[said][:-1])))
-    cuts = np.append(np.flatnonzero(fresh), len(said))
+    return _packed_flags(docs[said], versions[said], kinds[said], starts[said], sizes[said], anchors[said], n_parts)
+
+
+def _packed_flags(
+    docs: np.ndarray, versions: np.ndarray, kinds: np.ndarray, starts: np.ndarray, sizes: np.ndarray, anchors: np.ndarray, n_parts: int,
+) -> pd.DataFrame:
+    """What is known of stretches, one row for each part of the documents."""
+    part = (mixed(docs.astype(np.uint64)) % np.uint64(n_parts)).astype(np.int64)
+    order = np.lexsort((starts, versions, docs, part))
+    part, docs, versions, kinds, starts, sizes, anchors = (x[order] for x in (part, docs, versions, kinds, starts, sizes, anchors))
+    fresh = np.ones(len(docs), bool)
+    fresh[1:] = (docs[1:] != docs[:-1]) | (versions[1:] != versions[:-1])
+    heads = np.flatnonzero(fresh)
+    counts = np.diff(np.append(heads, len(docs)))
+    cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(docs)) if len(docs) else [0]
+    rows = []
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        some = slice(*np.searchsorted(heads, (a, b)))
+        own = slice(a, b)
+        rows.append((
+            int(part[a]), docs[heads[some]].tobytes(), versions[heads[some]].tobytes(), counts[some].astype(np.int32).tobytes(),
+            kinds[own].astype(np.int8).tobytes(), starts[own].astype(np.int32).tobytes(), sizes[own].astype(np.int8).tobytes(),
+            anchors[own][kinds[own] == _CANDIDATE].tobytes()))
+    return pd.DataFrame(rows, columns=[name.split()[0] for name in _PACKED_FLAGS.split(", ")])
+
+
+def _by_document(frame: pd.DataFrame) -> pd.DataFrame:
+    """All that is known of the stretches of each document of one part, in one row."""
+    counts = _joined(frame["counts"], np.int32)
+    docs = np.repeat(_joined(frame["docs"], np.int64), counts)
+    versions = np.repeat(_joined(frame["versions"], np.int64), counts)
+    kinds, starts, sizes = _joined(frame["kinds"], np.int8), _joined(frame["starts"], np.int32), _joined(frame["sizes"], np.int8)
+    anchors = np.zeros(len(kinds), np.uint64)
+    anchors[kinds == _CANDIDATE] = _joined(frame["anchors"], np.uint64)
+    order = np.lexsort((versions, docs))
+    docs, versions, kinds, starts, sizes, anchors = (x[order] for x in (docs, versions, kinds, starts, sizes, anchors))
+    fresh = np.ones(len(docs), bool)
+    fresh[1:] = (docs[1:] != docs[:-1]) | (versions[1:] != versions[:-1])
+    cuts = np.append(np.flatnonzero(fresh), len(docs)).tolist()
     rows = []
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = said[a:b]
-        rows.append((docs[own[0]], versions[own[0]], kinds[own].tobytes(), starts[own].tobytes(), sizes[own].tobytes(),
-                     anchors[own][kinds[own] != _REPEATED].tobytes()))
-    return pd.DataFrame(rows, columns=["doc", "version", "kinds", "starts", "sizes", "anchors"])
+        own = slice(a, b)
+        rows.append((docs[a], versions[a], kinds[own].tobytes(), starts[own].tobytes(), sizes[own].tobytes(), anchors[own][kinds[own] == _CANDIDATE].tobytes()))
+    return pd.DataFrame(rows, columns=[name.split()[0] for name in _FLAGS.split(", ")])
 
 
 # --- merged transforms -----------------------------------------------------------------------------------------------
@@ -209,35 +245,53 @@ def _stable_order(codes: np.ndarray) -> np.ndarray:
     return order
 
 
-def _blocks(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def _words(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """The eight bytes from each place on, as one number of the same order; nought beyond the end of its text."""
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    at, out = np.arange(len(data)), np.zeros(len(data), np.uint64)
+    padded = np.concatenate((data, np.zeros(8, np.uint8))).astype(np.uint64)
+    out = np.zeros(len(data), np.uint64)
     for k in range(8):
-        out |= np.where(at + k < ends, padded[at + k], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
+        out |= padded[k: len(data) + k] << np.uint64(56 - 8 * k)
+    left = ends - np.arange(len(data))
+    short = np.flatnonzero(left < 8)
+    out[short] &= ~((np.uint64(1) << (8 * (8 - left[short])).astype(np.uint64)) - np.uint64(1))
+    return out
+
+
+def _numbers(keys: np.ndarray) -> np.ndarray:
+    """Place of each key among the distinct ones."""
+    order = np.argsort(keys)
+    differ = np.zeros(len(keys), bool)
+    differ[1:] = (ordered := keys[order])[1:] != ordered[:-1]
+    out = np.empty(len(keys), np.int32)
+    out[order] = np.cumsum(differ)
     return out
 
 
+def _longer(numbers: np.ndarray, further: np.ndarray, reach: int, ends: np.ndarray) -> np.ndarray:
+    """Numbers of what stands at each place and ``reach`` bytes on; the end of a text comes before all else."""
+    ahead = np.zeros(len(numbers), np.int64)
+    ahead[:-reach] = further[reach:] + np.int64(1)
+    ahead[np.arange(len(numbers)) + reach >= ends] = 0
+    return _numbers(numbers.astype(np.int64) * (int(further.max(initial=0)) + 2) + ahead)
+
+
 class Shard:
-    """Sorted suffixes of some texts, over an alphabet of blocks of eight bytes.
+    """Sorted suffixes of some texts, over an alphabet of blocks of ``BLOCK`` bytes.
 
     ``suffixes`` are places in sorted order; ``before`` is the transform: the block in front of each of them, by its
-    number in the bucket's alphabet, -1 where the text has no whole block in front.
+    number in the bucket's alphabet, -1 where the text has no whole block in front. ``last`` are the suffixes of which
+    no other is left a block further on.
     """
 
-    def __init__(self, offsets: np.ndarray, blocks: np.ndarray, numbers: np.ndarray, width: int) -> None:
-        at = np.arange(len(blocks))
-        text = np.searchsorted(offsets, at, side="right") - 1
-        self.first, self.end = offsets[text], offsets[text + 1]
-        ranks, reach = numbers, 8
+    def __init__(self, firsts: np.ndarray, ends: np.ndarray, blocks: np.ndarray, width: int) -> None:
+        ranks, reach = blocks, BLOCK
         while reach < width:
-            ahead = np.where(at + reach < self.end, ranks[np.minimum(at + reach, len(at) - 1)] + 1, 0) if len(at) else at
-            ranks = np.unique(ranks.astype(np.int64) * (len(at) + int(ranks.max(initial=0)) + 2) + ahead, return_inverse=True)[1]
+            ranks = _longer(ranks, ranks, reach, ends)
             reach *= 2
-        self.suffixes = np.argsort(ranks, kind="stable")
-        source = self.suffixes - 8
-        self.before = np.where(source >= self.first[self.suffixes], numbers[source], -1)
-        self.last = self.suffixes[self.suffixes + 8 >= self.end[self.suffixes]]  # with no suffix eight bytes on
+        self.suffixes = np.argsort(ranks, kind="stable").astype(np.int32)
+        source = self.suffixes - BLOCK
+        self.before = np.where(source >= firsts[self.suffixes], blocks[source], -1)
+        self.last = self.suffixes[self.suffixes + BLOCK >= ends[self.suffixes]]
 
 
 def repeated_intervals(texts: list[tuple[np.ndarray, np.ndarray]], width: int) -> np.ndarray:
@@ -249,44 +303,51 @@ def repeated_intervals(texts: list[tuple[np.ndarray, np.ndarray]], width: int) -
     suffixes by one more block. An interval splits where neighbours differ in that block, or were in unlike intervals
     before: there their common prefix ends. No shard is sorted again. Rounds end early when nothing splits any more.
     """
-    all_blocks = np.concatenate([
-        _blocks(data, np.repeat(offsets[1:], np.diff(offsets))) if len(data) else np.zeros(0, np.uint64) for data, offsets in texts])
-    if not len(all_blocks):
+    data = np.concatenate([np.zeros(0, np.uint8), *[data for data, _ in texts]])
+    if not len(data):
         return np.zeros(0, np.int64)
-    numbers = np.unique(all_blocks, return_inverse=True)[1]
     bounds = np.cumsum([0, *[len(data) for data, _ in texts]])
-    shards = [
-        Shard(offsets, all_blocks[a:b], numbers[a:b], width)
-        for (_, offsets), a, b in zip(texts, bounds[:-1], bounds[1:], strict=True)]
-    sizes = np.diff(bounds)
-    of_shard = np.repeat(np.arange(len(shards)), sizes)
-    suffixes = np.concatenate([shard.suffixes + a for shard, a in zip(shards, bounds[:-1], strict=True)])
+    spans = [(a + offsets[:-1], np.diff(offsets)) for (_, offsets), a in zip(texts, bounds[:-1], strict=True)]
+    lengths = np.concatenate([n for _, n in spans])
+    firsts = np.repeat(np.concatenate([first for first, _ in spans]), lengths)
+    ends = firsts + np.repeat(lengths, lengths)
+
+    words = _words(data, ends)
+    blocks, reach = _numbers(words), 8
+    head = width % BLOCK or BLOCK
+    heads = _numbers(words >> np.uint64(64 - 8 * min(8, head)))
+    for at in range(8, head, 8):
+        heads = _longer(heads, _numbers(words >> np.uint64(64 - 8 * min(8, head - at))), at, ends)
+    while reach < BLOCK:
+        blocks = _longer(blocks, blocks, reach, ends)
+        reach *= 2
+    shards = [Shard(firsts[a:b] - a, ends[a:b] - a, blocks[a:b], width) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    of_shard = np.repeat(np.arange(len(shards), dtype=np.int32), np.diff(bounds))
+    suffixes = np.concatenate([shard.suffixes + np.int32(a) for shard, a in zip(shards, bounds[:-1], strict=True)])
     before = np.concatenate([shard.before for shard in shards])
-    last = np.concatenate([shard.last + a for shard, a in zip(shards, bounds[:-1], strict=True)])
-    last_shard = np.repeat(np.arange(len(shards)), [len(shard.last) for shard in shards])
+    last = np.concatenate([shard.last + np.int32(a) for shard, a in zip(shards, bounds[:-1], strict=True)])
+    last_shard = np.repeat(np.arange(len(shards), dtype=np.int32), [len(shard.last) for shard in shards])
 
-    head = width % 8 or 8
-    heads = np.unique(all_blocks >> np.uint64(64 - 8 * head), return_inverse=True)[1][suffixes]
+    heads = heads[suffixes]
     order = _stable_order(heads)
     interleave, interval = of_shard[order], _numbered(heads[order])
-    for _ in range((width - head) // 8):
+    for _ in range((width - head) // BLOCK):
         # the k-th entry of a shard in the interleave is the k-th entry of its transform
-        places = _stable_order(interleave)
-        front = np.empty(len(before), before.dtype)
-        front[places] = before
+        front = np.empty(len(before), np.int32)
+        front[_stable_order(interleave)] = before
         whole = np.flatnonzero(front >= 0)
-        blocks = np.concatenate((numbers[last], front[whole]))
-        order = _stable_order(blocks)
-        came_from = np.concatenate((np.full(len(last), -1), interval[whole]))[order]
+        dealt = np.concatenate((blocks[last], front[whole]))
+        order = _stable_order(dealt)
+        came_from = np.concatenate((np.full(len(last), -1, np.int32), interval[whole]))[order]
         interleave = np.concatenate((last_shard, interleave[whole]))[order]
-        split = _numbered(blocks[order], came_from)
+        split = _numbered(dealt[order], came_from)
         done = split[-1] == interval[-1]
         interval = split
         if done:
             break
-    out = np.empty(len(before), np.int64)
-    found = np.empty(len(before), np.int64)
+    found = np.empty(len(before), np.int32)
     found[_stable_order(interleave)] = suffixes
+    out = np.empty(len(before), np.int64)
     out[found] = interval
     return out
 
@@ -296,7 +357,7 @@ def _numbered(*sorted_keys: np.ndarray) -> np.ndarray:
     differ = np.zeros(len(sorted_keys[0]), bool)
     for keys in sorted_keys:
         differ[1:] |= keys[1:] != keys[:-1]
-    return np.cumsum(differ)
+    return np.cumsum(differ, dtype=np.int32)
 
 
 # --- candidates in buckets -------------------------------------------------------------------------------------------
@@ -317,13 +378,10 @@ def _dealt(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray, w
 
     for batch in batches:
         found: list[list] = [[], [], [], [], [], []]
-        for doc, version, text, flags in zip(*(batch.column(i) for i in range(4)), strict=True):
-            data, flags = text.as_py().encode("utf-8", "replace"), flags.as_py()
-            kinds = np.concatenate([np.frombuffer(f["kinds"], np.int8) for f in flags])
-            chosen = kinds == _CANDIDATE
-            starts = np.concatenate([np.frombuffer(f["starts"], np.int32) for f in flags])[chosen]
-            sizes = np.concatenate([np.frombuffer(f["sizes"], np.int8) for f in flags])[chosen]
-            anchors = np.concatenate([np.frombuffer(f["anchors"], np.uint64) for f in flags])
+        for doc, version, text, kinds, starts, sizes, anchors in zip(*(batch.column(i) for i in range(7)), strict=True):
+            data, chosen = text.as_py().encode("utf-8", "replace"), np.frombuffer(kinds.as_py(), np.int8) == _CANDIDATE
+            starts, sizes = np.frombuffer(starts.as_py(), np.int32)[chosen], np.frombuffer(sizes.as_py(), np.int8)[chosen]
+            anchors = np.frombuffer(anchors.as_py(), np.uint64)
             n = len(starts)
             ends = starts + sizes + (width - 1)
             parts = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -367,8 +425,8 @@ def _dealt(batches: Iterator[pa.RecordBatch], n_buckets: int, hot: np.ndarray, w
                 yield row(k, kind, its_doc[own], its_version[own], its_start[own], np.ones(len(own)), content)
 
 
-def _settled(frame: pd.DataFrame, width: int) -> pd.DataFrame:
-    """Strings of one bucket that stand earlier, one row per document."""
+def _settled(frame: pd.DataFrame, width: int, n_parts: int) -> pd.DataFrame:
+    """Strings of one bucket that stand earlier."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     arrays = lambda rows: (_joined(rows["docs"], np.int64), _joined(rows["versions"], np.int64), _joined(rows["starts"], np.int32))
     found.append(arrays(frame[frame["kind"] == _SETTLED]))
@@ -407,17 +465,12 @@ def _settled(frame: pd.DataFrame, width: int) -> pd.DataFrame:
     piece = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
     at = np.repeat(run, pieces) + 127 * piece
     sizes = np.minimum(127, np.repeat(lengths, pieces) - 127 * piece)
-    cuts = np.searchsorted(at, np.append(np.flatnonzero(fresh), len(docs)))
-    out = []
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        own = at[a:b]
-        out.append((docs[own[0]], versions[own[0]], np.ones(len(own), np.int8).tobytes(), starts[own].astype(np.int32).tobytes(),
-                    sizes[a:b].astype(np.int8).tobytes(), b""))
-    return pd.DataFrame(out, columns=["doc", "version", "kinds", "starts", "sizes", "anchors"])
+    kinds = np.full(len(at), _REPEATED, np.int8)
+    return _packed_flags(docs[at], versions[at], kinds, starts[at], sizes, np.zeros(len(at), np.uint64), n_parts)
 
 
 def _counted_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many candidates each anchor has in a batch, and at anchor 0 of kind -1 the bytes of all of them."""
+    """How many candidates each anchor has in a batch."""
     for batch in batches:
         anchors = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x.as_py(), np.uint64) for x in batch.column(0)]])
         values, counts = np.unique(anchors, return_counts=True)
@@ -431,16 +484,16 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
     """Documents without the bytes under their repeated strings."""
     for batch in batches:
         sizes, spans, kept = [], [], []
-        for text, flags in zip(batch.column(1), batch.column(2), strict=True):
-            data, flags = (text.as_py() or "").encode("utf-8", "replace"), flags.as_py() or []
+        for text, kinds, begins, lengths in zip(*(batch.column(i) for i in range(1, 5)), strict=True):
+            data = (text.as_py() or "").encode("utf-8", "replace")
             sizes.append(len(data))
-            kinds = np.concatenate([np.zeros(0, np.int8), *[np.frombuffer(f["kinds"], np.int8) for f in flags]])
-            if not (kinds == _REPEATED).any():
+            gone = np.frombuffer(kinds.as_py() or b"", np.int8) == _REPEATED
+            if not gone.any():
                 spans.append([])
                 kept.append(data)
                 continue
-            starts = np.concatenate([np.frombuffer(f["starts"], np.int32) for f in flags])[kinds == _REPEATED]
-            lengths = np.concatenate([np.frombuffer(f["sizes"], np.int8) for f in flags])[kinds == _REPEATED]
+            starts = np.frombuffer(begins.as_py(), np.int32)[gone]
+            lengths = np.frombuffer(lengths.as_py(), np.int8)[gone]
             depth = np.zeros(len(data) + 1, np.int64)
             np.add.at(depth, starts, 1)
             np.add.at(depth, starts + lengths.astype(np.int64) + (width - 1), -1)
@@ -455,24 +508,25 @@ def _cut(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBat
 
 
 def repeated_flags(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """Strings of ``docs (doc, version, text)`` that start earlier too, packed per document; some documents have several rows."""
+    """Strings of ``docs (doc, version, text)`` that start earlier too, packed per document."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_groups, n_stretches = -(-size // GROUP_BYTES) or 1, 2 * size // (width - GRAM + 2)
     max_reported = MAX_REPORTED
     met = docs.mapInArrow(lambda batches: _reports(batches, n_groups, width, max_reported), _MEETING)
-    flags = stored(met.groupBy("bucket").applyInPandas(_meet, _FLAGS), "stretches")
+    reports = stored(met.groupBy("bucket").applyInPandas(lambda frame: _meet(frame, n_groups), _PACKED_FLAGS), "stretches")
+    by_document = lambda rows: rows.groupBy("part").applyInPandas(_by_document, _FLAGS)
 
-    candidates = flags.where(F.octet_length("anchors") > 0)
+    candidates = reports.where(F.octet_length("anchors") > 0)
     anchors = stored(candidates.select("anchors").mapInArrow(_counted_anchors, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")), "anchors")
     limit = max(MAX_BUCKETED, int(HOT_SHARE * n_stretches))
     hot = np.array([row["anchor"] for row in anchors.where(F.col("n") > limit).select("anchor").collect()], np.int64).view(np.uint64)
     n_candidates = anchors.where(F.col("n") <= limit).agg(F.sum("n")).first()[0] or 0
     n_buckets = -(-n_candidates * (width + (width - GRAM) // 2) // BUCKET_BYTES) or 1
-    packed = lambda rows: rows.groupBy("doc", "version").agg(F.collect_list(F.struct("kinds", "starts", "sizes", "anchors")).alias("flags"))
-    dealt = docs.join(packed(candidates), ["doc", "version"]).select("doc", "version", "text", "flags").mapInArrow(
+    chosen = by_document(candidates).where(F.octet_length("anchors") > 0)
+    dealt = docs.join(chosen, ["doc", "version"]).select("doc", "version", "text", "kinds", "starts", "sizes", "anchors").mapInArrow(
         lambda batches: _dealt(batches, n_buckets, hot, width), _DEALT)
-    settled = dealt.groupBy("bucket").applyInPandas(lambda frame: _settled(frame, width), _FLAGS)
-    return packed(flags.unionByName(stored(settled, "strings")))
+    settled = dealt.groupBy("bucket").applyInPandas(lambda frame: _settled(frame, width, n_groups), _PACKED_FLAGS)
+    return by_document(reports.unionByName(settled)).select("doc", "version", "kinds", "starts", "sizes")
 
 
 def without_repeated_bytes(docs: DataFrame, width: int = WIDTH, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -490,5 +544,5 @@ def without_repeated_bytes(docs: DataFrame, width: int = WIDTH, key: str = "doc_
     rows = docs.select(named(key).cast("long").alias("doc_id"), content.alias("text")).select(
         "doc_id", "text", F.coalesce("doc_id", F.lit(_FIRST)).alias("doc"), F.xxhash64("text").alias("version"))
     flags = repeated_flags(rows.where(F.octet_length("text") >= width).select("doc", "version", "text"), width)
-    return rows.join(flags, ["doc", "version"], "left").select("doc_id", "text", "flags").mapInArrow(
+    return rows.join(flags, ["doc", "version"], "left").select("doc_id", "text", "kinds", "starts", "sizes").mapInArrow(
         lambda batches: _cut(batches, width), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
