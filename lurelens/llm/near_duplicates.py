@@ -16,6 +16,8 @@ SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 26, over 0.9999.
 BANDS = 26
 BAND_ROWS = 5
+#: Rounds of hubs that are always made: 1, 2 and 4 of each band.
+ROUNDS = 3
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _IN_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -122,7 +124,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per document its bag as a set: the second of equal shingles is another element than the first."""
+    """Per document its bag as a set of 32-bit hashes: the second of equal shingles is another element than the first."""
     for batch in batches:
         for first, end, data, offsets in text_blocks(batch.column(1)):
             rows, hashes, counts = bags(data, offsets)
@@ -132,7 +134,7 @@ def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bounds = np.searchsorted(rows[each], np.arange(end - first + 1))
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(first, end - first),
-                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array((values >> np.uint64(32)).astype(np.uint32).view(np.int32))),
             ], names=["doc", "bag"])
 
 
@@ -146,8 +148,8 @@ def _verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Components of ``edges (a, b)``: ``doc, class`` for all of ``nodes (doc, class)``, merged with the classes they
-    have; a class is its smallest member. Every round hooks each class to its smallest neighbour and follows the hooks to
-    their ends, so rounds grow with the logarithm of the longest chain."""
+    have; a class is its smallest member. Every round hooks each class to its smallest neighbour, or to what that is
+    hooked to itself, until no edge joins two classes."""
     while True:
         of = lambda end: nodes.select(F.col("doc").alias(end), F.col("class").alias(f"class_{end}"))
         links = edges.join(of("a"), "a").join(of("b"), "b").where("class_a <> class_b").select(
@@ -155,13 +157,8 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         hooks = stored(links.groupBy("class").agg(F.min("to").alias("to")), "hooks")
         if hooks.isEmpty():
             return nodes
-        while True:
-            ahead = hooks.select(F.col("class").alias("to"), F.col("to").alias("further"))
-            followed = stored(hooks.join(ahead, "to", "left").select(
-                "class", F.coalesce("further", "to").alias("to"), F.col("further").isNotNull().alias("moved")), "hooks")
-            hooks = followed.drop("moved")
-            if followed.where("moved").isEmpty():
-                break
+        ahead = hooks.select(F.col("class").alias("to"), F.col("to").alias("further"))
+        hooks = hooks.join(ahead, "to", "left").select("class", F.coalesce("further", "to").alias("to"))
         nodes = stored(nodes.join(hooks, "class", "left").select("doc", F.coalesce("to", "class").alias("class")), "classes")
 
 
@@ -170,10 +167,10 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
 
     Two documents are linked if the weighted Jaccard similarity of their bags of five-word shingles is ``similarity`` or
     more. Documents with the same words in the same order are one from the start. The others meet where a band of their
-    signatures is equal. The documents of a band are not paired with each other but with its hub, the one that shares
-    most bands with others; pairs within a class are not looked at again. Documents that are not in the hub's class
-    bring up new hubs, twice as many each round, until every document of every band is in the class of one of its hubs
-    or has been one, and has been compared with all hubs outside its class.
+    signatures is equal. The documents of a band are not paired with each other but with its hubs, those that share
+    most bands with others: first with the foremost one, and if that leaves them in another class, with the next two,
+    the next four, and so on. Pairs within a class are not looked at. ``ROUNDS`` such rounds compare all documents of
+    bands with up to ``2 ** ROUNDS`` documents; further rounds follow as long as the last one has found links.
 
     ``class_id`` is the smallest key in the class, ``n_links`` how many links of the document were verified (links to
     copies of the same words count as one).
@@ -185,36 +182,38 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
     source = docs.select(named(key).cast("long").alias("doc"), named(text).cast("string").alias("text"))
     keyed = source.where("doc is not null and text is not null")
     signed = stored(keyed.mapInArrow(_signed, "doc long, words1 long, words2 long, bands array<long>"), "signatures")
-    copies = signed.groupBy("words1", "words2").agg(F.min("doc").alias("same"))
-    same = stored(signed.select("doc", "words1", "words2").join(copies, ["words1", "words2"]).select("doc", "same"), "same-words")
-    firsts = same.where("doc = same").select("doc").distinct()
-    in_band = signed.select("doc", F.explode("bands").alias("band")).join(firsts, "doc", "left_semi")
+    firsts = stored(signed.groupBy("words1", "words2").agg(F.min("doc").alias("same"), F.first("bands").alias("bands")), "texts")
+    in_band = firsts.select(F.col("same").alias("doc"), F.explode("bands").alias("band"))
     sizes = in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = stored(in_band.join(sizes, "band").distinct(), "bands")
+    members = stored(in_band.join(sizes, "band"), "bands")
     weight = members.groupBy("doc").agg(F.sum("n").alias("weight"))
-    members = stored(members.join(weight, "doc").select(
-        "band", "doc", _ranked("weight", "doc").alias("rank")), "ranked-bands")
+    members = stored(members.join(weight, "doc").select("band", "doc", _ranked("weight", "doc").alias("rank")), "ranked-bands")
+    # bags are smaller than texts, so they are made before they are dealt out; the plan is the same at every size
+    bag = keyed.mapInArrow(_elements, "doc long, bag array<int>").join(weight.select("doc").hint("merge"), "doc", "left_semi")
+    bag = stored(bag, "bags")
 
-    bag = stored(keyed.join(weight.select("doc"), "doc", "left_semi").mapInArrow(_elements, "doc long, bag array<long>"), "bags")
     classes = stored(members.select("doc").distinct().withColumn("class", F.col("doc")), "classes")
     hubs = members.groupBy("band").agg(F.max_by("doc", "rank").alias("hub"))
     stars = stored(members.join(hubs, "band").where("doc <> hub").groupBy("hub", "doc").agg(F.count("*").alias("shared")), "stars")
-    best = stars.groupBy("doc").agg(F.max_by("hub", _ranked("shared", "hub")).alias("hub"))
-    tried = best.select("hub", "doc")
-    links = stored(_verified(tried, bag, similarity), "links")
+    # of several hubs the one with most common bands is tried first, and the others only if need be
+    best = stars.groupBy("doc").agg(F.max_by("hub", _ranked("shared", "hub")).alias("hub")).select("hub", "doc")
+    links = stored(_verified(best, bag, similarity), "links")
     classes = connected(classes, links.toDF("a", "b"))
-    tried = stored(_apart(stars.select("hub", "doc"), classes), "stars")
-    more = stored(_verified(tried, bag, similarity), "links")
+    more = stored(_verified(_apart(stars.select("hub", "doc"), classes), bag, similarity), "links")
     links, classes = links.unionByName(more), connected(classes, more.toDF("a", "b"))
-
-    tried, n_hubs = stars.select("hub", "doc"), 1
-    pairs, hubs = _next_pairs(members, hubs, classes, tried, n_hubs)
-    while not pairs.isEmpty():
+    tried, left, round_ = _unordered(stars), members, 1
+    while round_ < ROUNDS or not more.isEmpty():
+        # documents that a hub of theirs has left in another class
+        stars = stored(_apart(stars.select("hub", "doc"), classes), "stars")
+        if stars.isEmpty():
+            break
+        left = stored(left.join(stars.select("doc").distinct(), "doc", "left_semi"), "left")
+        pairs = stored(_next_pairs(members, left, classes, round_).join(tried, ["hub", "doc"], "left_anti"), "pairs")
         more = stored(_verified(pairs, bag, similarity), "links")
         links, classes = links.unionByName(more), connected(classes, more.toDF("a", "b"))
-        tried, n_hubs = tried.unionByName(pairs), 2 * n_hubs
-        pairs, hubs = _next_pairs(members, hubs, classes, tried, n_hubs)
+        tried, round_ = tried.unionByName(pairs), round_ + 1
 
+    same = signed.select("doc", "words1", "words2").join(firsts.select("words1", "words2", "same"), ["words1", "words2"])
     ends = links.select(F.col("hub").alias("same")).unionByName(links.select(F.col("doc").alias("same")))
     found = same.join(classes.withColumnRenamed("doc", "same"), "same", "left").join(
         ends.groupBy("same").agg(F.count("*").alias("links")), "same", "left")
@@ -235,19 +234,19 @@ def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(classes, "doc").join(of_hub, "hub").where("class <> hub_class").select("hub", "doc")
 
 
-def _next_pairs(members: DataFrame, hubs: DataFrame, classes: DataFrame, tried: DataFrame, n_hubs: int) -> tuple[DataFrame, DataFrame]:
-    """New hubs for the bands that have documents outside the classes of their hubs, and the pairs they make."""
-    placed = members.join(classes, "doc")
-    served = hubs.join(classes.select(F.col("doc").alias("hub"), "class"), "hub").select("band", "class").distinct()
-    left = placed.join(served, ["band", "class"], "left_anti")
-    # one for each class that is left; the foremost classes of each band
-    leaders = left.groupBy("band", "class").agg(F.max("rank").alias("rank"), F.max_by("doc", "rank").alias("hub"))
-    turn = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("rank"), "class"))
-    fresh = stored(leaders.withColumn("turn", turn).where(F.col("turn") <= n_hubs).select("band", "hub", F.col("class").alias("hub_class")), "hubs")
-    pairs = fresh.join(placed, "band").where("class <> hub_class").select("hub", "doc").distinct()
-    both = tried.unionByName(tried.select(F.col("doc").alias("hub"), F.col("hub").alias("doc")))
-    once = pairs.select(F.greatest("hub", "doc").alias("hub"), F.least("hub", "doc").alias("doc")).distinct()
-    return stored(once.join(both, ["hub", "doc"], "left_anti"), "pairs"), stored(hubs.unionByName(fresh.select("band", "hub")), "hubs")
+def _unordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("hub", "doc").alias("hub"), F.least("hub", "doc").alias("doc"))
+
+
+def _next_pairs(members: DataFrame, left: DataFrame, classes: DataFrame, round_: int) -> DataFrame:
+    """The documents that are left with the further hubs of this round in their bands, and those of these hubs that are
+    left with all documents of the band."""
+    place = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("rank"), "doc"))
+    further = members.withColumn("place", place).where(F.col("place") < 1 << (round_ + 1)).where(
+        F.col("place") >= 1 << round_).select("band", F.col("doc").alias("hub"))
+    open_hubs = further.join(left.select("band", F.col("doc").alias("hub")), ["band", "hub"], "left_semi")
+    pairs = left.select("band", "doc").join(further, "band").unionByName(members.select("band", "doc").join(open_hubs, "band"))
+    return _apart(_unordered(pairs.where("doc <> hub")).distinct(), classes)
 
 
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
