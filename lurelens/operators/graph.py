@@ -35,8 +35,8 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 def dedupe_states(states: DataFrame, keys: tuple[str, ...] = ("target_id", "dom_hash")) -> DataFrame:
     """The first state per key by depth and id. Use ``(target_id, url, dom_hash)`` for the stored form."""
     rest = [c for c in states.columns if c not in keys and c not in ("depth", "state_id")]
-    first = states.groupBy(*keys).agg(F.min(F.struct("depth", "state_id", *rest)).alias("s"))
-    return first.select(*keys, "s.*").select(*states.columns)
+    order = W.partitionBy(*keys).orderBy("depth", "state_id", *rest)
+    return states.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 
 def budget_cut(states: DataFrame, max_nodes: int = MAX_NODES) -> DataFrame:
@@ -53,9 +53,9 @@ def with_leaf_flag(states: DataFrame, transitions: DataFrame) -> DataFrame:
 
 def first_incoming(transitions: DataFrame) -> DataFrame:
     """``(target_id, to_state, from_state, transition_id)``: the earliest edge into each state."""
-    edge = F.struct("ts", "transition_id", "from_state")
-    first = transitions.groupBy("target_id", "to_state").agg(F.min(edge).alias("e"))
-    return first.select("target_id", "to_state", "e.from_state", "e.transition_id")
+    order = W.partitionBy("target_id", "to_state").orderBy("ts", "transition_id", "from_state")
+    first = transitions.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    return first.select("target_id", "to_state", "from_state", "transition_id")
 
 
 def root_paths(states: DataFrame, transitions: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lurelens.operators.intake import with_intake
 
@@ -101,16 +102,14 @@ def history_keys(requests: DataFrame, column: str = "query") -> DataFrame:
 
 
 def latest_per_url(targets: DataFrame) -> DataFrame:
-    """The newest run of each ``url_hash``: a combinable aggregate, safe for URLs with many runs.
+    """The newest run of each ``url_hash``. Only the first of each task's runs of a URL are shuffled, so a URL with very
+    many runs is no burden.
 
     Runs of the same moment are told apart by the smaller id.
     """
-    age = (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("_age")
-    rest = [c for c in targets.columns if c not in ("url_hash", "target_id")]
-    newest = targets.filter(F.col("url_hash").isNotNull()).groupBy("url_hash").agg(
-        F.min(F.struct(age, "target_id", *rest)).alias("t")
-    )
-    return newest.select("url_hash", "t.*").select(*targets.columns)
+    order = W.partitionBy("url_hash").orderBy((-F.unix_micros(F.col("created_at").cast("timestamp"))).asc(), "target_id")
+    known = targets.filter(F.col("url_hash").isNotNull())
+    return known.withColumn("_place", F.row_number().over(order)).filter("_place = 1").drop("_place")
 
 
 def cached_verdicts(targets: DataFrame, verdicts: DataFrame, as_of: Column, hours: int = CACHE_HOURS) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lurelens.functions.fingerprint import favicon_hash
 from lurelens.functions.url import resolve
@@ -94,7 +95,9 @@ def redirect_edges(hops: DataFrame) -> DataFrame:
 def _profiles(fetches: DataFrame) -> DataFrame:
     """One row per target with its profiles in order. Repeats collapse first, so the list has one entry per profile."""
     fields = ["ord", "profile", "status_code", "final_url", "content_length", "body_sha256", "error"]
-    single = fetches.groupBy("target_id", "profile").agg(F.min(F.struct(*fields)).alias("r"))
+    order = W.partitionBy("target_id", "profile").orderBy(*fields)
+    first = fetches.withColumn("_place", F.row_number().over(order)).filter("_place = 1")
+    single = first.select("target_id", F.struct(*fields).alias("r"))
     return single.groupBy("target_id").agg(F.array_sort(F.collect_list("r")).alias("profiles"))
 
 
