@@ -127,12 +127,17 @@ def fit(docs: DataFrame, pieces: list[str], lang: str = "lang", text: str = "tex
     ).where("lang is not null and text is not null")
     counts = known.groupBy("lang").agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n")).first()[0] or 0
-    shares = {r["lang"]: r["n"] / total for r in counts.where(F.col("n") >= MIN_LANGUAGE_SHARE * total).collect()}
+    sizes = {r["lang"]: r["n"] for r in counts.where(F.col("n") >= MIN_LANGUAGE_SHARE * total).collect()}
+    shares = {name: n / total for name, n in sizes.items()}
     langs = tuple(sorted(shares))
     if not langs:
         return Model((), np.zeros(0), np.zeros((len(pieces) + 1, 0)))
+    # first about twice the sample by the size of the hash, so that few rows are ranked however many there are
+    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 2 * SAMPLE_DOCS / n))])
+    some = known.where(F.col("lang").isin(list(langs))).withColumn("order", F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)))
+    some = some.where(F.col("order") < F.element_at(share, F.col("lang")))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
-    sample = known.where(F.col("lang").isin(list(langs))).withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
+    sample = some.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
     words = stored(
         sample.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(F.xxhash64("word")), "language-words")
