@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lurelens.llm.common import kept_columns, named, stored, token
+from lurelens.llm.common import named, stored, token
 
 #: Bound of the training sample, in labelled documents, each with its whole text.
 SAMPLE_DOCS = 20_000
@@ -205,8 +205,6 @@ def mixed_documents(
     classifier = fit_classifier(docs, labels)
     rates = fit_rates(stored(memberships(docs, classifier, key, text), "memberships"), classifier.domains, weights, total, upper=1.0)
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), named(key), named(text)), 11) / F.lit(float(1 << 53))
-    taken = docs.select(
-        F.struct(*[named(c).alias(c) for c in kept_columns(docs, ())]).alias("row"), draw.alias("draw"),
-        classifier.posteriors(token(docs, text)).alias("posteriors"))
-    return taken.where(F.col("draw") < rates.of(F.col("posteriors"))).select(
-        *[F.col("row").getField(c).alias(c) for c in docs.columns])
+    # the posteriors stand once in the plan, however many steps the rates have
+    rate = _transformed(classifier.posteriors(token(docs, text)), lambda posteriors: rates.of(posteriors))
+    return docs.where(draw < rate)
