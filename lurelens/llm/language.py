@@ -16,15 +16,15 @@ from lurelens.llm.common import kept_columns, named, stored
 
 #: Bound of the training sample: documents of each language, each with its whole text.
 SAMPLE_DOCS = 500
-#: A language needs this share of the training documents, so there are at most 100.
-MIN_LANGUAGE_SHARE = 0.01
+#: Languages that are learned and scored at a time, so that dense tables never hold more.
+BLOCK = 64
 ROUNDS = 3
 SMOOTHING = 0.05
 #: Probability of a character that no piece has, alike in all languages.
 UNKNOWN = 1e-8
 #: Longer words are scored in parts, which keeps products of probabilities above the smallest double.
 MAX_PART = 30
-#: Words times languages that a task remembers.
+#: Words times languages that a task remembers, or works out at a time.
 MAX_REMEMBERED = 2_000_000
 UNDETERMINED = "und"
 _START = "▁"
@@ -53,11 +53,22 @@ def letter_words(text: str | None) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    """Languages, their shares of the training documents, and the probability of each piece in each of them."""
+    """Languages, their shares of the training documents, and the probability of each piece in each of them: that of the
+    pieces that a language has, and the one that all others of it share."""
 
     langs: tuple[str, ...]
     priors: np.ndarray
-    probabilities: np.ndarray  # pieces and one row for unknown characters, by language
+    n_pieces: int
+    own: tuple[tuple[np.ndarray, np.ndarray], ...]  # numbers and probabilities of the pieces, by language
+    rest: tuple[float, ...]
+
+    def dense(self, first: int, end: int) -> np.ndarray:
+        """Probabilities of all pieces, and one row for unknown characters, in a run of languages."""
+        table = np.tile(np.array(self.rest[first:end]), (self.n_pieces + 1, 1))
+        for k, (numbers, probabilities) in enumerate(self.own[first:end]):
+            table[numbers, k] = probabilities
+        table[-1] = UNKNOWN
+        return table
 
 
 class Lattices:
@@ -119,36 +130,45 @@ def expected_counts(words: list[str], counts: np.ndarray, lattices: Lattices, pr
 def fit(docs: DataFrame, pieces: list[str], lang: str = "lang", text: str = "text", order: str = "doc_id") -> Model:
     """Piece probabilities of every language in ``docs``, by expectation maximisation over all cuts.
 
-    Languages are counted over all rows. The probabilities come from ``SAMPLE_DOCS`` documents of each language at most,
-    chosen by a hash of ``order``. Rows without language or text teach nothing.
+    Languages are counted over all rows, and every language is learned, however small its share. The probabilities come
+    from ``SAMPLE_DOCS`` documents of each language at most, chosen by a hash of ``order``; ``BLOCK`` languages are worked
+    out at a time. Rows without language or text teach nothing.
     """
     known = docs.select(
         named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text"), F.xxhash64(named(order)).alias("order"),
     ).where("lang is not null and text is not null")
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    sizes = {r["lang"]: r["n"] for r in counts.where(F.col("n") >= MIN_LANGUAGE_SHARE * total).collect()}
-    shares = {name: n / total for name, n in sizes.items()}
-    langs = tuple(sorted(shares))
+    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    total = sum(sizes.values())
+    langs = tuple(sorted(sizes))
     if not langs:
-        return Model((), np.zeros(0), np.zeros((len(pieces) + 1, 0)))
+        return Model((), np.zeros(0), len(pieces), (), ())
     # first about twice the sample by the size of the hash, so that few rows are ranked however many there are
-    share = F.create_map(*[F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 2 * SAMPLE_DOCS / n))])
-    some = known.where(F.col("lang").isin(list(langs))).withColumn("order", F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)))
-    some = some.where(F.col("order") < F.element_at(share, F.col("lang")))
+    some = known.withColumn("order", F.shiftrightunsigned("order", 11) / F.lit(float(1 << 53)))
+    large = {name: 2 * SAMPLE_DOCS / n for name, n in sizes.items() if n > 2 * SAMPLE_DOCS}
+    if large:
+        share = F.create_map(*[F.lit(x) for item in large.items() for x in item])
+        some = some.where(F.col("order") < F.coalesce(F.element_at(share, F.col("lang")), F.lit(1.0)))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("order", F.xxhash64("text")))
     sample = some.withColumn("place", place).where(F.col("place") <= SAMPLE_DOCS)
     words = stored(
         sample.select("lang", "text").mapInArrow(_word_counts, "lang string, word string, n long")
         .groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(F.xxhash64("word")), "language-words")
-    table = np.full((len(pieces) + 1, len(langs)), 1 / max(1, len(pieces)))
-    table[-1] = UNKNOWN
-    for _ in range(ROUNDS):
-        sums = np.zeros_like(table)
-        for row in _expected(words, pieces, langs, table).groupBy("lang", "piece").agg(F.sum("n").alias("n")).collect():
-            sums[row["piece"], langs.index(row["lang"])] = row["n"]
-        table[:-1] = (sums[:-1] + SMOOTHING) / (sums[:-1].sum(axis=0) + SMOOTHING * len(pieces))
-    return Model(langs, np.array([shares[name] for name in langs]), table)
+    own, rest = [], []
+    for first in range(0, len(langs), BLOCK):
+        block = langs[first: first + BLOCK]
+        part = words if len(langs) <= BLOCK else words.where(F.col("lang").isin(list(block)))
+        table = np.full((len(pieces) + 1, len(block)), 1 / max(1, len(pieces)))
+        table[-1] = UNKNOWN
+        for _ in range(ROUNDS):
+            sums = np.zeros_like(table)
+            for row in _expected(part, pieces, block, table).groupBy("lang", "piece").agg(F.sum("n").alias("n")).toLocalIterator():
+                sums[row["piece"], block.index(row["lang"])] = row["n"]
+            table[:-1] = (sums[:-1] + SMOOTHING) / (sums[:-1].sum(axis=0) + SMOOTHING * len(pieces))
+        for k in range(len(block)):
+            numbers = np.flatnonzero(sums[:-1, k])
+            own.append((numbers.astype(np.int32), table[numbers, k]))
+            rest.append(float(SMOOTHING / (sums[:-1, k].sum() + SMOOTHING * len(pieces))) if pieces else UNKNOWN)
+    return Model(langs, np.array([sizes[name] / total for name in langs]), len(pieces), tuple(own), tuple(rest))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,35 +205,55 @@ class Scorer:
     """Log probabilities of words in all languages, remembered while a task lasts."""
 
     def __init__(self, model: Model, pieces: list[str]) -> None:
-        self.model, self.lattices = model, Lattices(pieces)
+        self.model, self.lattices, self.first = model, Lattices(pieces), -1
         self.forget()
 
     def forget(self) -> None:
         self.place: dict[str, int] = {}
         self.logs = np.zeros((0, len(self.model.langs)))
 
+    def _table(self, first: int) -> np.ndarray:
+        if first != self.first:
+            self.first, self.table = first, self.model.dense(first, first + BLOCK)
+        return self.table
+
     def _learn(self, words: list[str]) -> None:
         edges = self.lattices.edges(words)
-        sums = forward(edges, len(words), self.model.probabilities)
-        logs = np.log(sums[np.arange(len(words)), [len(word) for word in words]])
+        at = np.arange(len(words)), [len(word) for word in words]
+        logs = [np.log(forward(edges, len(words), self._table(first))[at]) for first in range(0, len(self.model.langs), BLOCK)]
         self.place.update(zip(words, range(len(self.place), len(self.place) + len(words)), strict=True))
-        self.logs = np.concatenate((self.logs, logs))
+        self.logs = np.concatenate((self.logs, np.concatenate(logs, axis=1)))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The likeliest language of each text and its probability given that it is one of those known."""
-        each = [letter_words(text) for text in texts]
-        if (len(self.place) + 1) * len(self.model.langs) > MAX_REMEMBERED:
-            self.forget()
+    def _sums(self, each: list[list[str]]) -> list[np.ndarray]:
+        """Log probabilities of some texts' words in all languages."""
+        n = len(self.model.langs)
         fresh = list({word for words in each for word in words}.difference(self.place))
+        if n * len(fresh) > MAX_REMEMBERED and sum(map(len, each)) > 1:
+            # halves of the texts, or of the one text that there is
+            self.forget()
+            if len(each) > 1:
+                return self._sums(each[: len(each) // 2]) + self._sums(each[len(each) // 2:])
+            half = len(each[0]) // 2
+            return [self._sums([each[0][:half]])[0] + self._sums([each[0][half:]])[0]]
+        if (len(self.place) + 1) * n > MAX_REMEMBERED:
+            self.forget()
+            fresh = list({word for words in each for word in words})
         for first in range(0, len(fresh), 4096):
             self._learn(fresh[first: first + 4096])
+        return [self.logs[list(map(self.place.__getitem__, words))].sum(axis=0) for words in each]
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The likeliest language of each text and its probability given that it is one of those known."""
+        each = [letter_words(text) for text in texts]
+        if not self.model.langs:
+            return [UNDETERMINED] * len(each), [0.0] * len(each)
         langs, scores = [], []
-        for words in each:
-            if not words or not self.model.langs:
+        for words, logs in zip(each, self._sums(each), strict=True):
+            if not words:
                 langs.append(UNDETERMINED)
                 scores.append(0.0)
                 continue
-            sums = np.log(self.model.priors) + self.logs[list(map(self.place.__getitem__, words))].sum(axis=0)
+            sums = np.log(self.model.priors) + logs
             best = int(np.argmax(sums))
             langs.append(self.model.langs[best])
             scores.append(float(1 / np.exp(sums - sums[best]).sum()))

@@ -100,6 +100,26 @@ def test_language_of_odd_texts(spark):
     assert language.with_language(docs.limit(0), model, pieces).count() == 0
 
 
+def test_small_languages_are_learned(spark, monkeypatch):
+    """Two languages with 2 in 1,000 documents each, in blocks of one language and of all."""
+    random.seed(9)
+    stock = {"en": "the house and of garden man with water".split(), "fi": "talo ja puutarha on mies vesi kanssa".split(), "hu": "a ház és kert az ember víz vele".split()}
+    say = lambda lang: " ".join(random.choice(stock[lang]) for _ in range(40))
+    rows = [(i, say(lang), lang) for i, lang in enumerate(["en"] * 996 + ["fi"] * 2 + ["hu"] * 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    pieces = language.read_pieces(PIECE_MODEL)
+    models = [language.fit(docs, pieces)]
+    monkeypatch.setattr(language, "BLOCK", 1)
+    models.append(language.fit(docs, pieces))
+    assert [m.langs for m in models] == [("en", "fi", "hu")] * 2 and np.allclose(models[0].dense(0, 3), models[1].dense(0, 3))
+    shown = [say(lang) for lang in stock]
+    monkeypatch.setattr(language, "MAX_REMEMBERED", 9)
+    small = language.Scorer(models[1], pieces).predict([*shown, None])
+    monkeypatch.undo()
+    whole = language.Scorer(models[0], pieces).predict([*shown, None])
+    assert small[0] == whole[0] == ["en", "fi", "hu", "und"] and small[1] == pytest.approx(whole[1])
+
+
 def labelled(spark, n=400):
     random.seed(6)
     stock = {(1, 0): "calm lake quiet field".split(), (0, 0): "buy cheap offer now".split(), (1, 1): "vile rage awful hate".split()}
