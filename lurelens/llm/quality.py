@@ -18,8 +18,12 @@ MIN_WORDS = 50
 #: Words a document must have before the histogram of its words is judged, characters before that of its classes is.
 MIN_WORDS_JUDGED = 100
 MIN_CHARS_JUDGED = 200
-#: A language needs this share of the labelled documents to be a reference, so there are at most 100 references.
+#: A language needs this share of the labelled documents or this many words to be a reference.
 MIN_LANGUAGE_SHARE = 0.01
+MIN_REFERENCE_WORDS = 1000
+#: A script is a document's, or a language's, if this share of its characters but white space, or of its documents, has it.
+MIN_SCRIPT_SHARE = 0.5
+MIN_SCRIPT_DOCS = 0.1
 COMMON_WORDS = 100
 #: A word needs this share of all words of its language to be common.
 MIN_WORD_SHARE = 0.001
@@ -53,6 +57,8 @@ class Reference:
     lang: str
     classes: tuple[float, ...]
     words: tuple[tuple[bytes, float], ...]
+    #: Scripts that its documents are written in.
+    scripts: tuple[str, ...] = ()
 
 
 def _class_table() -> np.ndarray:
@@ -84,6 +90,41 @@ def class_counts(text: str) -> np.ndarray:
     return np.bincount(_CLASS_OF[np.minimum(points, 0x250)], minlength=len(CLASSES))
 
 
+#: First code points of runs of letters outside Latin, and their scripts; "" is none.
+_SCRIPTS = (
+    (0x370, "greek"), (0x400, "cyrillic"), (0x530, "armenian"), (0x590, "hebrew"), (0x600, "arabic"), (0x700, "syriac"), (0x750, "arabic"),
+    (0x780, "thaana"), (0x7C0, "nko"), (0x800, ""), (0x8A0, "arabic"), (0x900, "devanagari"), (0x980, "bengali"), (0xA00, "gurmukhi"),
+    (0xA80, "gujarati"), (0xB00, "oriya"), (0xB80, "tamil"), (0xC00, "telugu"), (0xC80, "kannada"), (0xD00, "malayalam"),
+    (0xD80, "sinhala"), (0xE00, "thai"), (0xE80, "lao"), (0xF00, "tibetan"), (0x1000, "myanmar"), (0x10A0, "georgian"),
+    (0x1100, "hangul"), (0x1200, "ethiopic"), (0x13A0, ""), (0x1780, "khmer"), (0x1800, "mongolian"), (0x18B0, ""), (0x1C80, "cyrillic"),
+    (0x1C90, "georgian"), (0x1CC0, ""), (0x1E00, "latin"), (0x1F00, "greek"), (0x2000, ""), (0x2DE0, "cyrillic"), (0x2E00, ""),
+    (0x3040, "kana"), (0x3100, ""), (0x3400, "han"), (0xA000, ""), (0xA640, "cyrillic"), (0xA6A0, ""), (0xAC00, "hangul"), (0xD7B0, ""),
+    (0xF900, "han"), (0xFB00, ""), (0xFB50, "arabic"), (0xFE00, ""), (0xFE70, "arabic"), (0xFF00, ""), (0x20000, "han"), (0x32000, ""),
+)
+_SCRIPT_STARTS = np.array([0, *[first for first, _ in _SCRIPTS]], np.uint32)
+_SCRIPT_NAMES = ("", *[name for _, name in _SCRIPTS])
+_LATIN = [CLASSES.index(c) for c in ("lower", "upper", "latin_lower", "latin_upper")]
+_WHITE = [CLASSES.index(c) for c in ("space", "line_end")]
+
+
+def script_of(classes: np.ndarray, text: str) -> str | None:
+    """The script that most characters of a text have, white space left out; none if they have several or are no letters."""
+    least = MIN_SCRIPT_SHARE * (classes.sum() - classes[_WHITE].sum())
+    if least <= 0:
+        return None
+    if classes[_LATIN].sum() >= least:
+        return "latin"
+    if classes[CLASSES.index("other")] < least:
+        return None
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    counts: Counter = Counter()
+    for at, n in enumerate(np.bincount(np.searchsorted(_SCRIPT_STARTS, points[points >= 0x250], side="right") - 1)):
+        counts[_SCRIPT_NAMES[at]] += int(n)
+    del counts[""]
+    name, most = max(counts.items(), key=lambda x: x[1], default=(None, 0))
+    return name if most >= least else None
+
+
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words`` of a whole text; all 0 for null."""
     text = text or ""
@@ -133,6 +174,7 @@ class Judge:
 
     def __init__(self, references: list[Reference]) -> None:
         self.langs = [r.lang for r in references]
+        self.scripts = {script for r in references for script in r.scripts}
         self.classes = [np.array(r.classes) for r in references]
         #: One column for each word that is common in any reference.
         self.column = {word: i for i, word in enumerate(dict.fromkeys(w for r in references for w, _ in r.words))}
@@ -143,11 +185,14 @@ class Judge:
 
     def results(self, texts: list[str | None]) -> pa.StructArray:
         n = len(texts)
+        known = np.ones(n, bool)
         base = np.array([base_counts(text) for text in texts], np.int64).reshape(n, 5)
         classes, words = np.zeros((n, len(CLASSES))), np.zeros((n, len(self.column)))
         for i, text in enumerate(texts):
             if text and self.langs:
                 classes[i] = class_counts(text)
+                script = script_of(classes[i], text)
+                known[i] = script is None or script in self.scripts
                 for word, count in Counter(lower_words(text)).items():
                     if (at := self.column.get(word)) is not None:
                         words[i, at] = count
@@ -155,8 +200,8 @@ class Judge:
         failed = (n_words < MIN_WORDS) | (100 * base[:, 4] > 50 * n_words)
         classes /= np.maximum(chars, 1)[:, None]
         words /= np.maximum(n_words, 1)[:, None]
-        by_class = self._nearest([divergence(classes, q) for q in self.classes], chars >= MIN_CHARS_JUDGED)
-        by_word = self._nearest([divergence(with_rest(words[:, own]), q) for own, q in self.words], n_words >= MIN_WORDS_JUDGED)
+        by_class = self._nearest([divergence(classes, q) for q in self.classes], known & (chars >= MIN_CHARS_JUDGED))
+        by_word = self._nearest([divergence(with_rest(words[:, own]), q) for own, q in self.words], known & (n_words >= MIN_WORDS_JUDGED))
         far = (np.nan_to_num(by_class[0]) > MAX_CLASS_DISTANCE) | (np.nan_to_num(by_word[0]) > MAX_WORD_DISTANCE)
         return pa.StructArray.from_arrays([
             *[pa.array(base[:, i]) for i in range(5)], pa.array(failed),
@@ -182,8 +227,8 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
     Every document with a language and a text counts, in whole. Most words are rare, so they are counted in two scans.
     In the first, tasks sum what they have read and hand on words that are common there; the sums fall short of the
     truth by a tenth of ``MIN_WORD_SHARE`` at most, so they show every word that can be common. The second counts
-    these exactly. A language needs ``MIN_LANGUAGE_SHARE`` of the documents and a word ``MIN_WORD_SHARE`` of its
-    language's words, which bounds what reaches the driver, whatever the corpus.
+    these exactly. A language needs ``MIN_REFERENCE_WORDS`` words, or ``MIN_LANGUAGE_SHARE`` of the documents, and a word
+    ``MIN_WORD_SHARE`` of its language's words, which bounds what reaches the driver for each language.
     """
     source = docs.select(named(lang).cast("string").alias("lang"), named(text).cast("string").alias("text")).where(
         "lang is not null and text is not null")
@@ -200,16 +245,16 @@ def language_references(docs: DataFrame, lang: str = "lang", text: str = "text")
     for row in words.select("lang", "name").collect():
         candidates[row["lang"]].add(row["name"].encode())
     exact = source.where(F.col("lang").isin(large)).mapInArrow(lambda batches: _exact(batches, candidates), schema)
-    found = {name: {"class": {}, "word": {}, "words": {"": 0}} for name in large}
+    found = {name: {"class": {}, "word": {}, "words": {"": 0}, "script": {}} for name in large}
     for row in exact.groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")).collect():
         found[row["lang"]][row["kind"]][row["name"]] = row["n"]
     return [_reference(name, **parts) for name, parts in sorted(found.items())]
 
 
 def _largest(totals: DataFrame) -> list:
-    """Languages with their share of the documents: at most the inverse of that share."""
+    """Languages with enough words or their share of the documents."""
     documents = totals.agg(F.sum("docs")).first()[0] or 0
-    return totals.where(F.col("docs") >= MIN_LANGUAGE_SHARE * documents).select("lang").collect()
+    return totals.where((F.col("words") >= MIN_REFERENCE_WORDS) | (F.col("docs") >= MIN_LANGUAGE_SHARE * documents)).select("lang").collect()
 
 
 def _reference(lang: str, **parts: dict[str, int]) -> Reference:
@@ -217,7 +262,8 @@ def _reference(lang: str, **parts: dict[str, int]) -> Reference:
     common = sorted(((w, n / words) for w, n in parts["word"].items() if n >= MIN_WORD_SHARE * words), key=lambda x: (-x[1], x[0]))
     return Reference(
         lang, tuple(parts["class"].get(c, 0) / chars for c in CLASSES),
-        tuple((word.encode(), share) for word, share in common[:COMMON_WORDS]))
+        tuple((word.encode(), share) for word, share in common[:COMMON_WORDS]),
+        tuple(s for s, n in sorted(parts["script"].items()) if n >= MIN_SCRIPT_DOCS * sum(parts["script"].values())))
 
 
 def _counted(rows: list[tuple[str, str, str, int]]) -> pa.RecordBatch:
@@ -251,17 +297,21 @@ def _common_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _exact(batches: Iterator[pa.RecordBatch], candidates: dict[str, set[bytes]]) -> Iterator[pa.RecordBatch]:
-    """Classes, words, and each candidate word of a language, summed over the whole task."""
+    """Classes, scripts, words, and each candidate word of a language, summed over the whole task."""
     classes = {lang: np.zeros(len(CLASSES), np.int64) for lang in candidates}
     total: Counter = Counter()
+    scripts: Counter = Counter()
     found: dict[str, Counter] = {lang: Counter() for lang in candidates}
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            classes[lang] += class_counts(text)
+            classes[lang] += (own := class_counts(text))
+            if (script := script_of(own, text)) is not None:
+                scripts[lang, script] += 1
             words = lower_words(text)
             total[lang] += len(words)
             found[lang].update(filter(candidates[lang].__contains__, words))
     rows = [(lang, "class", c, n) for lang, each in classes.items() for c, n in zip(CLASSES, each.tolist(), strict=True) if n]
+    rows += [(lang, "script", script, n) for (lang, script), n in scripts.items()]
     rows += [(lang, "words", "", n) for lang, n in total.items()]
     rows += [(lang, "word", w.decode(), n) for lang, each in found.items() for w, n in each.items()]
     yield _counted(rows)
@@ -274,8 +324,10 @@ def quality_column(references: list[Reference], text: Column) -> Column:
         judged = Judge(references)
         for batch in texts:
             parts = []
-            for first in range(0, len(batch), _ROWS):
-                parts.append(judged.results(batch.slice(first, _ROWS).to_pylist()))
+            # one count for each row and common word, so fewer rows at a time where there are many references
+            some = max(1, min(_ROWS, 4_000_000 // max(1, len(judged.column))))
+            for first in range(0, len(batch), some):
+                parts.append(judged.results(batch.slice(first, some).to_pylist()))
             yield pa.concat_arrays(parts) if parts else pa.array([], _RESULT)
 
     return judge(text.cast("string"))
@@ -287,7 +339,8 @@ def with_quality(docs: DataFrame, lang: str = "lang", text: str = "text") -> Dat
     Base rules: a document fails with under 50 words, or if more than half of its words lie in runs of three words that
     it has twice or more. ``kept`` is false for these, and for documents whose character classes or common words are
     far from those of every language of the table. Distances are null, and don't count, for texts too short to be
-    judged (under 200 characters, under 100 words) and where no document has a language.
+    judged (under 200 characters, under 100 words), for texts in a script that no reference is written in, and where no
+    document has a language. Only the base rules decide on these.
 
     Defined results: null and empty texts have no words and fail; copies of a row each get their own result; a
     document's own language label plays no part in its verdict; columns named like the added ones are replaced. An

@@ -60,6 +60,18 @@ def test_divergence_finds_strange_text_and_keeps_plain_text(spark):
     assert all(got[i]["kept"] for i in range(40)) and not got[40]["kept"] and not got[40]["base_failed"]
 
 
+def test_documents_of_small_languages_are_kept(spark):
+    """A Greek language of two documents in 500 that is a reference, and a Cyrillic text whose script none has."""
+    import random
+    random.seed(8)
+    stock = {"en": "the of and river stone market window garden".split(), "el": "και το της νερό κήπος πέτρα αγορά".split(), "ru": "и в на вода камень рынок окно".split()}
+    say = lambda lang: " ".join(random.choice(stock[lang]) + (random.choice("abcdefgh") if lang == "en" else random.choice("αβγδεζη") if lang == "el" else random.choice("абвгдеж")) * (random.random() < 0.6) for _ in range(600))
+    rows = [(i, lang, say(lang)) for i, lang in enumerate(["en"] * 498 + ["el"] * 2)] + [(500, None, say("ru")), (501, "ru", " ".join(say("ru").split()[:150]))]
+    got = {r["doc_id"]: r for r in quality.with_quality(spark.createDataFrame(rows, "doc_id long, lang string, text string")).collect()}
+    assert not got[498]["base_failed"] and got[498]["kept"] and got[499]["kept"] and got[499]["nearest"] == "el"
+    assert all(got[i]["base_failed"] or got[i]["kept"] and got[i]["class_distance"] is None for i in (500, 501))
+
+
 def test_quality_without_languages_with_clashing_columns_and_empty(spark):
     docs = texts(spark, [*ODD, " ".join(f"w{i}" for i in range(60))]).withColumn("lang", F.lit(None).cast("string")).withColumn("KEPT", F.lit("x"))
     got = quality.with_quality(docs).orderBy("doc_id").collect()
