@@ -170,7 +170,9 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
     signatures is equal. The documents of a band are not paired with each other but with its hubs, those that share
     most bands with others: first with the foremost one, and if that leaves them in another class, with the next two,
     the next four, and so on. Pairs within a class are not looked at. ``ROUNDS`` such rounds compare all documents of
-    bands with up to ``2 ** ROUNDS`` documents; further rounds follow as long as the last one has found links.
+    bands with up to ``2 ** ROUNDS`` documents; further rounds follow as long as the last one has found links. Whatever
+    larger bands still hold in several classes is then compared exactly, by rare shingles (``_rare_places``): no pair of
+    theirs that is similar enough stays apart.
 
     ``class_id`` is the smallest key in the class, ``n_links`` how many links of the document were verified (links to
     copies of the same words count as one).
@@ -192,6 +194,20 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
     bag = keyed.mapInArrow(_elements, "doc long, bag array<int>").join(weight.select("doc").hint("merge"), "doc", "left_semi")
     bag = stored(bag, "bags")
 
+    links, classes = linked(members, bag, similarity)
+    same = signed.select("doc", "words1", "words2").join(firsts.select("words1", "words2", "same"), ["words1", "words2"])
+    ends = links.select(F.col("hub").alias("same")).unionByName(links.select(F.col("doc").alias("same")))
+    found = same.join(classes.withColumnRenamed("doc", "same"), "same", "left").join(
+        ends.groupBy("same").agg(F.count("*").alias("links")), "same", "left")
+    # rows that share a key share a class
+    by_doc = found.groupBy("doc").agg(F.min(F.coalesce("class", "same")).alias("class"), F.max("links").alias("links"))
+    return docs.select(named(key).alias("doc_id")).join(by_doc.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select(
+        "doc_id", F.coalesce("class", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def linked(members: DataFrame, bag: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Verified links ``(hub, doc)`` and classes ``(doc, class)`` of the documents that ``members (band, doc, rank)`` brings
+    together."""
     classes = stored(members.select("doc").distinct().withColumn("class", F.col("doc")), "classes")
     hubs = members.groupBy("band").agg(F.max_by("doc", "rank").alias("hub"))
     stars = stored(members.join(hubs, "band").where("doc <> hub").groupBy("hub", "doc").agg(F.count("*").alias("shared")), "stars")
@@ -212,15 +228,16 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
         more = stored(_verified(pairs, bag, similarity), "links")
         links, classes = links.unionByName(more), connected(classes, more.toDF("a", "b"))
         tried, round_ = tried.unionByName(pairs), round_ + 1
-
-    same = signed.select("doc", "words1", "words2").join(firsts.select("words1", "words2", "same"), ["words1", "words2"])
-    ends = links.select(F.col("hub").alias("same")).unionByName(links.select(F.col("doc").alias("same")))
-    found = same.join(classes.withColumnRenamed("doc", "same"), "same", "left").join(
-        ends.groupBy("same").agg(F.count("*").alias("links")), "same", "left")
-    # rows that share a key share a class
-    by_doc = found.groupBy("doc").agg(F.min(F.coalesce("class", "same")).alias("class"), F.max("links").alias("links"))
-    return docs.select(named(key).alias("doc_id")).join(by_doc.withColumnRenamed("doc", "doc_id"), "doc_id", "left").select(
-        "doc_id", F.coalesce("class", F.col("doc_id").cast("long")).alias("class_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    open_docs = stored(_open_documents(members, classes, 1 << round_), "open")
+    if not open_docs.isEmpty():
+        places = stored(_rare_places(bag.join(open_docs, "doc", "left_semi"), similarity), "rare-places")
+        # one document for each rare shingle first, so that families are one class before all that is left is paired
+        for pairs in (_rare_stars, _rare_pairs):
+            pairs = stored(pairs(places, classes, similarity).join(tried, ["hub", "doc"], "left_anti"), "pairs")
+            more = stored(_verified(pairs, bag, similarity), "links")
+            links, classes = links.unionByName(more), connected(classes, more.toDF("a", "b"))
+            tried = tried.unionByName(pairs)
+    return links, classes
 
 
 def _ranked(size: str, doc: str) -> Column:
@@ -249,6 +266,56 @@ def _next_pairs(members: DataFrame, left: DataFrame, classes: DataFrame, round_:
     return _apart(_unordered(pairs.where("doc <> hub")).distinct(), classes)
 
 
+def _open_documents(members: DataFrame, classes: DataFrame, done: int) -> DataFrame:
+    """Documents of the bands that hold several classes, and more documents than are ``done``."""
+    placed = members.join(classes, "doc")
+    several = placed.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("least"), F.max("class").alias("most")).where(
+        (F.col("n") > done) & F.expr("least <> most"))
+    return placed.join(several, "band", "left_semi").select("doc").distinct()
+
+
+def _rare_places(bag: DataFrame, similarity: float) -> DataFrame:
+    """The rarest shingles of each bag that others have too: ``element, doc, size, at``.
+
+    All bags are ordered alike, rare shingles first; ``at`` is a shingle's place in its bag. Of two bags that are similar
+    enough, the first common shingle stands among the first ``size - ceil(similarity * size) + 1`` of both.
+    """
+    # rows that share a key have bags of their own
+    sets = bag.select("doc", F.xxhash64("bag").alias("version"), F.array_distinct("bag").alias("bag")).dropDuplicates(["doc", "version"])
+    each = sets.select("doc", "version", F.size("bag").alias("size"), F.explode("bag").alias("element"))
+    shared = each.groupBy("element").agg(F.count("*").alias("n")).where("n > 1")
+    ordered = each.join(shared, "element").groupBy("doc", "version", "size").agg(
+        F.sort_array(F.collect_list(F.struct("n", "element"))).alias("own"))
+    single = F.col("size") - F.size("own")
+    length = F.col("size") - F.ceil(similarity * F.col("size") - 1e-9) + 1 - single
+    first = ordered.where(length > 0).select("doc", "size", single.alias("single"), F.posexplode(F.slice("own", F.lit(1), length.cast("int"))))
+    return first.select("col.element", "doc", "size", (F.col("single") + F.col("pos")).alias("at"))
+
+
+def _may_be_similar(similarity: float) -> Column:
+    """Whether two bags can overlap enough if a shingle at these places is the first that they share."""
+    most = F.least(F.col("size") - F.col("at"), F.col("hub_size") - F.col("hub_at"))
+    return most >= similarity / (1 + similarity) * (F.col("size") + F.col("hub_size")) - 1e-6
+
+
+def _rare_stars(places: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Each document with one of another class: of the foremost ones of its rare shingles, that of most shingles."""
+    placed = places.join(classes, "doc")
+    hubs = placed.groupBy("element").agg(F.max_by(F.struct("doc", "size", "at", "class"), F.xxhash64("doc")).alias("hub")).select(
+        "element", F.col("hub.doc").alias("hub"), F.col("hub.size").alias("hub_size"), F.col("hub.at").alias("hub_at"), F.col("hub.class").alias("hub_class"))
+    both = placed.join(hubs, "element").where((F.col("class") != F.col("hub_class")) & _may_be_similar(similarity))
+    shared = both.groupBy("hub", "doc").agg(F.count("*").alias("shared"))
+    return _unordered(shared.groupBy("doc").agg(F.max_by("hub", _ranked("shared", "hub")).alias("hub"))).distinct()
+
+
+def _rare_pairs(places: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """All pairs of different classes that share a rare shingle and can be similar enough."""
+    placed = places.join(classes, "doc")
+    others = placed.select("element", *[F.col(c).alias(f"hub_{c}" if c != "doc" else "hub") for c in ("doc", "size", "at", "class")])
+    both = placed.join(others, "element").where((F.col("doc") < F.col("hub")) & (F.col("class") != F.col("hub_class")) & _may_be_similar(similarity))
+    return both.select("hub", "doc").distinct()
+
+
 def one_of_each(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The document of smallest key of every class, with all its columns; of rows that share that key, one stays. Rows
     with a null key all stay."""

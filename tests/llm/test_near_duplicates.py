@@ -100,6 +100,31 @@ def test_documents_left_by_one_hub_find_others(spark):
     assert {r["doc_id"]: r["class_id"] for r in got} == plain_classes(rows)
 
 
+def test_pairs_in_large_bands_that_are_far_from_all_hubs(spark):
+    """Choices of three quarters of the same passages: large bands of many classes, where only pairs are similar."""
+    random.seed(21)
+    passages = [" ".join(f"p{i}w{k}" for k in range(40)) for i in range(20)]
+    rows = []
+    for _ in range(200):
+        own = set(random.sample(range(20), 15))
+        out, new = random.choice(sorted(own)), random.choice([i for i in range(20) if i not in own])
+        for chosen in (own, own - {out} | {new}):
+            rows.append(" ".join(passages[i] for i in sorted(chosen)))
+    random.shuffle(rows)
+    rows = list(enumerate(rows))
+    got = near_duplicates.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in got} == plain_classes(rows)
+
+
+def test_pair_in_one_large_band_that_is_far_from_all_hubs(spark):
+    bags = [(i, list(range(100 * i, 100 * i + 100))) for i in range(40)]
+    bags[3] = (3, bags[5][1][:90] + list(range(9000, 9010)))
+    members = spark.createDataFrame([(1, i, i) for i in range(40)], "band long, doc long, rank long")
+    links, classes = near_duplicates.linked(members, spark.createDataFrame(bags, "doc long, bag array<int>"), 0.8)
+    assert [set(r) for r in links.collect()] == [{3, 5}]
+    assert {r["doc"]: r["class"] for r in classes.collect()} == {i: 3 if i == 5 else i for i in range(40)}
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(7)
     rows, hashes, weights, truth = [], [], [], []
