@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lurelens.llm import archive, decontamination, language, mixing, near_duplicates, quality, repeated_bytes, repeated_lines, sharding, token_counts
+from lurelens.llm import archive, conversations, decontamination, language, mixing, near_duplicates, quality, repeated_bytes, repeated_lines, sharding, token_counts
 from lurelens.llm.common import table
 from lurelens.session import fresh_folder
 
@@ -73,6 +73,41 @@ select page_id, payload_bytes,
   case when page_id = newest then 'response' else 'revisit' end as record_type,
   case when page_id <> newest then newest end as refers_to from digits"""
 
+#: CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(cast(conv_id as varchar), ''), lambda d:
+    [ascii(d), -1, -1, -1, -1, -1, -1, -1, -1]))), lambda crc, e: case when e >= 0 then xor(crc, e)
+    else xor(crc >> 1, 3988292384 * (crc & 1)) end), 4294967295)"""
+#: In DuckDB, with whole texts as keys and every pair of a node and one above it.
+ORACLES["op11_conversation_trie"] = f"""
+with own as (
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, role, text) as place from conversations where conv_id is not null),
+convs as (select conv_id, conv_id - conv_id % 20 as base, {_CRC} % 4 as h from (select distinct conv_id from own)),
+built as (
+  select c.conv_id, place, role, text from convs c join own o on o.conv_id = c.base and place <= h
+  union all select conv_id, place, role, text from own join convs using (conv_id) where place > h),
+turns as (select conv_id, row_number() over (partition by conv_id order by place) as depth, role, text from built),
+paths as (
+  select conv_id, depth, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by depth) as path,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) as n_words from turns
+  union all select conv_id, 0, '', 0 from convs),
+nodes as (
+  select depth, path, min(conv_id) as conv_id, count(*) as n_convs, max(n_words) as n_words from paths group by depth, path),
+steps as (
+  select n.*, p.path as parent from nodes n left join paths p on p.conv_id = n.conv_id and p.depth = n.depth - 1),
+children as (select depth - 1 as depth, parent as path, count(*) as n_children from steps where depth > 0 group by all),
+below as (
+  select p.depth, p.path, sum((s.n_convs - 1) * s.n_words) as saved_tokens, count(*) filter (c.path is null) as n_leaves
+  from steps s join paths p on p.conv_id = s.conv_id and p.depth <= s.depth left join children c on c.depth = s.depth and c.path = s.path
+  group by all),
+ends as (
+  select depth, path, sha256(string_agg(cast(conv_id as varchar), ',' order by conv_id)) as ends_sha256
+  from (select conv_id, max(depth) as depth from paths group by conv_id) join paths using (conv_id, depth) group by all)
+select s.conv_id, s.depth, u.conv_id as parent_conv_id, s.n_convs, coalesce(c.n_children, 0) as n_children, b.n_leaves,
+  cast(b.saved_tokens as bigint) as saved_tokens, coalesce(e.ends_sha256, sha256('')) as ends_sha256
+from steps s join below b using (depth, path) left join children c using (depth, path) left join ends e using (depth, path)
+left join nodes u on u.depth = s.depth - 1 and u.path = s.parent"""
+
 
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
@@ -154,6 +189,12 @@ def op10_warc_archive(spark: SparkSession, folder: str) -> DataFrame:
     return archive.read_records(spark, written)
 
 
+@query
+def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Every node of the trie of all rebuilt conversations."""
+    return conversations.conversation_nodes(table(spark, folder, "conversations"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The training corpus: every document that all stages keep, with its shard."""
