@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lurelens.llm import archive, conversations, decontamination, language, mixing, near_duplicates, quality, repeated_bytes, repeated_lines, sharding, token_counts
+from lurelens.llm import archive, conversations, credentials, decontamination, language, mixing, near_duplicates, phrases, quality, repeated_bytes, repeated_lines, sharding, token_counts
 from lurelens.llm.common import table
 from lurelens.session import fresh_folder
 
@@ -109,6 +109,79 @@ from steps s join below b using (depth, path) left join children c using (depth,
 left join nodes u on u.depth = s.depth - 1 and u.path = s.parent"""
 
 
+#: In DuckDB, with all phrases counted at once.
+ORACLES["op12_phrase_mining"] = f"""
+with texts as (
+  select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) as piece from texts)),
+totals as (select lang, sum(len(w)) as n from pieces group by lang),
+runs as (
+  select lang, k, list_slice(w, i, i + k - 1) as phrase
+  from (select lang, w, k, unnest(range(1, len(w) - k + 2)) as i from pieces, (select unnest(range(1, 5)) as k) where len(w) >= k)),
+counts as (select lang, k, phrase, count(*) as f from runs group by all having f >= 30),
+cuts as (
+  select c.lang, c.k, c.phrase, c.f as a, cut, l.f as l, r.f as r, cast(2000000 * cast(c.f as hugeint) // (l.f + r.f) as bigint) as score
+  from (select *, unnest(range(1, k)) as cut from counts where k > 1) c
+  join counts l on l.lang = c.lang and l.phrase = list_slice(c.phrase, 1, cut)
+  join counts r on r.lang = c.lang and r.phrase = list_slice(c.phrase, cut + 1, c.k)),
+best as (select * from cuts qualify row_number() over (partition by lang, phrase order by score, cut) = 1),
+inner_ as (
+  select lang, f, list_slice(phrase, i, j) as phrase
+  from (select *, unnest(range(i + 1, k + 1)) as j from (select *, unnest(range(1, k)) as i from counts where k > 2)) where j - i + 1 < k),
+around as (select lang, phrase, max(f) as around from inner_ group by all),
+ranked as (
+  select b.*, array_to_string(b.phrase, ' ') as words from best b left join around o on o.lang = b.lang and o.phrase = b.phrase
+  where o.around is null or 100 * o.around < 80 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, words) as rank, words as phrase, a, l, r, cast(n as bigint) as n, score
+from ranked join totals using (lang) qualify rank <= 2000"""
+
+
+def _matches(number: int, kind: str, pattern: str, good: str = "true") -> str:
+    """Spans of one kind; ``m`` is a match, ``value`` the second group of it."""
+    pattern = pattern.replace("'", "''")
+    values = f"regexp_extract_all(t, '{pattern}', 2)" if "value" in good else "m"
+    return f"""select row, {number} as number, '{kind}' as kind, start, start + length(m) as stop from (
+      select row, m[i] as m, value[i] as value, cast(list_sum(list_transform(parts[:i], lambda x: length(x)))
+        + coalesce(list_sum(list_transform(m[:i - 1], lambda x: length(x))), 0) as bigint) as start
+      from (select row, m, value, parts, unnest(range(1, len(m) + 1)) as i
+        from (select *, {values} as value from (
+          select row, t, regexp_extract_all(t, '{pattern}') as m, regexp_split_to_array(t, '{pattern}') as parts from texts)))) where {good}"""
+
+
+_RANDOM = "regexp_matches(m, '[0-9]') and (regexp_matches(m, '[a-z]') and regexp_matches(m, '[A-Z]') or regexp_matches(m, '^[0-9a-f]+$'))"
+_CLOSE = f"a.row = b.row and a.scope = b.scope and (b.start - a.stop between 0 and {credentials.REACH} or a.start - b.stop between 0 and {credentials.REACH})"
+#: In DuckDB, with joins of all parts of a text.
+ORACLES["op13_secret_scans"] = f"""
+with texts as materialized (select doc_id, coalesce(text, '') as t, row_number() over () as row from documents),
+strong as materialized (
+  {_matches(0, "assign", credentials.ASSIGN, f"length(value) >= {credentials.ASSIGN_VALUE}")}
+  union all {_matches(1, "access", credentials.ACCESS)}
+  union all {_matches(2, "hex", credentials.HEX)}),
+named as ({_matches(3, "identifier", credentials.IDENTIFIER)} union all {_matches(5, "endpoint", credentials.ENDPOINT)}),
+names as materialized (select * from named a where not exists (from strong b where a.row = b.row and a.start < b.stop and b.start < a.stop)),
+tokens as materialized (
+  select * from ({_matches(4, "secret", credentials.SECRET, _RANDOM)}) a
+  where not exists (from (from strong union all from named) b where a.row = b.row and a.start < b.stop and b.start < a.stop)),
+gaps as materialized ({_matches(6, "gap", credentials.BLANK)}),
+parts as materialized (
+  select p.*, (select count(*) from gaps g where g.row = p.row and g.start < p.start) as scope
+  from (from strong union all from names union all from tokens) p),
+secrets as materialized (
+  select * from parts a where number in (0, 2, 4) and exists (from parts b where b.number in (1, 3) and {_CLOSE})),
+added as (
+  select row, number, kind, start, stop from secrets where number = 4
+  union all select row, number, kind, start, stop from parts a where number = 3 and exists (from parts b where b.number in (0, 2, 4) and {_CLOSE})
+  union all select row, number, kind, start, stop from parts a where number = 5 and exists (from secrets b where {_CLOSE})),
+every as (
+  select row, number, start, kind || ':' || start || ':' || stop as span, number < {credentials.STRONG} as base from (from strong union all from added))
+select doc_id, count(*) filter (number = 0) as n_assign, count(*) filter (number = 1) as n_access, count(*) filter (number = 2) as n_hex,
+  sha256(coalesce(string_agg(span, ',' order by start, number) filter (base), '')) as base_sha256,
+  coalesce(string_agg(span, ',' order by start, number), '') as spans
+from texts left join every using (row) group by row, doc_id"""
+
+
 def query(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     QUERIES[build.__name__] = build
     return build
@@ -195,6 +268,24 @@ def op11_conversation_trie(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.conversation_nodes(table(spark, folder, "conversations"))
 
 
+@query
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The foremost collocations of every language."""
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
+@query
+def op13_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, by their form or by linked parts."""
+    found = credentials.find_secrets(table(spark, folder, "documents"))
+    base = F.filter("spans", lambda span: ~span["linked"])
+    of_kind = lambda kind: F.size(F.filter("spans", lambda span: span["kind"] == kind)).cast("long")
+    counts = [of_kind(kind).alias(f"n_{kind}") for kind in credentials.KINDS[:credentials.STRONG]]
+    return found.select(
+        "doc_id", *counts, F.sha2(credentials.listed(base).cast("binary"), 256).alias("base_sha256"),
+        credentials.listed(F.col("spans")).alias("spans"))
+
+
 @query
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """The training corpus: every document that all stages keep, with its shard."""
