@@ -6,6 +6,7 @@ after every level, so a lost executor costs one level at most.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lurelens.schemas import as_json, emit
-from lurelens.session import ensure_checkpoint_dir
+from lurelens.session import ensure_checkpoint_dir, fresh_folder
 
 # Exploration limits.
 MAX_DEPTH = 6
@@ -32,6 +33,14 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """Write a step to the shared folder and read it back: like a checkpoint, but later joins of a step with itself are free
+    to rename its columns."""
+    path = fresh_folder(df.sparkSession, "graph-step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def dedupe_states(states: DataFrame, keys: tuple[str, ...] = ("target_id", "dom_hash")) -> DataFrame:
     """The first state per key by depth and id. Use ``(target_id, url, dom_hash)`` for the stored form."""
     rest = [c for c in states.columns if c not in keys and c not in ("depth", "state_id")]
@@ -63,7 +72,7 @@ def root_paths(states: DataFrame, transitions: DataFrame) -> DataFrame:
 
     Every state holds an ancestor and the path from it. In each round states whose ancestor has its whole path are
     done, the others jump to their ancestor's ancestor, so rounds grow with the logarithm of the longest path, which is
-    not limited. States on a cycle without a root have no path and are not returned.
+    not limited. States that hang on a cycle without a root are not returned; see ``every_path``.
     """
     keys = ["target_id", "state_id"]
     steps = first_incoming(transitions).select(
@@ -72,20 +81,76 @@ def root_paths(states: DataFrame, transitions: DataFrame) -> DataFrame:
     )
     waiting = _checkpoint(steps)
     roots = states.select(*keys).distinct().join(waiting, keys, "left_anti")
-    found = _checkpoint(roots.withColumn("path", F.array().cast("array<string>")))
+    return _followed(_checkpoint(roots.withColumn("path", F.array().cast("array<string>"))), waiting)
+
+
+def _followed(found: DataFrame, waiting: DataFrame, cut: Callable[[DataFrame], DataFrame] = _checkpoint) -> DataFrame:
+    """``found (target_id, state_id, path)`` and all of ``waiting (target_id, state_id, ancestor, path)`` that hang on it."""
+    keys = ["target_id", "state_id"]
     while True:
         above = found.select("target_id", F.col("state_id").alias("ancestor"), F.col("path").alias("_above"))
-        done = _checkpoint(waiting.join(above, ["target_id", "ancestor"]).select(*keys, F.concat("_above", "path").alias("path")))
+        done = cut(waiting.join(above, ["target_id", "ancestor"]).select(*keys, F.concat("_above", "path").alias("path")))
         if done.isEmpty():
             return found
         found = found.unionByName(done)
         higher = waiting.select(
             "target_id", F.col("state_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("path").alias("_above"))
-        waiting = _checkpoint(
+        waiting = cut(
             waiting.join(done, keys, "left_anti").join(higher, ["target_id", "ancestor"])
             .select(*keys, F.col("_next").alias("ancestor"), F.concat("_above", "path").alias("path")))
 
 
+def every_path(states: DataFrame, transitions: DataFrame) -> DataFrame:
+    """``(target_id, state_id, path, cyclic)``: the paths of ``root_paths``, and paths of the states that no root reaches.
+
+    Walking back from those ends in a cycle. The cycle's smallest state stands for its root: the edge into it is left out,
+    and paths begin there; ``cyclic`` is true. So every state has a path, and no path visits a state twice.
+    """
+    keys = ["target_id", "state_id"]
+    found = _written(root_paths(states, transitions))
+    steps = first_incoming(transitions).select(
+        "target_id", F.col("to_state").alias("state_id"), F.col("from_state").alias("ancestor"),
+        F.array(F.col("transition_id").cast("string")).alias("path"))
+    steps = _written(steps.join(found, keys, "left_anti"))
+    rooted = found.withColumn("cyclic", F.lit(False))
+    if steps.isEmpty():
+        return rooted
+    heads = _written(_cycle_heads(steps.select(*keys, "ancestor")))
+    below = _followed(_written(heads.withColumn("path", F.array().cast("array<string>"))), _written(steps.join(heads, keys, "left_anti")), _written)
+    return rooted.unionByName(below.withColumn("cyclic", F.lit(True)))
+
+
+def _leap(steps: DataFrame, *columns: Column) -> DataFrame:
+    """Steps ``(target_id, state_id, ancestor)`` twice as far; ``_further.ancestor`` is where the second half ends."""
+    ahead = steps.select("target_id", F.col("state_id").alias("ancestor"), F.struct(*steps.columns[2:]).alias("_further"))
+    return _written(steps.join(ahead, ["target_id", "ancestor"]).select("target_id", "state_id", F.col("_further.ancestor").alias("ancestor"), *columns))
+
+
+def _cycle_heads(steps: DataFrame) -> DataFrame:
+    """Smallest state of every cycle of ``steps (target_id, state_id, ancestor)``, in which every ancestor has a step itself.
+
+    States that some number of steps back reach become fewer as the number doubles, until only cycles are left: two equal
+    counts in a row say so. Their smallest labels then travel around, twice as far each round, until none changes.
+    """
+    keys = ["target_id", "state_id"]
+    reached = lambda df: _written(df.select("target_id", F.col("ancestor").alias("state_id")).distinct())
+    far, ring = steps, reached(steps)
+    size = ring.count()
+    while True:
+        far = _leap(far)
+        ring = reached(far)
+        before, size = size, ring.count()
+        if before == size:
+            break
+    labels = _written(steps.join(ring, keys, "left_semi").withColumn("label", F.col("state_id")))
+    while True:
+        label = F.least("label", "_further.label")
+        labels = _leap(labels, label.alias("label"), (label < F.col("label")).alias("changed"))
+        if labels.where("changed").isEmpty():
+            return labels.where(F.col("label") == F.col("state_id")).select(keys)
+        labels = labels.drop("changed")
+
+
 class Exploration(NamedTuple):
     nodes: DataFrame
     probe_status: DataFrame | None

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lurelens.operators.intake import with_intake
+from lurelens.operators.paging import page_at
 
 # How long a verdict is reused, and the size of a listing page.
 CACHE_HOURS = 24
 PAGE_SIZE = 50
+#: Pages that begin behind so many rows are found by counting instead of sorting.
+DEEP_OFFSET = 10_000
 
 SUMMARY = [
     "target_id", "input_url", "final_url", "status", "created_at", "classification", "confidence", "brand",
@@ -57,10 +60,12 @@ def newest_first() -> list[Column]:
 
 def list_targets(
     targets: DataFrame, verdicts: DataFrame, states: DataFrame, transitions: DataFrame,
-    limit: int = PAGE_SIZE, offset: int = 0, **filters: str | None,
+    limit: int = PAGE_SIZE, offset: int = 0, deep_offset: int = DEEP_OFFSET, **filters: str | None,
 ) -> DataFrame:
-    """One page of analyses, newest first. The page is cut (top-k) before verdicts are joined and children counted."""
-    page = _selected(targets, verdicts, filters).orderBy(*newest_first()).offset(offset).limit(limit)
+    """One page of analyses, newest first. The page is cut (top-k) before verdicts are joined and children counted; one
+    that begins behind ``deep_offset`` rows is found by ``page_at``."""
+    rows = _selected(targets, verdicts, filters)
+    page = rows.orderBy(*newest_first()).offset(offset).limit(limit) if offset < deep_offset else page_at(rows, offset, limit)
     ids = page.select("target_id")
     counted = with_counts(with_verdict(page, verdicts.join(ids, "target_id", "left_semi")), states=states, transitions=transitions)
     return counted.select(*(c for c in SUMMARY if c in counted.columns)).orderBy(*newest_first())

@@ -104,8 +104,11 @@ _CHILD_ORDER = {
 }
 
 
-def graph_rows(tables: dict[str, DataFrame], ids: DataFrame | None = None) -> DataFrame:
-    """Full graphs in long form: ``(target_id, section, sort_key, body)``, one JSON body per stored row.
+def graph_rows(
+    tables: dict[str, DataFrame], ids: DataFrame | None = None, columns: dict[str, tuple[str, ...]] | None = None,
+) -> DataFrame:
+    """Full graphs in long form: ``(target_id, section, sort_key, body)``, one JSON body per stored row, with the ``columns``
+    named for its table or all of them.
 
     Every table is reduced to the wanted ids by a semi join. A graph stays a run of rows instead of one
     nested value, so a target that owns a third of all rows is split over many tasks.
@@ -119,7 +122,7 @@ def graph_rows(tables: dict[str, DataFrame], ids: DataFrame | None = None) -> Da
         parts.append(df.select(
             "target_id", F.lit(section).alias("section"), F.lit(name).alias("part"),
             F.concat_ws("|", *(_sortable(df, c) for c in order)).alias("sort_key"),
-            F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"),
+            F.to_json(F.struct(*(columns or {}).get(name, df.columns)), {"ignoreNullFields": "false"}).alias("body"),
         ))
     rows = parts[0]
     for part in parts[1:]:

@@ -3,4 +3,4 @@
 from __future__ import annotations
 
 from workload.registry import ORACLES, QUERIES  # noqa: F401
-from workload import cases, feeds, graphs, intake, lexical, pages, probes, store, streams  # noqa: F401, E402
+from workload import cases, feeds, graphs, intake, lexical, pages, probes, serving, store, streams  # noqa: F401, E402

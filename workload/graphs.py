@@ -46,11 +46,11 @@ def transition_kind_maps(t: Inputs):
 
 
 @query("""
-    select t.target_id, coalesce(s.n, 0) as num_states, 0 as num_transitions, coalesce(s.d, 0) as max_depth_reached
-    from targets t left join (select target_id, count(*) as n, max(depth) as d from states group by target_id) s using (target_id)""")
+    select t.target_id, coalesce(s.n, 0) as num_states, cast(coalesce(x.n, 0) as int) as num_transitions, coalesce(s.d, 0) as max_depth_reached
+    from targets t left join (select target_id, count(*) as n, max(depth) as d from case_states group by target_id) s using (target_id)
+      left join (select target_id, count(*) as n from case_transitions group by target_id) x using (target_id)""")
 def graph_sizes(t: Inputs):
-    edges = t.transitions.select(F.concat(F.lit("none-"), F.col("target_id")).alias("target_id"))
-    return jobs.graph_size(t.targets, t.states, edges).withColumns({
+    return jobs.graph_size(t.targets, t.case_states, t.case_transitions).withColumns({
         "num_transitions": F.col("num_transitions").cast("int"), "max_depth_reached": F.col("max_depth_reached").cast("int"),
     })
 

@@ -9,6 +9,7 @@ from lurelens.operators import decisions, history as jobs, overrides
 from lurelens.schemas import TABLES
 from lurelens.session import fresh_folder
 from lurelens.sources import tables as store
+from lurelens.sources.graph_store import GraphStore
 from workload.registry import Inputs, query
 
 _STAMP = "strftime(created_at, '%Y-%m-%d')"
@@ -18,7 +19,7 @@ def _stamp(column: str = "created_at"):
     return F.date_format(column, "yyyy-MM-dd").alias(column)
 
 
-def _no_edges(t: Inputs):
+def _case_edges(t: Inputs):
     return t.case_transitions
 
 
@@ -33,7 +34,7 @@ _COUNTED = """
     with {_COUNTED} select target_id, input_url, final_url, status, {_STAMP} as created_at, classification, confidence, num_states, num_transitions
     from joined order by created_at desc, target_id limit 50 offset 100""".replace("order by created_at", "order by joined.created_at"))
 def listing_page(t: Inputs):
-    page = jobs.list_targets(t.targets, t.verdicts, t.states, _no_edges(t), limit=50, offset=100)
+    page = jobs.list_targets(t.targets, t.verdicts, t.states, _case_edges(t), limit=50, offset=100)
     return page.withColumn("created_at", _stamp()).select(
         "target_id", "input_url", "final_url", "status", "created_at", "classification", "confidence", "num_states", "num_transitions"
     )
@@ -45,7 +46,7 @@ def listing_page(t: Inputs):
     order by created_at desc, target_id limit 20""")
 def filtered_listing(t: Inputs):
     page = jobs.list_targets(
-        t.targets, t.verdicts, t.states, _no_edges(t), limit=20, status="done", classification="suspicious", search="BUILD_NG"
+        t.targets, t.verdicts, t.states, _case_edges(t), limit=20, status="done", classification="suspicious", search="BUILD_NG"
     )
     return page.select("target_id", "input_url", "status", "classification")
 
@@ -70,7 +71,7 @@ def status_counts(t: Inputs):
     with {_COUNTED} select url_hash, target_id, {_STAMP} as created_at, status, classification, num_states from joined where cast(url_hash as bigint) in (select l_suppkey from lineitem)""")
 def url_history(t: Inputs):
     keys = t.lineitem.select(F.col("l_suppkey").cast("string").alias("url_hash"))
-    rows = jobs.history(t.targets, t.verdicts, t.states, _no_edges(t), keys)
+    rows = jobs.history(t.targets, t.verdicts, t.states, _case_edges(t), keys)
     return rows.select("url_hash", "target_id", _stamp(), "status", "classification", "num_states")
 
 
@@ -102,7 +103,7 @@ def cached_verdicts(t: Inputs):
     with {_COUNTED}, e as (select target_id, count(*) as num_evidence from case_evidence group by target_id)
     select target_id, classification, num_states, num_transitions, coalesce(num_evidence, 0) as num_evidence from joined left join e using (target_id)""")
 def analysis_summaries(t: Inputs):
-    rows = jobs.analysis_summary(t.targets, t.verdicts, t.states, _no_edges(t), t.case_evidence)
+    rows = jobs.analysis_summary(t.targets, t.verdicts, t.states, _case_edges(t), t.case_evidence)
     return rows.select("target_id", "classification", "num_states", "num_transitions", "num_evidence")
 
 
@@ -110,6 +111,21 @@ def _tables(t: Inputs):
     return {"targets": t.targets, "states": t.case_states, "transitions": t.case_transitions, "evidence": t.case_evidence, "verdicts": t.verdicts}
 
 
+def stored_graphs(t: Inputs) -> GraphStore:
+    """A new store with the graphs of all runs: five tables, by their fixed schemas."""
+    none, moment = F.lit(None).cast("string"), F.lit("2024-01-01").cast("timestamp")
+    given = _tables(t) | {
+        "targets": t.targets.withColumns({"canonical_url": F.col("input_url"), "root_state_id": none, "created_at": F.col("created_at").cast("timestamp")}),
+        "states": t.case_states.withColumns({"screenshot_ref": none, "har_ref": none}),
+        "transitions": t.case_transitions.withColumns({"trigger": none, "ts": moment}),
+        "evidence": t.case_evidence.withColumns({"evidence_id": F.sha2(F.concat_ws("|", "target_id", "key", "value"), 256), "ts": moment}),
+        "verdicts": t.verdicts.withColumns({"produced_by": F.lit("test"), "final_url": none, "exfil_endpoint": none}),
+    }
+    kept = GraphStore(t.spark, fresh_folder(t.spark, "graphs"), buckets=8)
+    kept.save({name: df.select(*[F.col(field.name).cast(field.dataType) for field in TABLES[name].fields]) for name, df in given.items()})
+    return kept
+
+
 _RESAVED = "resaved as (select target_id from targets where status = 'error')"
 
 
