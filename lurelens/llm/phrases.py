@@ -1,11 +1,14 @@
-"""Collocations of every language: frequent phrases by a sample and its negative border, counted exactly, then scored."""
+"""Collocations of every language: frequent phrases by a sample and its negative border, counted exactly, then scored.
+
+Until the last pass phrases are 64-bit values of their language and words, and sets of phrases are filters of a fixed
+number of bits. Both can only take phrases for frequent that are not: the last pass counts the texts of all that are left.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +30,15 @@ SHARES = 64
 #: Bits of the filter that tells tasks which phrases are known; its size is fixed. With more phrases than an eighth of
 #: this, ever more phrases are counted that need not be; results stay the same.
 FILTER_BITS = 1 << 25
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
+#: Phrases that a task counts at a time, and the text they may come from, before their counts go on.
+COUNTED = 1 << 20
+COUNTED_BYTES = 4 << 20
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _PIECE_END = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
 _GAP = _PIECE_END | np.isin(np.arange(256), [ord(" "), ord("\t")])
-_COUNTS = "lang string, n int, phrase string, count long"
+_ONE = np.uint64(1)
 
 
 def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -44,57 +50,35 @@ def _slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 
 class Filter:
-    """A set of phrases as two bits each among a fixed number: it may hold phrases that were not put in."""
+    """A set of values as two bits each among a fixed number: it may hold values that were not put in."""
 
     def __init__(self, words: np.ndarray) -> None:
         self.words = words
 
-    @staticmethod
-    def places(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        size = np.uint64(bits - 1)
-        return hashes & size, (hashes >> np.uint64(32)) & size
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for place in self.places(hashes, len(self.words) * 64):
-            found &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) == 1
+    @classmethod
+    def of(cls, values: DataFrame, bits: int) -> Filter:
+        """The filter of a column ``value``; its words are all that reaches the driver, however many values there are."""
+        mask = F.lit(bits - 1)
+        places = F.array(F.col("value").bitwiseAND(mask), F.shiftrightunsigned("value", 32).bitwiseAND(mask))
+        rows = values.select(F.explode(places).alias("place")).groupBy(F.expr("place div 64").alias("slot")).agg(
+            F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("word")).toArrow()
+        words = np.zeros(bits // 64, np.uint64)
+        words[rows.column("slot").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
+        return cls(words)
+
+    def __or__(self, other: Filter) -> Filter:
+        return Filter(self.words | other.words)
+
+    def includes(self, other: Filter) -> bool:
+        return not (other.words & ~self.words).any()
+
+    def holds(self, values: np.ndarray) -> np.ndarray:
+        found, mask = np.ones(len(values), bool), np.uint64(len(self.words) * 64 - 1)
+        for place in (values & mask, (values >> np.uint64(32)) & mask):
+            found &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63))) & _ONE == _ONE
         return found
 
 
-def _language_hashes(langs: list[str]) -> np.ndarray:
-    data = np.frombuffer("".join(langs).encode(), np.uint8)
-    ends = np.cumsum([len(lang.encode()) for lang in langs]).astype(np.int64)
-    return Rolling(data).of(np.concatenate(([0], ends[:-1])).astype(np.int64), ends) if len(langs) else np.zeros(0, np.uint64)
-
-
-def _bits(bits: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The filter's 64-bit words that hold a bit of the phrases ``lang, phrase``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            of_lang = _language_hashes(langs.dictionary.to_pylist())
-            for first, end, data, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
-                which = langs.indices.slice(first, end - first).to_numpy()
-                hashes = mixed(Rolling(data).of(offsets[:-1], offsets[1:]) ^ of_lang[which])
-                place = np.concatenate(Filter.places(hashes, bits))
-                slots, at = np.unique(place >> np.uint64(6), return_inverse=True)
-                words = np.zeros(len(slots), np.uint64)
-                np.bitwise_or.at(words, at, np.uint64(1) << (place & np.uint64(63)))
-                yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(words.view(np.int64))], names=["slot", "word"])
-
-    return run
-
-
-def phrase_filter(phrases: DataFrame, bits: int = FILTER_BITS) -> Filter:
-    """The filter of phrases ``lang, phrase``; its fixed number of bits is all that reaches the driver."""
-    rows = phrases.select("lang", "phrase").mapInArrow(_bits(bits), "slot long, word long").groupBy("slot").agg(
-        F.bit_or("word").alias("word")).toArrow()
-    words = np.zeros(bits // 64, np.uint64)
-    words[rows.column("slot").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
-    return Filter(words)
-
-
 class _Block:
     """Words of some texts, packed with a blank after each, and the phrases that they form."""
 
@@ -109,60 +93,59 @@ class _Block:
         gap = _GAP[joined]
         before = np.concatenate(([True], gap[:-1]))
         starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
-        self.piece = np.cumsum(_PIECE_END[joined])[starts]
+        self.piece = np.cumsum(_PIECE_END[joined], dtype=np.int32)[starts]
         self.lang = langs[np.searchsorted(row_ends, starts)]
         keep = ~gap
         keep[ends] = True
-        at = np.cumsum(keep) - 1
+        at = np.cumsum(keep, dtype=np.int32) - np.int32(1)
         joined[gap] = 32
-        self.packed, self.starts, self.ends = joined[keep], at[starts], at[ends]
-        self.of_lang, self.rolling = of_lang, Rolling(self.packed)
-        sizes = np.append(self.starts, len(self.packed)).astype(np.int64)
-        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(sizes), pa.py_buffer(self.packed)])
-        numbers = words.dictionary_encode().indices.to_numpy().astype(np.int64)
-        self.words, distinct = pd.factorize(numbers * (len(of_lang) or 1) + self.lang)
-        self.n_words = len(distinct)
-
-    def counts(self, known: Filter | None, before: Filter | None, levels: range) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Per length: where distinct phrases occur first, and how often they occur.
-
-        Phrases whose parts (without the last word, without the first word) ``known`` holds, but not those whose parts
-        ``before`` holds as well; single words have no parts. Without ``known`` all phrases.
+        self.packed, self.starts, self.ends = joined[keep], at[starts].astype(np.int64), at[ends].astype(np.int64)
+        del joined, gap, before, keep, at, inside
+        self.of_lang, self.rolling = of_lang[self.lang], Rolling(self.packed)
+
+    def phrases(
+        self, lengths: range, longest: int, known: Filter | None, before: Filter | None = None, held: bool = False,
+    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, places and values of the phrases of some lengths: those that ``known`` reaches, but ``before`` does not.
+
+        All words are reached, and longer phrases whose parts (without the last word, without the first word) are reached
+        and held by the filter; no filter holds everything. With ``held`` only phrases that ``known`` holds themselves.
+        The last bit of a value tells phrases of most words from others.
         """
-        numbers, at = self.words, np.arange(len(self.words))
-        n_numbers = self.n_words
-        for n in range(1, levels.stop):
+        n_words = len(self.starts)
+        at = np.arange(n_words)
+        member, old = np.zeros(n_words + 1, bool), np.zeros(n_words + 1, bool)
+        for n in range(1, lengths.stop):
+            if n > 1:
+                at = np.flatnonzero(member[:-1] & member[1:])
+                at = at[at + n <= n_words]
+                at = at[self.piece[at] == self.piece[at + n - 1]]
             if not len(at):
                 return
-            # the first place of each number, and which phrases are counted
-            first = np.empty(n_numbers, np.int64)
-            first[numbers[::-1]] = at[::-1]
-            if n == 1:
-                fresh = np.full(n_numbers, before is None)
-            elif before is None:
-                fresh = np.ones(n_numbers, bool)
-            else:
-                fresh = ~(old[first] & old[first + 1])
-            if n in levels and fresh.any():
-                yield n, first[fresh], np.bincount(numbers, minlength=n_numbers)[fresh]
-            if n + 1 == levels.stop:
+            values = mixed(self.rolling.of(self.starts[at], self.ends[at + n - 1]) ^ self.of_lang[at])
+            values = values | _ONE if n == longest else values & ~_ONE
+            seen = np.zeros(len(at), bool) if before is None else old[at] & old[at + 1] if n > 1 else np.ones(len(at), bool)
+            last = n + 1 == lengths.stop
+            if held or not last:
+                holds = np.ones(len(at), bool) if known is None else known.holds(values)
+            if n in lengths:
+                chosen = holds & ~seen if held else ~seen
+                yield n, at[chosen], values[chosen]
+            if last:
                 return
-            hashes = mixed(self.rolling.of(self.starts[first], self.ends[first + n - 1]) ^ self.of_lang[self.lang[first]])
-            numbered = np.full(len(self.words) + 1, -1)
-            numbered[at] = numbers
-            member = np.zeros(len(self.words) + 1, bool)
-            member[at] = True if known is None else known.holds(hashes)[numbers]
+            member[:] = False
+            member[at] = holds
             if before is not None:
-                # counted before means that the pass before reached it and held it
-                reached = before.holds(hashes) & ~fresh
-                old = np.zeros(len(self.words) + 1, bool)
-                old[at] = reached[numbers]
-            # the next longer phrases, both of whose parts are known and which stay in their piece
-            at = np.flatnonzero(member[:-1] & member[1:])
-            at = at[at + n < len(self.words)]
-            at = at[self.piece[at] == self.piece[at + n]]
-            numbers, distinct = pd.factorize(numbered[at] * self.n_words + self.words[at + n])
-            n_numbers = len(distinct)
+                reached = before.holds(values) & seen
+                old[:] = False
+                old[at] = reached
+
+
+def _language_hashes(langs: list[str]) -> np.ndarray:
+    data = np.frombuffer("".join(langs).encode(), np.uint8)
+    ends = np.cumsum([0] + [len(lang.encode()) for lang in langs])
+    # mixed once more, or a language would be as good as a word of the same letters
+    return mixed(Rolling(data).of(ends[:-1], ends[1:]) + _ONE)
 
 
 def _parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -179,46 +162,99 @@ def _parts_of(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarra
         first = end
 
 
-def phrase_counts(docs: DataFrame, levels: range, known: Filter | None = None, before: Filter | None = None) -> DataFrame:
-    """Exact counts ``lang, n, phrase, count`` over all texts ``lang, text`` of the phrases of these lengths that
-    ``_Block.counts`` names. The phrase of no words counts all words of a language."""
+def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
+    """The texts of rows ``lang, text`` in blocks; ``lang`` of a block counts from 0 as the batch's languages come."""
+    langs = batch.column(0).dictionary_encode()
+    of_lang, of_row = _language_hashes(langs.dictionary.to_pylist()), langs.indices.to_numpy()
+    for first, end, data, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
+        for part, bounds in _parts_of(data, offsets):
+            yield _Block(part, bounds, of_row[first:end], of_lang)
+
+
+def _shared(docs: DataFrame, *filters: Filter | None) -> list:
     context = docs.sparkSession.sparkContext
-    shared = [None if f is None else context.broadcast(f.words) for f in (known, before)]
+    return [None if f is None else context.broadcast(f.words) for f in filters]
+
+
+def _filters(shared: list) -> list[Filter | None]:
+    return [None if words is None else Filter(words.value) for words in shared]
+
+
+def value_counts(
+    docs: DataFrame, lengths: range, least: int, longest: int = LONGEST, known: Filter | None = None, before: Filter | None = None,
+) -> DataFrame:
+    """Values of the phrases of ``_Block.phrases`` in all texts ``lang, text`` that occur ``least`` times or more, counted by
+    value: ``value``. A value that several phrases share counts all of theirs."""
+    shared = _shared(docs, known, before)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, before = _filters(shared)
+        waiting: list[np.ndarray] = []
+
+        def counted() -> pa.RecordBatch:
+            values, counts = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["value", "count"])
+
+        for batch in batches:
+            for block in _blocks(batch):
+                waiting.extend(values for _, _, values in block.phrases(lengths, longest, known, before))
+                if sum(map(len, waiting)) >= COUNTED:
+                    yield counted()
+        if waiting:
+            yield counted()
+
+    counts = docs.select("lang", "text").mapInArrow(run, "value long, count long").groupBy("value").agg(F.sum("count").alias("count"))
+    return counts.where(F.col("count") >= least).select("value")
+
+
+def phrase_counts(docs: DataFrame, known: Filter, longest: int = LONGEST) -> DataFrame:
+    """Exact counts ``lang, n, phrase, count`` over all texts ``lang, text`` of the phrases that ``known`` holds with all their
+    parts. The phrase of no words counts all words of a language."""
+    shared = _shared(docs, known)
+
+    def counted(names: pa.Array, blocks: list[_Block], known: Filter) -> pa.RecordBatch:
+        """Phrases of some blocks of one batch; equal values of so little text are taken for equal phrases."""
+        found, base = [], 0
+        for block in blocks:
+            for n, at, values in block.phrases(range(1, longest + 1), longest, known, held=True):
+                found.append((values, block.starts[at] + base, block.ends[at + n - 1] + base, block.lang[at], np.full(len(at), n, np.int32)))
+            base += len(block.packed)
+        values, starts, ends, langs, n = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 5
+        _, first, counts = np.unique(values, return_index=True, return_counts=True)
+        totals = sum(np.bincount(block.lang, minlength=len(names)) for block in blocks)
+        texts = _slices(np.concatenate([block.packed for block in blocks]), starts[first], ends[first]).cast(pa.string())
+        return pa.RecordBatch.from_arrays([
+            names.take(pa.array(np.concatenate((langs[first], np.arange(len(names)))).astype(np.int32))),
+            pa.array(np.concatenate((n[first], np.zeros(len(names)))).astype(np.int32)),
+            pa.concat_arrays([texts, pa.array([""] * len(names), pa.string())]),
+            pa.array(np.concatenate((counts, totals)).astype(np.int64)),
+        ], names=["lang", "n", "phrase", "count"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filters = [None if words is None else Filter(words.value) for words in shared]
+        [known] = _filters(shared)
         for batch in batches:
-            langs = batch.column(0).dictionary_encode()
-            names = langs.dictionary.to_pylist()
-            of_lang, of_row = _language_hashes(names), langs.indices.to_numpy()
-            for first, end, data, offsets in text_blocks(batch.column(1), BLOCK_BYTES):
-                for part, bounds in _parts_of(data, offsets):
-                    block = _Block(part, bounds, of_row[first:end], of_lang)
-                    if 0 in levels and before is None:
-                        n_words = np.bincount(block.lang, minlength=len(names))
-                        yield pa.RecordBatch.from_arrays([
-                            langs.dictionary, pa.array(np.zeros(len(names), np.int32)), pa.array([""] * len(names)), pa.array(n_words.astype(np.int64)),
-                        ], names=["lang", "n", "phrase", "count"])
-                    for n, at, counts in block.counts(*filters, levels):
-                        yield pa.RecordBatch.from_arrays([
-                            langs.dictionary.take(pa.array(block.lang[at])), pa.array(np.full(len(at), n, np.int32)),
-                            _slices(block.packed, block.starts[at], block.ends[at + n - 1]).cast(pa.string()), pa.array(counts.astype(np.int64)),
-                        ], names=["lang", "n", "phrase", "count"])
-
-    return docs.select("lang", "text").mapInArrow(run, _COUNTS).groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count"))
-
-
-def sampled_phrases(sample: DataFrame, least: int, longest: int = LONGEST, bits: int = FILTER_BITS) -> DataFrame:
-    """Phrases ``lang, phrase`` that occur ``least`` times in the sample, length by length: a phrase is counted only if
-    its parts are frequent there."""
-    found, known = None, None
+            names, waiting = batch.column(0).dictionary_encode().dictionary, []
+            for block in _blocks(batch):
+                waiting.append(block)
+                if sum(len(b.packed) for b in waiting) >= COUNTED_BYTES:
+                    yield counted(names, waiting, known)
+                    waiting = []
+            if waiting:
+                yield counted(names, waiting, known)
+
+    rows = docs.select("lang", "text").mapInArrow(run, "lang string, n int, phrase string, count long")
+    return rows.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count"))
+
+
+def proposed_phrases(sample: DataFrame, least: int, longest: int = LONGEST, bits: int = FILTER_BITS) -> Filter:
+    """Phrases that occur ``least`` times in the sample, length by length: a phrase is counted only if its parts are
+    frequent there."""
+    known = None
     for n in range(1, longest + 1):
-        counts = phrase_counts(sample, range(n, n + 1), known).where(F.col("count") >= least)
-        level = stored(counts.select("lang", "phrase"), f"sampled-{n}")
-        found = level if found is None else found.unionByName(level)
-        if n < longest:
-            known = phrase_filter(found, bits)
-    return found
+        level = Filter.of(value_counts(sample, range(n, n + 1), least, longest, known), bits)
+        known = level if known is None else known | level
+    return known
 
 
 def frequent_phrases(
@@ -228,34 +264,28 @@ def frequent_phrases(
     """All phrases of one to ``longest`` words that occur ``least`` times in their language, ``lang, n, phrase, count``, and
     the words of each language, ``lang, n_words``.
 
-    The sample is one of ``sample_part`` documents, by a hash of key and text; it proposes phrases by a lower least count.
-    One pass over all texts then counts these and their negative border: phrases that were not proposed, but all of whose
+    The sample is one of ``sample_part`` documents, by a hash of the key; it proposes phrases by a lower least count. One
+    pass over all texts then counts these and their negative border: phrases that were not proposed, but all of whose
     parts were. If some of the border is frequent, it joins the proposal, and a further pass counts the border that this
     opens, until no pass finds a frequent phrase outside the proposal. Every part of a frequent phrase is frequent, so
-    none can be missed, whatever the sample was.
+    none can be missed, whatever the sample was. These passes count by value, which can only be too much; one last pass
+    counts the texts of the phrases that they found frequent.
     """
     source = docs.select(
         F.coalesce(named(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"),
-        F.pmod(F.xxhash64(named(key), named(text)), F.lit(sample_part)).alias("part"))
+        F.pmod(F.xxhash64(named(key)), F.lit(sample_part)).alias("part"))
     lower = max(1, int(share * least / sample_part))
-    proposed = sampled_phrases(source.where("part = 0"), lower, longest, bits)
-    known, before, passes = phrase_filter(proposed, bits), None, []
+    known, before = proposed_phrases(source.where("part = 0"), lower, longest, bits), None
+    frequent = Filter(np.zeros(bits // 64, np.uint64))
     while True:
-        counted = phrase_counts(source, range(0, longest + 1), known, before).where((F.col("count") >= least) | (F.col("n") == 0))
-        counted = stored(counted, "phrase-counts")
-        words = words if passes else counted.where("n = 0").select("lang", F.col("count").alias("n_words"))
-        passes.append(counted.where("n > 0"))
-        failed = passes[-1].join(proposed, ["lang", "phrase"], "left_anti").select("lang", "phrase")
-        # phrases of most words open no border
-        failed = stored(failed.join(passes[-1].where(F.col("n") < longest).select("lang", "phrase"), ["lang", "phrase"], "left_semi"), "failed")
-        if failed.isEmpty():
+        found = stored(value_counts(source, range(1, longest + 1), least, longest, known, before), "frequent-values")
+        shorter = Filter.of(found.where("value % 2 = 0"), bits)
+        frequent = frequent | shorter | Filter.of(found.where("value % 2 <> 0"), bits)
+        if known.includes(shorter):
             break
-        proposed = proposed.unionByName(failed)
-        known, before = phrase_filter(proposed, bits), known
-    found = passes[0]
-    for more in passes[1:]:
-        found = found.unionByName(more)
-    return found, words
+        known, before = known | shorter, known
+    counts = stored(phrase_counts(source, frequent, longest).where((F.col("count") >= least) | (F.col("n") == 0)), "phrase-counts")
+    return counts.where("n > 0"), counts.where("n = 0").select("lang", F.col("count").alias("n_words"))
 
 
 def _words(phrase: Column, first: int, last: int) -> Column:
@@ -307,7 +337,7 @@ def collocations(docs: DataFrame, top: int = TOP, key: str = "doc_id", text: str
     """
     frequent, words = frequent_phrases(docs, key=key, text=text, lang=lang, **mining)
     longest = mining.get("longest", LONGEST)
-    left = without_covered(scored_phrases(stored(frequent, "frequent"), longest), longest)
+    left = without_covered(scored_phrases(frequent, longest), longest)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     # the foremost of each of many shares first: a language can hold most of all rows
     place = F.row_number().over(Window.partitionBy("lang", F.pmod(F.hash("phrase"), F.lit(SHARES))).orderBy(*order))
