@@ -16,7 +16,7 @@ SIMILARITY = 0.8
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 26, over 0.9999.
 BANDS = 26
 BAND_ROWS = 5
-#: Rounds of hubs that are always made: 1, 2 and 4 of each band.
+#: Rounds of hubs: 1, 2 and 4 of each band.
 ROUNDS = 3
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
@@ -170,9 +170,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
     signatures is equal. The documents of a band are not paired with each other but with its hubs, those that share
     most bands with others: first with the foremost one, and if that leaves them in another class, with the next two,
     the next four, and so on. Pairs within a class are not looked at. ``ROUNDS`` such rounds compare all documents of
-    bands with up to ``2 ** ROUNDS`` documents; further rounds follow as long as the last one has found links. Whatever
-    larger bands still hold in several classes is then compared exactly, by rare shingles (``_rare_places``): no pair of
-    theirs that is similar enough stays apart.
+    bands with up to ``2 ** ROUNDS`` documents. Whatever larger bands still hold in several classes is then compared
+    exactly, by rare shingles (``_rare_places``): no pair of theirs that is similar enough stays apart.
 
     ``class_id`` is the smallest key in the class, ``n_links`` how many links of the document were verified (links to
     copies of the same words count as one).
@@ -218,7 +217,7 @@ def linked(members: DataFrame, bag: DataFrame, similarity: float) -> tuple[DataF
     more = stored(_verified(_apart(stars.select("hub", "doc"), classes), bag, similarity), "links")
     links, classes = links.unionByName(more), connected(classes, more.toDF("a", "b"))
     tried, left, round_ = _unordered(stars), members, 1
-    while round_ < ROUNDS or not more.isEmpty():
+    while round_ < ROUNDS:
         # documents that a hub of theirs has left in another class
         stars = stored(_apart(stars.select("hub", "doc"), classes), "stars")
         if stars.isEmpty():
