@@ -29,12 +29,16 @@ with lines as (
 written as (
   select doc_id, text, lines, list_filter(range(1, len(lines) + 1), lambda i: regexp_replace(lines[i], '[\x20\x09-\x0D]+', '', 'g') <> '') as w
   from lines),
+counted as (
+  select doc_id, lines, w, list_transform(w, lambda k: len(regexp_extract_all(lines[k], '[^\x20\x09-\x0D]+'))) as n from written),
+sized as (
+  select doc_id, lines, w, i, case when n[i] >= 50 then 1 when n[i] + n[i + 1] >= 50 then 2 else 3 end as size
+  from (select *, unnest(range(1, len(w) + 1)) as i from counted)),
 places as (
-  select doc_id, i as start, concat_ws(chr(10), lines[w[i]], lines[w[i + 1]], lines[w[i + 2]]) as own
-  from (select doc_id, lines, w, unnest(range(1, len(w) - 1)) as i from written)),
-ranked as (select doc_id, start, row_number() over (partition by own order by doc_id, start) as place from places),
+  select doc_id, i as start, size, array_to_string([lines[k] for k in w[i:i + size - 1]], chr(10)) as own from sized where i + size - 1 <= len(w)),
+ranked as (select doc_id, start, size, row_number() over (partition by own order by doc_id, start) as place from places),
 gone as (
-  select doc_id, list_distinct(flatten(list([start, start + 1, start + 2]))) as gone from ranked where place > 1 group by doc_id)
+  select doc_id, list_distinct(flatten(list(range(start, start + size)))) as gone from ranked where place > 1 group by doc_id)
 select d.doc_id, coalesce(len(d.w), 0) as n_lines, coalesce(len(g.gone), 0) as n_removed,
   case when g.gone is null then d.text else array_to_string(
     [d.lines[i] for i in range(1, len(d.lines) + 1) if not list_contains([d.w[k] for k in g.gone], i)], chr(10)) end as text

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lurelens.llm.common import SPACES, named
 
-#: Lines that a repeated run has at least.
+#: A repeated run has at least so many lines, or so many words in fewer lines.
 MIN_RUN = 3
+MIN_WORDS = 50
 _FIRST = -(1 << 63)
 
 
@@ -21,61 +22,73 @@ def _order(key: str) -> Column:
     return F.coalesce(named(key).cast("long"), F.lit(_FIRST))
 
 
-def _windows(docs: DataFrame, run: int, key: str, text: str) -> DataFrame:
-    """Winnowing: every window of ``run`` lines with the line it selects, the last one with the least hash.
+def _words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit("[^\\x20\\x09-\\x0D]+"))
 
-    Rows ``doc, version, start, window, check, fingerprint, at``; lines that are blank don't count.
+
+def _windows(docs: DataFrame, run: int, words: int, key: str, text: str) -> DataFrame:
+    """Winnowing: every window with the line it selects, the last one with the least hash.
+
+    A window begins at any line and ends as soon as it has ``run`` lines or ``words`` words; the end of a text cuts off
+    those that have neither. Rows ``doc, version, start, size, window, check, fingerprint, at``; lines that are blank
+    don't count.
     """
-    lines = F.split(named(text), "\n", -1)
-    hashes = F.transform(F.filter(lines, _written), lambda line: F.xxhash64(line))
-    known = docs.select(_order(key).alias("doc"), F.xxhash64(named(text)).alias("version"), hashes.alias("lines"))
-    starts = F.sequence(F.lit(0), F.size("lines") - run)
-    cut = known.where(F.size("lines") >= run).select("doc", "version", F.explode(F.transform(
-        starts, lambda i: F.struct(i.alias("start"), F.slice("lines", i + 1, run).alias("own")))).alias("w"))
+    lines = F.filter(F.split(named(text), "\n", -1), _written)
+    known = docs.select(_order(key).alias("doc"), F.xxhash64(named(text)).alias("version"), F.transform(
+        lines, lambda line: F.struct(F.xxhash64(line).alias("hash"), _words(line).alias("words"))).alias("lines"))
+    total = lambda i, n: F.aggregate(F.slice("lines.words", i + 1, n), F.lit(0), lambda a, x: a + x)
+    sized = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("start"), F.coalesce(
+        F.array_min(F.filter(F.array(*[F.lit(n) for n in range(1, run)]), lambda n: total(i, n) >= words)), F.lit(run)).alias("size")))
+    whole = F.filter(sized, lambda w: w["start"] + w["size"] <= F.size("lines"))
+    cut = known.where(F.size("lines") >= 1).select("doc", "version", F.explode(F.transform(whole, lambda w: F.struct(
+        w["start"].alias("start"), w["size"].alias("size"), F.slice("lines.hash", w["start"] + 1, w["size"]).alias("own")))).alias("w"))
     least = F.array_min("w.own")
     return cut.select(
-        "doc", "version", "w.start", F.xxhash64("w.own").alias("window"), F.xxhash64(F.lit(1), "w.own").alias("check"),
-        least.alias("fingerprint"), (F.col("w.start") + run - F.array_position(F.reverse("w.own"), least)).alias("at"))
+        "doc", "version", "w.start", "w.size", F.xxhash64("w.own").alias("window"), F.xxhash64(F.lit(1), "w.own").alias("check"),
+        least.alias("fingerprint"), (F.col("w.start") + F.col("w.size") - F.array_position(F.reverse("w.own"), least)).alias("at"))
 
 
-def repeated_windows(docs: DataFrame, run: int = MIN_RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows of ``run`` lines that start earlier elsewhere: ``doc, version, start``.
+def repeated_windows(docs: DataFrame, run: int = MIN_RUN, words: int = MIN_WORDS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Windows that start earlier elsewhere: ``doc, version, start, size``.
 
     A selected line that is a fingerprint of one place only is dropped with all windows that select it, as equal windows
     select equal lines. Windows around the others are joined with the first place of the same window; each next window
     extends a match by a line, so together they span the whole common run on both sides of the fingerprint.
     """
-    windows = _windows(docs, run, key, text)
+    windows = _windows(docs, run, words, key, text)
     shared = windows.groupBy("fingerprint", "doc", "version", "at").agg(F.count("*").alias("n")).groupBy("fingerprint").agg(
         F.count("*").alias("places")).where("places > 1").select("fingerprint")
-    own = windows.join(shared, "fingerprint", "left_semi").groupBy("window", "check", "doc", "version").agg(
+    own = windows.join(shared, "fingerprint", "left_semi").groupBy("window", "check", "size", "doc", "version").agg(
         F.min("start").alias("first"), F.collect_set("start").alias("starts"))
     earliest = own.groupBy("window", "check").agg(
         F.min("doc").alias("first_doc"), F.count("*").alias("n"), F.max(F.size("starts")).alias("most"))
     return own.join(earliest.where("n > 1 or most > 1"), ["window", "check"]).select(
-        "doc", "version", "first", (F.col("doc") > F.col("first_doc")).alias("later"), F.explode("starts").alias("start"),
-    ).where("later or start > first").select("doc", "version", "start")
+        "doc", "version", "size", "first", (F.col("doc") > F.col("first_doc")).alias("later"), F.explode("starts").alias("start"),
+    ).where("later or start > first").select("doc", "version", "start", "size")
 
 
-def without_repeated_lines(docs: DataFrame, run: int = MIN_RUN, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Delete every run of ``run`` or more lines that already stands in a document of smaller key, or earlier in the
-    same one: ``doc_id, n_lines, n_removed, text``.
+def without_repeated_lines(
+    docs: DataFrame, run: int = MIN_RUN, words: int = MIN_WORDS, key: str = "doc_id", text: str = "text",
+) -> DataFrame:
+    """Delete every run of lines that already stands in a document of smaller key, or earlier in the same one: ``doc_id,
+    n_lines, n_removed, text``. A run has at least ``run`` lines, or ``words`` words in fewer lines.
 
     Lines are parts between line feeds; blank ones are neither compared, counted nor deleted, so a run may span them.
     Every line of a repeated window goes, judged on the input and not on what is left.
 
     Defined results: a null text stays null with no lines; a null key is smaller than all keys; documents of equal key
-    are no earlier than each other, so rows alike keep alike lines; documents with fewer than ``run`` lines are never
-    cut. Extra columns are not handed on. An empty table gives an empty result.
+    are no earlier than each other, so rows alike keep alike lines; documents with fewer than ``run`` lines and
+    ``words`` words are never cut. Extra columns are not handed on. An empty table gives an empty result.
     """
-    repeated = repeated_windows(docs, run, key, text).groupBy("doc", "version").agg(F.collect_list("start").alias("starts"))
+    repeated = repeated_windows(docs, run, words, key, text).groupBy("doc", "version").agg(
+        F.collect_list(F.struct("start", "size")).alias("starts"))
     lines = F.split("text", "\n", -1)
     rows = docs.select(named(key).cast("long").alias("doc_id"), named(text).cast("string").alias("text"), _order(key).alias("doc")).withColumn(
         "version", F.xxhash64("text")).join(repeated, ["doc", "version"], "left")
     rows = rows.select("doc_id", "text", "starts", lines.alias("lines")).withColumn(
         # numbers of written lines, 1 first
         "written", F.filter(F.sequence(F.lit(1), F.size("lines")), lambda i: _written(F.get("lines", i - 1))))
-    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("written", s + 1, run))))
+    gone = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.slice("written", s["start"] + 1, s["size"]))))
     rows = rows.withColumn("gone", F.when(F.col("starts").isNotNull(), gone))
     left = F.array_except(F.sequence(F.lit(1), F.size("lines")), F.col("gone"))
     return rows.select(

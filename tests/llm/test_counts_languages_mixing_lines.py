@@ -134,6 +134,7 @@ def labelled(spark, n=400):
 
 def plain_posteriors(classifier, features):
     scores = np.array([0.0] + [p + sum(odds[f] for f in features) for p, odds in zip(classifier.prior[1:], classifier.odds, strict=True)])
+    scores = scores * classifier.scale + (classifier.shift or np.zeros(len(scores)))
     e = np.exp(scores - scores.max())
     return e / e.sum()
 
@@ -174,6 +175,51 @@ def test_bounded_rates_minimise_the_distance(spark):
     assert (mine >= 0).all() and (mine <= 1).all() and distance(mine) <= distance(r) * 1.001 + 1e-9
 
 
+@pytest.mark.parametrize(("spread", "upper"), [(1, None), (3, None), (8, None), (1, 1.0), (3, 1.0), (8, 1.0)])
+def test_solver_reaches_the_optimum(spread, upper):
+    """Against very many small steps of a plain projected gradient, for targets in and out of reach."""
+    rng = np.random.default_rng(spread)
+    p = np.exp(rng.normal(size=(3000, 4)) * spread)
+    p /= p.sum(axis=1, keepdims=True)
+    n = rng.integers(1, 3000, 3000).astype(float)
+    targets = np.array([0.94, 0.05, 0.01, 0]) * n.sum()
+
+    def sums(dual):
+        free = 1 - p @ dual
+        rate = np.clip(free, 0, upper)
+        inside = np.where(free == rate, n, 0)
+        return mixing.Sums(float((n * rate * (free - rate / 2)).sum()), float((n * (rate - 1) ** 2).sum()), p.T @ (n * rate), (p * inside[:, None]).T @ p)
+
+    second = (p * n[:, None]).T @ p
+    _, reached = mixing.solved(sums, second, targets, n.sum())
+    metric, rate = np.linalg.inv(second), np.ones(3000)
+    for _ in range(3000):
+        rate = np.clip(rate - p @ (metric @ (p.T @ (n * rate) - targets)), 0, upper)
+    distance = lambda totals: float((totals - targets) @ metric @ (totals - targets))
+    assert distance(reached) <= distance(p.T @ (n * rate)) * 1.001 + 1e-3
+
+
+def test_posteriors_are_calibrated_and_misses_reported(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    classifier = mixing.fit_classifier(docs, labels)
+    known = labels.groupBy("quality", "toxic").count().collect()
+    shares = {f"quality{r['quality']}_toxic{r['toxic']}": r["count"] for r in known}
+    means = mixing.memberships(docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi"), classifier).select(
+        *[F.avg(F.col("posteriors")[d]).alias(name) for d, name in enumerate(classifier.domains)]).first()
+    for name in classifier.domains:
+        assert means[name] == pytest.approx(shares[name] / sum(shares.values()), abs=0.05)
+    # shares near those that there are can be had; a few hundred labels tell domains apart too little for others
+    whole = mixing.memberships(docs, classifier).agg(*[
+        (F.sum(F.col("n_tokens") * F.col("posteriors")[d]) / F.sum("n_tokens")).alias(name) for d, name in enumerate(classifier.domains)]).first().asDict()
+    easy = whole | {"quality1_toxic0": whole["quality1_toxic0"] * 1.05}
+    got = mixing.mixture_rates(docs, labels, easy).collect()
+    assert {r["targets_met"] for r in got} == {True}
+    assert all(r["domain_reached"] == pytest.approx(r["domain_target"], abs=1e-3 * sum(x["n_tokens"] for x in got)) for r in got)
+    # more of a domain than dropping can leave
+    none = mixing.mixture_rates(docs, labels, {"quality1_toxic1": 1.0}, upper=1.0).collect()
+    assert {r["targets_met"] for r in none} == {False}
+
+
 def test_mixing_odd_rows(spark):
     docs, labels = labelled(spark, 60)
     odd = docs.unionByName(texts(spark, ODD, 1000)).unionByName(docs.limit(2)).withColumn("rate", F.lit("clash")).withColumn("draw", F.lit(1))
@@ -203,7 +249,16 @@ WRITTEN = re.compile("[^\\x20\\x09-\\x0D]")
 def plain_lines(rows, run=3):
     first, cut = {}, []
     each = [(-1 if doc is None else doc, [] if text is None else text.split("\n")) for doc, text in rows]
-    windows = lambda lines: [(k, tuple(lines[i] for i in w[k:k + run]), w[k:k + run]) for w in [[i for i, x in enumerate(lines) if WRITTEN.search(x)]] for k in range(len(w) - run + 1)]
+
+    def windows(lines):
+        written = [i for i, x in enumerate(lines) if WRITTEN.search(x)]
+        for k in range(len(written)):
+            for size in range(1, run + 1):
+                own = written[k:k + size]
+                if len(own) == size and (size == run or sum(len(re.findall("[^\\x20\\x09-\\x0D]+", lines[i])) for i in own) >= 50):
+                    yield k, tuple(lines[i] for i in own), own
+                    break
+
     for doc, lines in each:
         for _, own, _ in windows(lines):
             first[own] = min(first.get(own, doc), doc)
@@ -223,6 +278,10 @@ def test_repeated_lines(spark):
     pool = [f"line {i}" for i in range(6)] + ["", "  "]
     rows = [(i, "\n".join(random.choice(pool) for _ in range(random.randrange(12)))) for i in range(200)]
     rows += [(None, "a\nb\nc\nd"), (None, "a\nb\nc"), (500, "z\na\nb\nc\nd\nz"), (501, None), (502, ""), (503, "a\nb"), rows[3], (504, "q\nq\nq\nq\nq")]
+    # long lines are runs alone or in pairs
+    long, half = " ".join(f"w{i}" for i in range(60)), " ".join(f"h{i}" for i in range(30))
+    rows += [(600, f"a\n{long}\nb"), (601, f"c\n{long}"), (602, long), (603, f"{half}\n{half}x\ne"), (604, f"{half}\n\n{half}x"), (605, half), (606, half),
+             (607, f"{long}\n{long}\n{half}"), (608, f"{half}\nk\n{long}")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lines int").repartition(4)
     assert Counter(map(tuple, repeated_lines.without_repeated_lines(docs).collect())) == plain_lines(rows)
     assert repeated_lines.without_repeated_lines(docs.limit(0)).count() == 0
