@@ -78,9 +78,11 @@ def evidence_flags(evidence: DataFrame) -> DataFrame:
 
 
 def strong_details(evidence: DataFrame) -> DataFrame:
-    """Values of the strong keys in long form: ``(target_id, key, is_json, value)``."""
+    """Values of the strong keys in long form: ``(target_id, key, is_json, value, decoded)``. ``decoded`` maps the fields of a
+    JSON object to their texts; other values have none."""
     return evidence.filter(F.col("key").isin(*STRONG_KEYS)).select(
-        "target_id", "key", F.try_parse_json("value").isNotNull().alias("is_json"), "value"
+        "target_id", "key", F.try_parse_json("value").isNotNull().alias("is_json"), "value",
+        F.when(F.ltrim("value").startswith("{"), F.from_json("value", "map<string,string>")).alias("decoded"),
     )
 
 
@@ -195,7 +197,7 @@ def with_detail_level(states: DataFrame, limit: int = DETAILED_INTERMEDIATE_STAT
 
 def _text_lines(text: Column, limit: int) -> Column:
     """Non-empty lines, each at most 200 characters, until ``limit`` characters are used."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     size = lambda x: F.least(F.length(x), F.lit(DIGEST_LINE_CHARS))
     start = F.struct(F.lit(0).alias("u"), F.array().cast("array<struct<x:string,u:int>>").alias("rows"))
     # lines before the limit only, so the list that grows stays short however long the text is

@@ -184,7 +184,7 @@ def search_values(urls: DataFrame, dns: DataFrame | None = None) -> DataFrame:
     host = F.when(F.col("host") != "", F.col("host"))
     domain = F.when(host.isNotNull() & (F.col("registrable_domain") != ""), F.col("registrable_domain"))
     values = F.concat(F.array("canonical_url", host, domain), ips)
-    clean = F.array_distinct(F.filter(F.transform(values, F.trim), lambda v: v.isNotNull() & (v != "")))
+    clean = F.array_distinct(F.filter(F.transform(values, lambda v: F.trim(v)), lambda v: v.isNotNull() & (v != "")))
     return df.select("target_id", F.posexplode(clean).alias("ord", "value"))
 
 

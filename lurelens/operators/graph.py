@@ -152,8 +152,18 @@ def _cycle_heads(steps: DataFrame) -> DataFrame:
 
 
 class Exploration(NamedTuple):
+    """``nodes``, and of the second trees ``probe_status (target_id, status, reason)`` and ``probe_edges``, the edges that join
+    explored ones to their roots."""
+
     nodes: DataFrame
     probe_status: DataFrame | None
+    probe_edges: DataFrame | None = None
+
+
+# Why a second tree has its status.
+PROBE_REASONS = {
+    "skipped": "budget", "error": "navigation", "deduped": "duplicate_dom", "explored": "divergent_profile_detected",
+}
 
 
 class _Progress(NamedTuple):
@@ -198,38 +208,44 @@ def bounded_bfs(
     target state), ``ts, transition_id``. Every followed edge counts as a node, each ``dom_hash`` is expanded
     once per target, and a target stops at ``max_nodes``. ``probe_roots`` (same shape as ``roots``) are a second
     tree per target, explored first to a smaller depth and sharing the node budget; one that shows the root's
-    own content is skipped. A target never holds more than ``max_nodes`` rows in any group of the loop.
+    own content is skipped, and one without content could not be reached: its status is ``error``. A target never holds more than ``max_nodes`` rows in any group of the loop.
     """
     edges = _checkpoint(edges.select("target_id", "from_state", "to_state", "dom_hash", "ts", "transition_id"))
     start = roots.groupBy("target_id").agg(F.min(F.struct("state_id", "dom_hash")).alias("s")).select("target_id", "s.*")
     seeds = _checkpoint(start.withColumns({"depth": F.lit(0), "rank": F.lit(1).cast("long")}))
     columns = ["target_id", "state_id", "dom_hash", "depth", "rank"]
     done = _Progress(seeds.select(columns), seeds.select("target_id", "dom_hash").limit(0))
-    status = None
+    status = edges_to = None
     if probe_roots is not None:
         first = F.min(F.struct("state_id", "dom_hash")).alias("p")
         probes = probe_roots.groupBy("target_id").agg(first).join(
-            seeds.select("target_id", F.col("dom_hash").alias("_root_hash")), "target_id"
+            seeds.select("target_id", F.col("state_id").alias("from_state"), F.col("dom_hash").alias("_root_hash")), "target_id"
         )
         outcome = (
             F.when(F.lit(max_nodes <= PROBE_RESERVE + 1), "skipped")
+            .when(F.col("p.state_id").isNull() | F.col("p.dom_hash").isNull(), "error")
             .when(F.col("p.dom_hash") == F.col("_root_hash"), "deduped")
             .otherwise("explored")
         )
-        probes = _checkpoint(probes.select("target_id", "p.*", outcome.alias("status")))
-        status = probes.select("target_id", "status")
+        probes = _checkpoint(probes.select("target_id", "from_state", "p.*", outcome.alias("status")))
+        reason = F.lit(None).cast("string")
+        for name, why in PROBE_REASONS.items():
+            reason = F.when(F.col("status") == name, why).otherwise(reason)
+        status = probes.select("target_id", "status", reason.alias("reason"))
+        edges_to = probes.filter("status = 'explored'").select(
+            "target_id", "from_state", F.col("state_id").alias("to_state"), F.lit("cloaking_probe").alias("kind"))
         branch = probes.filter("status = 'explored'").select(
             "target_id", "state_id", "dom_hash", F.lit(0).alias("depth"), F.lit(2).cast("long").alias("rank")
         )
         done = _Progress(done.nodes.unionByName(branch), done.visited)
         done = _explore(branch, edges, done, min(PROBE_DEPTH, max_depth), max_nodes)
     done = _explore(seeds.select(columns), edges, done, max_depth, max_nodes)
-    return Exploration(done.nodes, status)
+    return Exploration(done.nodes, status, edges_to)
 
 
 def probe_evidence(status: DataFrame) -> DataFrame:
-    """Status of each target's second tree, weight 0."""
-    return emit(status, "L4", "cloaking_probe", as_json(F.col("status")), 0.0, "explorer")
+    """Status of each target's second tree and its reason, weight 0."""
+    return emit(status, "L4", "cloaking_probe", as_json(F.col("status"), F.col("reason")), 0.0, "explorer")
 
 
 def changed_edges(snapshots: DataFrame) -> DataFrame:

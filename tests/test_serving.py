@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lurelens.operators.asof import as_of_join, runs_at_request
-from lurelens.operators.graph import every_path
+from lurelens.operators.feeds import search_values
+from lurelens.operators.graph import bounded_bfs, every_path
 from lurelens.operators.history import list_targets
 from lurelens.operators.paging import page_at
 from lurelens.schemas import TABLES
@@ -224,3 +225,21 @@ def test_lifecycle_state_is_dropped(spark, tmp_path):
     shown = sorted((r[0], r[1]) for r in rows)
     assert shown == [("a", "done"), ("a", "running"), ("b", "running"), ("b", "stale"), ("c", "error"), ("d", "done"), ("d", "done")]
     assert left[1] > left[2] > 0
+
+
+def test_search_values_keep_their_last_characters(spark):
+    urls = spark.createDataFrame([("a", " https://h1.example.com/x0 ", "h1.example.com", "2.example.com2")], "target_id string, canonical_url string, host string, registrable_domain string")
+    assert [r.value for r in search_values(urls).orderBy("ord").collect()] == ["https://h1.example.com/x0", "h1.example.com", "2.example.com2"]
+
+
+def test_second_trees(spark):
+    roots = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "c", "x")], "target_id int, state_id string, dom_hash string")
+    seconds = spark.createDataFrame([(1, "p", "x"), (2, "q", "y"), (3, None, None)], "target_id int, state_id string, dom_hash string")
+    edges = spark.createDataFrame([(2, "q", "r", "z", 1, "t")], "target_id int, from_state string, to_state string, dom_hash string, ts int, transition_id string")
+    done = bounded_bfs(roots, edges, probe_roots=seconds)
+    assert {(r.target_id, r.status, r.reason) for r in done.probe_status.collect()} == {
+        (1, "deduped", "duplicate_dom"), (2, "explored", "divergent_profile_detected"), (3, "error", "navigation")}
+    assert [tuple(r) for r in done.probe_edges.collect()] == [(2, "b", "q", "cloaking_probe")]
+    assert {(r.target_id, r.state_id) for r in done.nodes.collect()} == {(1, "a"), (2, "b"), (2, "q"), (2, "r"), (3, "c")}
+    few = bounded_bfs(roots, edges, max_nodes=3, probe_roots=seconds)
+    assert {r.status for r in few.probe_status.collect()} == {"skipped"}

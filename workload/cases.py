@@ -48,9 +48,12 @@ def evidence_flags(t: Inputs):
 
 
 @query("""
-    select target_id, key, try_cast(value as json) is not null as is_json, value from evidence where key in ('typosquat', 'reputation_hit', 'cloaking_detected')""")
+    select target_id, key, try_cast(value as json) is not null as is_json, value,
+      coalesce(array_to_string(list_sort(list_transform(json_keys(try_cast(value as json)), lambda k: concat(k, '=', json_extract_string(try_cast(value as json), '$."' || k || '"')))), '|'), '') as decoded
+    from evidence where key in ('typosquat', 'reputation_hit', 'cloaking_detected')""")
 def strong_evidence(t: Inputs):
-    return jobs.strong_details(t.evidence)
+    fields = F.array_sort(F.transform(F.map_entries("decoded"), lambda e: F.concat_ws("=", e["key"], e["value"])))
+    return jobs.strong_details(t.evidence).withColumn("decoded", F.coalesce(F.array_join(fields, "|"), F.lit("")))
 
 
 def _case_states(t: Inputs, max_chars: int | None = None):
@@ -216,16 +219,36 @@ def state_detail_levels(t: Inputs):
 
 
 @query(f"""
-    with {_BUNDLES}, {_DETAIL}
-    select target_id, position, case detail when 'full' then concat('--- State #', position, ' ---') else concat('--- State #', position, ' (same content as State #', same_as, ') ---') end as line from detailed
-    union all select target_id, position, concat('  Title: T ', target_id) from detailed where detail = 'full' and right(state_id, 1) <> 'N'
-    union all select target_id, 0, concat('States visited: ', num_states) from bundle
-    union all select target_id, 0, concat('  had_gate: ', had_gate) from bundle
-    union all select target_id, position, concat('  Form fields detected (', n, '):') from detailed join (select state_id, count(*) as n from case_fields group by state_id) using (state_id) where detail = 'full'""")
+    with {_BUNDLES}, {_DETAIL},
+    kinds as (select target_id, list(concat('  ', kind, ': ', n) order by kind) as found from (select target_id, kind, count(*) as n from case_transitions group by all) group by target_id),
+    keys as (select target_id, list(concat('  ', key, ': ', n) order by key) as found from k group by target_id),
+    heads as (
+      select b.target_id, 0 as section, 0 as position, list_concat(
+        ['=== EXPLORATION SUMMARY ===', concat('Input URL: ', input_url)], case when final_url is null then [] else [concat('Canonical URL: ', final_url)] end,
+        [concat('States visited: ', num_states), concat('Transitions recorded: ', num_transitions), concat('Max depth reached: ', max_depth_reached),
+          concat('Lexical risk score (L1): ', lexical_risk_score), concat('Passive risk score (L2): ', passive_risk_score), '=== TRANSITION TYPES ==='],
+        coalesce(kinds.found, []), ['=== FLAGS (from Evidence) ===', concat('  had_gate: ', had_gate), concat('  had_navigation_error: ', had_navigation_error),
+          concat('  had_replay_fallback: ', had_replay_fallback), concat('  had_tls_error: ', had_tls_error), concat('  had_unhandled_error: ', had_unhandled_error),
+          '=== EVIDENCE COUNTS ==='], coalesce(keys.found, []), ['=== STATE DETAILS (every explored state) ===']) as lines
+      from bundle b join targets using (target_id) left join kinds using (target_id) left join keys using (target_id)),
+    shown as (
+      select state_id, ord, concat('    input[type=email]  name_or_id=', name_or_id, case when nearby_label_text <> '' then concat('  → "', nearby_label_text, '"') else '' end) as line
+      from case_fields),
+    form as (select state_id, count(*) as n, list(line order by ord, line) as found from shown group by state_id),
+    bodies as (
+      select d.target_id, 1 as section, d.position, list_concat(
+        [concat('--- State #', position, case detail when 'full' then '' else concat(' (same content as State #', same_as, ')') end, ' ---'),
+          concat('  Depth: ', depth, case when is_leaf then ' (leaf, no further action)' else ' (continued)' end), concat('  URL: ', url)],
+        case when detail = 'same' then [] else list_concat(
+          case when title <> '' then [concat('  Title: ', title)] else [] end,
+          case when form.n is null then ['  Form fields: none'] else list_concat([concat('  Form fields detected (', form.n, '):')], form.found) end,
+          case when visible_text <> '' then ['  Visible text (truncated):', concat('    ', visible_text)] else [] end) end) as lines
+      from detailed d join state_text using (target_id, state_id) left join form using (state_id))
+    select target_id, section, position, line_no, lines[line_no + 1] as line
+    from (select *, unnest(range(len(lines))) as line_no from (from heads union all from bodies))""")
 def case_digests(t: Inputs):
-    lines = jobs.case_digest(_bundles(t), _case_states(t), t.case_fields)
-    shown = F.col("line").rlike(r"^--- State|^  Title: |^States visited: |^  had_gate: |^  Form fields detected")
-    return lines.filter(shown).select("target_id", "position", "line")
+    """Every line of every report."""
+    return jobs.case_digest(_bundles(t), _case_states(t), t.case_fields)
 
 
 @query(f"""

@@ -95,18 +95,33 @@ def shallow_exploration(t: Inputs):
     )
 
 
-@query("""
-    select target_id, case when (select count(*) from nodes m where m.target_id = n.target_id) > 0 and target_id % 4 = 0 then 'deduped' else 'explored' end as status
-    from nodes n where rn = 1""")
+_SECOND = """case when target_id % 4 = 0 then 'deduped' when target_id % 5 = 0 then 'error' else 'explored' end"""
+
+
+@query(f"""
+    with sized as (select *, {_SECOND} as status, count(*) over (partition by target_id) as n from nodes)
+    select target_id, 'node' as part, cast(state_id as varchar) as state_id, cast(cast(floor(log2(rn)) as int) as varchar) as detail from sized
+      where rn <= case when status = 'explored' then 40 - least(n, 7) else 40 end
+    union all select target_id, 'node', concat('p', state_id), cast(cast(floor(log2(rn)) as int) as varchar) from sized where status = 'explored' and rn < 8
+    union all select target_id, 'edge', concat('p', state_id), concat('cloaking_probe from ', state_id) from sized where status = 'explored' and rn = 1
+    union all select target_id, status, null, case status when 'deduped' then 'duplicate_dom' when 'error' then 'navigation' else 'divergent_profile_detected' end from sized where rn = 1""")
 def probe_branches(t: Inputs):
-    nodes = t.nodes
+    """Two trees per target, the second one with other contents: nodes of both, the edge between them, and the status."""
+    nodes, second = t.nodes, F.expr(_SECOND)
     roots = nodes.filter("rn = 1")
-    seen = F.when(F.col("target_id") % 4 == 0, F.col("dom_hash")).otherwise("other")
+    seen = F.when(second == "deduped", F.col("dom_hash")).when(second == "explored", F.concat(F.lit("p"), F.col("dom_hash")))
     probes = roots.select("target_id", F.concat(F.lit("p"), F.col("state_id")).alias("state_id"), seen.alias("dom_hash"))
-    text = lambda df: df.withColumns({c: F.col(c).cast("string") for c in ("state_id", "from_state", "to_state") if c in df.columns})
-    explored = jobs.bounded_bfs(text(roots), text(t.transitions), probe_roots=probes)
+    text = lambda df: df.withColumns({c: F.col(c).cast("string") for c in ("state_id", "from_state", "to_state", "transition_id") if c in df.columns})
+    edges = text(t.transitions)
+    named = lambda c: F.concat(F.lit("p"), F.col(c)).alias(c)
+    others = edges.select("target_id", *[named(c) for c in ("transition_id", "from_state", "to_state", "dom_hash")], "ts")
+    explored = jobs.bounded_bfs(text(roots), edges.select(others.columns).unionByName(others), probe_roots=probes)
     rows = jobs.probe_evidence(explored.probe_status)
-    return rows.select("target_id", F.get_json_object("value", "$.status").alias("status"))
+    value = lambda name: F.get_json_object("value", f"$.{name}")
+    none = F.lit(None).cast("string")
+    return explored.nodes.select("target_id", F.lit("node").alias("part"), "state_id", F.col("depth").cast("string").alias("detail")).unionByName(
+        explored.probe_edges.select("target_id", F.lit("edge").alias("part"), F.col("to_state").alias("state_id"), F.concat_ws(" from ", "kind", "from_state").alias("detail"))
+    ).unionByName(rows.select("target_id", value("status").alias("part"), none.alias("state_id"), value("reason").alias("detail")))
 
 
 @query("""
