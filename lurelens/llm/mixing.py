@@ -184,13 +184,17 @@ def _matrix(row: Row, k: int, prefix: str) -> np.ndarray:
     return np.array([[row[f"{prefix}{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(k)] for a in range(k)])
 
 
+def present_tokens(memberships: DataFrame, domains: tuple[str, ...]) -> dict[str, float]:
+    """Expected tokens of each domain."""
+    row = memberships.agg(*[F.sum(F.col("n_tokens") * F.get("posteriors", F.lit(d))).alias(str(d)) for d in range(len(domains))]).first()
+    return {name: row[str(d)] or 0.0 for d, name in enumerate(domains)}
+
+
 def reachable_total(memberships: DataFrame, domains: tuple[str, ...], weights: Mapping[str, float]) -> float:
     """The most tokens that can be had in these shares when documents are only dropped: the domain that is scarcest for
     its share says how many."""
-    whole = math.fsum(weights.get(d, 0.0) for d in domains)
-    row = memberships.agg(*[F.sum(F.col("n_tokens") * F.get("posteriors", F.lit(d))).alias(str(d)) for d in range(len(domains))]).first()
-    there = [row[str(d)] or 0.0 for d in range(len(domains))]
-    return min((have * whole / weights[d] for have, d in zip(there, domains, strict=True) if weights.get(d, 0.0) > 0), default=0.0)
+    whole, there = math.fsum(weights.get(d, 0.0) for d in domains), present_tokens(memberships, domains)
+    return min((there[d] * whole / weights[d] for d in domains if weights.get(d, 0.0) > 0), default=0.0)
 
 
 def fit_rates(
@@ -246,7 +250,7 @@ def solved(sums: Callable[[np.ndarray], Sums], second: np.ndarray, targets: np.n
 
     ``sums`` gives the sums at the rates that follow from such steps. The merit falls with every step that is taken, and is
     never below the best there is by more than the gap; rounds end at the targets or, where these are out of reach, when the
-    gap is a ten thousandth of what keeps them apart.
+    gap is a thousandth of what keeps them apart.
     """
     ridge, metric = RIDGE * second, np.linalg.pinv(second)
     dual = np.zeros(len(targets))
@@ -257,7 +261,7 @@ def solved(sums: Callable[[np.ndarray], Sums], second: np.ndarray, targets: np.n
     while tokens and np.abs(gradient).max() > TOLERANCE * tokens:
         apart = (at.totals - targets) @ metric @ (at.totals - targets) / (2 * RIDGE)
         least = 0.5 * tokens - now
-        if apart > at.change and 0.5 * at.change + apart - least <= 1e-4 * apart:
+        if apart > at.change and 0.5 * at.change + apart - least <= 1e-3 * apart:
             break
         step = -np.linalg.lstsq(at.inside + ridge, gradient, rcond=1e-14)[0]
         size = 1.0
@@ -304,13 +308,14 @@ def mixture_rates(
 
 
 def mixed_documents(
-    docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], total: float | None = None, seed: int = 0,
+    docs: DataFrame, labels: DataFrame, weights: Mapping[str, float], total: float | None = None, relative: bool = False, seed: int = 0,
     key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """Documents drawn once with their rates as probabilities (at most 1), with the columns they came with.
 
     ``total`` tokens are wanted, by default as many as documents that are only dropped can give in these shares
-    (``reachable_total``). The draw is a seeded hash of key and text, so it does not depend on where a row lies and equal
+    (``reachable_total``). With ``relative`` weights say which part of the tokens of each domain is to stay; domains that are
+    not named stay whole. The draw is a seeded hash of key and text, so it does not depend on where a row lies and equal
     rows are drawn alike. Texts are scored once: documents and posteriors are written together.
     """
     classifier = fit_classifier(docs, labels, key=key, text=text)
@@ -319,7 +324,10 @@ def mixed_documents(
     row = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
     known = stored(docs.select(row.alias("row"), words.alias("words"), draw.alias("draw")).select(
         "row", "draw", F.size("words").cast("long").alias("n_tokens"), classifier.posteriors(F.col("words")).alias("posteriors")), "scored")
-    if total is None and classifier.domains:
+    if relative and classifier.domains:
+        weights = {name: weights.get(name, 1.0) * there for name, there in present_tokens(known, classifier.domains).items()}
+        total = math.fsum(weights.values())
+    elif total is None and classifier.domains:
         total = reachable_total(known, classifier.domains, weights)
     rates = fit_rates(known, classifier.domains, weights, total, upper=1.0)
     kept = known.where(F.col("draw") < rates.of(F.col("posteriors")))

@@ -234,6 +234,15 @@ def test_mixing_odd_rows(spark):
         mixing.mixture_rates(docs, labels, {"unheard": 1.0})
 
 
+def test_relative_weights_drop_toxic_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    kept = mixing.mixed_documents(docs, labels, {"quality0_toxic1": 0.3, "quality1_toxic1": 0.3}, relative=True)
+    assert kept.columns == docs.columns
+    left = {(r["toxic"]): r["n"] for r in kept.join(labels, "doc_id").groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    there = {(r["toxic"]): r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert left.get(1, 0) <= 0.3 * there[1] and left[0] >= 0.85 * there[0]
+
+
 def test_classifier_on_given_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     taught, other = labels.where("doc_id % 2 = 0"), labels.where("doc_id % 2 = 1")
