@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from lurelens.llm import decontamination, mixing, near_duplicates, quality, sharding
 from lurelens.llm.common import stored, table
 
-#: Shares of the tokens by labels; documents are dropped for it, never repeated.
-WEIGHTS = {"quality1_toxic0": 0.97, "quality0_toxic0": 0.02, "quality1_toxic1": 0.01}
+#: Parts of the tokens of toxic domains that are to stay; the other domains keep theirs. Documents are dropped for it, never
+#: repeated.
+WEIGHTS = {"quality0_toxic1": 0.3, "quality1_toxic1": 0.3}
 SHARDS = 16
 
 
@@ -29,7 +30,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn so that the labelled domains come as near to their target shares as dropping allows."""
-    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"), WEIGHTS)
+    return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"), WEIGHTS, relative=True)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
