@@ -17,7 +17,7 @@ HEADLINE = (
     "form_fields", "certificate_evidence", "misp_summary", "opencti_summary", "redirect_evidence", "cloaking",
     "deduped_states", "leaf_states", "evidence_bundles", "final_verdicts", "listing_page", "latest_runs",
     "cached_verdicts", "override_matches", "root_paths", "long_root_paths", "bounded_exploration", "case_digests",
-    "streamed_verdict_cache", "risk_listing",
+    "streamed_verdict_cache", "risk_listing", "runs_at_request_time", "deep_listing_page", "exported_documents",
 )
 
 
