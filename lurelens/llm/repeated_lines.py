@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,15 +36,21 @@ def _windows(docs: DataFrame, run: int, words: int, key: str, text: str) -> Data
     those that have neither. Rows ``doc, version, start, size, window, check, fingerprint, at``; lines that are blank
     don't count.
     """
-    lines = F.filter(F.split(named(text), "\n", -1), _written)
-    known = docs.select(_order(key).alias("doc"), F.xxhash64(named(text)).alias("version"), F.transform(
-        lines, lambda line: F.struct(F.xxhash64(line).alias("hash"), _words(line).alias("words"))).alias("lines"))
-    total = lambda i, n: F.aggregate(F.slice("lines.words", i + 1, n), F.lit(0), lambda a, x: a + x)
-    sized = F.transform(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.struct(i.alias("start"), F.coalesce(
-        F.array_min(F.filter(F.array(*[F.lit(n) for n in range(1, run)]), lambda n: total(i, n) >= words)), F.lit(run)).alias("size")))
-    whole = F.filter(sized, lambda w: w["start"] + w["size"] <= F.size("lines"))
-    cut = known.where(F.size("lines") >= 1).select("doc", "version", F.explode(F.transform(whole, lambda w: F.struct(
-        w["start"].alias("start"), w["size"].alias("size"), F.slice("lines.hash", w["start"] + 1, w["size"]).alias("own")))).alias("w"))
+    known = docs.select(
+        _order(key).alias("doc"), F.xxhash64(named(text)).alias("version"), F.filter(F.split(named(text), "\n", -1), _written).alias("lines"))
+    known = known.where(F.size("lines") >= 1).select(
+        "doc", "version", F.transform("lines", lambda line: F.xxhash64(line)).alias("hashes"), F.transform("lines", _words).alias("words"))
+
+    def size(i: Column) -> Column:
+        found, total = F.lit(run), [F.coalesce(F.get("words", i + k), F.lit(0)) for k in range(run - 1)]
+        for n in range(run - 1, 0, -1):
+            found = F.when(reduce(add, total[:n]) >= words, n).otherwise(found)
+        return found
+
+    sized = F.transform("hashes", lambda _, i: F.struct(i.alias("start"), size(i).alias("size")))
+    whole = F.filter(sized, lambda w: w["start"] + w["size"] <= F.size("hashes"))
+    cut = known.select("doc", "version", F.explode(F.transform(whole, lambda w: F.struct(
+        w["start"].alias("start"), w["size"].alias("size"), F.slice("hashes", w["start"] + 1, w["size"]).alias("own")))).alias("w"))
     least = F.array_min("w.own")
     return cut.select(
         "doc", "version", "w.start", "w.size", F.xxhash64("w.own").alias("window"), F.xxhash64(F.lit(1), "w.own").alias("check"),
