@@ -206,7 +206,7 @@ def _distinct_events(matched: DataFrame, events: DataFrame) -> DataFrame:
     it, and its work is the size of its smallest value, so a value with very many records costs its size once.
     """
     sizes = events.groupBy("value").agg(F.count(F.lit(1)).alias("_n"))
-    sized = matched.join(sizes, "value")
+    sized = matched.hint("merge").join(sizes, "value")
     ordered = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("n"), "value"))), lambda x: x["value"])
     lists = sized.groupBy("target_id").agg(ordered.alias("_values"))
     prefixes = lists.select(
@@ -215,34 +215,35 @@ def _distinct_events(matched: DataFrame, events: DataFrame) -> DataFrame:
     unique = prefixes.groupBy("prefix_key").agg(F.first("_prefix").alias("_prefix"))
     last = unique.select(
         "prefix_key", F.element_at("_prefix", -1).alias("value"), F.slice("_prefix", F.lit(1), F.size("_prefix") - 1).alias("_earlier")
-    ).join(events, "value")
+    ).hint("merge").join(events, "value")
     pairs = last.select("prefix_key", "event_id", F.explode("_earlier").alias("value"))
-    known = pairs.join(events, ["value", "event_id"], "left_semi").select("prefix_key", "event_id").distinct()
-    fresh = last.select("prefix_key", "event_id").join(known, ["prefix_key", "event_id"], "left_anti")
+    known = pairs.join(events.hint("merge"), ["value", "event_id"], "left_semi").select("prefix_key", "event_id").distinct()
+    fresh = last.select("prefix_key", "event_id").join(known.hint("merge"), ["prefix_key", "event_id"], "left_anti")
     added = fresh.groupBy("prefix_key").agg(F.count(F.lit(1)).alias("_added"))
-    counted = prefixes.select("target_id", "prefix_key").join(added, "prefix_key")
+    counted = prefixes.select("target_id", "prefix_key").hint("merge").join(added, "prefix_key")
     return counted.groupBy("target_id").agg(F.sum("_added").alias("event_count"))
 
 
 def misp_summary(values: DataFrame, attributes: DataFrame) -> DataFrame:
     """Per target with a match: counts, types, tags, events and whether any record is marked for detection.
 
-    The feed is summarised per value first; a target then meets one row for each of its few values.
+    The feed is summarised per value first; a target then meets one row for each of its few values. Both sides of
+    the joins grow with targets and records, whatever the size of the files they come from, so none is broadcast.
     """
     wanted = attributes.filter(F.col("type").isin(*MISP_TYPES))
     per_value = wanted.groupBy("value").agg(
         F.count(F.lit(1)).alias("match_count"), F.array_sort(F.collect_set("type")).alias("matched_types"),
         F.bool_or("to_ids").alias("to_ids_match"),
-    ).join(_vocabulary(wanted.select("value", F.explode("tags").alias("tag")), F.col("tag"), "tags"), "value", "left")
+    ).hint("merge").join(_vocabulary(wanted.select("value", F.explode("tags").alias("tag")), F.col("tag"), "tags"), "value", "left")
     none = F.array().cast("array<string>")
-    matched = values.select("target_id", "value").distinct().join(per_value, "value")
+    matched = values.select("target_id", "value").distinct().hint("merge").join(per_value, "value")
     summary = matched.withColumn("tags", F.coalesce("tags", none)).groupBy("target_id").agg(
         F.sum("match_count").alias("match_count"), _united("matched_types").alias("matched_types"), _united("tags").alias("tags"),
         F.bool_or("to_ids_match").alias("to_ids_match"),
     )
     events = wanted.select("value", "event_id").filter(F.col("event_id").isNotNull()).distinct()
     counts = _distinct_events(matched.select("target_id", "value"), events)
-    return summary.join(counts, "target_id", "left").select(
+    return summary.join(counts.hint("merge"), "target_id", "left").select(
         "target_id", "match_count", "matched_types", "tags", F.coalesce("event_count", F.lit(0)).alias("event_count"),
         "to_ids_match", (~F.col("to_ids_match")).alias("context_only"),
     )
@@ -260,34 +261,42 @@ def opencti_summary(values: DataFrame, observables: DataFrame, indicators: DataF
     """Per target with a match: observables, active and total indicators, context sets and active scores.
 
     Every observable has one value and every indicator one observable, so counts per value simply add up. They
-    are made per value, each at its own grain, and a target meets one row for each of its few values.
+    are made per value, each at its own grain, and a target meets one row for each of its few values. Both sides of
+    the joins grow with targets and records, so none is broadcast.
     """
     wanted = observables.filter(F.col("type").isin(*OPENCTI_TYPES))
     active = is_active_indicator(F.col("revoked"), F.col("valid_until"), as_of)
-    detail = wanted.select("observable_id", "value").join(indicators, "observable_id").withColumn("_active", active)
+    # records of both kinds are one table, counted and spread into words in the same pass
+    detail = wanted.select("observable_id", "value").hint("merge").join(indicators, "observable_id").withColumn("_active", active)
     score = F.when(F.col("_active"), F.col("score"))
-    per_value = wanted.groupBy("value").agg(
-        F.count(F.lit(1)).alias("match_count"), F.array_sort(F.collect_set("type")).alias("matched_types")
-    ).join(detail.groupBy("value").agg(
-        F.count_if("_active").alias("_active_n"), F.count(F.lit(1)).alias("_n"), F.min(score).alias("_min"),
-        F.max(score).alias("_max"), F.sum(score).alias("_sum"), F.count(score).alias("_scored"),
-    ), "value", "left")
     context = ["value", "labels", "markings", "creator"]
-    notes = wanted.select(*context).unionByName(detail.select(*context))
-    words = {
-        "labels": _vocabulary(notes.select("value", F.explode("labels").alias("x")), F.col("x"), "labels"),
-        "markings": _vocabulary(notes.select("value", F.explode("markings").alias("x")), F.col("x"), "markings"),
-        "created_by": _vocabulary(notes, F.col("creator"), "created_by"),
-    }
-    for side in words.values():
-        per_value = per_value.join(side, "value", "left")
-    none, zero = F.array().cast("array<string>"), F.lit(0)
-    per_value = per_value.withColumns({name: F.coalesce(name, none) for name in words})
-    matched = values.select("target_id", "value").distinct().join(per_value, "value")
+    none = F.array().cast("array<string>")
+    notes = wanted.select(*context, F.lit(1).alias("_seen"), "type").unionByName(detail.select(
+        *context, F.lit(0).alias("_seen"), F.lit(None).cast("string").alias("type"), "_active", score.alias("_score"),
+    ), allowMissingColumns=True)
+    kinds = {"matched_types": F.array("type"), "labels": F.col("labels"), "markings": F.col("markings"), "created_by": F.array("creator")}
+
+    def spread(kind: str, column: Column) -> Column:
+        known = F.filter(F.coalesce(column, none), lambda w: w.isNotNull() & (w != ""))
+        return F.transform(known, lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("word")))
+
+    record = F.array(F.struct(F.lit("record").alias("kind"), F.lit(None).cast("string").alias("word")))
+    words = F.concat(record, *(spread(kind, column) for kind, column in kinds.items()))
+    each = notes.select("value", F.explode(words).alias("w"), "_seen", "_active", "_score").select("value", "w.*", "_seen", "_active", "_score")
+    counted = each.groupBy("value", "kind", "word").agg(
+        F.sum("_seen").alias("match_count"), F.count_if("_active").alias("_active_n"), F.count("_active").alias("_n"),
+        F.min("_score").alias("_min"), F.max("_score").alias("_max"), F.sum("_score").alias("_sum"), F.count("_score").alias("_scored"),
+    )
+    once = lambda name: F.max(F.when(F.col("kind") == "record", F.col(name))).alias(name)
+    per_value = counted.groupBy("value").agg(
+        *(once(name) for name in ("match_count", "_active_n", "_n", "_min", "_max", "_sum", "_scored")),
+        *(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("word")))).alias(kind) for kind in kinds),
+    )
+    matched = values.select("target_id", "value").distinct().hint("merge").join(per_value, "value")
     summary = matched.groupBy("target_id").agg(
         F.sum("match_count").alias("match_count"), _united("matched_types").alias("matched_types"),
-        F.sum(F.coalesce("_active_n", zero)).alias("active_indicator_count"), F.sum(F.coalesce("_n", zero)).alias("total_indicator_count"),
-        *(_united(name).alias(name) for name in words),
+        F.sum("_active_n").alias("active_indicator_count"), F.sum("_n").alias("total_indicator_count"),
+        *(_united(name).alias(name) for name in ("labels", "markings", "created_by")),
         F.min("_min").alias("score_min"), F.max("_max").alias("score_max"), F.round(F.try_divide(F.sum("_sum"), F.sum("_scored")), 1).alias("score_avg"),
     )
     ioc = F.col("active_indicator_count") > 0
