@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lurelens.operators import pages as jobs
+from lurelens.session import stored
 from workload.registry import Inputs, query
 
 # What the given pages lack is added to the end of each whole page, the same way in both engines.
@@ -53,7 +54,8 @@ def page_state_hashes(t: Inputs):
         "open": f"regexp_replace({noise('6')}, '(?i)</head>|</?body[^>]*>', '')", "other": f"concat({noise('4')}, '<p>changed</p>')",
     }
     rows = t.sql(" union all ".join(f"select page_id, '{name}' as capture, {html} as html from pages" for name, html in captures.items()))
-    hashed = jobs.with_dom_hash(rows).select("page_id", "capture", "dom_hash")
+    # parsed once: the states and the captures that they name read the same hashes
+    hashed = stored(jobs.with_dom_hash(rows).select("page_id", "capture", "dom_hash"), "hashes")
     states = hashed.groupBy("dom_hash").agg(F.min("page_id").alias("state"), F.count("*").alias("captures"))
     return hashed.join(states, "dom_hash").drop("dom_hash")
 
