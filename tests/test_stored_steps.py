@@ -3,6 +3,7 @@
 import pytest
 
 import workload
+from workload.registry import Inputs
 
 
 def plan(df):
@@ -18,6 +19,15 @@ def folder(spark, tmp_path):
     return str(tmp_path)
 
 
+def test_case_graphs_are_derived_once(spark, folder):
+    t = Inputs(spark, folder)
+    edges, pages = t.case_transitions, t.case_pages
+    assert "lineitem" not in plan(edges) and "lineitem" not in plan(pages) and "lineitem" not in plan(t.case_states)
+    assert sorted((r.target_id, r.from_state, r.to_state, r.kind) for r in edges.collect()) == [("1", "1A", "1N", "click"), ("1", "1N", "1R", "js_location")]
+    assert sorted((str(r.target_id), str(r.state_id), str(r.dom_hash)) for r in t.case_states.collect()) == [
+        ("1", "1A", "A"), ("1", "1N", "N"), ("1", "1R", "A"), ("2", "2N", "N"), ("None", "None", "A")]
+
+
 def test_pages_are_parsed_once(spark, folder):
     states = workload.QUERIES["page_state_hashes"](spark, folder)
     assert "ArrowEvalPython" not in plan(states)

@@ -9,6 +9,7 @@ from lurelens.operators.graph import crawl_evidence
 from lurelens.operators.probes import probe_errors
 from lurelens.plans.analysis import risk_listing as listing
 from lurelens.schemas import identified
+from lurelens.session import stored
 from workload.registry import Inputs, brand_values, query
 
 
@@ -71,8 +72,8 @@ def state_contents(t: Inputs):
     return _case_states(t).select("target_id", "state_id", "is_leaf", "title", "visible_text", "ocr_text")
 
 
-def _bundles(t: Inputs):
-    return jobs.bundles(t.targets, _case_states(t), t.case_transitions, t.case_evidence, t.case_fields)
+def _bundles(t: Inputs, states=None):
+    return jobs.bundles(t.targets, _case_states(t) if states is None else states, t.case_transitions, t.case_evidence, t.case_fields)
 
 
 _BUNDLES = f"""{_STATE_TEXT},
@@ -214,7 +215,7 @@ _DETAIL = """
 
 @query(f"with {_DETAIL} select target_id, state_id, position, detail, same_as from detailed")
 def state_detail_levels(t: Inputs):
-    df = jobs.with_detail_level(_case_states(t))
+    df = jobs.with_detail_level(stored(_case_states(t), "states"))
     return df.select("target_id", "state_id", "position", "detail", F.coalesce("same_as", F.lit(0)).alias("same_as"))
 
 
@@ -248,7 +249,8 @@ def state_detail_levels(t: Inputs):
     from (select *, unnest(range(len(lines))) as line_no from (from heads union all from bodies))""")
 def case_digests(t: Inputs):
     """Every line of every report."""
-    return jobs.case_digest(_bundles(t), _case_states(t), t.case_fields)
+    states = stored(_case_states(t), "states")
+    return jobs.case_digest(_bundles(t, states), states, t.case_fields)
 
 
 @query(f"""
