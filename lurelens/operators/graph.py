@@ -6,7 +6,6 @@ after every level, so a lost executor costs one level at most.
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -33,11 +32,11 @@ def _checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """Write a step to the shared folder and read it back: like a checkpoint, but later joins of a step with itself are free
-    to rename its columns."""
+def _written(df: DataFrame, *parts: str) -> DataFrame:
+    """Write a step to the shared folder, in folders by ``parts``, and read it back: like a checkpoint, but compressed, and
+    later joins of a step with itself are free to rename its columns."""
     path = fresh_folder(df.sparkSession, "graph-step")
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -74,30 +73,46 @@ def root_paths(states: DataFrame, transitions: DataFrame) -> DataFrame:
     done, the others jump to their ancestor's ancestor, so rounds grow with the logarithm of the longest path, which is
     not limited. States that hang on a cycle without a root are not returned; see ``every_path``.
     """
-    keys = ["target_id", "state_id"]
-    steps = first_incoming(transitions).select(
-        "target_id", F.col("to_state").alias("state_id"), F.col("from_state").alias("ancestor"),
-        F.array(F.col("transition_id").cast("string")).alias("path"),
-    )
-    waiting = _checkpoint(steps)
-    roots = states.select(*keys).distinct().join(waiting, keys, "left_anti")
-    return _followed(_checkpoint(roots.withColumn("path", F.array().cast("array<string>"))), waiting)
+    found, waiting = _rooted_steps(states, transitions)
+    return _as_text(_followed(found, waiting))
 
 
-def _followed(found: DataFrame, waiting: DataFrame, cut: Callable[[DataFrame], DataFrame] = _checkpoint) -> DataFrame:
-    """``found (target_id, state_id, path)`` and all of ``waiting (target_id, state_id, ancestor, path)`` that hang on it."""
+def _rooted_steps(states: DataFrame, transitions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """States without an incoming edge and their empty paths; the other states, the one before each, and the edge from it."""
     keys = ["target_id", "state_id"]
-    while True:
-        above = found.select("target_id", F.col("state_id").alias("ancestor"), F.col("path").alias("_above"))
-        done = cut(waiting.join(above, ["target_id", "ancestor"]).select(*keys, F.concat("_above", "path").alias("path")))
+    waiting = _written(first_incoming(transitions).select(
+        "target_id", F.col("to_state").alias("state_id"), F.col("from_state").alias("ancestor"), F.array("transition_id").alias("path")))
+    return _written(_at_start(states.select(*keys).distinct().join(waiting, keys, "left_anti"), waiting)), waiting
+
+
+def _at_start(states: DataFrame, steps: DataFrame) -> DataFrame:
+    return states.withColumn("path", F.array().cast(steps.schema["path"].dataType))
+
+
+def _as_text(paths: DataFrame) -> DataFrame:
+    """Paths carry the ids as they are until they are whole: numbers are shorter than their texts."""
+    return paths.withColumn("path", F.col("path").cast("array<string>"))
+
+
+def _followed(found: DataFrame, waiting: DataFrame) -> DataFrame:
+    """``found (target_id, state_id, path)`` and all of ``waiting (target_id, state_id, ancestor, path)`` that hang on it.
+
+    One join a round looks the ancestor up among both; what comes out is written once, compressed, and parted by whether its
+    path is whole. Nothing is joined any more once no state waits.
+    """
+    while not waiting.isEmpty():
+        above = found.withColumn("ancestor", F.lit(None).cast(waiting.schema["ancestor"].dataType)).withColumn("whole", F.lit(True)).unionByName(
+            waiting.withColumn("whole", F.lit(False)))
+        above = above.select(
+            "target_id", F.col("state_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("path").alias("_above"), "whole")
+        # files of paths are small for what they hold: their size is no reason to broadcast them
+        moved = _written(waiting.join(above.hint("merge"), ["target_id", "ancestor"]).select(
+            "target_id", "state_id", F.col("_next").alias("ancestor"), F.concat("_above", "path").alias("path"), "whole"), "whole")
+        done = moved.where("whole").select("target_id", "state_id", "path")
         if done.isEmpty():
-            return found
-        found = found.unionByName(done)
-        higher = waiting.select(
-            "target_id", F.col("state_id").alias("ancestor"), F.col("ancestor").alias("_next"), F.col("path").alias("_above"))
-        waiting = cut(
-            waiting.join(done, keys, "left_anti").join(higher, ["target_id", "ancestor"])
-            .select(*keys, F.col("_next").alias("ancestor"), F.concat("_above", "path").alias("path")))
+            break
+        found, waiting = found.unionByName(done), moved.where("not whole").drop("whole")
+    return found
 
 
 def every_path(states: DataFrame, transitions: DataFrame) -> DataFrame:
@@ -107,17 +122,15 @@ def every_path(states: DataFrame, transitions: DataFrame) -> DataFrame:
     and paths begin there; ``cyclic`` is true. So every state has a path, and no path visits a state twice.
     """
     keys = ["target_id", "state_id"]
-    found = _written(root_paths(states, transitions))
-    steps = first_incoming(transitions).select(
-        "target_id", F.col("to_state").alias("state_id"), F.col("from_state").alias("ancestor"),
-        F.array(F.col("transition_id").cast("string")).alias("path"))
+    found, steps = _rooted_steps(states, transitions)
+    found = _followed(found, steps)
     steps = _written(steps.join(found, keys, "left_anti"))
-    rooted = found.withColumn("cyclic", F.lit(False))
+    rooted = _as_text(found).withColumn("cyclic", F.lit(False))
     if steps.isEmpty():
         return rooted
     heads = _written(_cycle_heads(steps.select(*keys, "ancestor")))
-    below = _followed(_written(heads.withColumn("path", F.array().cast("array<string>"))), _written(steps.join(heads, keys, "left_anti")), _written)
-    return rooted.unionByName(below.withColumn("cyclic", F.lit(True)))
+    below = _followed(_at_start(heads, steps), _written(steps.join(heads, keys, "left_anti")))
+    return rooted.unionByName(_as_text(below).withColumn("cyclic", F.lit(True)))
 
 
 def _leap(steps: DataFrame, *columns: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lurelens.functions.html import canonical_markup, form_fields
 from lurelens.functions.ranking import with_position
 from lurelens.functions.times import utc_timestamp
 from lurelens.operators import decisions, evidence, feeds, graph, history, probes, verdicts
+from lurelens.session import shared_folder
 from lurelens.sources import feeds as sources
 
 
@@ -216,6 +218,34 @@ def test_paths_of_any_length(spark):
     assert got == {(1, i): [str(k) for k in range(i)] for i in range(201)} | {(3, 1): []}
 
 
+def test_paths_shuffle_little(spark):
+    """Chains of 100 states: every round moves each path twice at most, and no round is run for nothing."""
+    ids = spark.range(50 * 100).select(F.expr("id div 100").alias("target_id"), F.col("id").alias("state_id"))
+    edges = ids.where("state_id % 100 > 0").select(
+        "target_id", (F.col("state_id") * 7919).alias("transition_id"), (F.col("state_id") - 1).alias("from_state"),
+        F.col("state_id").alias("to_state"), F.lit(0).alias("ts"))
+    files = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+    size = lambda: sum(f.length() for f in (all_.apply(i) for all_ in [files.getAllFiles()] for i in range(all_.size())) if f.getName().startswith("shuffle_"))
+    before = size()
+    paths = graph.root_paths(ids, edges)
+    moved = size() - before
+    assert paths.agg(F.sum(F.size("path"))).first()[0] == 50 * 100 * 99 // 2
+    assert paths.where("target_id = 3 and state_id = 302").first()["path"] == [str(301 * 7919), str(302 * 7919)]
+    assert moved < 5_000_000
+
+
+def test_odd_edges_have_the_paths_they_had(spark):
+    """Texts as ids, states without a number, edges from nowhere and from unlisted states, a cycle with a tail."""
+    columns = "target_id bigint, transition_id string, from_state bigint, to_state bigint, ts int"
+    edges = spark.createDataFrame([
+        (1, "a", 1, 2, 0), (1, "b", 2, None, 0), (1, None, 2, 3, 0), (1, "c", None, 4, 0), (1, "d", 4, 5, 0), (1, "e", 9, 6, 0),
+        (2, "f", 1, 2, 0), (2, "g", 2, 1, 0), (2, "h", 2, 3, 0), (None, "i", 1, 2, 0)], columns)
+    states = spark.createDataFrame([(1, 1), (1, 1), (1, 2), (1, 3), (1, 4), (2, 1), (2, 2), (1, None), (None, 1)], "target_id bigint, state_id bigint")
+    got = sorted(((r.target_id, r.state_id, r.path) for r in graph.root_paths(states, edges).collect()), key=repr)
+    assert got == sorted([
+        (1, 1, []), (1, 2, ["a"]), (1, None, ["a", "b"]), (1, 3, ["a", None]), (1, None, []), (None, 1, [])], key=repr)
+
+
 def test_digest_shows_the_first_fields_whatever_their_numbers(spark):
     fields = spark.createDataFrame(
         [("t", "s", i, "input", "email", f"f{i}", "") for i in range(30, 60)],
