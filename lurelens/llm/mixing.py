@@ -103,8 +103,10 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE
     counts = np.zeros((len(names), FEATURES))
     words = texts.select("domain", F.explode(F.array_distinct("words")).alias("word")).groupBy(
         "domain", F.pmod(F.hash("word"), F.lit(FEATURES)).alias("feature")).agg(F.count("*").alias("n"))
-    for row in words.collect():
-        counts[names.index(row["domain"]), row["feature"]] = row["n"]
+    found = words.toArrow()  # columns: a row object for each of so many counts would fill the driver
+    place = found["domain"].combine_chunks().dictionary_encode()
+    rows = np.array([names.index(name) for name in place.dictionary.to_pylist()], int)[place.indices.to_numpy()]
+    counts[rows, found["feature"].to_numpy()] = found["n"].to_numpy()
     if not names:
         return Classifier((), (), counts)
     totals = counts.sum(axis=1, keepdims=True)
@@ -169,7 +171,12 @@ class Rates:
         return all(abs(a - b) <= MET * self.tokens for a, b in zip(self.reached, self.targets, strict=True))
 
     def free(self, posteriors: Column) -> Column:
-        return F.lit(1.0) - sum((F.get(posteriors, F.lit(d)) * F.lit(x) for d, x in enumerate(self.dual)), F.lit(0.0))
+        """One array holds the numbers: as single literals they would be part of the generated code, and the driver would
+        compile and keep other code for every round."""
+        if not self.dual:
+            return F.lit(1.0)
+        parts = F.zip_with(posteriors, F.array(*[F.lit(x) for x in self.dual]), lambda p, x: p * x)
+        return F.lit(1.0) - F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
 
     def of(self, posteriors: Column) -> Column:
         rate = F.greatest(self.free(posteriors), F.lit(0.0))

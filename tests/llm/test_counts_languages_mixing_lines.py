@@ -175,6 +175,19 @@ def test_bounded_rates_minimise_the_distance(spark):
     assert (mine >= 0).all() and (mine <= 1).all() and distance(mine) <= distance(r) * 1.001 + 1e-9
 
 
+def test_rounds_share_their_code(spark):
+    """Other rates are other numbers in the same generated code, which the driver compiles and keeps once."""
+    rows = [(i, 1 + i % 50, [x := (i * 37 % 101) / 101, 1 - x]) for i in range(300)]
+    known = spark.createDataFrame(rows, "doc_id long, n_tokens long, posteriors array<double>")
+    known = mixing.stored(known, "rounds")
+    compiled = lambda: spark._jvm.org.apache.spark.metrics.source.CodegenMetrics.METRIC_COMPILATION_TIME().getCount()
+    mixing.fit_rates(known, ("a", "b"), {"a": 0.7, "b": 0.3}, upper=1.0)
+    before = compiled()
+    for share in (0.35, 0.45, 0.8):
+        mixing.fit_rates(known, ("a", "b"), {"a": share, "b": 1 - share}, upper=1.0)
+    assert compiled() == before
+
+
 @pytest.mark.parametrize(("spread", "upper"), [(1, None), (3, None), (8, None), (1, 1.0), (3, 1.0), (8, 1.0)])
 def test_solver_reaches_the_optimum(spread, upper):
     """Against very many small steps of a plain projected gradient, for targets in and out of reach."""
