@@ -13,7 +13,7 @@ from lurelens.operators.intake import intake_evidence, with_intake
 from lurelens.operators.lexical import lexical_evidence, lexical_signals
 from lurelens.operators.overrides import apply_overrides, with_url_key
 from lurelens.operators.pages import VISIBLE_TEXT_CHARS, page_fields, with_page_text
-from lurelens.session import ensure_checkpoint_dir
+from lurelens.session import dealt, ensure_checkpoint_dir
 
 
 class Collected(NamedTuple):
@@ -53,6 +53,13 @@ class Analysis(NamedTuple):
     decisions: DataFrame
 
 
+def annotate(submissions: DataFrame) -> DataFrame:
+    """Submissions with the columns of the intake, written once. They are dealt out by target first, so that the intake and
+    what is done with its rows later is the work of many tasks, whatever the size of their file."""
+    ensure_checkpoint_dir(submissions.sparkSession)
+    return with_intake(dealt(submissions, "target_id")).checkpoint()
+
+
 def collect_evidence(urls: DataFrame, brands: DataFrame, rules: DataFrame, data: Collected, as_of: Column) -> DataFrame:
     """All evidence of annotated URLs (``with_intake`` plus ``target_id``) in one table."""
     signals = lexical_signals(urls, brands, rules)
@@ -107,8 +114,7 @@ def analyse(
     reason``), become error evidence. The annotated URLs and the evidence are each written once, because several later
     steps read them.
     """
-    ensure_checkpoint_dir(submissions.sparkSession)
-    annotated = with_intake(submissions).checkpoint()
+    annotated = annotate(submissions)
     readable = annotated.filter(F.col("url_error").isNull())
     rejects = annotated.filter(F.col("url_error").isNotNull()).select("target_id", F.col("url_error").alias("reason"))
     forced = None

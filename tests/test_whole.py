@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lurelens import schemas
 from lurelens.operators import graph, intake
-from lurelens.plans.analysis import Collected, analyse
+from lurelens.plans.analysis import Collected, analyse, annotate
 from lurelens.sources import tables
 from lurelens.sources.brands import brands
 from lurelens.sources.suffixes import suffix_rules
@@ -101,3 +101,12 @@ def test_intake_is_stable(spark):
     once = intake.with_intake(df).select("target_id", F.col("canonical_url").alias("input_url"), F.col("url_hash").alias("first_hash"))
     again = intake.with_intake(once).first()
     assert again.canonical_url == again.input_url and again.url_hash == again.first_hash
+
+
+def test_submissions_of_one_file_are_many_tasks(spark):
+    rows = [(str(i), f"https://h{i}.example.com/") for i in range(200)] + [("7", "https://again.example.com/"), (None, "https://x.example.com/")]
+    urls = annotate(spark.createDataFrame(rows, "target_id string, input_url string").coalesce(1))
+    sizes = urls.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) >= 6 and max(r["count"] for r in sizes) < 80
+    assert sorted((r.target_id, r.input_url) for r in urls.where("target_id is not null").collect()) == sorted(rows[:-1])
+    assert urls.where("target_id is null").count() == 1

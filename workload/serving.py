@@ -9,7 +9,7 @@ from lurelens.functions.table_functions import register_table_functions
 from lurelens.operators import asof, graph, history, overrides
 from lurelens.operators.decisions import OVERRIDE_SIGNATURES
 from lurelens.plans.analysis import Collected, analyse
-from lurelens.session import fresh_folder
+from lurelens.session import dealt, fresh_folder, stored
 from lurelens.sources import answers, documents, feeds, tables as store
 from lurelens.streaming import stateful
 from workload.feeds import _certs, _misp_answers, _opencti_answers  # noqa: F401
@@ -352,10 +352,10 @@ _KIND = "c_custkey % 5"
 def whole_decisions(t: Inputs):
     """The whole analysis of one URL per customer: some cannot be read, some are listed by a feed, some are overridden (with hops
     collected for them all the same), the others have a model's answer or none; some feed answers are broken."""
-    cases = t.sql(f"""
+    cases = stored(dealt(t.sql(f"""
         select cast(c_custkey as string) as target_id, c_custkey as k, {_KIND} as kind,
           case {_KIND} when 0 then 'http://bad:port/' when 1 then concat('https://h', c_custkey, '.example.com/login') when 2 then concat('https://login.dom', c_custkey, '.it/x')
-            when 3 then concat('https://host', c_custkey, '.example.net/p?q=1') else concat('https://w', c_custkey, '.example.org/') end as input_url from customer""")
+            when 3 then concat('https://host', c_custkey, '.example.net/p?q=1') else concat('https://w', c_custkey, '.example.org/') end as input_url from customer"""), "target_id"), "cases")
     changes = cases.where("kind in (2, 3)").select(
         F.when(F.col("kind") == 2, "whitelist").otherwise("blacklist").alias("list_type"), F.lit(None).cast("string").alias("note"), F.lit("me").alias("added_by"),
         F.lit("2024-01-01").cast("timestamp").alias("added_at"), F.col("k").alias("change_id"), F.lit(False).alias("removed"), "kind", F.col("input_url").alias("value"))
