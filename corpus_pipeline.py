@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lurelens.llm import decontamination, mixing, near_duplicates, quality, sharding
-from lurelens.llm.common import stored, table
+from lurelens.llm.common import limit_batches, stored, table
 
 #: Parts of the tokens of toxic domains that are to stay; the other domains keep theirs. Documents are dropped for it, never
 #: repeated.
@@ -15,6 +15,7 @@ SHARDS = 16
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
+    limit_batches(spark)
     return quality.good_documents(docs)
 
 
@@ -25,6 +26,7 @@ def near_duplicate_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
+    limit_batches(spark)
     return decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark"))
 
 

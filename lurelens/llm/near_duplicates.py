@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurelens.llm.common import Rolling, mixed, named, stored, text_blocks, word_spans
+from lurelens.llm.common import Rolling, mixed, named, small_batches, stored, text_blocks, word_spans
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -18,6 +18,8 @@ BANDS = 26
 BAND_ROWS = 5
 #: Rounds of hubs: 1, 2 and 4 of each band.
 ROUNDS = 3
+#: Text that is hashed at a time; its arrays take some thirty times as much memory.
+HASHED_BYTES = 1 << 19
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _IN_WORD = np.array([48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 for b in range(256)])
@@ -107,7 +109,7 @@ def _band_keys(signatures: np.ndarray, bands: int) -> np.ndarray:
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document: 128 bits that stand for its words in order, and its band keys; documents without words drop out."""
     for batch in batches:
-        for first, end, data, offsets in text_blocks(batch.column(1), 2 << 20):
+        for first, end, data, offsets in text_blocks(batch.column(1), HASHED_BYTES):
             n = end - first
             rows, hashes = shingles(data, offsets)
             ids = pa.array(np.flatnonzero(np.bincount(rows, minlength=n)))
@@ -126,7 +128,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per document its bag as a set of 32-bit hashes: the second of equal shingles is another element than the first."""
     for batch in batches:
-        for first, end, data, offsets in text_blocks(batch.column(1)):
+        for first, end, data, offsets in text_blocks(batch.column(1), HASHED_BYTES):
             rows, hashes, counts = bags(data, offsets)
             each = np.repeat(np.arange(len(rows)), counts)
             place = np.arange(len(each)) - np.repeat(np.cumsum(counts) - counts, counts)
@@ -182,7 +184,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
     """
     source = docs.select(named(key).cast("long").alias("doc"), named(text).cast("string").alias("text"))
     keyed = source.where("doc is not null and text is not null")
-    signed = stored(keyed.mapInArrow(_signed, "doc long, words1 long, words2 long, bands array<long>"), "signatures")
+    with small_batches(docs.sparkSession):
+        signed = stored(keyed.mapInArrow(_signed, "doc long, words1 long, words2 long, bands array<long>"), "signatures")
     firsts = stored(signed.groupBy("words1", "words2").agg(F.min("doc").alias("same"), F.first("bands").alias("bands")), "texts")
     in_band = firsts.select(F.col("same").alias("doc"), F.explode("bands").alias("band"))
     sizes = in_band.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -191,7 +194,8 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, key:
     members = stored(members.join(weight, "doc").select("band", "doc", _ranked("weight", "doc").alias("rank")), "ranked-bands")
     # bags are smaller than texts, so they are made before they are dealt out; the plan is the same at every size
     bag = keyed.mapInArrow(_elements, "doc long, bag array<int>").join(weight.select("doc").hint("merge"), "doc", "left_semi")
-    bag = stored(bag, "bags")
+    with small_batches(docs.sparkSession):
+        bag = stored(bag, "bags")
 
     links, classes = linked(members, bag, similarity)
     same = signed.select("doc", "words1", "words2").join(firsts.select("words1", "words2", "same"), ["words1", "words2"])

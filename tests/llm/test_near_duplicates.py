@@ -2,11 +2,14 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lurelens.llm import near_duplicates
 from lurelens.llm.queries import QUERIES
 
@@ -147,3 +150,51 @@ def test_components(spark):
     edges = spark.createDataFrame([(i + 1, i) for i in range(0, 39)] + [(60, 50), (50, 70)], "a long, b long")
     got = {r["doc"]: r["class"] for r in near_duplicates.connected(nodes, edges).collect()}
     assert got == {i: 0 if i < 40 else 50 if i in (50, 60, 70) else i for i in range(100)}
+
+
+def test_hashing_takes_little_memory_whatever_the_batch():
+    random.seed(4)
+    words = [f"word{i}" for i in range(5000)]
+    texts = [" ".join(random.choices(words, k=500)) for _ in range(1500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc", "text"])
+    for step in (near_duplicates._signed, near_duplicates._elements):
+        list(step(iter([batch.slice(0, 10)])))  # tables that are kept
+        tracemalloc.start()
+        try:
+            assert sum(out.num_rows for out in step(iter([batch]))) == len(texts)
+            peak = tracemalloc.get_traced_memory()[1]
+        finally:
+            tracemalloc.stop()
+        assert peak < 60e6, step
+
+
+def test_python_gets_few_texts_at_a_time(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    texts = spark.range(0, 5000, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.xxhash64("id", F.lit(i)) for i in range(8)]).alias("text"))
+    docs = texts.unionByName(texts.withColumn("doc_id", F.col("doc_id") + 5000)).coalesce(1)
+
+    def limited(step, most):
+        def run(batches):
+            def seen():
+                for batch in batches:
+                    assert batch.num_rows <= most, batch.num_rows
+                    yield batch
+
+            return step(seen())
+
+        return run
+
+    for name in ("_signed", "_elements"):
+        monkeypatch.setattr(near_duplicates, name, limited(getattr(near_duplicates, name), 1000))
+    classes = near_duplicates.near_duplicate_classes(docs)
+    assert classes.count() == 10000 and classes.select("class_id").distinct().count() == 5000
+    assert spark.conf.get(key) == own  # the session has its own limit again
+    try:
+        corpus_pipeline.quality_rules(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+        assert spark.conf.get(key) == "1000"
+        spark.conf.set(key, "10")
+        corpus_pipeline.quality_rules(spark, docs.withColumn("lang", F.lit(None).cast("string")), "")
+        assert spark.conf.get(key) == "10"  # a smaller limit stays
+    finally:
+        spark.conf.set(key, own)
