@@ -6,6 +6,7 @@ number of bits. Both can only take phrases for frequent that are not: the last p
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lurelens.llm.common import Rolling, mixed, named, stored, text_blocks
+from lurelens.llm.common import Rolling, mixed, named, small_batches, stored, text_blocks
 
 LONGEST = 4
 LEAST_COUNT = 30
@@ -31,9 +32,11 @@ SHARES = 64
 #: this, ever more phrases are counted that need not be; results stay the same.
 FILTER_BITS = 1 << 25
 BLOCK_BYTES = 1 << 20
-#: Phrases that a task counts at a time, and the text they may come from, before their counts go on.
+#: Values that a task counts at a time; text and distinct phrases in it of which it holds phrases; rows that it hands on at a time.
 COUNTED = 1 << 20
 COUNTED_BYTES = 4 << 20
+COUNTED_PHRASES = 1 << 19
+HANDED_ROWS = 1 << 16
 
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 _PIECE_END = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\n\x0b\x0c\r"])
@@ -66,12 +69,13 @@ class Filter:
         words[rows.column("slot").to_numpy()] = rows.column("word").to_numpy().view(np.uint64)
         return cls(words)
 
+    @classmethod
+    def empty(cls, bits: int) -> Filter:
+        return cls(np.zeros(bits // 64, np.uint64))
+
     def __or__(self, other: Filter) -> Filter:
         return Filter(self.words | other.words)
 
-    def includes(self, other: Filter) -> bool:
-        return not (other.words & ~self.words).any()
-
     def holds(self, values: np.ndarray) -> np.ndarray:
         found, mask = np.ones(len(values), bool), np.uint64(len(self.words) * 64 - 1)
         for place in (values & mask, (values >> np.uint64(32)) & mask):
@@ -103,42 +107,50 @@ class _Block:
         del joined, gap, before, keep, at, inside
         self.of_lang, self.rolling = of_lang[self.lang], Rolling(self.packed)
 
-    def phrases(
-        self, lengths: range, longest: int, known: Filter | None, before: Filter | None = None, held: bool = False,
-    ) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Length, places and values of the phrases of some lengths: those that ``known`` reaches, but ``before`` does not.
-
-        All words are reached, and longer phrases whose parts (without the last word, without the first word) are reached
-        and held by the filter; no filter holds everything. With ``held`` only phrases that ``known`` holds themselves.
-        The last bit of a value tells phrases of most words from others.
-        """
-        n_words = len(self.starts)
-        at = np.arange(n_words)
-        member, old = np.zeros(n_words + 1, bool), np.zeros(n_words + 1, bool)
+    def _longer(self, member: np.ndarray, n: int) -> np.ndarray:
+        """Places of phrases of ``n`` words within a piece, both parts of which are members."""
+        at = np.flatnonzero(member[:-1] & member[1:])
+        at = at[at + n <= len(self.starts)]
+        return at[self.piece[at] == self.piece[at + n - 1]]
+
+    def _values(self, at: np.ndarray, n: int) -> np.ndarray:
+        return mixed(self.rolling.of(self.starts[at], self.ends[at + n - 1]) ^ self.of_lang[at])
+
+    def phrases(self, lengths: range, proposed: Filter) -> Iterator[np.ndarray]:
+        """Values of the phrases of some lengths that the proposal reaches: all words, and longer phrases whose parts
+        (without the last word, without the first word) it reaches and holds."""
+        at = np.arange(len(self.starts))
+        member = np.zeros(len(at) + 1, bool)
         for n in range(1, lengths.stop):
             if n > 1:
-                at = np.flatnonzero(member[:-1] & member[1:])
-                at = at[at + n <= n_words]
-                at = at[self.piece[at] == self.piece[at + n - 1]]
+                at = self._longer(member, n)
             if not len(at):
                 return
-            values = mixed(self.rolling.of(self.starts[at], self.ends[at + n - 1]) ^ self.of_lang[at])
-            values = values | _ONE if n == longest else values & ~_ONE
-            seen = np.zeros(len(at), bool) if before is None else old[at] & old[at + 1] if n > 1 else np.ones(len(at), bool)
-            last = n + 1 == lengths.stop
-            if held or not last:
-                holds = np.ones(len(at), bool) if known is None else known.holds(values)
+            values = self._values(at, n)
             if n in lengths:
-                chosen = holds & ~seen if held else ~seen
-                yield n, at[chosen], values[chosen]
-            if last:
+                yield values
+            if n + 1 < lengths.stop:
+                member[:] = False
+                member[at] = proposed.holds(values)
+
+    def settled(self, longest: int, proposed: Filter, frequent: Filter) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length, places and values of all phrases that can be frequent: of those that the proposal reaches the ones that
+        ``frequent`` holds, and all others that it does not reach, both only if their parts can be frequent."""
+        at = np.arange(len(self.starts))
+        member, old = np.zeros(len(at) + 1, bool), np.zeros(len(at) + 1, bool)
+        for n in range(1, longest + 1):
+            if n > 1:
+                at = self._longer(member, n)
+            if not len(at):
                 return
+            values = self._values(at, n)
+            reached = old[at] & old[at + 1] if n > 1 else np.ones(len(at), bool)
+            chosen = frequent.holds(values) | ~reached
+            yield n, at[chosen], values[chosen]
             member[:] = False
-            member[at] = holds
-            if before is not None:
-                reached = before.holds(values) & seen
-                old[:] = False
-                old[at] = reached
+            member[at] = chosen
+            old[:] = False
+            old[at] = reached & proposed.holds(values)
 
 
 def _language_hashes(langs: list[str]) -> np.ndarray:
@@ -171,90 +183,103 @@ def _blocks(batch: pa.RecordBatch) -> Iterator[_Block]:
             yield _Block(part, bounds, of_row[first:end], of_lang)
 
 
-def _shared(docs: DataFrame, *filters: Filter | None) -> list:
-    context = docs.sparkSession.sparkContext
-    return [None if f is None else context.broadcast(f.words) for f in filters]
-
-
-def _filters(shared: list) -> list[Filter | None]:
-    return [None if words is None else Filter(words.value) for words in shared]
+def _handed(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """In small runs, as Spark holds each of them outside its heap."""
+    for first in range(0, len(batch), HANDED_ROWS):
+        yield batch.slice(first, HANDED_ROWS)
 
 
-def value_counts(
-    docs: DataFrame, lengths: range, least: int, longest: int = LONGEST, known: Filter | None = None, before: Filter | None = None,
-) -> DataFrame:
+def value_counts(docs: DataFrame, lengths: range, least: int, proposed: Filter) -> DataFrame:
     """Values of the phrases of ``_Block.phrases`` in all texts ``lang, text`` that occur ``least`` times or more, counted by
     value: ``value``. A value that several phrases share counts all of theirs."""
-    shared = _shared(docs, known, before)
+    shared = docs.sparkSession.sparkContext.broadcast(proposed.words)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, before = _filters(shared)
-        waiting: list[np.ndarray] = []
-
-        def counted() -> pa.RecordBatch:
-            values, counts = np.unique(np.concatenate(waiting), return_counts=True)
-            waiting.clear()
-            return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], names=["value", "count"])
+    def counted(waiting: list[np.ndarray]) -> pa.RecordBatch:
+        values = np.concatenate(waiting)
+        waiting.clear()
+        values.sort()
+        heads = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+        counts = np.diff(heads, append=len(values))
+        return pa.RecordBatch.from_arrays([pa.array(values[heads].view(np.int64)), pa.array(counts)], names=["value", "count"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        proposed, waiting = Filter(shared.value), []
         for batch in batches:
             for block in _blocks(batch):
-                waiting.extend(values for _, _, values in block.phrases(lengths, longest, known, before))
+                waiting.extend(values for values in block.phrases(lengths, proposed) if len(values))
                 if sum(map(len, waiting)) >= COUNTED:
-                    yield counted()
+                    yield from _handed(counted(waiting))
         if waiting:
-            yield counted()
+            yield from _handed(counted(waiting))
 
     counts = docs.select("lang", "text").mapInArrow(run, "value long, count long").groupBy("value").agg(F.sum("count").alias("count"))
     return counts.where(F.col("count") >= least).select("value")
 
 
-def phrase_counts(docs: DataFrame, known: Filter, longest: int = LONGEST) -> DataFrame:
-    """Exact counts ``lang, n, phrase, count`` over all texts ``lang, text`` of the phrases that ``known`` holds with all their
-    parts. The phrase of no words counts all words of a language."""
-    shared = _shared(docs, known)
-
-    def counted(names: pa.Array, blocks: list[_Block], known: Filter) -> pa.RecordBatch:
-        """Phrases of some blocks of one batch; equal values of so little text are taken for equal phrases."""
-        found, base = [], 0
-        for block in blocks:
-            for n, at, values in block.phrases(range(1, longest + 1), longest, known, held=True):
-                found.append((values, block.starts[at] + base, block.ends[at + n - 1] + base, block.lang[at], np.full(len(at), n, np.int32)))
-            base += len(block.packed)
-        values, starts, ends, langs, n = (np.concatenate(x) for x in zip(*found)) if found else [np.zeros(0, np.int64)] * 5
-        _, first, counts = np.unique(values, return_index=True, return_counts=True)
-        totals = sum(np.bincount(block.lang, minlength=len(names)) for block in blocks)
-        texts = _slices(np.concatenate([block.packed for block in blocks]), starts[first], ends[first]).cast(pa.string())
-        return pa.RecordBatch.from_arrays([
-            names.take(pa.array(np.concatenate((langs[first], np.arange(len(names)))).astype(np.int32))),
-            pa.array(np.concatenate((n[first], np.zeros(len(names)))).astype(np.int32)),
-            pa.concat_arrays([texts, pa.array([""] * len(names), pa.string())]),
-            pa.array(np.concatenate((counts, totals)).astype(np.int64)),
-        ], names=["lang", "n", "phrase", "count"])
+class _Counted:
+    """Phrases of some blocks with their counts; equal values of so few phrases are taken for equal phrases."""
+
+    def __init__(self) -> None:
+        self.values, self.slots, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64)
+        self.rows: list[tuple[pa.Array, pa.Array, pa.Array]] = []
+        self.n_bytes = 0
+
+    def full(self) -> bool:
+        return self.n_bytes >= COUNTED_BYTES or len(self.counts) >= COUNTED_PHRASES
+
+    def add(self, block: _Block, names: pa.Array, longest: int, proposed: Filter, frequent: Filter) -> None:
+        self.n_bytes += len(block.packed)
+        for n, at, values in block.settled(longest, proposed, frequent):
+            values, first, counts = np.unique(values, return_index=True, return_counts=True)
+            place = np.searchsorted(self.values, values)
+            known = place < len(self.values)
+            known[known] = self.values[place[known]] == values[known]
+            self.counts[self.slots[place[known]]] += counts[known]
+            place, at = place[~known], at[first[~known]]
+            slots = np.arange(len(self.counts), len(self.counts) + len(at), dtype=np.int32)
+            self.values, self.slots = np.insert(self.values, place, values[~known]), np.insert(self.slots, place, slots)
+            self.counts = np.concatenate((self.counts, counts[~known]))
+            self.rows.append((
+                names.take(pa.array(block.lang[at].astype(np.int32))), pa.array(np.full(len(at), n, np.int32)),
+                _slices(block.packed, block.starts[at], block.ends[at + n - 1]).cast(pa.string())))
+
+    def batch(self) -> pa.RecordBatch:
+        columns = [pa.concat_arrays(column) for column in zip(*self.rows, strict=True)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.counts)], names=["lang", "n", "phrase", "count"])
+
+
+def phrase_counts(docs: DataFrame, proposed: Filter, frequent: Filter, longest: int = LONGEST) -> DataFrame:
+    """Exact counts ``lang, n, phrase, count`` over all texts ``lang, text`` of the phrases of ``_Block.settled``. The phrase of
+    no words counts all words of a language."""
+    shared = [docs.sparkSession.sparkContext.broadcast(f.words) for f in (proposed, frequent)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        [known] = _filters(shared)
+        filters, found, totals = [Filter(words.value) for words in shared], _Counted(), Counter()
         for batch in batches:
-            names, waiting = batch.column(0).dictionary_encode().dictionary, []
+            names = batch.column(0).dictionary_encode().dictionary
             for block in _blocks(batch):
-                waiting.append(block)
-                if sum(len(b.packed) for b in waiting) >= COUNTED_BYTES:
-                    yield counted(names, waiting, known)
-                    waiting = []
-            if waiting:
-                yield counted(names, waiting, known)
+                totals.update(dict(zip(names.to_pylist(), np.bincount(block.lang, minlength=len(names)).tolist(), strict=True)))
+                found.add(block, names, longest, *filters)
+                if found.full():
+                    yield from _handed(found.batch())
+                    found = _Counted()
+        if found.rows:
+            yield from _handed(found.batch())
+        yield pa.RecordBatch.from_arrays([
+            pa.array(list(totals), pa.string()), pa.array([0] * len(totals), pa.int32()), pa.array([""] * len(totals), pa.string()),
+            pa.array(list(totals.values()), pa.int64())], names=["lang", "n", "phrase", "count"])
 
     rows = docs.select("lang", "text").mapInArrow(run, "lang string, n int, phrase string, count long")
     return rows.groupBy("lang", "n", "phrase").agg(F.sum("count").alias("count"))
 
 
 def proposed_phrases(sample: DataFrame, least: int, longest: int = LONGEST, bits: int = FILTER_BITS) -> Filter:
-    """Phrases that occur ``least`` times in the sample, length by length: a phrase is counted only if its parts are
-    frequent there."""
-    known = None
-    for n in range(1, longest + 1):
-        level = Filter.of(value_counts(sample, range(n, n + 1), least, longest, known), bits)
-        known = level if known is None else known | level
-    return known
+    """Phrases shorter than ``longest`` that occur ``least`` times in the sample, length by length: a phrase is counted only
+    if its parts are frequent there. Longer ones need no proposal, as they are no part of any other."""
+    proposed = Filter.empty(bits)
+    for n in range(1, longest):
+        proposed = proposed | Filter.of(value_counts(sample, range(n, n + 1), least, proposed), bits)
+    return proposed
 
 
 def frequent_phrases(
@@ -266,25 +291,20 @@ def frequent_phrases(
 
     The sample is one of ``sample_part`` documents, by a hash of the key; it proposes phrases by a lower least count. One
     pass over all texts then counts these and their negative border: phrases that were not proposed, but all of whose
-    parts were. If some of the border is frequent, it joins the proposal, and a further pass counts the border that this
-    opens, until no pass finds a frequent phrase outside the proposal. Every part of a frequent phrase is frequent, so
-    none can be missed, whatever the sample was. These passes count by value, which can only be too much; one last pass
-    counts the texts of the phrases that they found frequent.
+    parts were. It counts by value, which can only be too much. A last pass counts the texts of the phrases that were
+    found frequent, and with them of all phrases beyond the border that can be frequent: those that the first pass did not
+    reach and all of whose parts are frequent or beyond it themselves. Every part of a frequent phrase is frequent, so none
+    can be missed, whatever the sample was; the fewer frequent phrases the sample missed, the fewer are beyond the border.
     """
     source = docs.select(
         F.coalesce(named(lang).cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), F.coalesce(named(text).cast("string"), F.lit("")).alias("text"),
         F.pmod(F.xxhash64(named(key)), F.lit(sample_part)).alias("part"))
     lower = max(1, int(share * least / sample_part))
-    known, before = proposed_phrases(source.where("part = 0"), lower, longest, bits), None
-    frequent = Filter(np.zeros(bits // 64, np.uint64))
-    while True:
-        found = stored(value_counts(source, range(1, longest + 1), least, longest, known, before), "frequent-values")
-        shorter = Filter.of(found.where("value % 2 = 0"), bits)
-        frequent = frequent | shorter | Filter.of(found.where("value % 2 <> 0"), bits)
-        if known.includes(shorter):
-            break
-        known, before = known | shorter, known
-    counts = stored(phrase_counts(source, frequent, longest).where((F.col("count") >= least) | (F.col("n") == 0)), "phrase-counts")
+    # tasks hold their texts on both sides, and outside the heap
+    with small_batches(docs.sparkSession):
+        proposed = proposed_phrases(source.where("part = 0"), lower, longest, bits)
+        frequent = Filter.of(stored(value_counts(source, range(1, longest + 1), least, proposed), "frequent-values"), bits)
+        counts = stored(phrase_counts(source, proposed, frequent, longest).where((F.col("count") >= least) | (F.col("n") == 0)), "phrase-counts")
     return counts.where("n > 0"), counts.where("n = 0").select("lang", F.col("count").alias("n_words"))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,35 @@ def test_phrases_that_the_sample_does_not_propose(spark):
     assert sum(1 for row in found if row[2].startswith("p3 ")) >= 1
 
 
+def test_one_pass_counts_and_one_settles(spark, monkeypatch):
+    """What the sample missed opens no further passes over all texts, however long the phrases are that it missed."""
+    passes, count = [], phrases.value_counts
+    monkeypatch.setattr(phrases, "value_counts", lambda docs, lengths, *rest: passes.append(lengths) or count(docs, lengths, *rest))
+    rows = [(f"p{i} q{i} r{i} s{i} t{i} " * 5 + "\n the end of it", "en") for i in range(40)]
+    assert found_phrases(spark, rows, least=5, sample_part=40, share=0.5) == plain_phrases(rows, 5, 2000)
+    assert passes == [range(1, 2), range(2, 3), range(3, 4), range(1, 5)]
+
+
+def test_counted_phrases_need_little_memory():
+    """Occurrences of one block at a time are held, and texts of distinct phrases only."""
+    import numpy as np
+    import pyarrow as pa
+
+    text = "the cat sat on the mat and the dog lay in the sun all day " * 6000
+    texts = pa.RecordBatch.from_arrays([pa.array(["en"] * 13), pa.array([text] * 13)], names=["lang", "text"])
+    every, found = phrases.Filter(np.full(16, ~np.uint64(0))), phrases._Counted()
+    tracemalloc.start()
+    for block in phrases._blocks(texts):
+        found.add(block, pa.array(["en"]), 4, every, every)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    counts = {(r["n"], r["phrase"]): r["count"] for r in found.batch().to_pylist()}
+    assert counts[1, "the"] == 4 * 6000 * 13 and counts[4, "sat on the mat"] == 6000 * 13 and counts[2, "day the"] == 5999 * 13
+    words = text.split()[:45]
+    assert len(found.counts) == sum(len({tuple(words[i:i + n]) for i in range(30)}) for n in range(1, 5))
+    assert found.full() and peak < 80e6
+
+
 @pytest.mark.parametrize("bits", [64, 1 << 12])
 def test_phrases_with_a_full_filter(spark, bits):
     rows = [("a b c d e f g " * k, "en") for k in range(1, 9)] + [("b c " * 30, "fr")]
