@@ -6,6 +6,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ UNDETERMINED = "und"
 _START = "▁"
 _WORD = re.compile(r"[^\W\d_]+")
 _OWN = ("lang_pred", "score")
+_CODE_BITS = 21
 
 
 def read_pieces(path: str) -> list[str]:
@@ -46,7 +48,7 @@ def read_pieces(path: str) -> list[str]:
 def letter_words(text: str | None) -> list[str]:
     """Runs of letters in lower case, the start of each marked; parts of ``MAX_PART`` characters of longer ones."""
     words = [_START + word for word in _WORD.findall((text or "").lower())]
-    if any(len(word) > MAX_PART for word in words):
+    if max(map(len, words), default=0) > MAX_PART:
         return [word[i: i + MAX_PART] for word in words for i in range(0, len(word), MAX_PART)]
     return words
 
@@ -72,29 +74,57 @@ class Model:
 
 
 class Lattices:
-    """All cuts of words into pieces of one vocabulary."""
+    """All cuts of words into pieces of one vocabulary: a trie as sorted arrays, in which all characters of many words are
+    looked up at once."""
 
     def __init__(self, pieces: list[str]) -> None:
-        self.number = {piece: i for i, piece in enumerate(pieces)}
         self.longest = max(map(len, pieces), default=0)
-        self.prefixes = {piece[:k] for piece in pieces for k in range(1, len(piece) + 1)}
+        nodes, steps, ends = {"": 0}, [], {}
+        for number, piece in enumerate(pieces):
+            node = 0
+            for k in range(1, len(piece) + 1):
+                child = nodes.setdefault(piece[:k], len(nodes))
+                if child > len(steps):
+                    steps.append(node << _CODE_BITS | ord(piece[k - 1]))
+                node = child
+            ends[node] = number
+        self.unknown = len(ends)
+        order = np.argsort(np.array(steps, np.int64))
+        # a last key that no character has, so that every place is one of the table
+        self.steps = np.append(np.array(steps, np.int64)[order], np.iinfo(np.int64).max)
+        self.children = np.append(order + 1, 0)
+        self.piece = np.full(len(nodes), -1)
+        self.piece[list(ends)] = list(ends.values())
 
     def edges(self, words: list[str]) -> np.ndarray:
         """Rows ``(end, word, start, piece)`` in this order; a character without a piece is the last number."""
-        rows = []
-        number, prefixes, unknown = self.number, self.prefixes, len(self.number)
-        for w, word in enumerate(words):
-            for start in range(len(word)):
-                if word[start] not in number:
-                    rows.append((start + 1, w, start, unknown))
-                for end in range(start + 1, min(len(word), start + self.longest) + 1):
-                    part = word[start:end]
-                    if part not in prefixes:
-                        break
-                    if (piece := number.get(part)) is not None:
-                        rows.append((end, w, start, piece))
-        found = np.array(rows, np.int64).reshape(-1, 4)
-        return found[np.lexsort((found[:, 1], found[:, 0]))]
+        lengths = np.array([len(word) for word in words], np.int64)
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        word = np.repeat(np.arange(len(words)), lengths)
+        start = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        left = np.repeat(lengths, lengths) - start
+        at, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+        places, sizes, numbers = [], [], []
+        alone = np.ones(len(codes), bool)
+        for size in range(1, self.longest + 1):
+            more = left[at] >= size
+            at, node = at[more], node[more]
+            key = node << _CODE_BITS | codes[at + (size - 1)]
+            step = np.searchsorted(self.steps, key)
+            hit = self.steps[step] == key
+            at, node = at[hit], self.children[step[hit]]
+            number = self.piece[node]
+            whole = number >= 0
+            if size == 1:
+                alone[at[whole]] = False
+            places.append(at[whole])
+            sizes.append(np.full(len(places[-1]), size))
+            numbers.append(number[whole])
+        single = np.flatnonzero(alone)
+        places, sizes, numbers = (np.concatenate(x) for x in (
+            [*places, single], [*sizes, np.ones(len(single), np.int64)], [*numbers, np.full(len(single), self.unknown)]))
+        found = np.stack((start[places] + sizes, word[places], start[places], numbers), axis=1)
+        return found[np.lexsort((found[:, 2], found[:, 1], found[:, 0]))]
 
 
 def forward(edges: np.ndarray, n_words: int, probabilities: np.ndarray) -> np.ndarray:
@@ -240,7 +270,9 @@ class Scorer:
             fresh = list({word for words in each for word in words})
         for first in range(0, len(fresh), 4096):
             self._learn(fresh[first: first + 4096])
-        return [self.logs[list(map(self.place.__getitem__, words))].sum(axis=0) for words in each]
+        places = np.fromiter(map(self.place.__getitem__, chain.from_iterable(each)), np.int64, sum(map(len, each)))
+        ends = np.cumsum([len(words) for words in each])
+        return [self.logs[places[end - len(words): end]].sum(axis=0) for words, end in zip(each, ends, strict=True)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text and its probability given that it is one of those known."""

@@ -1,5 +1,6 @@
 """Token counts, languages, mixing and repeated lines against plain Python and SQL."""
 
+import cProfile
 import math
 import random
 import re
@@ -78,6 +79,28 @@ def test_forward_sums_all_cuts():
     assert expected[pieces.index("▁")] == pytest.approx(2 * share)
 
 
+def plain_edges(words, pieces):
+    rows = []
+    for w, word in enumerate(words):
+        rows += [(i + 1, w, i, len(pieces)) for i, c in enumerate(word) if c not in pieces]
+        rows += [(j, w, i, pieces.index(word[i:j])) for i in range(len(word)) for j in range(i + 1, len(word) + 1) if word[i:j] in pieces]
+    return sorted(rows)
+
+
+def test_edges_are_found_for_all_words_at_once():
+    """The same edges as one by one, and no call of Python for each character: this was most of the time of a prediction."""
+    random.seed(5)
+    pieces = ["▁", "a", "b", "ab", "ba", "▁a", "aab", "▁bab", "é", "😀b", "zz"]
+    words = ["▁" + "".join(random.choice("abzé😀") for _ in range(random.randrange(12))) for _ in range(500)]
+    lattices = language.Lattices(pieces)
+    profile = cProfile.Profile()
+    edges = profile.runcall(lattices.edges, [*words, ""])
+    assert [tuple(row) for row in edges.tolist()] == plain_edges(words, pieces)
+    assert sum(entry.callcount for entry in profile.getstats()) < 2 * len(words)
+    assert lattices.edges([]).shape == (0, 4)
+    assert language.Lattices([]).edges(["ab"]).tolist() == [[1, 0, 0, 0], [2, 0, 1, 0]]
+
+
 def test_language_of_held_out_documents(spark):
     got = {r["doc_id"]: r for r in QUERIES["op6_language_id"](spark, "/root/testdata/sf0.01").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
