@@ -4,17 +4,23 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
 from typing import NamedTuple
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lurelens.functions.joins import is_short
 from lurelens.schemas import TABLES
 
 BUCKETS = 64
+#: So many layers of a bucket are read together; one more, and they are written as one.
+LAYERS = 8
+#: As many replaced targets travel to every task; more of them are joined by shuffles.
+FEW = 50_000
+#: Beside the tables: targets that a layer deletes without having new rows for them.
+REMOVED = "removed"
 
 
 class Conflict(RuntimeError):
@@ -30,14 +36,18 @@ class Removed(NamedTuple):
 class GraphStore:
     """The tables of ``schemas`` under ``folder``, each in Parquet folders by a hash of ``target_id``.
 
-    A save or delete writes the buckets of its targets anew, for all tables, into folders that no version names yet; a
-    small file then publishes them. Readers keep the version they began with. A job that ends before that file has its
+    A save or delete writes a layer, into folders that no version names yet: its own rows and the targets it deletes. A
+    small file then publishes it. Layers lie on each other, bucket by bucket: a row counts unless a later layer has saved
+    or deleted its target. So a change costs its own size and not that of the store. A bucket with more than ``layers``
+    of them is written anew as one. Readers keep the version they began with. A job that ends before that file has its
     name leaves the old version as it is, and one that somebody has overtaken fails with ``Conflict``.
     """
 
-    def __init__(self, spark: SparkSession, folder: str, schemas: dict[str, StructType] = TABLES, buckets: int = BUCKETS) -> None:
-        self.spark, self.folder, self.schemas, self.buckets = spark, folder.rstrip("/"), schemas, buckets
-        self._bucket = F.pmod(F.xxhash64("target_id"), F.lit(buckets))
+    def __init__(
+        self, spark: SparkSession, folder: str, schemas: dict[str, StructType] = TABLES, buckets: int = BUCKETS, layers: int = LAYERS,
+    ) -> None:
+        self.spark, self.folder, self.schemas, self.buckets, self.layers = spark, folder.rstrip("/"), schemas, buckets, layers
+        self._bucket = F.pmod(F.xxhash64("target_id"), F.lit(buckets)).cast("int").alias("bucket")
 
     # --- versions: names and small files, through Spark's own file system ------------------------------------
 
@@ -53,13 +63,13 @@ class GraphStore:
         """The last published version, 0 for an empty store."""
         return max((int(name.removesuffix(".json")) for name in self._names("versions") if name.endswith(".json")), default=0)
 
-    def _written(self, version: int) -> dict[str, dict[str, str]]:
-        """For each table and bucket, the write that holds it."""
-        if not version:
-            return {name: {} for name in self.schemas}
-        return json.loads(self.spark.read.text(f"{self.folder}/versions/{version:08d}.json", wholetext=True).first()[0])
+    def _written(self, version: int) -> dict[str, dict[str, list[str]]]:
+        """For each table and bucket, the writes that hold it, oldest first."""
+        found = json.loads(self.spark.read.text(f"{self.folder}/versions/{version:08d}.json", wholetext=True).first()[0]) if version else {}
+        # versions from before there were layers name one write
+        return {name: {bucket: [w] if isinstance(w, str) else w for bucket, w in found.get(name, {}).items()} for name in (*self.schemas, REMOVED)}
 
-    def _publish(self, version: int, written: dict[str, dict[str, str]]) -> int:
+    def _publish(self, version: int, written: dict[str, dict[str, list[str]]]) -> int:
         source, target = self._path(f"versions/{uuid.uuid4().hex}.tmp"), self._path(f"versions/{version:08d}.json")
         conf, jvm = self.spark._jsc.hadoopConfiguration(), self.spark._jvm
         files = source.getFileSystem(conf)
@@ -79,52 +89,103 @@ class GraphStore:
 
     # --- tables ----------------------------------------------------------------------------------------------
 
-    def _read(self, name: str, written: dict[str, str]) -> DataFrame:
-        paths = [f"{self.folder}/data/{write}/{name}/bucket={bucket}" for bucket, write in sorted(written.items())]
-        if not paths:
-            return self.spark.createDataFrame([], self.schemas[name])
-        return self.spark.read.schema(self.schemas[name]).parquet(*paths)
+    def _paths(self, name: str, written: dict[str, list[str]]) -> list[str]:
+        return [f"{self.folder}/data/{write}/{name}/bucket={bucket}" for bucket, writes in sorted(written.items()) for write in writes]
+
+    def _read(self, name: str, written: dict[str, dict[str, list[str]]]) -> DataFrame:
+        """The rows of a table that count."""
+        schema, rows, gone = self.schemas[name], written[name], self._gone(written)
+        later = {bucket: [(table, w) for table, w in gone.get(bucket, []) if _age(w) > _age(writes[0])] for bucket, writes in rows.items()}
+        plain, layered = ({bucket: writes for bucket, writes in rows.items() if bool(later[bucket]) is wanted} for wanted in (False, True))
+        parts = []
+        if layered:
+            # the layer of a row is in the name of its file
+            layer = F.substring_index("_metadata.file_path", "/", -4)
+            layer = F.when(F.substring(layer, 9, 1) == "-", F.substring(layer, 1, 8)).otherwise("").alias("_layer")
+            found = self.spark.read.schema(schema).parquet(*self._paths(name, layered)).select(*schema.names, layer)
+            since = [f"{self.folder}/data/{w}/{table}/bucket={bucket}" for bucket in sorted(layered) for table, w in later[bucket]]
+            ids = self.spark.read.schema("target_id string").parquet(*since).select(F.col("target_id").alias("_gone"), layer.alias("_since"))
+            ids = ids.hint("broadcast" if is_short(ids, FEW) else "merge")
+            replaced = (F.col("target_id") == F.col("_gone")) & (F.col("_layer") < F.col("_since"))
+            parts.append(found.join(ids, replaced, "left_anti").select(schema.names))
+        if plain or not parts:
+            paths = self._paths(name, plain)
+            parts.append(self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def _gone(self, written: dict[str, dict[str, list[str]]]) -> dict[str, list[tuple[str, str]]]:
+        """For each bucket, the tables and writes that name the targets its layers have saved or deleted."""
+        found: dict[str, list[tuple[str, str]]] = {}
+        for table in ("targets", REMOVED):
+            for bucket, writes in written[table].items():
+                found.setdefault(bucket, []).extend((table, w) for w in writes)
+        return found
 
     def tables(self, version: int | None = None) -> dict[str, DataFrame]:
         """All tables as one version has them, the last one by default."""
         written = self._written(self.version() if version is None else version)
-        return {name: self._read(name, written[name]) for name in self.schemas}
-
-    def _rewrite(self, version: int, targets: DataFrame, change: Callable[[str, DataFrame], DataFrame]) -> int:
-        touched = {str(row[0]) for row in targets.select(self._bucket).distinct().collect()}
-        if not touched:
-            return version
-        write, before, after = uuid.uuid4().hex, self._written(version), {}
-        for name, schema in self.schemas.items():
-            old = self._read(name, {bucket: w for bucket, w in before[name].items() if bucket in touched})
-            rows = change(name, old).select(schema.names).withColumn("bucket", self._bucket)
-            # large buckets become several files, small ones one
-            rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "target_id").write.partitionBy("bucket").parquet(
-                f"{self.folder}/data/{write}/{name}")
-            found = [entry.removeprefix("bucket=") for entry in self._names(f"data/{write}/{name}") if entry.startswith("bucket=")]
-            after[name] = {bucket: w for bucket, w in before[name].items() if bucket not in touched} | dict.fromkeys(found, write)
-        return self._publish(version + 1, after)
-
-    def save(self, incoming: dict[str, DataFrame]) -> int:
+        return {name: self._read(name, written) for name in self.schemas}
+
+    def _write(self, name: str, write: str, rows: DataFrame) -> set[str]:
+        """Write rows with their ``bucket`` into its folder; the buckets that have some. A task writes a file for each bucket that
+        it has rows of; rows that come from joins by target are not shuffled again for larger ones."""
+        rows.sortWithinPartitions("bucket", "target_id").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{self.folder}/data/{write}/{name}")
+        return {entry.removeprefix("bucket=") for entry in self._names(f"data/{write}/{name}") if entry.startswith("bucket=")}
+
+    def _add(self, version: int, write: str, found: dict[str, set[str]]) -> int:
+        """Publish a layer that has been written."""
+        written = self._written(version)
+        for name, buckets in found.items():
+            for bucket in buckets:
+                written[name].setdefault(bucket, []).append(write)
+        deep = {bucket for bucket, writes in self._gone(written).items() if len({w for _, w in writes}) > self.layers}
+        if deep:
+            merged, old = f"{version + 1:08d}-{uuid.uuid4().hex}", {name: {b: w for b, w in writes.items() if b in deep} for name, writes in written.items()}
+            for name, schema in self.schemas.items():
+                filled = self._write(name, merged, self._read(name, old).select(*schema.names, self._bucket)) if old[name] else set()
+                written[name] = {b: w for b, w in written[name].items() if b not in deep} | {b: [merged] for b in filled}
+            written[REMOVED] = {b: w for b, w in written[REMOVED].items() if b not in deep}
+        return self._publish(version + 1, written)
+
+    def save(self, incoming: dict[str, DataFrame], derived: dict[str, dict[str, Column]] | None = None) -> int:
         """Replace the whole graph of every incoming target, in all tables at once; the new version.
 
         ``incoming["targets"]`` holds each target once; rows of other tables whose target is not among them are left out.
-        Missing tables count as empty. Saving the same graphs again changes nothing but the version.
+        Missing tables count as empty. Saving the same graphs again changes nothing but the version. Columns of a table that
+        ``derived`` names are worked out from its others once the rows lie where they are written: a hash as an id
+        would be most of what is moved to get there.
         """
-        ids = incoming["targets"].select("target_id").where("target_id is not null").distinct()
+        version = self.version()
+        write = f"{version + 1:08d}-{uuid.uuid4().hex}"
+        late = derived or {}
 
-        def change(name: str, old: DataFrame) -> DataFrame:
-            kept = old.join(ids, "target_id", "left_anti")
-            return kept if name not in incoming else kept.unionByName(
-                incoming[name].select(self.schemas[name].names).join(ids, "target_id", "left_semi"))
+        def chosen(name: str) -> DataFrame:
+            return incoming[name].select(*[c for c in self.schemas[name].names if c not in late.get(name, {})], self._bucket)
 
-        return self._rewrite(self.version(), ids, change)
+        def put(name: str, rows: DataFrame) -> set[str]:
+            return self._write(name, write, rows.withColumns(late.get(name, {})).select(*self.schemas[name].names, "bucket"))
+
+        found = {"targets": put("targets", chosen("targets").where("target_id is not null").hint("rebalance", "bucket"))}
+        if not found["targets"]:
+            return version
+        # the targets as they have been written: not worked out again for each table. The join leaves rows in the order of the files
+        ids = self.spark.read.schema("target_id string, bucket int").parquet(f"{self.folder}/data/{write}/targets").hint("merge")
+        for name in self.schemas:
+            if name != "targets" and name in incoming:
+                found[name] = put(name, chosen(name).join(ids, ["bucket", "target_id"], "left_semi"))
+        return self._add(version, write, found)
 
     def delete(self, ids: DataFrame) -> Removed:
         """Delete targets with all their rows in all tables at once; ids that the store does not have come back."""
         version = self.version()
         known = self.tables(version)["targets"].select("target_id")
         wanted = ids.select("target_id").where("target_id is not null").distinct()
-        deleted = wanted.join(known, "target_id", "left_semi")
-        after = self._rewrite(version, deleted, lambda name, old: old.join(wanted, "target_id", "left_anti"))
+        deleted, write = wanted.join(known, "target_id", "left_semi"), f"{version + 1:08d}-{uuid.uuid4().hex}"
+        found = self._write(REMOVED, write, deleted.select("target_id", self._bucket))
+        after = self._add(version, write, {REMOVED: found}) if found else version
         return Removed(after, deleted, wanted.join(known, "target_id", "left_anti"))
+
+
+def _age(write: str) -> str:
+    """The version of a write; writes from before there were layers lie below all others."""
+    return write[:8] if write[8:9] == "-" else ""

@@ -195,10 +195,14 @@ _GIVEN = {
 
 
 def _shown(tables: dict[str, DataFrame]) -> DataFrame:
-    part = lambda name, label, detail: tables[name].select(F.lit(name).alias("part"), "target_id", F.col(label).alias("name"), F.col(detail).alias("detail"))
-    rows = part("targets", "target_id", "status").unionByName(part("states", "state_id", "dom_hash")).unionByName(
+    """Rows are counted table by table, where the joins of the store have left the targets."""
+    def part(name: str, label: str, detail: str) -> DataFrame:
+        rows = tables[name].select("target_id", F.col(label).alias("name"), F.col(detail).alias("detail"))
+        counted = rows.groupBy("target_id", "name", "detail").agg(F.count(F.lit(1)).alias("n"))
+        return counted.select(F.lit(name).alias("part"), "target_id", "name", "detail", "n")
+
+    return part("targets", "target_id", "status").unionByName(part("states", "state_id", "dom_hash")).unionByName(
         part("transitions", "transition_id", "kind")).unionByName(part("evidence", "key", "value")).unionByName(part("verdicts", "produced_by", "classification"))
-    return rows.groupBy("part", "target_id", "name", "detail").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""
