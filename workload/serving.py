@@ -74,9 +74,9 @@ def _ends(t: Inputs) -> list[str]:
       case when usable then classification end as classification from answered""")
 def streamed_verdict_state(t: Inputs):
     """Runs and requests as two streams in three batches; runs are kept in state until they are too old to answer."""
-    # one row per order on both sides: too many to broadcast
-    runs = t.targets.join(t.verdicts.select("target_id", "classification").hint("merge"), "target_id", "left").select(
-        "url_hash", "target_id", "status", "classification", F.col("created_at").cast("timestamp").alias("created_at"))
+    # one row per order on both sides: too many to broadcast, and joined once for all batches
+    runs = stored(t.targets.join(t.verdicts.select("target_id", "classification").hint("merge"), "target_id", "left").select(
+        "url_hash", "target_id", "status", "classification", F.col("created_at").cast("timestamp").alias("created_at")), "runs")
     requests = _requests(t.events).withColumnRenamed("event_id", "request_id")
     path = _batches(
         t, "verdict-state", {"runs": runs, "requests": requests}, {"runs": "created_at", "requests": "requested_at"},
