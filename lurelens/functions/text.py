@@ -11,6 +11,7 @@ _SPACE_POINTS = (
     *range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F,
     0x205F, 0x3000,
 )
+SPACE_CHARS = "".join(map(chr, _SPACE_POINTS))
 _SPACE_CHARS = "".join(f"\\u{point:04X}" for point in _SPACE_POINTS)
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from lurelens.functions.joins import is_short
 from lurelens.functions.ranking import with_position
 from lurelens.operators.graph import kind_maps, with_leaf_flag
 from lurelens.operators.pages import VISIBLE_TEXT_CHARS, title, visible_text
 from lurelens.schemas import EVIDENCE_COLUMNS, LAYERS, emit
+from lurelens.session import stored
 
 # Keys that are strong on their own, and how TLS failures read.
 STRONG_KEYS = ("typosquat", "reputation_hit", "cloaking_detected")
@@ -32,6 +34,8 @@ DIGEST_FIELDS = 25
 DIGEST_LABEL_CHARS = 60
 DIGEST_LINE_CHARS = 200
 DETAILED_INTERMEDIATE_STATES = 12
+#: A case with more states is not put into one task; as many rows as a window holds in memory.
+LARGE_CASE = 4096
 
 
 def union_evidence(*producers: DataFrame) -> DataFrame:
@@ -146,9 +150,12 @@ def bundles(
         F.min("misp_hit").alias("misp_hit"), F.min("opencti_hit").alias("opencti_hit"),
         F.collect_list(F.struct("key", "n")).alias("_counts"),
     )
+    # a key is in one layer as a rule; only the counts of others are added up
+    plain = F.size(F.array_distinct("_counts.key")) == F.size("_counts")
     total = lambda k: F.aggregate(F.filter("_counts", lambda c: c["key"] == k), F.lit(0).cast("long"), lambda acc, c: acc + c["n"])
     keys = F.array_sort(F.array_distinct(F.transform("_counts", lambda c: c["key"])))
-    e = e.withColumn("evidence_counts", F.map_from_entries(F.transform(keys, lambda k: F.struct(k, total(k))))).drop("_counts")
+    counted = F.when(plain, F.sort_array("_counts")).otherwise(F.transform(keys, lambda k: F.struct(k.alias("key"), total(k).alias("n"))))
+    e = e.withColumn("evidence_counts", F.map_from_entries(counted)).drop("_counts")
     df = targets.select("target_id", "input_url", F.col("final_url").alias("canonical_url"))
     for side in (s, kind_maps(transitions), e):
         df = df.join(side, "target_id", "left")
@@ -174,11 +181,51 @@ def with_detail_level(states: DataFrame, limit: int = DETAILED_INTERMEDIATE_STAT
     """Add ``position`` and ``detail``: ``full``, ``same`` (content shown at ``same_as``) or ``summary``.
 
     Leaves are shown in full once per content; of the other states the first ``limit`` distinct ones are.
-    The state that shows a content in full is found per content, not by scanning the states in order.
+    The state that shows a content in full is found per content, not by scanning the states in order. States of a target
+    meet in one task, where all is found by windows; targets with more than ``LARGE_CASE`` states are spread over many.
     """
+    sizes = states.groupBy("target_id").agg(F.count(F.lit(1)).alias("n"))
+    many = stored(sizes.filter(F.col("n") > min(limit, LARGE_CASE)), "long-cases")
+    if is_short(many, 0):
+        return _detail_of_small(states, None)
+    large = F.col("n") > LARGE_CASE
+    of = lambda ids, how: states.join(ids.select("target_id"), "target_id", how).select(states.columns)
+    rows = _detail_of_small(of(many, "left_anti"), None).unionByName(_detail_of_small(of(many.filter(~large), "left_semi"), limit))
+    return rows.unionByName(_detail_of_large(of(many.filter(large), "left_semi"), limit))
+
+
+def _content() -> Column:
+    return F.coalesce(F.nullif("dom_hash", F.lit("")), F.concat(F.lit("state:"), F.col("state_id")))
+
+
+def _detailed(df: DataFrame) -> DataFrame:
+    position, full = F.col("position"), F.col("_full_at")
+    detail = F.when(position == full, "full").when(position > full, "same").otherwise("summary")
+    return df.withColumns({"detail": detail, "same_as": F.when(detail == "same", full)}).drop("_content", "_full_at")
+
+
+def _detail_of_small(states: DataFrame, limit: int | None) -> DataFrame:
+    """``limit`` is None where no target has so many states."""
+    target, content = W.partitionBy("target_id"), W.partitionBy("target_id", "_content")
+    df = states.withColumn("position", F.row_number().over(target.orderBy("depth", "state_id")).cast("long"))
+    # states without an id or a depth are counted and not shown
+    df = df.filter("target_id is not null and depth is not null and state_id is not null").withColumn("_content", _content())
+    df = df.withColumns({
+        "_first": F.min(F.struct("position", "is_leaf")).over(content), "_leaf": F.min(F.when(F.col("is_leaf"), F.col("position"))).over(content)})
+    inner = (F.col("position") == F.col("_first.position")) & ~F.col("_first.is_leaf")
+    if limit is None:
+        chosen = ~F.col("_first.is_leaf")
+    else:
+        before = target.orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
+        df = df.withColumn("_r", F.when(inner, F.count(F.when(inner, 1)).over(before)))
+        chosen = F.min("_r").over(content) <= limit
+    df = df.withColumn("_full_at", F.when(F.col("_first.is_leaf") | chosen, F.col("_first.position")).otherwise(F.col("_leaf")))
+    return _detailed(df.select(*states.columns, "position", "_content", "_full_at"))
+
+
+def _detail_of_large(states: DataFrame, limit: int) -> DataFrame:
     prefix = [F.col("depth"), F.substring("state_id", 1, 3)]
-    df = with_position(states, "target_id", ["depth", "state_id"], prefix)
-    df = df.withColumn("_content", F.coalesce(F.nullif("dom_hash", F.lit("")), F.concat(F.lit("state:"), F.col("state_id"))))
+    df = with_position(states, "target_id", ["depth", "state_id"], prefix).withColumn("_content", _content())
     content = df.groupBy("target_id", "_content").agg(
         F.min(F.struct("position", "is_leaf")).alias("first"), F.min(F.when(F.col("is_leaf"), F.col("position"))).alias("leaf")
     )
@@ -189,10 +236,7 @@ def with_detail_level(states: DataFrame, limit: int = DETAILED_INTERMEDIATE_STAT
     )
     content = content.join(chosen, ["target_id", "_content"], "left")
     full_at = F.when(F.col("first.is_leaf") | F.col("_chosen"), F.col("first.position")).otherwise(F.col("leaf"))
-    df = df.join(content.select("target_id", "_content", full_at.alias("_full_at")), ["target_id", "_content"])
-    position, full = F.col("position"), F.col("_full_at")
-    detail = F.when(position == full, "full").when(position > full, "same").otherwise("summary")
-    return df.withColumns({"detail": detail, "same_as": F.when(detail == "same", full)}).drop("_content", "_full_at")
+    return _detailed(df.join(content.select("target_id", "_content", full_at.alias("_full_at")), ["target_id", "_content"]))
 
 
 def _text_lines(text: Column, limit: int) -> Column:
@@ -206,31 +250,41 @@ def _text_lines(text: Column, limit: int) -> Column:
         F.when(acc["u"] < limit, F.concat(acc["rows"], F.array(F.struct(x.alias("x"), acc["u"].alias("u"))))).otherwise(acc["rows"]).alias("rows"),
     ))["rows"]
     cut = F.transform(shown, lambda r: F.concat(F.lit("    "), F.substring(r["x"], F.lit(1), F.least(F.lit(DIGEST_LINE_CHARS), F.lit(limit) - r["u"]))))
+    # a text of one line, which visible text always is, needs no loop over its lines
+    line = F.trim(text)
+    single = F.when(line != "", F.array(F.concat(F.lit("    "), F.substring(line, 1, min(DIGEST_LINE_CHARS, limit))))).otherwise(F.array().cast("array<string>"))
+    cut = F.when(F.instr(text, "\n") == 0, single).otherwise(cut)
     more = F.array(F.format_string("    …[%d more characters]", F.length(text) - limit))
     return F.when(F.length(text) > limit, F.concat(cut, more)).otherwise(cut)
 
 
-def first_fields(fields: DataFrame) -> DataFrame:
-    """``_fields``: report lines of the first fields of each state, in the order of their numbers."""
+def ranked_fields(fields: DataFrame) -> DataFrame:
+    """Report lines of the first fields of each state, one row each, with their ``_rank`` in the order of their numbers."""
     keys, text = ["target_id", "state_id"], lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
     label = shortened(F.col("nearby_label_text"), DIGEST_LABEL_CHARS)
     line = text("    ", F.col("tag"), "[type=", F.col("type"), "]  name_or_id=", F.col("name_or_id"))
     line = F.concat(line, F.when(label != "", text('  → "', label, '"')).otherwise(""))
     lines = fields.select(*keys, "ord", line.alias("l"))
     rank = F.row_number().over(W.partitionBy(*keys).orderBy("ord", "l"))
-    first = lines.withColumn("_rank", rank).filter(F.col("_rank") <= DIGEST_FIELDS)
-    return first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "l"))), lambda x: x["l"]).alias("_fields"))
+    return lines.withColumn("_rank", rank).filter(F.col("_rank") <= DIGEST_FIELDS).drop("ord")
+
+
+def first_fields(fields: DataFrame) -> DataFrame:
+    """``_fields``: report lines of the first fields of each state, in the order of their numbers."""
+    first = ranked_fields(fields).groupBy("target_id", "state_id")
+    return first.agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "l"))), lambda x: x["l"]).alias("_fields"))
 
 
 def case_digest(bundle: DataFrame, states: DataFrame, fields: DataFrame | None = None) -> DataFrame:
     """A text report per target as numbered lines: ``(target_id, section, position, line_no, line)``.
 
-    Lines stay rows, so a case with many states is never built in one task; sort by the number columns to read.
+    Lines stay rows, so a case with many states is never built in one task; sort by the number columns to read. A state
+    meets its fields row by row: the first brings all lines of the state, the others bring their own.
     """
     none = F.array().cast("array<string>")
     text = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
     entries = lambda column: F.transform(
-        F.array_sort(F.map_entries(column)), lambda kv: text("  ", kv["key"], ": ", kv["value"])
+        F.sort_array(F.map_entries(column)), lambda kv: text("  ", kv["key"], ": ", kv["value"])
     )
     present = lambda value, *parts: F.when(value.isNotNull(), F.array(text(*parts))).otherwise(none)
     url = F.col("canonical_url")
@@ -253,13 +307,11 @@ def case_digest(bundle: DataFrame, states: DataFrame, fields: DataFrame | None =
 
     df = with_detail_level(states)
     if fields is None:
-        df = df.withColumns({"_fields": none, "_n_fields": F.lit(0).cast("long")})
+        df = df.withColumns({"_rank": F.lit(None).cast("int"), "l": F.lit(None).cast("string"), "_n_fields": F.lit(0).cast("long")})
     else:
         keys = ["target_id", "state_id"]
         counts = fields.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n_fields"))
-        df = df.join(counts.join(first_fields(fields), keys, "left"), keys, "left").withColumns({
-            "_fields": F.coalesce("_fields", none), "_n_fields": F.coalesce("_n_fields", F.lit(0)),
-        })
+        df = df.join(counts.join(ranked_fields(fields), keys, "left"), keys, "left").withColumn("_n_fields", F.coalesce("_n_fields", F.lit(0)))
     end = F.when(F.col("is_leaf"), "leaf, no further action").otherwise("continued")
     number, n_fields = F.col("position"), F.col("_n_fields")
     where = [
@@ -267,14 +319,14 @@ def case_digest(bundle: DataFrame, states: DataFrame, fields: DataFrame | None =
     ]
     named = F.when(F.col("title") != "", F.array(text("  Title: ", F.col("title")))).otherwise(none)
     more = F.when(n_fields > DIGEST_FIELDS, F.array(text("    …and ", n_fields - DIGEST_FIELDS, " more fields"))).otherwise(none)
-    form = F.when(n_fields == 0, F.array(F.lit("  Form fields: none"))).otherwise(
-        F.concat(F.array(text("  Form fields detected (", n_fields, "):")), F.col("_fields"), more)
-    )
+    form = F.when(n_fields == 0, F.array(F.lit("  Form fields: none"))).otherwise(F.array(text("  Form fields detected (", n_fields, "):")))
+    rank = F.col("_rank")
+    first = F.when(rank.isNotNull(), F.array(F.col("l"))).otherwise(none)
     seen = lambda column, name, limit: F.when(
         F.col(column) != "", F.concat(F.array(F.lit(name)), _text_lines(F.col(column), limit))
     ).otherwise(none)
     full = F.concat(
-        F.array(text("--- State #", number, " ---"), *where), named, form,
+        F.array(text("--- State #", number, " ---"), *where), named, form, first, more,
         seen("visible_text", "  Visible text (truncated):", DIGEST_TEXT_CHARS),
         seen("ocr_text", "  Text read from the screenshot:", DIGEST_OCR_CHARS),
     )
@@ -284,5 +336,14 @@ def case_digest(bundle: DataFrame, states: DataFrame, fields: DataFrame | None =
         text("  Visible text: ", F.length("visible_text"), " characters"),
     )
     lines = F.when(F.col("detail") == "full", full).when(F.col("detail") == "same", same).otherwise(brief)
-    body = df.select("target_id", F.lit(1).alias("section"), "position", lines.alias("lines"))
-    return summary.unionByName(body).select("target_id", "section", "position", F.posexplode("lines").alias("line_no", "line"))
+    lines = F.when(rank.isNull() | (rank == 1), lines).when(F.col("detail") == "full", F.array(F.col("l"))).otherwise(none)
+    # the lines of a state before its first field, and the number of fields shown: lines after them move by the others
+    before = (F.lit(4) + F.when(F.col("title") != "", 1).otherwise(0)).alias("_before")
+    shown = F.least(n_fields, F.lit(DIGEST_FIELDS)).cast("int").alias("_shown")
+    body = df.select("target_id", F.lit(1).alias("section"), "position", rank, before, shown, lines.alias("lines")).select(
+        "target_id", "section", "position", "_rank", "_before", "_shown", F.posexplode_outer("lines").alias("line_no", "line")).filter("line_no is not null")
+    line_no = F.when(F.col("_rank") > 1, F.col("_before") + F.col("_rank") - 1).when(
+        F.col("_rank").isNotNull() & (F.col("line_no") > F.col("_before")), F.col("line_no") + F.col("_shown") - 1).otherwise(F.col("line_no"))
+    # the outer form: the other one has Spark ask first whether there are lines, which makes them all twice
+    head = summary.select("target_id", "section", "position", F.posexplode_outer("lines").alias("line_no", "line"))
+    return head.unionByName(body.select("target_id", "section", "position", line_no.alias("line_no"), "line"))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.types import StringType
 
 from lurelens.functions.html import canonical_markup, form_fields
-from lurelens.functions.text import SPACE, collapse_space
+from lurelens.functions.text import SPACE, SPACE_CHARS, collapse_space
 from lurelens.functions.url import resolve
 
 # Entities decoded in visible text, in this order.
@@ -47,7 +47,7 @@ _FIELD = "tag string, type string, name_or_id string, nearby_label_text string"
 
 def title(html: Column) -> Column:
     """Trimmed content of the first ``<title>``, empty when there is none."""
-    return F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), F.lit(SPACE_CHARS))
 
 
 def visible_text(html: Column, max_chars: int | None = None) -> Column:
@@ -56,7 +56,7 @@ def visible_text(html: Column, max_chars: int | None = None) -> Column:
     text = F.regexp_replace(text, r"<[^>]+>", " ")
     for entity, plain in TEXT_ENTITIES:
         text = F.replace(text, F.lit(entity), F.lit(plain))
-    text = F.regexp_replace(F.regexp_replace(text, rf"{SPACE}+", " "), r"\A +| +\z", "")
+    text = F.trim(F.regexp_replace(text, rf"{SPACE}+", " "))
     return text if max_chars is None else F.substring(text, 1, max_chars)
 
 
